@@ -51,9 +51,9 @@ def verbal_numbers(col: Column, words: dict[str, str] = NUMBER_WORDS, units: str
     """Distinct number words followed by a unit, and fractions such as `ein Viertel`."""
     alt = "|".join(sorted(words, key=len, reverse=True))
     text = _plain(col)
-    with_unit = F.regexp_extract_all(text, F.lit(rf"(?iu)\b((?:{alt})\s*(?:{units}))(?![A-Za-z0-9_])"), F.lit(1))
+    with_unit = F.regexp_extract_all(text, F.lit(rf"(?iu)(?<![A-Za-z0-9_])((?:{alt})\s*(?:{units}))(?![A-Za-z0-9_])"), F.lit(1))
     frac = F.regexp_extract_all(
-        text, F.lit(rf"(?iu)\b((?:{'|'.join(leads)})\s+(?:{'|'.join(fractions)}))\b"), F.lit(1))
+        text, F.lit(rf"(?iu)(?<![A-Za-z0-9_])((?:{'|'.join(leads)})\s+(?:{'|'.join(fractions)}))(?![A-Za-z0-9_])"), F.lit(1))
     tidy = F.transform(F.concat(with_unit, frac), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.array_distinct(tidy)
 

@@ -18,3 +18,24 @@ def keyword_variants(keywords: DataFrame, families: Mapping[str, Sequence[str]])
     joined = keywords.join(F.broadcast(lookup), "keyword", "left")
     family = F.coalesce("family", F.array().cast("array<string>"))
     return joined.select("keyword", F.array_distinct(F.concat(F.array("keyword"), family)).alias("variants"))
+
+
+def company_key_match(left: DataFrame, right: DataFrame, key: str, min_chars: int = 3) -> DataFrame:
+    """Pairs whose keys are equal or one a prefix of the other (three or more characters).
+
+    Each key emits its own prefixes and meets the other side's full keys by equality, so no two keys are compared
+    only because they start alike.
+    """
+    def prefixes(df: DataFrame) -> DataFrame:
+        lengths = F.sequence(F.lit(min_chars), F.length(key))
+        usable = df.where(F.length(key) >= min_chars)
+        return usable.withColumn("__p", F.explode(F.transform(lengths, lambda n: F.substring(F.col(key), 1, n))))
+
+    a, b = left.withColumnRenamed(key, "__a"), right.withColumnRenamed(key, "__b")
+    a, b = a.where(F.length("__a") >= min_chars), b.where(F.length("__b") >= min_chars)
+    left_long = prefixes(left).withColumnRenamed(key, "__a").join(b, F.col("__p") == F.col("__b")).drop("__p")
+    right_long = prefixes(right).withColumnRenamed(key, "__b").join(a, F.col("__p") == F.col("__a")).drop("__p")
+    right_long = right_long.where(F.col("__a") != F.col("__b"))
+    cols = [*[c for c in left.columns if c != key], *[c for c in right.columns if c != key], "__a", "__b"]
+    both = left_long.select(*cols).unionByName(right_long.select(*cols))
+    return both.withColumn("exact", F.col("__a") == F.col("__b")).drop("__a", "__b")

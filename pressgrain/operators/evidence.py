@@ -40,3 +40,66 @@ def quotes_in_documents(docs: DataFrame, quotes: DataFrame, gram: int = EVIDENCE
     )
     hits = hits.select("doc_id", "item_id", "needle")
     return hits.join(d, "doc_id").where(F.contains("hay", "needle")).select("doc_id", "item_id", "needle")
+
+
+def _folded_positions(text: str) -> tuple[str, list[int]]:
+    """Normalised text with single blanks and, for each of its characters, the offset in the raw text."""
+    import unicodedata
+
+    out, where, gap = [], [], -1
+    for i, char in enumerate(text):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char.lower()) if not 0x300 <= ord(c) <= 0x36F)
+        for c in plain.replace("ß", "ss"):
+            if c.isascii() and c.isalnum() and not c.isupper():
+                if gap >= 0 and out:
+                    out.append(" ")
+                    where.append(gap)
+                out.append(c)
+                where.append(i)
+                gap = -1
+            elif out:
+                gap = i if gap < 0 else gap
+    return "".join(out), where
+
+
+def evidence_spans(texts: DataFrame, quotes: DataFrame, min_chars: int = 4) -> DataFrame:
+    """Raw (doc_id, quote_id, start, end) of every non-overlapping occurrence of a document's quotes.
+
+    Texts and their quotes meet by an equality join on doc_id, quotes collected per document; the offset map is the
+    one step that needs Python and runs on Arrow batches.
+    """
+    per_doc = quotes.groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "quote")).alias("quotes"))
+    rows = texts.join(per_doc, "doc_id").select("doc_id", "text", "quotes")
+
+    def spans(batches):
+        import pandas as pd
+
+        for batch in batches:
+            found = []
+            for doc_id, text, items in zip(batch["doc_id"], batch["text"], batch["quotes"]):
+                hay, where = _folded_positions(text)
+                for item in items:
+                    needle, _ = _folded_positions(item["quote"])
+                    at = hay.find(needle) if len(needle) >= min_chars else -1
+                    while at >= 0:
+                        last = at + len(needle)
+                        found.append((doc_id, item["quote_id"], where[at], where[last - 1] + 1))
+                        at = hay.find(needle, last)
+            yield pd.DataFrame(found, columns=["doc_id", "quote_id", "start", "end"])
+
+    return rows.mapInPandas(spans, "doc_id long, quote_id long, start int, end int")
+
+
+def segments(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Text cut at every span border, each piece with the sorted ids of the quotes that cover it."""
+    ranges = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "quote_id")).alias("r"))
+    rows = texts.select("doc_id", F.length("text").alias("n")).join(ranges, "doc_id")
+    cuts = F.array_sort(F.array_distinct(F.concat(
+        F.array(F.lit(0), F.col("n")), F.transform("r", lambda x: x["start"]), F.transform("r", lambda x: x["end"]))))
+    rows = rows.select("doc_id", "r", cuts.alias("cuts"))
+    pieces = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda c, i: F.struct(
+        c.alias("start"), F.get(F.col("cuts"), i + 1).alias("end")))
+    rows = rows.select("doc_id", "r", F.posexplode(pieces).alias("segment", "p"))
+    covering = F.array_sort(F.array_distinct(F.transform(
+        F.filter("r", lambda x: (x["start"] <= F.col("p.start")) & (x["end"] >= F.col("p.end"))), lambda x: x["quote_id"])))
+    return rows.select("doc_id", "segment", "p.start", "p.end", covering.alias("quote_ids"))
