@@ -74,7 +74,7 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence
 
 def stage_totals(segments: DataFrame, keys: Sequence[str], sum_stage: str) -> DataFrame:
     """Per run and stage: the sum for one stage, the longest for all others."""
-    total = F.when(F.first("stage") == sum_stage, F.sum("dur")).otherwise(F.max("dur"))
+    total = F.when(F.col("stage") == sum_stage, F.sum("dur")).otherwise(F.max("dur"))
     return segments.groupBy(*keys, "stage").agg(total.alias("dur"))
 
 

@@ -18,3 +18,16 @@ def repair_dates(articles: DataFrame, as_of: Column, months: int = 6) -> DataFra
         .withColumn("status", F.when(old, "legacy").otherwise(F.col("status")))
         .drop("__shown")
     )
+
+
+def remap_category(df: DataFrame, col: str, mapping: dict[str, str]) -> DataFrame:
+    """Replace values by a fixed mapping and flag the rows that really changed."""
+    table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    new = F.coalesce(F.try_element_at(table, F.col(col)), F.col(col))
+    return df.withColumn("changed", ~new.eqNullSafe(F.col(col))).withColumn(col, new)
+
+
+def valid_date(col: Column, fmt: str) -> Column:
+    """True where a text is a calendar date in exactly this format."""
+    day = F.to_date(F.try_to_timestamp(col, F.lit(fmt)))
+    return F.coalesce(F.date_format(day, fmt) == col, F.lit(False))

@@ -15,6 +15,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # Read timestamps without a zone as UTC instants; the file holds the same microseconds either way.
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
