@@ -112,3 +112,50 @@ def aliases(t) -> DataFrame:
 
     rows = base.select(F.col("source").alias("company"), F.explode(both).alias("alias")).where("length(alias) >= 3")
     return rows.select("company", norm_text(F.col("alias")).alias("alias")).distinct()
+
+
+# Stored answers: quotes are first sentences, a fixed share lengthened or cut short so that they cannot be proven.
+SENTS_DUCK = ("list_filter(list_transform(string_split(regexp_replace(text,'([.!?])\\s+|\\n+','\\1'||chr(1),'g'),chr(1)),"
+              "lambda s: regexp_replace(regexp_replace(regexp_replace(s,'^#{1,6}\\s*',''),'^\\s+',''),'\\s+$','')), lambda s: length(s)>=20)")
+ANSWER_COLUMNS = """doc_id, case doc_id%5 when 0 then 'keine' when 1 then 'sales' when 2 then 'sales' else 'marketing' end as lane,
+  case doc_id%3 when 0 then 'fam_a' when 1 then 'fam_b' else 'fam_d' end as signal_id, round(0.5+(doc_id%50)/100.0D,2) as confidence,
+  cast(doc_id*7%101 as int) as score, coalesce(s1,'')||(case doc_id%6 when 5 then ' zusatz' else '' end) as evidence,
+  regexp_extract(coalesce(s1,''),'([A-Za-z]{4,})',1) as company, coalesce(s1,'') as company_evidence,
+  cast(doc_id*13%101 as int) as a, cast(doc_id*29%101 as int) as b, cast(doc_id*31%101 as int) as c, cast(doc_id*37%101 as int) as d,
+  s1, s2, s3"""
+ANSWERS_SQL = (f"sent as (select doc_id, source, text, s, s[1] as s1, s[2] as s2, s[3] as s3 from (select *, {SENTS_DUCK} as s from documents)),\n"
+               f"answers as (select {ANSWER_COLUMNS.replace('100.0D', '100.0::double')} from sent)")
+
+
+def answers(t) -> DataFrame:
+    from pressgrain.functions.text import sentences
+
+    s = t.documents.select("doc_id", sentences(F.col("text")).alias("s"))
+    s = s.select("doc_id", *[F.get("s", F.lit(i)).alias(f"s{i + 1}") for i in range(3)])
+    return s.selectExpr(*_split(ANSWER_COLUMNS))
+
+
+def classified(t) -> DataFrame:
+    """Nested answers as an advanced classification: arrays of proposals with quotes, uses, routes and values."""
+    a = answers(t)
+    conf = lambda m, base=0.7: (F.lit(base) + (F.col("doc_id") % m) / 100.0)
+    tag = lambda i, c, e: F.struct(F.lit(i).alias("id"), c.alias("confidence"), F.col(e).alias("evidence"))
+    drop = lambda *x: F.filter(F.array(*x), lambda v: v["evidence"].isNotNull())
+    route = lambda m: F.struct((F.col("doc_id") % m != 0).alias("eligible"), conf(30).alias("confidence"), F.coalesce("s1", F.lit("")).alias("evidence"))
+    who = F.struct(F.col("company").alias("name"), F.when(F.col("doc_id") % 7 == 0, "incidental_mention").otherwise("primary_subject").alias("role"),
+                   conf(30).alias("confidence"), F.col("s1").alias("evidence"))
+    person = F.struct(F.lit("P. Example").alias("name"), F.lit("Director").alias("role"), conf(25, 0.75).alias("confidence"), F.col("s2").alias("evidence"))
+    return a.select(
+        "doc_id", drop(tag("customer_insights", conf(30), "s1"), tag("marketing_insights", F.lit(0.9), "s2"), tag("unknown_topic", F.lit(0.95), "s1")).alias("topics"),
+        drop(who).alias("companies"), drop(person).alias("people"),
+        drop(tag("investment", conf(20, 0.8), "s1"), tag("marketing_problem", F.lit(0.91), "s2")).alias("triggers"),
+        F.struct((F.col("doc_id") % 4 != 0).alias("publishable"), F.coalesce("s3", F.lit("")).alias("transferable_value"),
+                 (F.col("doc_id") % 9 != 0).alias("sufficient_substance"), F.coalesce("evidence", F.lit("")).alias("evidence")).alias("marketing_use"),
+        F.struct(F.lit(False).alias("actionable"), F.coalesce("s1", F.lit("")).alias("company_challenge"), F.coalesce("s2", F.lit("")).alias("relevance"),
+                 (F.col("doc_id") % 5 != 0).alias("sufficient_substance"), F.array(F.lit("fact")).alias("facts"), F.coalesce("evidence", F.lit("")).alias("evidence")).alias("sales_use"),
+        F.struct(route(3).alias("marketing"), route(4).alias("sales")).alias("routes"), (F.col("doc_id") % 2 == 0).alias("transferable"),
+        conf(35, 0.65).alias("overall_confidence"), F.when(F.col("doc_id") % 11 == 0, "rejected").when(F.col("doc_id") % 3 == 0, "uncertain").otherwise("reliable").alias("relevance_status"),
+        F.when(F.col("doc_id") % 8 == 0, "company_update").when(F.col("doc_id") % 8 == 1, "study").otherwise("news").alias("article_type"),
+        F.coalesce("s1", F.lit("")).alias("title_de"), F.when(F.col("doc_id") % 13 == 0, F.array(F.lit("thin"))).otherwise(F.array().cast("array<string>")).alias("rejection_reasons"),
+        F.struct(F.col("a").alias("novelty"), F.col("b").alias("strategic_value"), F.col("c").alias("transferability"), F.col("d").alias("evidence_strength")).alias("marketing_value"),
+        F.struct(F.col("d").alias("problem_strength"), F.col("c").alias("fit"), F.col("b").alias("buying_intent"), F.col("a").alias("timing")).alias("sales_value"))
