@@ -15,3 +15,34 @@ def exact_duplicates(docs: DataFrame, hash_col: str) -> DataFrame:
     groups = docs.groupBy(hash_col).agg(F.min("doc_id").alias("duplicate_of"), F.count(F.lit(1)).alias("copies"))
     rows = docs.join(groups.where("copies > 1"), hash_col)
     return rows.where(F.col("doc_id") != F.col("duplicate_of")).select("doc_id", "duplicate_of", "copies")
+
+
+def near_duplicates(docs: DataFrame, min_score: float, min_shared: int) -> DataFrame:
+    """(doc_id, duplicate_of): the smallest earlier document with an equal or similar enough token set.
+
+    Equal token sets are collapsed first, so a group of copies, however large, enters the similarity join once. Among
+    distinct sets, two that reach Jaccard `min_score` must share one of their rarest tokens: each set is indexed only
+    by its prefix in order of global rarity, long enough that missing it rules the pair out, and a pair must also fit
+    in length. Frequent tokens therefore index few sets, and the result is exact, not approximate.
+    """
+    sets = docs.where(F.size("tokens") > 0).select("doc_id", F.array_sort("tokens").alias("tokens"))
+    unique = sets.groupBy("tokens").agg(F.min("doc_id").alias("rep"))
+    freq = unique.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    words = unique.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(freq, "token")
+    ranked = words.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    # A partner shares at least ceil(t * n) tokens; all but that many less one may be skipped.
+    need = F.greatest(F.ceil(F.col("n") * F.lit(min_score) - F.lit(1e-9)), F.lit(min_shared)).cast("int")
+    prefix = F.col("n") - need + 1
+    ordered = F.transform("r", lambda x: x["token"])
+    index = ranked.where(prefix > 0).select("rep", "n", ordered.alias("tokens"), F.explode(F.slice(ordered, F.lit(1), prefix)).alias("token"))
+    a = index.select("token", F.col("rep").alias("l"), F.col("n").alias("ln"))
+    b = index.select("token", F.col("rep").alias("r"), F.col("n").alias("rn"))
+    fits = (F.col("l") < F.col("r")) & (F.least("ln", "rn") >= F.greatest("ln", "rn") * min_score - 1e-9)
+    pairs = a.join(b, "token").where(fits).select("l", "r").distinct()
+    text = unique.select("rep", "tokens")
+    pairs = pairs.join(text.select(F.col("rep").alias("l"), F.col("tokens").alias("lt")), "l").join(text.select(F.col("rep").alias("r"), F.col("tokens").alias("rt")), "r")
+    shared = F.size(F.array_intersect("lt", "rt"))
+    score = shared / F.size(F.array_union("lt", "rt"))
+    best = pairs.where((shared >= min_shared) & (score >= min_score)).groupBy("r").agg(F.min("l").alias("l"))
+    target = unique.join(best, unique["rep"] == best["r"], "left").select("tokens", F.least("rep", F.coalesce("l", "rep")).alias("duplicate_of"))
+    return sets.join(target, "tokens").where(F.col("doc_id") != F.col("duplicate_of")).select("doc_id", "duplicate_of")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressgrain.functions.text import contains_term, norm_text, truncate_clean
+from pressgrain.functions.text import contains_term, norm_text
 
 
 def facet_filter(df: DataFrame, selections: Mapping[str, Sequence[str]], search: str = "", search_cols: Sequence[str] = (),
@@ -84,11 +84,8 @@ def run_status(runs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     shown = F.max_by(F.struct("run_id", "status"), order).alias("s")
     newest = F.max_by("status", F.struct("ts", "run_id")).alias("newest")
     out = runs.groupBy(*group).agg(shown, newest)
-    label = (
-        F.when(F.col("s.status").isin("queued", "running"), "active").when(F.col("newest") == "error", "failed")
-        .when(F.col("s.status") == "done", "ready").otherwise("idle")
-    )
-    tone = F.when(label == "active", "info").when(label == "failed", "bad").when(label == "ready", "good").otherwise("neutral")
+    label = F.when(F.col("s.status").isin("queued", "running"), "running").when(F.col("newest") == "error", "failed").otherwise("none active")
+    tone = F.when(label == "running", "working").when(label == "failed", "error").otherwise("idle")
     return out.select(*group, F.col("s.run_id").alias("run_id"), F.col("s.status").alias("status"), label.alias("label"), tone.alias("tone"))
 
 
@@ -101,27 +98,56 @@ def error_class(text: Column, rules: Sequence[tuple[str, str]], default: str = "
     return F.when(low == "", F.lit(None)).otherwise(out)
 
 
-# Field limits and required fields of manual entries.
-MANUAL_LIMITS = {"headline": 220, "core": 6000, "relevance": 2000, "evidence": 4000, "source": 500, "company": 160, "offering": 200}
-MANUAL_ORDER = ["headline", "core", "relevance", "evidence"]
-MANUAL_REQUIRED = ["headline", "core"]
-
-
-def manual_signal(entries: DataFrame, as_of: Column) -> DataFrame:
-    """Normalised entries with their first issue, corpus, address and the columns of the article and signal rows."""
-    lane = F.when(F.lower(F.trim("lane")).isin("sales", "marketing"), F.lower(F.trim("lane"))).otherwise("marketing")
-    mode = F.when(F.lower(F.trim("mode")) == "quick", "quick").otherwise("full")
-    rows = entries.select("entry_id", lane.alias("lane"), mode.alias("mode"), *[truncate_field(F.col(c), n).alias(c) for c, n in MANUAL_LIMITS.items()])
-    need = [F.when(F.col(c) == "", F.lit(c)) for c in MANUAL_REQUIRED]
-    need.append(F.when((F.col("lane") == "sales") & (F.col("company") == ""), F.lit("company")))
-    corpus = F.array_join(F.filter(F.array(*MANUAL_ORDER), lambda x: x != ""), "\n\n")
-    source_url = F.when(F.col("source").rlike("(?i)^https?://"), F.col("source")).otherwise(F.concat(F.lit("manual://"), "entry_id"))
-    return rows.select("entry_id", "lane", "mode", F.coalesce(*need).alias("issue"), "headline", "company", corpus.alias("corpus"),
-                       source_url.alias("url"), F.lit("manual").alias("article_type"), F.date_format(as_of, "yyyy-MM-dd").alias("published"))
-
-
-def truncate_field(col: Column, limit: int) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " ")), 1, limit)
+# Limits of the fields of a manual entry, minimum lengths, and the labels of its context block.
+MANUAL_LIMITS = {"headline": 200, "core": 1_200, "relevance": 800, "evidence": 2_000, "source": 300, "company": 120,
+                 "offering": 200, "signal_label": 80, "audience": 300, "territory": 120, "occasion": 300,
+                 "competitor": 300, "tone": 300}
+MANUAL_MINIMUM = {"headline": 10, "core": 30, "evidence": 20}
+MANUAL_CONTEXT = [("Quelle", "source"), ("Unternehmen", "company"), ("Zielgruppe", "audience"), ("Markt", "territory"),
+                  ("Anlass", "occasion"), ("Wettbewerb", "competitor"), ("ROOTS-Anschluss", "offering")]
+RELEVANCE_TITLE, EVIDENCE_TITLE, CONTEXT_TITLE = "Warum es zählt:", "Belege und Zahlen:", "Kontext:"
+
+
+def _field(col: Column, limit: int) -> Column:
+    text = F.regexp_replace(F.replace(F.coalesce(col, F.lit("")), F.lit("\r"), F.lit("")), r"[ \t]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.substring(text, 1, limit)
+
+
+def manual_signal(entries: DataFrame) -> DataFrame:
+    """Normalised manual entries with lane, mode, the first field that is too short (`issue`) and the corpus text."""
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    lane = F.when(text("lane").rlike("sales|ansprache|memo"), "sales").otherwise("marketing")
+    mode = F.when(text("mode").isin("manual", "hybrid"), text("mode")).otherwise("ai")
+    rows = entries.select("entry_id", lane.alias("lane"), mode.alias("mode"), *[
+        (_field(F.col(c), n) if c in entries.columns else F.lit("")).alias(c) for c, n in MANUAL_LIMITS.items()])
+    issue = F.coalesce(*[F.when(F.length(c) < n, F.lit(c)) for c, n in MANUAL_MINIMUM.items()])
+    context = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{label}: "), F.col(c))) for label, c in MANUAL_CONTEXT]))
+    parts = F.array_compact(F.array(
+        F.col("headline"), F.lit(""), F.col("core"),
+        F.when(F.col("relevance") != "", F.concat(F.lit(f"\n{RELEVANCE_TITLE}\n"), F.col("relevance"))),
+        F.lit(""), F.lit(EVIDENCE_TITLE), F.col("evidence"),
+        F.when(F.size(context) > 0, F.concat(F.lit(f"\n{CONTEXT_TITLE}\n"), F.array_join(context, "\n")))))
+    corpus = F.regexp_replace(F.array_join(parts, "\n"), r"^\s+|\s+$", "")
+    return rows.select("*", issue.alias("issue"), corpus.alias("corpus"))
+
+
+def manual_rows(entries: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Article rows and signal rows of the complete manual entries."""
+    good = manual_signal(entries).where("issue is null")
+    null_if_blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    many = lambda c: F.array_compact(F.array(null_if_blank(c)))
+    kind = F.lit("manual")
+    article = good.select(
+        F.col("entry_id").alias("article_id"), F.concat(F.lit("manual://signal/"), "entry_id").alias("url"), F.col("headline").alias("title"),
+        F.col("corpus").alias("content"), as_of.alias("published_at"), kind.alias("article_type"), kind.alias("classification_status"),
+        many("signal_label").alias("topics"), null_if_blank("territory").alias("territory"))
+    signal = good.select(
+        F.col("entry_id").alias("article_id"), F.lit("signal").alias("status"), "lane", null_if_blank("signal_label").alias("signal_label"),
+        F.lit(0).alias("score"), "evidence", F.coalesce(null_if_blank("relevance"), F.col("core")).alias("why"), F.col("core").alias("summary"),
+        null_if_blank("company").alias("company"), kind.alias("article_type"), null_if_blank("offering").alias("offering"),
+        many("audience").alias("buying_center_roles"), null_if_blank("occasion").alias("trigger"))
+    return article, signal
 
 
 def without_manual(df: DataFrame, type_col: str) -> DataFrame:
