@@ -104,7 +104,7 @@ MANUAL_LIMITS = {"headline": 200, "core": 1_200, "relevance": 800, "evidence": 2
                  "competitor": 300, "tone": 300}
 MANUAL_MINIMUM = {"headline": 10, "core": 30, "evidence": 20}
 MANUAL_CONTEXT = [("Quelle", "source"), ("Unternehmen", "company"), ("Zielgruppe", "audience"), ("Markt", "territory"),
-                  ("Anlass", "occasion"), ("Wettbewerb", "competitor"), ("ROOTS-Anschluss", "offering")]
+                  ("Anlass", "occasion"), ("Wettbewerb", "competitor"), ("Anschluss", "offering")]
 RELEVANCE_TITLE, EVIDENCE_TITLE, CONTEXT_TITLE = "Warum es zählt:", "Belege und Zahlen:", "Kontext:"
 
 

@@ -123,7 +123,7 @@ LOOSE = {"entity": r"\b(?:the|der|la)(?:\s+\w+){0,4}\s*$", "actor": r"^\s*\b(?:o
 
 @query("c10_event_gate")
 def _(t):
-    return rl.event_gate(fx.articles(t), F.col("source").isin("src1", "src2", "src3"), fx.aliases(t), FIXTURE)
+    return rl.event_gate(fx.articles(t), F.col("source").isin("src1", "src2", "src3"), fx.aliases(t), FIXTURE, **LOOSE)
 
 
 TOPIC_RULES = {"customer_insights": [r"\b(the|der|les)\b", r"\b(of|und|de)\b"], "marketing_insights": [r"\b(and|die|la)\b"]}
