@@ -63,8 +63,8 @@ def refresh_affected(derived: DataFrame, facts: DataFrame, changed: DataFrame, d
 
 
 def write_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Overwrite only the partitions present in `df`, with one task per partition value and file limit."""
-    df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Overwrite only the partitions present in `df`; the rebalance hint lets AQE split a hot partition over several tasks."""
+    df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def append_snapshot(history: DataFrame, current: DataFrame, key: list[str], as_of: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +33,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh subfolder of the shared checkpoint folder for one stream's output and progress."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

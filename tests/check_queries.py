@@ -75,7 +75,10 @@ def main(argv):
         start = time.time()
         try:
             df = fn(spark, folder)
-            if name in oracles:
+            if os.environ.get("CHECK_NO_SQL"):
+                df.write.format("noop").mode("overwrite").save()
+                n, problem, kind = 1, None, "noop"
+            elif name in oracles:
                 problem, n = compare(df, con, oracles[name])
                 kind = "sql"
             else:
