@@ -49,9 +49,15 @@ def _replace_all(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, col)
 
 
+LONG_CLASS = "[" + "".join(c for c, _ in FOLD_LONG) + "]"
+
+
 def fold(col: Column) -> Column:
     """Lower case, compatibility-fold to base letters, ß as ss; punctuation is kept."""
-    return F.translate(_replace_all(F.lower(col), [("ß", "ss"), *FOLD_LONG]), FOLD_FROM, FOLD_TO)
+    low = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+    # Characters that expand to several letters are rare: one search decides whether they are replaced at all.
+    low = F.when(low.rlike(LONG_CLASS), _replace_all(low, FOLD_LONG)).otherwise(low)
+    return F.translate(low, FOLD_FROM, FOLD_TO)
 
 
 def norm_text(col: Column) -> Column:
@@ -196,31 +202,29 @@ ENTITIES_ANY_CASE = {
 }
 
 
-def _code_points(text: Column, lead: str, digits: str, base: int) -> Column:
-    """Replace numeric character references: split on the lead, decode the number at the start of each later part."""
-    parts = F.split(text, lead)
-
-    def decode(part: Column, i: Column) -> Column:
-        number = F.regexp_extract(part, f"^({digits});", 1)
-        code = F.conv(number, base, 10).try_cast("long")
-        valid = (i > 0) & (number != "") & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        plain = F.when(i > 0, F.concat(F.lit(lead), part)).otherwise(part)
-        return F.when(valid, F.concat(char, F.regexp_replace(part, f"^{digits};", ""))).otherwise(plain)
-
-    joined = F.array_join(F.transform(parts, decode), "")
-    return F.when(F.contains(text, F.lit(lead)), joined).otherwise(text)
+def decode_entities(col: Column) -> Column:
+    """Named entities, decimal and hexadecimal references, and the ampersand last.
 
+    The text is cut at its ampersands once; each piece starts with at most one entity, which is looked up or decoded.
+    """
+    exact = F.create_map(*[F.lit(x) for kv in ENTITIES_EXACT.items() for x in (kv[0][1:], kv[1])])
+    loose = F.create_map(*[F.lit(x) for kv in ENTITIES_ANY_CASE.items() for x in (kv[0][1:], kv[1])])
 
-def decode_entities(col: Column) -> Column:
-    """Named entities, decimal and hexadecimal references, and the ampersand last."""
-    text = _replace_all(col, list(ENTITIES_EXACT.items()))
-    for name, char in ENTITIES_ANY_CASE.items():
-        text = F.regexp_replace(text, "(?i)" + name, char)
-    text = _code_points(text, "&#", r"\d+", 10)
-    text = _code_points(text, "&#x", "[0-9a-fA-F]+", 16)
-    named = F.regexp_replace(text, "(?i)&amp;", "&")
-    return F.when(F.contains(col, F.lit("&")), named).otherwise(col)
+    def decode(part: Column, i: Column) -> Column:
+        def resolve(name: Column) -> Column:
+            number = F.when(name.rlike(r"^#\d+;$"), F.regexp_extract(name, r"\d+", 0).try_cast("long")).when(
+                name.rlike("^#x[0-9a-fA-F]+;$"), F.conv(F.regexp_extract(name, "x([0-9a-fA-F]+)", 1), 16, 10).try_cast("long"))
+            valid = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+            char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+            known = F.coalesce(F.try_element_at(exact, name), F.try_element_at(loose, F.lower(name)), char)
+            rest = F.substr(part, F.length(name) + 1)
+            return F.coalesce(F.concat(known, rest), F.concat(F.lit("&"), part))
+
+        found = F.regexp_extract(part, r"^(#?[A-Za-z0-9]+;)", 1)
+        return F.when(i == 0, part).when(found == "", F.concat(F.lit("&"), part)).otherwise(F.transform(F.array(found), resolve)[0])
+
+    text = F.array_join(F.transform(F.split(col, "&"), decode), "")
+    return F.when(F.contains(col, F.lit("&")), F.regexp_replace(text, "(?i)&amp;", "&")).otherwise(col)
 
 
 # One-line navigation and service texts, template leaks and no-script notices that are not article text.

@@ -168,13 +168,11 @@ def leadership_change(articles: DataFrame, lead: str, verbs: str, role: str, sec
     company; a second kind of role also needs a sentence with a mandate."""
     rows = articles.select("doc_id", F.trim("title").alias("title"), F.concat_ws("\n", "title", "content").alias("full"))
     rows = rows.withColumn("company", title_company(F.col("title"), lead, verbs)).where(F.length("company") >= 2)
-    key = norm_text(F.col("company"))
-    rows = rows.where(F.contains(norm_text(F.col("full")), key))
+    rows = rows.withColumn("__key", norm_text(F.col("company"))).where(F.contains(norm_text(F.col("full")), F.col("__key")))
     rows = rows.withColumn("sents", F.concat(F.array("title"), sentences(F.col("full"))))
 
     def proves(s: Column) -> Column:
-        named = F.contains(norm_text(s), key)
-        return (F.length(s) >= 20) & named & (s.rlike(role) | s.rlike(second_role)) & s.rlike(change)
+        return (F.length(s) >= 20) & (s.rlike(role) | s.rlike(second_role)) & s.rlike(change) & F.contains(norm_text(s), F.col("__key"))
 
     rows = rows.withColumn("company_evidence", F.get(F.filter("sents", proves), F.lit(0))).where("company_evidence is not null")
     first = F.col("company_evidence").rlike(role)

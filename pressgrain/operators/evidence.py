@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,23 +45,28 @@ def quotes_in_documents(docs: DataFrame, quotes: DataFrame, gram: int = EVIDENCE
     return hits.join(d, "doc_id").where(F.contains("hay", "needle")).select("doc_id", "item_id", "needle")
 
 
+@lru_cache(maxsize=65_536)
+def _folded(char: str) -> str:
+    """Base letters and digits a character stands for; empty for everything else."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", char.lower()) if not 0x300 <= ord(c) <= 0x36F)
+    return "".join(c for c in plain.replace("ß", "ss") if c.isascii() and c.isalnum() and not c.isupper())
+
+
 def _folded_positions(text: str) -> tuple[str, list[int]]:
     """Normalised text with single blanks and, for each of its characters, the offset in the raw text."""
-    import unicodedata
-
     out, where, gap = [], [], -1
     for i, char in enumerate(text):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char.lower()) if not 0x300 <= ord(c) <= 0x36F)
-        for c in plain.replace("ß", "ss"):
-            if c.isascii() and c.isalnum() and not c.isupper():
-                if gap >= 0 and out:
-                    out.append(" ")
-                    where.append(gap)
+        plain = char if "a" <= char <= "z" else _folded(char)
+        if plain:
+            if gap >= 0 and out:
+                out.append(" ")
+                where.append(gap)
+            gap = -1
+            for c in plain:
                 out.append(c)
                 where.append(i)
-                gap = -1
-            elif out:
-                gap = i if gap < 0 else gap
+        elif gap < 0 and out and not 0x300 <= ord(char) <= 0x36F:
+            gap = i
     return "".join(out), where
 
 

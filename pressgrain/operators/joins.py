@@ -45,21 +45,26 @@ def rows_on_days(facts: DataFrame, days: DataFrame, day: Column) -> DataFrame:
     return facts.withColumn("usage_date", day).join(broadcast_if_small(days.select("usage_date").distinct()), "usage_date", "left_semi")
 
 
-def asof_run(events: DataFrame, runs: DataFrame, key: str, as_of: Column, slice_hours: int = 24) -> DataFrame:
+def asof_run(events: DataFrame, runs: DataFrame, key: str, as_of: Column, slice_minutes: int = 60) -> DataFrame:
     """Newest run with the same key whose interval holds the event's time.
 
-    Runs are spread over the time slices they cover, so events and runs meet on (key, slice) by equality instead of a
-    range scan; a hot key is split over its slices. An open run ends at `as_of`. Each event keeps its newest run
-    through a partial maximum.
+    Time is cut into slices. A run enters the slices in which it starts or ends; of the runs that cover a whole slice
+    only the newest can win there, so a partial maximum keeps one per (key, slice). Events meet these few candidates
+    on (key, slice) by equality, and a hot key is split over its slices. An open run ends at `as_of`.
     """
-    width = F.lit(slice_hours * 3600)
+    width = F.lit(slice_minutes * 60)
     slot = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / width)
-    r = runs.withColumn("__end", F.coalesce("finished_at", as_of))
-    r = r.withColumn("__slot", F.explode(F.sequence(slot(F.col("started_at")), slot(F.col("__end"))))).where(F.col("__end") >= F.col("started_at"))
-    r = r.select(F.col(key).alias("__key"), "__slot", "__end", F.col("started_at").alias("__start"), F.col("run_id").alias("__run"))
-    e = events.withColumn("__slot", slot(F.col("created_at")))
-    cond = (e[key] == r["__key"]) & (e["__slot"] == r["__slot"]) & (e["created_at"] >= r["__start"]) & (e["created_at"] <= r["__end"])
-    hits = e.join(r, cond).groupBy(e["event_id"]).agg(F.max_by("__run", F.struct("__start", "__run")).alias("run_id"))
+    r = runs.select(F.col(key).alias("__key"), F.struct(F.col("started_at").alias("start"), "run_id").alias("__run"),
+                    F.coalesce("finished_at", as_of).alias("__end")).where(F.col("__end") >= F.col("__run.start"))
+    r = r.withColumn("__first", slot(F.col("__run.start"))).withColumn("__last", slot(F.col("__end")))
+    partly = r.select("__key", F.explode(F.array_distinct(F.array("__first", "__last"))).alias("__slot"), "__run", "__end")
+    inner = r.where(F.col("__last") - F.col("__first") >= 2)
+    inner = inner.select("__key", F.explode(F.sequence(F.col("__first") + 1, F.col("__last") - 1)).alias("__slot"), "__run", "__end")
+    fully = inner.groupBy("__key", "__slot").agg(F.max(F.struct("__run", "__end")).alias("m"))
+    candidates = partly.unionByName(fully.select("__key", "__slot", "m.__run", "m.__end"))
+    e = events.select("event_id", F.col(key).alias("__key"), F.col("created_at").alias("__at"), slot(F.col("created_at")).alias("__slot"))
+    hits = e.join(candidates, ["__key", "__slot"]).where(F.col("__at").between(F.col("__run.start"), F.col("__end")))
+    hits = hits.groupBy("event_id").agg(F.max("__run").alias("m")).select("event_id", F.col("m.run_id").alias("run_id"))
     return events.join(hits, "event_id", "left")
 
 

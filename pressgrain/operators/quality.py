@@ -95,15 +95,22 @@ def vendor_pitch(title: Column, text: Column, pack: Pack) -> Column:
     return F.transform(F.array(n), verdict)[0]
 
 
-def event_substance(text: Column, pack: Pack) -> Column:
+def _substance(n: Column, pack: Pack) -> Column:
     p = pack.patterns
-    n = norm_text(text)
     return n.rlike(p["event"]) & n.rlike(p["event_topic"]) & n.rlike(p["substance"])
 
 
+def event_substance(text: Column, pack: Pack) -> Column:
+    """An event report with a topic and findings of its own."""
+    return F.transform(F.array(norm_text(text)), lambda n: _substance(n, pack))[0]
+
+
 def bare_event(text: Column, pack: Pack) -> Column:
-    n = norm_text(text)
-    return n.rlike(pack.patterns["event"]) & n.rlike(pack.patterns["bare_event"]) & ~event_substance(text, pack)
+    """An event that is only announced or attended."""
+    def verdict(n: Column) -> Column:
+        return n.rlike(pack.patterns["event"]) & n.rlike(pack.patterns["bare_event"]) & ~_substance(n, pack)
+
+    return F.transform(F.array(norm_text(text)), verdict)[0]
 
 
 REASONS = [
@@ -131,6 +138,7 @@ def hard_rejections(
     inputs = F.struct(
         norm_text(F.concat_ws(" ", title, select_passages(text, classifier_chars))).alias("n"),
         norm_text(title).alias("t"),
+        F.struct(event_substance(full, pack).alias("own"), bare_event(full, pack).alias("bare")).alias("event"),
         (~text_quality(text)["sufficient"]).alias("empty"),
     )
 
@@ -141,14 +149,14 @@ def hard_rejections(
         flags = [
             hits >= career_hits,
             t.rlike(p["faq"]),
-            t.rlike(p["program"]) & ~qualified & ~event_substance(full, pack) & ~t.rlike(p["program_ok"]),
+            t.rlike(p["program"]) & ~qualified & ~x["event"]["own"] & ~t.rlike(p["program_ok"]),
             t.rlike(p["directory"]),
             is_collection(title, text, pack),
             all_caps_run(text),
             vendor_pitch(title, text, pack),
             empty,
             ~empty & event_source & ~qualified,
-            ~empty & ~event_source & ~qualified & bare_event(full, pack),
+            ~empty & ~event_source & ~qualified & x["event"]["bare"],
             F.coalesce((year <= as_of_year - 2) & t.rlike(p["event"]), F.lit(False)),
             ~empty & ~n.rlike(p["professional"]),
             n.rlike(p["appointment"]) & ~n.rlike(p["strategic"]),

@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pressgrain.scale import spread
+
+# Tables whose rows are long texts, with their id: per-row work dominates there.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,7 +27,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def query(name: str, sql: str | None = None):

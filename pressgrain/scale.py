@@ -22,8 +22,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_LIMIT_ROWS) -> D
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a table that was read in fewer splits than there are cores; leave any larger table as it is.
+
+    A small file comes as one split and would keep all per-row text work on one core. A table with splits for all
+    cores is not shuffled. Reading the number of splits plans the scan and runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _attach(rows: DataFrame, edges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
