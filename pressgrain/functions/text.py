@@ -49,15 +49,11 @@ def _replace_all(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, col)
 
 
-LONG_CLASS = "[" + "".join(c for c, _ in FOLD_LONG) + "]"
-
-
 def fold(col: Column) -> Column:
-    """Lower case, compatibility-fold to base letters, ß as ss; punctuation is kept."""
-    low = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
-    # Characters that expand to several letters are rare: one search decides whether they are replaced at all.
-    low = F.when(low.rlike(LONG_CLASS), _replace_all(low, FOLD_LONG)).otherwise(low)
-    return F.translate(low, FOLD_FROM, FOLD_TO)
+    """Lower case, compatibility-fold to base letters, ß as ss; punctuation is kept. Plain ASCII is only lower-cased."""
+    low = F.lower(col)
+    long_forms = _replace_all(low, [("ß", "ss"), *FOLD_LONG])
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(long_forms, FOLD_FROM, FOLD_TO))
 
 
 def norm_text(col: Column) -> Column:
@@ -257,13 +253,11 @@ def clean_article_text(col: Column) -> Column:
     text = F.regexp_replace(text, r"<[^>]+>", "\n")
 
     def prepare(raw: Column, i: Column) -> Column:
-        line = F.trim(F.regexp_replace(raw, r"[ \t\x{00a0}]+", " "))
-        line = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+        line = F.trim(F.regexp_replace(raw, r"[\s\x{00a0}]+", " "))
         blank = line == ""
         leak = line.rlike(TEMPLATE_LEAK)
-        line = F.regexp_replace(line, r"\*\*\s*\*\*", "")
-        line = F.regexp_replace(line, r"(^|\s)\*{1,2}(\s|$)", "$1$2")
-        line = F.trim(F.regexp_replace(line, r"\s+", " "))
+        plain = F.regexp_replace(F.regexp_replace(line, r"\*\*\s*\*\*", ""), r"(^|\s)\*{1,2}(\s|$)", "$1$2")
+        line = F.when(F.contains(line, F.lit("*")), F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(line)
         return F.struct(line.alias("line"), blank.alias("blank"), leak.alias("leak"), i.alias("pos"))
 
     def judge(x: Column) -> Column:
