@@ -50,35 +50,55 @@ def offering_fit(offering_id: Column, concept_text: Column, text: Column, strict
 
 
 def rank_offerings(articles: DataFrame, offerings: DataFrame, preferred: Mapping[str, Sequence[str]], k: int = 10,
-                   stop: Sequence[str] = (), min_score: int = 10, catalogue_limit: int = 5_000) -> DataFrame:
+                   stop: Sequence[str] = (), min_score: int = 10, catalogue_limit: int = 500) -> DataFrame:
     """Best `k` offerings per article: family preference, shared words (up to eight) and the literal label.
 
-    `articles` has doc_id, text and families; `offerings` has offering_id, label, description and position. The
-    catalogue is one small array attached to every row (its size is checked), so ranking needs no join per word and
-    no shuffle of articles.
+    `articles` has doc_id, text and families; `offerings` has offering_id, label, description and position. A catalogue
+    of at most `catalogue_limit` rows is one array attached to every row, so ranking needs no join per word and no
+    shuffle of articles; a larger one is joined by words and labels with the same result.
     """
-    if offerings.limit(catalogue_limit + 1).count() > catalogue_limit:
-        raise ValueError(f"catalogue larger than {catalogue_limit} rows; rank against a word index instead")
-    big = lambda c: F.filter(F.split(norm_text(c), " "), lambda w: F.length(w) >= 5)
-    words = F.array_distinct(F.filter(big(F.concat_ws(" ", "label", "description")), lambda w: ~w.isin(*stop) if stop else F.lit(True)))
-    catalogue = offerings.select(F.struct("offering_id", "position", norm_text(F.col("label")).alias("label"), words.alias("words")).alias("o"))
-    catalogue = catalogue.agg(F.collect_list("o").alias("catalogue"))
+    big = lambda c: F.array_distinct(F.filter(F.split(norm_text(c), " "), lambda w: F.length(w) >= 5))
+    words = F.filter(big(F.concat_ws(" ", "label", "description")), lambda w: ~w.isin(*stop) if stop else F.lit(True))
+    catalogue = offerings.select("offering_id", "position", norm_text(F.col("label")).alias("label"), words.alias("words"))
     table = F.create_map(*[x for f, ids in preferred.items() for x in (F.lit(f), F.array(*[F.lit(i) for i in ids]))])
     wanted = F.flatten(F.transform("families", lambda f: F.coalesce(F.try_element_at(table, f), F.array().cast("array<string>"))))
     rows = articles.select("doc_id", norm_text(F.col("text")).alias("n"), wanted.alias("wanted"))
-    rows = rows.withColumn("mine", F.array_distinct(F.filter(F.split("n", " "), lambda w: F.length(w) >= 5)))
-    rows = rows.join(F.broadcast(catalogue), F.lit(True))
+    small = offerings.limit(catalogue_limit + 1).count() <= catalogue_limit
+    rank = _rank_by_array if small else _rank_by_joins
+    return rank(rows.withColumn("mine", big(F.col("n"))), catalogue, k, min_score)
+
+
+def _preference(wanted: Column, offering_id: Column) -> Column:
+    """40 for the first preferred offering down to 20; a later mention overwrites an earlier one."""
+    last = F.size(wanted) - F.array_position(F.reverse(wanted), offering_id)
+    return F.when(F.array_contains(wanted, offering_id), F.greatest(F.lit(20), F.lit(40) - last)).otherwise(0)
+
+
+def _rank_by_array(rows: DataFrame, catalogue: DataFrame, k: int, min_score: int) -> DataFrame:
+    whole = catalogue.agg(F.collect_list(F.struct("*")).alias("catalogue"))
+    rows = rows.join(F.broadcast(whole), F.lit(True))
 
     def score(o: Column) -> Column:
-        # A later preference overwrites an earlier one for the same offering, as the last entry of a map does.
-        n = F.size("wanted")
-        last = n - F.array_position(F.reverse("wanted"), o["offering_id"])
-        pref = F.when(F.array_contains("wanted", o["offering_id"]), F.greatest(F.lit(20), F.lit(40) - last)).otherwise(0)
         shared = F.least(F.lit(8), F.size(F.array_intersect(o["words"], F.col("mine"))))
         label = F.when((F.length(o["label"]) >= 6) & F.contains(F.col("n"), o["label"]), 60).otherwise(0)
-        total = (pref + shared * 5 + label).cast("int")
+        total = (_preference(F.col("wanted"), o["offering_id"]) + shared * 5 + label).cast("int")
         return F.struct((-total).alias("neg"), o["position"].alias("position"), o["offering_id"].alias("offering_id"))
 
     best = F.slice(F.array_sort(F.filter(F.transform("catalogue", score), lambda x: x["neg"] <= -min_score)), 1, k)
     out = rows.select("doc_id", F.posexplode(best).alias("rank", "b"))
     return out.select("doc_id", (F.col("rank") + 1).alias("rank"), "b.offering_id", (-F.col("b.neg")).alias("score"))
+
+
+def _rank_by_joins(rows: DataFrame, catalogue: DataFrame, k: int, min_score: int) -> DataFrame:
+    from pressgrain.operators.evidence import contained_pairs
+    from pressgrain.operators.ranking import top_k
+
+    by_word = rows.select("doc_id", F.explode("mine").alias("word")).join(catalogue.select("offering_id", F.explode("words").alias("word")), "word")
+    shared = by_word.groupBy("doc_id", "offering_id").agg((F.least(F.lit(8), F.count(F.lit(1))) * 5).alias("points"))
+    labels = contained_pairs(rows.select("doc_id", F.col("n").alias("hay")), catalogue.select(F.col("offering_id").alias("item_id"), F.col("label").alias("needle")), 6)
+    named = labels.select("doc_id", F.col("item_id").alias("offering_id"), F.lit(60).cast("long").alias("points")).distinct()
+    liked = rows.select("doc_id", "wanted", F.explode(F.array_distinct("wanted")).alias("offering_id"))
+    liked = liked.select("doc_id", "offering_id", _preference(F.col("wanted"), F.col("offering_id")).cast("long").alias("points"))
+    total = shared.unionByName(named).unionByName(liked).groupBy("doc_id", "offering_id").agg(F.sum("points").cast("int").alias("score"))
+    total = total.where(F.col("score") >= min_score).join(catalogue.select("offering_id", "position"), "offering_id")
+    return top_k(total, ["doc_id"], [F.desc("score"), F.asc("position")], k).select("doc_id", "rank", "offering_id", "score")

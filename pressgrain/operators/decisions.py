@@ -12,6 +12,7 @@ from pressgrain.functions.records import title_company
 from pressgrain.functions.text import EVIDENCE_MIN, clamp01, contains_term, evidence_exists, evidence_skeleton, norm_text, sentences
 from pressgrain.operators.rules import topic_context, unresolved_problem
 from pressgrain.rules.packs import Pack
+from pressgrain.scale import broadcast_if_small
 
 # Thresholds, weights and caps of routes and scores.
 ROUTE_THRESHOLD, MIN_CONFIDENCE, MIN_SCORE = 0.88, 0.7, 45
@@ -152,12 +153,12 @@ def validate_companies(decisions: DataFrame, articles: DataFrame, detected: Data
     terms = aliases.select("company", norm_text(F.col("alias")).alias("key")).unionByName(
         aliases.select("company", norm_text(F.col("company")).alias("key"))).distinct()
     rows = decisions.where(F.col("role").isin(*roles) & (F.length(F.trim("evidence")) >= 20))
-    rows = rows.withColumn("key", norm_text(F.col("name"))).join(terms, "key")
+    rows = rows.withColumn("key", norm_text(F.col("name"))).join(broadcast_if_small(terms), "key")
     rows = rows.join(detected.select("doc_id", "company").distinct(), ["doc_id", "company"], "left_semi")
     rows = rows.join(articles.select("doc_id", evidence_skeleton(F.col("text")).alias("__s")), "doc_id")
     rows = rows.where(in_text(F.col("__s"), F.col("evidence"))).drop("__s", "key")
     all_terms = terms.groupBy("company").agg(F.collect_set("key").alias("__terms"))
-    rows = rows.join(all_terms, "company")
+    rows = rows.join(broadcast_if_small(all_terms), "company")
     rows = rows.where(F.exists("__terms", lambda t: contains_term(norm_text(F.col("evidence")), t))).drop("__terms")
     first = rows.groupBy("doc_id", "company").agg(F.min_by(F.struct("evidence", "role"), "pos").alias("d"))
     return first.select("doc_id", "company", F.substring(F.trim("d.evidence"), 1, cap).alias("evidence"), "d.role")
@@ -247,7 +248,7 @@ def validate_classification(answers: DataFrame, articles: DataFrame, aliases: Da
     names = aliases.select("company", norm_text(F.col("alias")).alias("key")).distinct()
     own = rows.select("doc_id", "skel", F.posexplode("companies").alias("pos", "c")).where(
         (clamp01(F.col("c.confidence")) >= quality["company"]) & in_text(skel, F.col("c.evidence")))
-    own = own.withColumn("key", norm_text(F.col("c.name"))).join(names, "key")
+    own = own.withColumn("key", norm_text(F.col("c.name"))).join(broadcast_if_small(names), "key")
     own = own.where(contains_term(norm_text(F.col("c.evidence")), F.col("key")))
     own = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("company").alias("name"), F.col("c.role").alias("role")))).alias("__own"))
     rows = rows.join(own, "doc_id", "left").withColumn("n_companies", F.size("companies"))

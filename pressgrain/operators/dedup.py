@@ -26,7 +26,8 @@ def near_duplicates(docs: DataFrame, min_score: float, min_shared: int) -> DataF
     in length. Frequent tokens therefore index few sets, and the result is exact, not approximate.
     """
     sets = docs.where(F.size("tokens") > 0).select("doc_id", F.array_sort("tokens").alias("tokens"))
-    unique = sets.groupBy("tokens").agg(F.min("doc_id").alias("rep"))
+    sets = sets.withColumn("set_key", F.md5(F.array_join("tokens", " ")))
+    unique = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"))
     freq = unique.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     words = unique.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(freq, "token")
     ranked = words.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
@@ -44,5 +45,5 @@ def near_duplicates(docs: DataFrame, min_score: float, min_shared: int) -> DataF
     shared = F.size(F.array_intersect("lt", "rt"))
     score = shared / F.size(F.array_union("lt", "rt"))
     best = pairs.where((shared >= min_shared) & (score >= min_score)).groupBy("r").agg(F.min("l").alias("l"))
-    target = unique.join(best, unique["rep"] == best["r"], "left").select("tokens", F.least("rep", F.coalesce("l", "rep")).alias("duplicate_of"))
-    return sets.join(target, "tokens").where(F.col("doc_id") != F.col("duplicate_of")).select("doc_id", "duplicate_of")
+    target = unique.join(best, unique["rep"] == best["r"], "left").select("set_key", F.least("rep", F.coalesce("l", "rep")).alias("duplicate_of"))
+    return sets.select("doc_id", "set_key").join(target, "set_key").where(F.col("doc_id") != F.col("duplicate_of")).select("doc_id", "duplicate_of")

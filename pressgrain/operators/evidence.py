@@ -24,27 +24,31 @@ def _picked(grams: Column) -> Column:
     return F.filter(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(SAMPLE)) == 0)
 
 
-def quotes_in_documents(docs: DataFrame, quotes: DataFrame, gram: int = EVIDENCE_MIN) -> DataFrame:
-    """All (doc_id, item_id) where the quote's skeleton occurs in the document's.
+def contained_pairs(hays: DataFrame, needles: DataFrame, gram: int) -> DataFrame:
+    """All (doc_id, item_id, needle) where a needle of at least `gram` characters occurs in a hay.
 
-    Candidates meet on a character gram by equality and only they are compared in full. Quote and document keep the
-    same hash-selected eighth of their grams, so a contained quote always shares its selected gram with the document;
-    the few quotes too short to own a selected gram are looked up by their first gram among all grams.
+    Candidates meet on a character gram by equality and only they are compared in full. Needle and hay keep the same
+    hash-selected eighth of their grams, so a contained needle always shares its selected gram with the hay; the few
+    needles too short to own a selected gram are looked up by their first gram among all grams.
     """
-    q = quotes.select("item_id", evidence_skeleton(F.col("quote")).alias("needle")).where(F.length("needle") >= gram)
+    q = needles.select("item_id", "needle").where(F.length("needle") >= gram)
     q = q.withColumn("gram", F.array_min(_picked(_grams(F.col("needle"), gram))))
-    long_quotes = q.where(F.col("gram").isNotNull())
-    short_quotes = q.where(F.col("gram").isNull()).withColumn("gram", F.substring("needle", 1, gram))
-    d = docs.select("doc_id", evidence_skeleton(F.col("text")).alias("hay")).where(F.length("hay") >= gram)
+    long_needles = q.where(F.col("gram").isNotNull())
+    short_needles = q.where(F.col("gram").isNull()).withColumn("gram", F.substring("needle", 1, gram))
+    d = hays.select("doc_id", "hay").where(F.length("hay") >= gram)
     some = d.select("doc_id", F.explode(F.array_distinct(_picked(_grams(F.col("hay"), gram)))).alias("gram"))
     every = d.select("doc_id", F.explode(F.array_distinct(_grams(F.col("hay"), gram))).alias("gram"))
-    hits = some.join(broadcast_if_small(long_quotes), "gram").unionByName(
-        every.join(broadcast_if_small(short_quotes), "gram")
-    )
+    hits = some.join(broadcast_if_small(long_needles), "gram").unionByName(every.join(broadcast_if_small(short_needles), "gram"))
     hits = hits.select("doc_id", "item_id", "needle")
     return hits.join(d, "doc_id").where(F.contains("hay", "needle")).select("doc_id", "item_id", "needle")
 
 
+def quotes_in_documents(docs: DataFrame, quotes: DataFrame, gram: int = EVIDENCE_MIN) -> DataFrame:
+    """All (doc_id, item_id) where the quote's skeleton is long enough and occurs in the document's."""
+    hays = docs.select("doc_id", evidence_skeleton(F.col("text")).alias("hay"))
+    return contained_pairs(hays, quotes.select("item_id", evidence_skeleton(F.col("quote")).alias("needle")), gram)
+
+
 @lru_cache(maxsize=65_536)
 def _folded(char: str) -> str:
     """Base letters and digits a character stands for; empty for everything else."""

@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from pressgrain.operators.ranking import top_k
-from pressgrain.scale import neighbour, running_sum
+from pressgrain.scale import neighbour
 
 MIN_STAGE_MS, MAX_STAGE_MS = 200, 900_000
 
@@ -46,11 +47,28 @@ def first_seen(df: DataFrame, group: Sequence[str], key: str, pos: str) -> DataF
 
 
 def islands(df: DataFrame, group: Sequence[str], order: Sequence[str], bucket: Column, state: str) -> DataFrame:
-    """Add `island`: the number of the run of equal neighbouring `state` values a row belongs to, from 1."""
-    rows = neighbour(df, group, order, bucket, [state], "__prev", forward=False)
-    changed = F.col("__prev").isNull() | ~F.col(f"__prev.{state}").eqNullSafe(F.col(state))
-    rows = rows.withColumn("__new", changed.cast("int")).drop("__prev")
-    return running_sum(rows, group, order, bucket, "__new", "island").drop("__new")
+    """Add `island`: the number of the run of equal neighbouring `state` values a row belongs to, from 1.
+
+    Changes are counted inside each (group, bucket); one summary row per bucket with its first and last state and its
+    number of changes then gives the islands that ended before the bucket.
+    """
+    keys = [*group, "__b"]
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    before = F.lag(F.struct(state)).over(inside)
+    changed = before.isNotNull() & ~before[state].eqNullSafe(F.col(state))
+    rows = df.withColumn("__b", bucket).withColumn("__c", changed.cast("long"))
+    rows = rows.withColumn("__local", F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    position = F.struct(*order)
+    edges = rows.groupBy(*keys).agg(F.max("__local").alias("__n"), F.min_by(F.struct(state), position).alias("__first"),
+                                    F.max_by(F.struct(state), position).alias("__last"))
+    across = Window.partitionBy(*group).orderBy("__b")
+    prev = F.lag("__last").over(across)
+    starts = (prev.isNull() | ~prev[state].eqNullSafe(F.col(f"__first.{state}"))).cast("long")
+    edges = edges.select(*keys, "__n", starts.alias("__start"))
+    done = F.coalesce(F.sum(F.col("__n") + F.col("__start")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(*keys, (done + F.col("__start")).alias("__base"))
+    joined = rows.join(edges, keys, "left")
+    return joined.withColumn("island", F.col("__base") + F.col("__local")).drop("__b", "__c", "__local", "__base")
 
 
 def consecutive_runs(df: DataFrame, group: Sequence[str], pos: str, flag: str, k: int, slice_rows: int = 10_000) -> DataFrame:

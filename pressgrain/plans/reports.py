@@ -11,6 +11,7 @@ from pressgrain.operators.ranking import newest_per_key, top_k
 from pressgrain.plans import fixtures as fx
 from pressgrain.plans.registry import query
 from pressgrain.plans.sqltext import norm
+from pressgrain.scale import running_sum
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -425,10 +426,9 @@ ORDERED = "(select l_orderkey, row_number() over (partition by l_orderkey order
 
 
 def _ordered(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return t.lineitem.withColumn("pos", F.row_number().over(w))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = t.lineitem.withColumn("one", F.lit(1).cast("long"))
+    return running_sum(rows, ["l_orderkey"], order, F.col("l_linenumber"), "one", "pos")
 
 
 @query("f11_order_violations", f"select l_orderkey, pos, l_quantity, previous from (select *, lag(l_quantity) over (partition by l_orderkey order by pos) as previous from {ORDERED}) where l_quantity<=previous")

@@ -3,13 +3,12 @@
 A plain `partitionBy(key)` window sends every row of a key to one task. Where a key may hold a large share of the
 table, the helpers here split each key into ordered buckets (a time slice, a position range), work inside
 (key, bucket), and carry the few values that cross a bucket border through a table with one row per (key, bucket).
+Group columns must not be null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -33,9 +32,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def _attach(rows: DataFrame, edges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    renamed = edges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], value)
-    cond = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"__k{i}"]) for i, k in enumerate(keys)])
-    return rows.join(renamed, cond, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    """Left join on plain equality of the keys, so that the partitioning of a window over them is reused."""
+    return rows.join(edges.select(*keys, value), list(keys), "left")
 
 
 def neighbour(

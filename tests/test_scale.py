@@ -151,3 +151,17 @@ def test_plans_avoid_cross_joins_of_tables(spark):
         with contextlib.redirect_stdout(buf):
             entry.queries()[name](spark, "/root/testdata/sf0.001").explain("formatted")
         assert "CartesianProduct" not in buf.getvalue() and "NestedLoopJoin" not in buf.getvalue(), name
+
+
+def test_offering_rank_is_the_same_by_array_and_by_joins(spark):
+    from pressgrain.operators.catalogue import rank_offerings
+
+    arts = spark.createDataFrame([(1, "Die Markenstrategie braucht Positionierung und Kundenerlebnis", ["f"]), (2, "Ganz anderes Thema ohne Bezug", ["g"]), (3, "Kundenerlebnis und Touchpoints steuern", [])],
+                                 "doc_id long, text string, families array<string>")
+    offers = spark.createDataFrame([("a", 1, "Markenstrategie", "Positionierung schärfen"), ("b", 2, "Kundenerlebnis", "Touchpoints steuern"), ("c", 3, "Audit", "Prozesse prüfen")],
+                                   "offering_id string, position int, label string, description string")
+    pref = {"f": ["c", "a"], "g": ["b", "c", "b"]}
+    small = rank_offerings(arts, offers, pref, 2)
+    large = rank_offerings(arts, offers, pref, 2, catalogue_limit=1)
+    want = {(1, 1, "a", 109), (1, 2, "b", 65), (2, 1, "c", 39), (2, 2, "b", 38), (3, 1, "b", 75)}
+    assert {tuple(r) for r in small.collect()} == {tuple(r) for r in large.collect()} == want
