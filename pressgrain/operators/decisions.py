@@ -184,10 +184,11 @@ def leadership_change(articles: DataFrame, lead: str, verbs: str, role: str, sec
 
 
 def decide_signal(prefiltered: DataFrame, answers: DataFrame, articles: DataFrame, pack: Pack, min_confidence: float = MIN_CONFIDENCE,
-                  min_score: int = MIN_SCORE) -> DataFrame:
+                  min_score: int = MIN_SCORE, link_families: Sequence[str] = ()) -> DataFrame:
     """One result per article: the first reason that rejects the stored answer, or the signal with its score.
 
-    Everything is joined on doc_id; the cascade is one `when` chain in order of the checks.
+    Everything is joined on doc_id; the cascade is one `when` chain in order of the checks. Families in
+    `link_families` also need a concrete service link, given as `link_ok` with the answer.
     """
     lanes = F.create_map(*[F.lit(x) for f in pack.families for x in (f.rule_id, f.lane)])
     rows = prefiltered.join(answers, "doc_id").join(articles.select("doc_id", F.concat_ws("\n", "title", "content").alias("__text")), "doc_id")
@@ -207,6 +208,7 @@ def decide_signal(prefiltered: DataFrame, answers: DataFrame, articles: DataFram
         .when(~F.coalesce(allowed, F.lit(False)), "family_not_allowed")
         .when(~in_text(F.col("__s"), F.col("evidence")), "quote_missing")
         .when(norm_text(F.col("evidence")).rlike(pack.patterns["sensitive"]), "quote_sensitive")
+        .when(F.col("signal_id").isin(*link_families) & ~F.coalesce(F.col("link_ok"), F.lit(False)) if link_families else F.lit(False), "no_service_link")
         .when((F.col("__conf") < min_confidence) | (F.col("final_score") < min_score), "too_uncertain")
         .when((F.col("lane") == "sales") & F.col("proven_company").isNull(), "company_not_proven")
     )

@@ -122,7 +122,7 @@ ANSWER_COLUMNS = """doc_id, case doc_id%5 when 0 then 'keine' when 1 then 'sales
   cast(doc_id*7%101 as int) as score, coalesce(s1,'')||(case doc_id%6 when 5 then ' zusatz' else '' end) as evidence,
   regexp_extract(coalesce(s1,''),'([A-Za-z]{4,})',1) as company, coalesce(s1,'') as company_evidence,
   cast(doc_id*13%101 as int) as a, cast(doc_id*29%101 as int) as b, cast(doc_id*31%101 as int) as c, cast(doc_id*37%101 as int) as d,
-  s1, s2, s3"""
+  coalesce(length(s2) between 70 and 700, false) as link_ok, s1, s2, s3"""
 ANSWERS_SQL = (f"sent as (select doc_id, source, text, s, s[1] as s1, s[2] as s2, s[3] as s3 from (select *, {SENTS_DUCK} as s from documents)),\n"
                f"answers as (select {ANSWER_COLUMNS.replace('100.0D', '100.0::double')} from sent)")
 

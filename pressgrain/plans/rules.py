@@ -358,11 +358,11 @@ k as (select *, case when lane='sales' then floor((a*32+b*30+c*23+d*15)/100.0::d
 s as (select *, case when w>0 then w else score end as fs, case when length(trim(company_evidence))>=20 and length(cs)>=12 and contains(ts,cs) and {norm('company')}<>'' and contains(' '||cn||' ',' '||{norm('company')}||' ') then company end as pc,
  list_contains(families,signal_id) and lane=case signal_id when 'fam_a' then 'sales' when 'fam_b' then 'marketing' when 'fam_c' then 'marketing' when 'fam_d' then 'sales' end as allowed from k),
 r as (select *, case when reject is not null then reject when lane not in ('sales','marketing') then 'no_lane' when not allowed then 'family_not_allowed' when not {SIG_PROVEN} then 'quote_missing' when {m('qn', P['sensitive'])} then 'quote_sensitive'
- when confidence<0.7 or fs<45 then 'too_uncertain' when lane='sales' and pc is null then 'company_not_proven' end as reject_reason from s)
+ when signal_id='fam_b' and not link_ok then 'no_service_link' when confidence<0.7 or fs<45 then 'too_uncertain' when lane='sales' and pc is null then 'company_not_proven' end as reject_reason from s)
 select doc_id, case when reject_reason is null then 'signal' else 'rejected' end as status, case when reject_reason is null then lane end as lane, case when reject_reason is null then signal_id end as signal_id, case when reject_reason is null then fs else 0 end as score,
  case when reject_reason is null then pc end as company, reject_reason from r""")
 def _(t):
-    return dc.decide_signal(rl.prefilter(fx.articles(t), FIXTURE), fx.answers(t), fx.articles(t), FIXTURE)
+    return dc.decide_signal(rl.prefilter(fx.articles(t), FIXTURE), fx.answers(t), fx.articles(t), FIXTURE, link_families=["fam_b"])
 
 
 ERROR_RULES = [("blocked", r"\b403\b|forbidden"), ("missing", r"\b404\b|not found"), ("rate_limit", r"\b(429|rate ?limit|quota)\b"), ("timeout", "timeout|timed out|abort"),
