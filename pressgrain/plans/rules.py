@@ -225,11 +225,11 @@ OFFER_RULES = [catalogue.OfferingRule("off_a", (r"\b(of|von|des)\b", r"\b(that|n
                catalogue.OfferingRule("off_c", (r"\b(the|die|les)\b",), ("transformation",)), catalogue.OfferingRule("off_d", (r"\b(in|en)\b",))]
 
 
-@query("c19_match_offering", f"""with x as (select doc_id, {norm('substr(text,1,200)')} as n from documents) select doc_id, case when {m('n', OFFER_RULES[0].patterns[0])} and {m('n', OFFER_RULES[0].patterns[1])} then 'off_a' when {m('n', OFFER_RULES[1].patterns[0])} then null
+@query("c19_match_offering", f"""with x as (select doc_id, {norm('text')} as n from documents) select doc_id, case when {m('n', OFFER_RULES[0].patterns[0])} and {m('n', OFFER_RULES[0].patterns[1])} then 'off_a' when {m('n', OFFER_RULES[1].patterns[0])} then null
  when {m('n', OFFER_RULES[2].patterns[0])} and doc_id%2=0 then 'off_c' when {m('n', OFFER_RULES[3].patterns[0])} then 'off_d' end as offering from x""")
 def _(t):
     ids = F.array(F.when(F.col("doc_id") % 2 == 0, "transformation").otherwise("investment"))
-    return t.documents.select("doc_id", catalogue.match_offering(F.substring("text", 1, 200), ids, OFFER_RULES, ["off_a", "off_c", "off_d"]).alias("offering"))
+    return t.documents.select("doc_id", catalogue.match_offering(F.col("text"), ids, OFFER_RULES, ["off_a", "off_c", "off_d"]).alias("offering"))
 
 
 @query("c19_offering_fit", f"""with x as (select doc_id, {norm('text')} as n, {norm(FIRST_LINE)} as h from documents), y as (select doc_id, n, list_transform(list_filter(string_split(h,' '), lambda w: length(w)>=7), lambda w: substr(w,1,7)) as c, list_transform(string_split(n,' '), lambda w: substr(w,1,7)) as ws from (select a.doc_id, b.n, a.h from x a join x b on b.doc_id=a.doc_id+1))
@@ -306,7 +306,7 @@ def _(t):
     return dc.validate_companies(one.unionByName(two), t.documents.select("doc_id", "text"), known, names)
 
 
-CAT_SQL = f"""cat as (select source as offering_id, row_number() over (order by source) as position, {norm("split_part(text,' ',1)||' '||split_part(text,' ',2)")} as label, {norm("split_part(text,' ',1)||' '||split_part(text,' ',2)||' '||substr(text,1,400)")} as full_text from (select source, arg_min(text, doc_id) as text from documents group by 1)),
+CAT_SQL = f"""cat as (select source as offering_id, row_number() over (order by source) as position, {norm("split_part(text,' ',1)||' '||split_part(text,' ',2)")} as label, {norm("split_part(text,' ',1)||' '||split_part(text,' ',2)||' '||text")} as full_text from (select source, arg_min(text, doc_id) as text from documents group by 1)),
 catw as (select *, list_distinct(list_filter(string_split(full_text,' '), lambda w: length(w)>=5)) as ws from cat)"""
 PREFERRED = {"fam_a": ["src1", "src2", "src3"], "fam_b": ["src2", "src4"], "fam_d": ["src0", "src5"]}
 PREF_SQL = "case when list_contains(families,'{f}') then {ids} else [] end"
@@ -321,7 +321,7 @@ def _(t):
 
     base = t.documents.groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
     label = F.concat_ws(" ", F.split("text", " ")[0], F.get(F.split("text", " "), F.lit(1)))
-    off = base.select(F.col("source").alias("offering_id"), F.row_number().over(Window.orderBy("source")).alias("position"), label.alias("label"), F.substring("text", 1, 400).alias("description"))
+    off = base.select(F.col("source").alias("offering_id"), F.row_number().over(Window.orderBy("source")).alias("position"), label.alias("label"), F.col("text").alias("description"))
     pre = rl.prefilter(fx.articles(t), FIXTURE).select("doc_id", "families")
     rows = t.documents.select("doc_id", "text").join(pre, "doc_id")
     return catalogue.rank_offerings(rows, off, PREFERRED, 3)
@@ -476,14 +476,14 @@ def _(t):
     return rl.match_rules(t.documents, FIXTURE.families, "doc_id", "text")
 
 
-@query("d12_near_duplicates", f"""with h as (select doc_id, {HEAD_TOKENS.format(h=HEAD_SQL.replace("split_part(text, chr(10), 1)", "substr(text,1,200)"))} as tk from documents), u as (select list_sort(tk) as tk, min(doc_id) as doc_id from h where len(tk)>0 group by 1),
+@query("d12_near_duplicates", f"""with h as (select doc_id, {HEAD_TOKENS.format(h=HEAD_SQL)} as tk from documents), u as (select list_sort(tk) as tk, min(doc_id) as doc_id from h where len(tk)>0 group by 1),
 p as (select a.doc_id as l, b.doc_id as r from u a join u b on a.doc_id<b.doc_id and len(list_intersect(a.tk,b.tk))>=3 and len(list_intersect(a.tk,b.tk))/len(list_distinct(list_concat(a.tk,b.tk)))>=0.6),
 best as (select r, min(l) as l from p group by 1), rep as (select h.doc_id, u.doc_id as same from h join u on u.tk=list_sort(h.tk))
 select doc_id, least(same, coalesce(best.l, same)) as duplicate_of from rep left join best on best.r=rep.same where doc_id<>least(same, coalesce(best.l, same))""")
 def _(t):
     from pressgrain.functions.text import canonical_headline, headline_tokens
 
-    docs = t.documents.select("doc_id", headline_tokens(canonical_headline(F.substring("text", 1, 200), NOISE)).alias("tokens"))
+    docs = t.documents.select("doc_id", headline_tokens(canonical_headline(first_line(), NOISE)).alias("tokens"))
     return dedup.near_duplicates(docs, 0.6, 3)
 
 
@@ -507,7 +507,7 @@ def _ranked(t, mode):
     return vw.ranked_view(rows, mode, F.lit("1998-08-02").cast("timestamp"), {"O": 0, "P": 1}, 200).select("id")
 
 
-@query("g02_locale_sort")
+@query("g02_locale_sort", "select distinct regexp_extract(text,'(\\p{L}+)',1) as word from documents where regexp_extract(text,'(\\p{L}+)',1)<>''")
 def _(t):
     words = t.documents.select(F.regexp_extract("text", r"(\p{L}+)", 1).alias("word")).where("word <> ''").distinct()
     return vw.locale_sort(words, "word")

@@ -98,7 +98,18 @@ def _(t):
     return company_key_match(left, right, "k").select("s_suppkey", "p_partkey", "exact")
 
 
-@query("b21_paraphrase_ratio")
+FOLD = "replace(replace(replace(replace(lower({x}),'ä','ae'),'ö','oe'),'ü','ue'),'ß','ss')"
+STEMS = "list_filter(list_transform(string_split_regex(" + FOLD + ",'[^a-z0-9]+'), lambda w: regexp_replace(w,'(en|er|es|te|ten|t|e)$','')), lambda w: length(w)>=4 and not list_contains(" + array(STOP) + ",w))"
+
+
+PARA_SQL = f"""
+with t as (select c.conv_id, c.turn, c.text, p.text as source from conversations c join conversations p on p.conv_id=c.conv_id and p.turn+1=c.turn),
+x as (select conv_id, turn, source, trim(regexp_replace({FOLD.format(x='text')},'[^a-z0-9]+',' ','g')) as nt, regexp_replace({FOLD.format(x='source')},'[^a-z0-9]+',' ','g') as ns, {STEMS.format(x='text')} as a, list_distinct({STEMS.format(x='source')}) as b from t),
+y as (select *, len(list_filter(a, lambda u: len(list_filter(b, lambda v: starts_with(v,u) or starts_with(u,v)))>0)) as hits, len(a) as n from x)
+select conv_id, turn, trim(source)<>'' and ((length(nt)>=18 and contains(ns,nt)) or (n>=2 and len(b)>=2 and (case when n<=3 then hits>=2 else hits/n>=0.55 end))) as paraphrase from y"""
+
+
+@query("b21_paraphrase_ratio", PARA_SQL)
 def _(t):
     turns = t.conversations.select("conv_id", "turn", "text")
     prev = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
@@ -106,10 +117,6 @@ def _(t):
     return rows.select("conv_id", "turn", nb.paraphrases(F.col("text"), F.col("source"), STOP).alias("paraphrase"))
 
 
-FOLD = "replace(replace(replace(replace(lower({x}),'ä','ae'),'ö','oe'),'ü','ue'),'ß','ss')"
-STEMS = "list_filter(list_transform(string_split_regex(" + FOLD + ",'[^a-z0-9]+'), lambda w: regexp_replace(w,'(en|er|es|te|ten|t|e)$','')), lambda w: length(w)>=4 and not list_contains(" + array(STOP) + ",w))"
-
-
 @query("b21_content_stems", f"""select conv_id, turn, len(s) as n_stems, array_to_string(list_sort(list_distinct(s)),' ') as stems
 from (select conv_id, turn, {STEMS.format(x='text')} as s from conversations)""")
 def _(t):
@@ -118,7 +125,18 @@ def _(t):
                        F.array_join(F.array_sort(F.array_distinct("s")), " ").alias("stems"))
 
 
-@query("b22_semantic_overlap")
+def _semantic(x: str) -> str:
+    base = f"list_filter(string_split({norm(x)},' '), lambda w: length(w)>=5 and not regexp_matches(w,'^\\d+$') and not list_contains({array(STOP)},w))"
+    stems = f"list_filter(list_transform(list_filter({base}, lambda w: length(w)>=7), lambda w: regexp_replace(w,'(ern|en|er|es|em|e|s)$','')), lambda w: length(w)>=5)"
+    return f"list_distinct(list_concat({base},{stems}))"
+
+
+OVERLAP_SQL = f"""with j as (select doc_id, item_id, split_part(b.text,'.',1) as claim, d.text as context from documents d join benchmark b on d.doc_id%40=b.item_id),
+x as (select doc_id, item_id, {norm('claim')} as c, {norm('context')} as s, list_intersect({_semantic('claim')}, {_semantic('context')}) as shared from j)
+select doc_id, item_id, (length(c)>=4 and contains(s,c)) or len(shared)>=2 or len(list_filter(shared, lambda w: length(w)>=8))>0 as overlaps from x"""
+
+
+@query("b22_semantic_overlap", OVERLAP_SQL)
 def _(t):
     b = t.benchmark.select("item_id", F.split("text", "[.]")[0].alias("claim"))
     rows = t.documents.join(b, F.col("doc_id") % 40 == F.col("item_id"))
@@ -335,7 +353,12 @@ def _(t):
     return t.events.select("event_id", rc.parse_completion(payload).alias("c")).select("event_id", "c.*")
 
 
-@query("b44_normalise_profile")
+PROFILE_SQL = """with g as (select l_suppkey, l_returnflag as f, l_linestatus as s from lineitem group by 1,2,3),
+p as (select l_suppkey, least(6,count(*))::int as n_kpis, array_to_string(list_filter(list_transform(['R','A','N'], lambda x: case when list_contains(list(f),x) then 'Section '||x end), lambda x: x is not null),'|') as sections, least(12,count(distinct f))::int as n_sources from g group by 1)
+select *, n_kpis>=3 and len(string_split(sections,'|'))>=3 and n_sources>=1 as usable from p"""
+
+
+@query("b44_normalise_profile", PROFILE_SQL)
 def _(t):
     li = t.lineitem.groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
     label = F.concat_ws(" ", "l_returnflag", "l_linestatus")

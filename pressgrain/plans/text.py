@@ -219,7 +219,14 @@ def _(t):
         "doc_id", "c.trimmed", F.col("c.removed").cast("long").alias("removed"), F.md5("c.text").alias("core_md5"))
 
 
-@query("b37_core_at_quote")
+QUOTE_CORE_SQL = f"""with s as (select doc_id, {strip('text')} as src, list_filter(list_transform(string_split(regexp_replace(text,'([.!?])\\s+|\\n+','\\1'||chr(1),'g'),chr(1)), lambda x: {strip("regexp_replace(x,'^#{{1,6}}\\s*','')")}), lambda x: length(x)>=20) as st from documents),
+q as (select doc_id, src, case when len(st)>=2 then st[len(st)-1] end as q from s),
+e as (select *, case when contains(src,q) then instr(src,q)-1+length(q) end as e from q), t as (select *, regexp_replace(substr(src,1,e),'\\s+$','') as txt from e),
+o as (select *, coalesce(length(regexp_replace(q,'\\s+',' ','g'))>=30 and length(src)>=220 and e is not null and length(txt)>=220 and length(txt)>=length(src)*0.2 and length(src)-length(txt)>=120, false) as ok from t)
+select doc_id, ok as trimmed, ok as valid, md5(case when ok then txt else src end) as core_md5 from o"""
+
+
+@query("b37_core_at_quote", QUOTE_CORE_SQL)
 def _(t):
     sent = tx.sentences(F.col("text"))
     rows = t.documents.select("doc_id", "text", F.get(sent, F.size(sent) - 2).alias("quote"))
