@@ -79,30 +79,30 @@ ENGLISH_WORDS = ["the", "and", "with", "for", "from", "company", "market", "will
 LANGUAGE_TOKENS, LANGUAGE_CAP = 2400, 8
 
 
+def _equals(word: str):
+    return lambda t: t == word
+
+
 def capped_hits(token_array: Column, terms: Sequence[str], cap: int = LANGUAGE_CAP) -> Column:
-    """Sum over `terms` of how often each occurs, each counted at most `cap` times."""
-    def hits(term):
-        return F.least(F.size(F.filter(token_array, lambda t: t == term)), F.lit(cap))
+    """Sum over `terms` of how often each occurs, each counted at most `cap` times.
 
-    return reduce(lambda a, b: a + b, [hits(t) for t in terms])
+    One pass keeps only the wanted words; the per-word counts then run over that short list.
+    """
+    def total(used: Column) -> Column:
+        hits = [F.least(F.size(F.filter(used, _equals(w))), F.lit(cap)) for w in terms]
+        return reduce(lambda a, b: a + b, hits)
+
+    return F.transform(F.array(F.filter(token_array, lambda t: t.isin(*terms))), total)[0]
 
 
 def detect_language(col: Column) -> Column:
     """`de`, `en` or `other` from whole function words among the first tokens."""
-    known = set(GERMAN_WORDS) | set(ENGLISH_WORDS)
-    head = F.slice(tokens(norm_text(col)), 1, LANGUAGE_TOKENS)
-    # One pass keeps only function words; the per-word counts then run over that short list.
-    used = F.filter(head, lambda t: t.isin(*sorted(known)))
+    known = sorted(set(GERMAN_WORDS) | set(ENGLISH_WORDS))
+    used = F.filter(F.slice(tokens(norm_text(col)), 1, LANGUAGE_TOKENS), lambda t: t.isin(*known))
     scores = F.transform(
-        F.array(used),
-        lambda u: F.struct(capped_hits(u, GERMAN_WORDS).alias("de"), capped_hits(u, ENGLISH_WORDS).alias("en")),
-    )[0]
-    verdict = F.transform(
-        F.array(scores),
-        lambda s: F.when((s.de >= 6) & (s.de >= s.en * 1.35), "de")
-        .when((s.en >= 6) & (s.en >= s.de * 1.35), "en")
-        .otherwise("other"),
-    )
+        F.array(used), lambda u: F.struct(capped_hits(u, GERMAN_WORDS).alias("de"), capped_hits(u, ENGLISH_WORDS).alias("en")))
+    verdict = F.transform(scores, lambda s: F.when((s.de >= 6) & (s.de >= s.en * 1.35), "de")
+                          .when((s.en >= 6) & (s.en >= s.de * 1.35), "en").otherwise("other"))
     return verdict[0]
 
 

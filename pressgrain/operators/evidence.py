@@ -24,23 +24,35 @@ def _picked(grams: Column) -> Column:
     return F.filter(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(SAMPLE)) == 0)
 
 
+FEW_NEEDLES = 64
+
+
 def contained_pairs(hays: DataFrame, needles: DataFrame, gram: int) -> DataFrame:
     """All (doc_id, item_id, needle) where a needle of at least `gram` characters occurs in a hay.
 
     Candidates meet on a character gram by equality and only they are compared in full. Needle and hay keep the same
-    hash-selected eighth of their grams, so a contained needle always shares its selected gram with the hay; the few
-    needles too short to own a selected gram are looked up by their first gram among all grams.
+    hash-selected eighth of their grams, so a contained needle always shares its selected gram with the hay. Needles
+    too short to own a selected gram are tried directly while they are few, else by their first gram among all grams.
     """
     q = needles.select("item_id", "needle").where(F.length("needle") >= gram)
     q = q.withColumn("gram", F.array_min(_picked(_grams(F.col("needle"), gram))))
-    long_needles = q.where(F.col("gram").isNotNull())
-    short_needles = q.where(F.col("gram").isNull()).withColumn("gram", F.substring("needle", 1, gram))
-    d = hays.select("doc_id", "hay").where(F.length("hay") >= gram)
-    some = d.select("doc_id", F.explode(F.array_distinct(_picked(_grams(F.col("hay"), gram)))).alias("gram"))
-    every = d.select("doc_id", F.explode(F.array_distinct(_grams(F.col("hay"), gram))).alias("gram"))
-    hits = some.join(broadcast_if_small(long_needles), "gram").unionByName(every.join(broadcast_if_small(short_needles), "gram"))
-    hits = hits.select("doc_id", "item_id", "needle")
-    return hits.join(d, "doc_id").where(F.contains("hay", "needle")).select("doc_id", "item_id", "needle")
+    long_needles, short_needles = q.where(F.col("gram").isNotNull()), q.where(F.col("gram").isNull())
+    d = hays.select("doc_id", "hay")
+
+    def meet(grams: Column, side: DataFrame) -> DataFrame:
+        rows = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(broadcast_if_small(side), "gram")
+        return rows.select("doc_id", "item_id", "needle").join(d, "doc_id").where(F.contains("hay", "needle")).select("doc_id", "item_id", "needle")
+
+    out = meet(_picked(_grams(F.col("hay"), gram)), long_needles)
+    n_short = short_needles.limit(FEW_NEEDLES + 1).count()
+    if n_short > FEW_NEEDLES:
+        first = short_needles.withColumn("gram", F.substring("needle", 1, gram))
+        return out.unionByName(meet(_grams(F.col("hay"), gram), first))
+    if n_short:
+        few = short_needles.agg(F.collect_list(F.struct("item_id", "needle")).alias("few"))
+        found = F.explode(F.filter("few", lambda x: F.contains(F.col("hay"), x["needle"])))
+        out = out.unionByName(d.join(F.broadcast(few), F.lit(True)).select("doc_id", found.alias("x")).select("doc_id", "x.*"))
+    return out
 
 
 def quotes_in_documents(docs: DataFrame, quotes: DataFrame, gram: int = EVIDENCE_MIN) -> DataFrame:

@@ -20,7 +20,7 @@ def text_quality(col: Column, enough=ENOUGH, dense=DENSE, clean: bool = False) -
     source = clean_article_text(col) if clean else col
 
     def measure(t: Column) -> Column:
-        words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w.rlike("[A-Za-zÄÖÜäöüß]")))
+        words = F.regexp_count(t, F.lit(r"\S*?[A-Za-zÄÖÜäöüß]\S*"))
         sents = F.regexp_count(t, F.lit("[.!?](?:[”»\"')\\]]|\\s|$)"))
         return F.struct(F.length(t).alias("chars"), words.alias("words"), sents.alias("sentences"),
                         paywall_flag(t).alias("paywall"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -84,7 +85,9 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == want
 
 
-def test_quotes_match_brute_force(spark):
+@pytest.mark.parametrize("few", [64, 0])
+def test_quotes_match_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(evidence, "FEW_NEEDLES", few)
     rnd = random.Random(9)
     words = ["markt", "kunde", "größe", "preis", "neu", "studie", "ergebnis", "team", "und", "der"]
     docs = [(i, " ".join(rnd.choices(words, k=60))) for i in range(60)]
