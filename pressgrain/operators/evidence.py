@@ -12,47 +12,39 @@ from pressgrain.functions.text import EVIDENCE_MIN, evidence_skeleton
 from pressgrain.scale import broadcast_if_small
 
 
-SAMPLE = 8
+# First characters of the grams that serve as meeting points, rarest class first; together they cover folded text.
+GRAM_STARTS = ["[bfgkpvwz0-9]", "[cdhlmuq]", "[aijorsxy]", "[etn ]"]
 
 
-def _grams(skeleton: Column, n: int) -> Column:
-    """All overlapping character grams in one pass."""
-    return F.regexp_extract_all(skeleton, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
-
-
-def _picked(grams: Column) -> Column:
-    return F.filter(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(SAMPLE)) == 0)
-
-
-FEW_NEEDLES = 64
+def _grams(skeleton: Column, n: int, start: str = ".") -> Column:
+    """Overlapping character grams that begin with `start`, found in one pass."""
+    return F.regexp_extract_all(skeleton, F.lit(f"(?=({start}.{{{n - 1}}}))"), F.lit(1))
 
 
 def contained_pairs(hays: DataFrame, needles: DataFrame, gram: int) -> DataFrame:
     """All (doc_id, item_id, needle) where a needle of at least `gram` characters occurs in a hay.
 
-    Candidates meet on a character gram by equality and only they are compared in full. Needle and hay keep the same
-    hash-selected eighth of their grams, so a contained needle always shares its selected gram with the hay. Needles
-    too short to own a selected gram are tried directly while they are few, else by their first gram among all grams.
+    Candidates meet on a character gram by equality and only they are compared in full. A needle is looked up by its
+    smallest gram of the rarest class of first characters it has, and a hay emits its grams of that class, so a
+    contained needle always meets its hay. Classes that no needle uses are not emitted; most needles own a gram of the
+    first class, which is about an eighth of all grams.
     """
     q = needles.select("item_id", "needle").where(F.length("needle") >= gram)
-    q = q.withColumn("gram", F.array_min(_picked(_grams(F.col("needle"), gram))))
-    long_needles, short_needles = q.where(F.col("gram").isNotNull()), q.where(F.col("gram").isNull())
+    found = [F.array_min(_grams(F.col("needle"), gram, start)) for start in GRAM_STARTS]
+    picks = [F.when(g.isNotNull(), F.struct(F.lit(i).alias("level"), g.alias("gram"))) for i, g in enumerate(found)]
+    q = q.withColumn("pick", F.coalesce(*picks)).select("item_id", "needle", "pick.*")
+    used = sorted(r["level"] for r in q.where("level is not null").select("level").distinct().collect())
     d = hays.select("doc_id", "hay")
 
-    def meet(grams: Column, side: DataFrame) -> DataFrame:
-        rows = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(broadcast_if_small(side), "gram")
-        return rows.select("doc_id", "item_id", "needle").join(d, "doc_id").where(F.contains("hay", "needle")).select("doc_id", "item_id", "needle")
-
-    out = meet(_picked(_grams(F.col("hay"), gram)), long_needles)
-    n_short = short_needles.limit(FEW_NEEDLES + 1).count()
-    if n_short > FEW_NEEDLES:
-        first = short_needles.withColumn("gram", F.substring("needle", 1, gram))
-        return out.unionByName(meet(_grams(F.col("hay"), gram), first))
-    if n_short:
-        few = short_needles.agg(F.collect_list(F.struct("item_id", "needle")).alias("few"))
-        found = F.explode(F.filter("few", lambda x: F.contains(F.col("hay"), x["needle"])))
-        out = out.unionByName(d.join(F.broadcast(few), F.lit(True)).select("doc_id", found.alias("x")).select("doc_id", "x.*"))
-    return out
+    def meet(level: int) -> DataFrame:
+        grams = F.array_distinct(_grams(F.col("hay"), gram, GRAM_STARTS[level]))
+        side = q.where(F.col("level") == level).drop("level")
+        return d.select("doc_id", F.explode(grams).alias("gram")).join(broadcast_if_small(side), "gram").select("doc_id", "item_id", "needle")
+
+    hits = q.select(F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), "item_id", "needle").where(F.lit(False))
+    for level in used:
+        hits = hits.unionByName(meet(level))
+    return hits.join(d, "doc_id").where(F.contains("hay", "needle")).select("doc_id", "item_id", "needle")
 
 
 def quotes_in_documents(docs: DataFrame, quotes: DataFrame, gram: int = EVIDENCE_MIN) -> DataFrame:
