@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def rows_of(batches: Iterable, *names: str):
-    """Python lists of the named columns of each Arrow batch."""
+def slices(batches: Iterable, rows: int):
+    """Arrow batches of at most so many rows."""
     for batch in batches:
-        yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -56,3 +59,46 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         now = saved(small.select("e.*").where("a <> b").distinct(), name)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+class KnownWords:
+    """Ids of words seen before by this worker, so that each word is encoded once; starts anew beyond `limit` words."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.encode, self.limit = encode, limit
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index: dict[str, int] = {}
+        self.parts, self.filled = [np.empty(0, np.int32)], 0
+        self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def _add(self, fresh: list[str]) -> None:
+        ids, count = self.encode(fresh)
+        before, n = len(self.index), len(self.index) + len(fresh)
+        if n > len(self.lens):
+            more = np.zeros(max(n, 2 * len(self.lens)) - len(self.lens), np.int64)
+            self.starts, self.lens = np.concatenate([self.starts, more]), np.concatenate([self.lens, more])
+        self.lens[before:n] = count
+        self.starts[before:n] = self.filled + np.cumsum(count) - count
+        self.index.update(zip(fresh, range(before, n)))
+        self.parts.append(ids)
+        self.filled += len(ids)
+
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each given as its words, in one flat array, and how many each text has."""
+        if len(self.index) > self.limit:
+            self._reset()
+        known = self.index
+        fresh = list(set(chain.from_iterable(texts)).difference(known))
+        if fresh:
+            self._add(fresh)
+        if len(self.parts) > 1:
+            self.parts = [np.concatenate(self.parts)]
+        sizes = [len(words) for words in texts]
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        lens = self.lens[at]
+        before = np.cumsum(lens) - lens
+        flat = self.parts[0][np.arange(lens.sum()) + np.repeat(self.starts[at] - before, lens)]
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *sizes])]
+        return flat, np.diff(ends)

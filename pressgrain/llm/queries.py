@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import sentencepiece
+from pressgrain.llm import packing, sentencepiece
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,10 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut and packed into sequences of 1,024 tokens."""
+    docs = table(spark, folder, "documents")
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=False)

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pressgrain.llm.common import KnownWords, slices
+
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
 #: Words kept per worker; beyond it the table starts anew. Only speed depends on it.
@@ -85,8 +87,7 @@ class Pieces:
         self.surface_len = np.array([len(s) for s in surfaces], np.int64)
         self.surface_at = np.concatenate([[0], np.cumsum(self.surface_len)[:-1]])
         self.marked = np.array([n.startswith(MARK) and not special[i] for i, n in enumerate(names)])
-        self.known: dict[str, int] = {}
-        self._reset()
+        self.kept = KnownWords(self.merge, KEPT_WORDS)
 
     def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
         """An open table of pair keys: 2**bits slots, linear probing of at most `probes` steps."""
@@ -126,11 +127,6 @@ class Pieces:
             open_ = open_[~hit & (slot >= 0)]
         return out
 
-    def _reset(self) -> None:
-        self.known = {}
-        self.ids, self.starts, self.lens, self.n = [np.empty(0, np.int32)], np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.filled = 0
-
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one flat array, and how many each word has."""
         text = "".join(words)
@@ -189,31 +185,8 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and how many each text has. Null counts as empty; empty gives no ids."""
-        if self.n > KEPT_WORDS:
-            self._reset()
-        known, cut = self.known, self.words.findall
-        spans = [cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = list({w for words in spans for w in words if w not in known})
-        if fresh:
-            ids, count = self.merge(fresh)
-            n = self.n + len(fresh)
-            if n > len(self.lens):
-                grow = max(n, 2 * len(self.lens))
-                self.starts, self.lens = (np.concatenate([v, np.zeros(grow - len(v), np.int64)]) for v in (self.starts, self.lens))
-            self.lens[self.n : n] = count
-            self.starts[self.n : n] = self.filled + np.cumsum(count) - count
-            known.update(zip(fresh, range(self.n, n)))
-            self.n, self.filled = n, self.filled + len(ids)
-            self.ids.append(ids)
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        sizes = [len(words) for words in spans]
-        index = np.fromiter((known[w] for words in spans for w in words), np.int64, sum(sizes))
-        lens = self.lens[index]
-        before = np.cumsum(lens) - lens
-        flat = self.ids[0][np.arange(lens.sum()) + np.repeat(self.starts[index] - before, lens)]
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *sizes])]
-        return flat, np.diff(ends)
+        cut = self.words.findall
+        return self.kept.ids([cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of one id sequence: one leading space of the first piece goes, byte pieces join to characters."""
@@ -233,12 +206,6 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _slices(batches, rows: int):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
     """`id_col`, `ids` (array of int) of every row: the whole text as the library encodes it, without begin or end id.
 
@@ -249,7 +216,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         vocabulary = pieces(model)
-        for batch in _slices(batches, rows):
+        for batch in slices(batches, rows):
             flat, count = vocabulary.encode(batch.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["id", "ids"])
@@ -263,7 +230,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 
     def run(batches):
         vocabulary = pieces(model)
-        for batch in _slices(batches, rows):
+        for batch in slices(batches, rows):
             column = batch.column(1)
             ends = np.asarray(column.offsets)
             values = np.asarray(column.values)
