@@ -219,6 +219,22 @@ def pack_group(lengths: np.ndarray, capacity: int, given: np.ndarray | None = No
     return local_search(bins, lengths, capacity)
 
 
+def _settle(step: int, capacity: int):
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__row", ignore_index=True)
+        lengths = frame["length"].to_numpy(np.int64)
+        old = frame["__bin"].to_numpy() if step > 1 else None
+        first = (step << 58) + (int(frame["__group"].iloc[0]) << 20)
+        sequence, offset, free = (np.zeros(len(frame), np.int64) for _ in range(3))
+        for number, members in enumerate(pack_group(lengths, capacity, old)):
+            sizes = lengths[members]
+            sequence[members], offset[members] = first + number, np.cumsum(sizes) - sizes
+            free[members] = capacity - sizes.sum()
+        return frame.drop(columns=["__bin", "__group"]).assign(__bin=sequence, offset=offset, __free=free)
+
+    return settle
+
+
 def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 4096, loose: float = 0.05) -> DataFrame:
     """`items` (any columns, `length` from 1 to the capacity) plus `sequence_id` and `offset`, gapless from 0.
 
@@ -240,20 +256,7 @@ def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 4096, loose:
         dealt = todo.withColumn("__group", F.pmod(F.xxhash64(key, F.lit(step)), F.lit(groups)))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields if f.name != "__bin")
 
-        def settle(frame: pd.DataFrame, step=step) -> pd.DataFrame:
-            frame = frame.sort_values("__row", ignore_index=True)
-            lengths = frame["length"].to_numpy(np.int64)
-            old = frame["__bin"].to_numpy() if step > 1 else None
-            first = (step << 58) + (int(frame["__group"].iloc[0]) << 20)
-            sequence, offset, free = (np.zeros(len(frame), np.int64) for _ in range(3))
-            for number, members in enumerate(pack_group(lengths, capacity, old)):
-                sizes = lengths[members]
-                sequence[members], offset[members] = first + number, np.cumsum(sizes) - sizes
-                free[members] = capacity - sizes.sum()
-            out = frame.drop(columns=["__bin", "__group"])
-            return out.assign(__bin=sequence, offset=offset, __free=free)
-
-        packed = saved(dealt.groupBy("__group").applyInPandas(settle, f"{schema}, __bin long, offset long, __free long"), "packed")
+        packed = saved(dealt.groupBy("__group").applyInPandas(_settle(step, capacity), f"{schema}, __bin long, offset long, __free long"), "packed")
         is_loose = F.col("__free") > loose * capacity
         left = packed.where(is_loose).count() if groups > 1 else 0
         final = left == 0 or left > count / 2
