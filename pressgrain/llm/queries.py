@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import packing, sentencepiece
+from pressgrain.llm import packing, sentencepiece, simhash
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut and packed into sequences of 1,024 tokens."""
     docs = table(spark, folder, "documents")
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+
+
+@query
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
