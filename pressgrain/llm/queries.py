@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import packing, quality, sentencepiece, simhash
+from pressgrain.llm import packing, quality, secrets, sentencepiece, simhash
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,18 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, posterior and verdict of every document."""
     found = quality.quality(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@query
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: counts and spans of the base kinds, and the spans of all kinds."""
+    found = secrets.scan(table(spark, folder, "documents"))
+    said = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, secrets.BASE),
+        F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", said), ",").alias("spans"),
+    )
