@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import chat, packing, quality, secrets, sentencepiece, simhash
+from pressgrain.llm import ann, chat, packing, quality, secrets, sentencepiece, simhash
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one made of control strings, formatted and read back."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat.summaries(chat.format_turns(turns.unionByName(chat.probe(spark))))
+
+
+@query
+def op1_vantage_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return ann.search(table(spark, folder, "embeddings"))
