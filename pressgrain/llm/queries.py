@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import ann, chat, packing, quality, secrets, sentencepiece, simhash
+from pressgrain.llm import ann, chat, packing, quality, secrets, sentencepiece, simhash, toxicity
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,12 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op1_vantage_ann(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     return ann.search(table(spark, folder, "embeddings"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by a network that never saw the held-out fifth."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    net = toxicity.train(*toxicity.sample(docs, table(spark, folder, "labels")))
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
