@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import ann, chat, packing, quality, secrets, sentencepiece, simhash, toxicity
+from pressgrain.llm import ann, chat, packing, quality, secrets, sentencepiece, simhash, suffixes, toxicity
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     net = toxicity.train(*toxicity.sample(docs, table(spark, folder, "labels")))
     scored = toxicity.score(docs, net)
     return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 200-byte strings that occur anywhere else."""
+    found = suffixes.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
