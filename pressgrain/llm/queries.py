@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import ann, chat, packing, quality, secrets, sentencepiece, simhash, suffixes, toxicity
+from pressgrain.llm import ann, chat, packing, paragraphs, quality, secrets, sentencepiece, simhash, suffixes, toxicity
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the paragraphs that are kept elsewhere."""
+    found = paragraphs.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_paragraphs", "n_removed", "kept_in", "text")
