@@ -167,10 +167,14 @@ def _visited(cell: Column, width: int, reach: int) -> Column:
     """The cell itself and all cells within `reach` bits of it."""
     found = F.array(cell)
     for _ in range(reach):
-        found = F.array_distinct(F.flatten(F.transform(found, lambda c: F.concat(F.array(c), F.array(*[c.bitwiseXOR(F.lit(1 << k)) for k in range(width)])))))
+        found = F.array_distinct(F.flatten(F.transform(found, lambda c: F.concat(F.array(c), F.array(*[c.bitwiseXOR(F.lit(1 << k).cast("long")) for k in range(width)])))))
     return found
 
 
+def _named(cells: Column, tree: int) -> Column:
+    return F.transform(cells, lambda cell: F.xxhash64(F.lit(tree), cell))
+
+
 def links(points: DataFrame, radius: int = 4, trees: int | None = None, cell_rows: int = 20_000, vantage: int = 0x5DEECE66D1B2A397) -> DataFrame:
     """Links `a`, `b` that connect the same classes as all pairs of the column `fp` within `radius` bits do.
 
@@ -180,9 +184,9 @@ def links(points: DataFrame, radius: int = 4, trees: int | None = None, cell_row
     trees = trees or radius + 1
     rows = []
     for number, (low, high) in enumerate(_blocks(trees)):
-        mask = (1 << (high - low)) - 1
-        bits = F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.lit(vantage)), low).bitwiseAND(F.lit(mask))
-        rows.append(F.transform(_visited(bits, high - low, radius // trees), lambda c, n=number: F.xxhash64(F.lit(n), c)))
+        mask = (1 << (high - low)) - 1 if trees > 1 else -1
+        bits = F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.lit(vantage)), low).bitwiseAND(F.lit(mask).cast("long"))
+        rows.append(_named(_visited(bits, high - low, radius // trees), number))
     placed = points.select("fp", F.explode(F.concat(*rows)).alias("cell"))
     large = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("chunks")).where("chunks > 1")
     placed = placed.join(large, "cell", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int"))
