@@ -30,7 +30,7 @@ from pressgrain.llm.common import saved, slices
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Suffixes in one run of the exchange, and in one shard on average.
-RUN_ROWS, SHARD_ROWS = 50_000, 100_000
+RUN_ROWS, SHARD_ROWS = 20_000, 30_000
 #: One more value per byte for window hashes, so that they don't depend on small byte values.
 BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
