@@ -166,13 +166,13 @@ def remove_repeats(docs: DataFrame, least_words: int = 20, similar: float = 0.8,
     numbers from 0) and `kept_in` (the ids of the documents in which the removed ones stay).
 
     Lines of fewer than `least_words` words are never removed. Null texts stay null. Rows of the same id and text are one
-    document. Null ids sort before all others. Columns of the names added are replaced. An empty table stays empty.
+    document. Null ids sort after all others and are not named in `kept_in`. Columns of the names added are replaced. An empty table stays empty.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     own = docs.select(docs[id_col].alias("id"), *_keys(text), text.alias("text"))
     listed = saved(own.mapInArrow(_listed(least_words), f"id {kind}, k1 long, k2 int, line int, name binary, bands array<long>"), "paragraphs")
-    place = F.struct("id", "k1", "k2", "line")
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2", "line")
     distinct = listed.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     bands = listed.groupBy("name").agg(F.first("bands").alias("bands")).select("name", F.explode("bands").alias("key"))
     met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("chunks"))
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, least_words: int = 20, similar: float = 0.8,
     known = distinct.join(classes, F.col("name") == F.col("node"), "left").select("name", "n", "at", F.coalesce("root", "name").alias("root"))
     stays = known.groupBy("root").agg(F.sum("n").alias("n"), F.min("at").alias("stay")).where("n > 1")
     repeated = known.join(stays.select("root", "stay"), "root").select("name", "stay")
-    gone = listed.join(repeated, "name").where(~(F.struct("id", "k1", "k2", "line").eqNullSafe(F.col("stay"))))
+    gone = listed.join(repeated, "name").where(~place.eqNullSafe(F.col("stay")))
     per_doc = listed.groupBy("id", "k1", "k2").agg(F.count_distinct("line").alias("n_paragraphs"))
     lost = gone.groupBy("id", "k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set("stay.id")).alias("kept_in"))
     added = ("n_paragraphs", "n_removed", "removed", "kept_in")
