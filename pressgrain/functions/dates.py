@@ -38,8 +38,8 @@ def parse_date_text(col: Column) -> Column:
 VISIBLE = r"(^|[^0-9])([0-3][0-9][./-][01][0-9][./-]20[0-9]{2})([^0-9]|$)"
 
 
-def visible_date(content: Column, head: int = 1200) -> Column:
-    """First dd.mm.yyyy (or / or -) among the first characters that survives a format round trip."""
-    raw = F.regexp_replace(F.regexp_extract(F.left(content, F.lit(head)), VISIBLE, 2), "[/-]", ".")
+def visible_date(content: Column, head: int | None = None) -> Column:
+    """First dd.mm.yyyy (or / or -) of the text, or of its first `head` characters, that survives a format round trip."""
+    raw = F.regexp_replace(F.regexp_extract(content if head is None else F.left(content, F.lit(head)), VISIBLE, 2), "[/-]", ".")
     day = F.to_date(F.try_to_timestamp(raw, F.lit("dd.MM.yyyy")))
     return F.when(F.date_format(day, "dd.MM.yyyy") == raw, day)

@@ -57,35 +57,46 @@ PROFILE_SCHEMA = (
 )
 
 
-def _clean(col: Column, limit: int) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " ")), 1, limit)
+def _clean(col: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " "))
 
 
-def normalise_profile(profile: Column, sections: Sequence[str]) -> Column:
-    """Company profile with at most six figures, sections in canonical order, distinct sources and a usable flag."""
+def _first(values: Column, n: int | None) -> Column:
+    return values if n is None else F.slice(values, 1, n)
+
+
+def normalise_profile(profile: Column, sections: Sequence[str], figures: int | None = None, items: int | None = None, most_sources: int | None = None) -> Column:
+    """Company profile with its figures, sections in canonical order, distinct sources and a usable flag.
+
+    A section is used once, for the first wanted title it begins like; of several that fit, the last one counts. The
+    numbers bound figures, items of a section and sources.
+    """
 
     def rebuild(p: Column) -> Column:
         kpis = F.filter(
-            F.transform(F.slice(p["kpis"], 1, 6), lambda k: F.struct(
-                _clean(k["label"], 60).alias("label"), _clean(k["value"], 40).alias("value"),
-                _clean(k["hint"], 80).alias("hint"), F.coalesce(k["estimated"], F.lit(False)).alias("estimated"))),
+            F.transform(p["kpis"], lambda k: F.struct(
+                _clean(k["label"]).alias("label"), _clean(k["value"]).alias("value"),
+                _clean(k["hint"]).alias("hint"), F.coalesce(k["estimated"], F.lit(False)).alias("estimated"))),
             lambda k: (k["label"] != "") & (k["value"] != ""))
+        kpis = _first(kpis, figures)
         given = F.filter(
             F.transform(p["sections"], lambda s: F.struct(
-                _clean(s["title"], 80).alias("title"),
-                F.slice(F.filter(F.transform(s["items"], lambda i: _clean(i, 320)), lambda i: i != ""), 1, 8).alias("items"))),
+                _clean(s["title"]).alias("title"),
+                _first(F.filter(F.transform(s["items"], _clean), lambda i: i != ""), items).alias("items"))),
             lambda s: (s["title"] != "") & (F.size(s["items"]) > 0))
 
         def canonical(wanted: str) -> Column:
-            hits = F.filter(given, lambda s: F.startswith(F.lower(s["title"]), F.lit(wanted.lower()[:12])))
-            return F.when(F.size(hits) > 0, F.struct(F.lit(wanted).alias("title"), F.get(hits, F.lit(0))["items"].alias("items")))
+            begins = lambda s, w: F.startswith(F.lower(s["title"]), F.lit(w.lower()[:12]))
+            earlier = sections[: list(sections).index(wanted)]
+            hits = F.filter(given, lambda s: begins(s, wanted) & ~reduce(lambda a, w: a | begins(s, w), earlier, F.lit(False)))
+            return F.when(F.size(hits) > 0, F.struct(F.lit(wanted).alias("title"), F.try_element_at(hits, F.lit(-1))["items"].alias("items")))
 
         ordered = F.array_compact(F.array(*[canonical(w) for w in sections]))
-        named = F.filter(F.transform(p["sources"], lambda s: F.struct(_clean(s["title"], 80).alias("title"), s["uri"].alias("uri"))),
+        named = F.filter(F.transform(p["sources"], lambda s: F.struct(_clean(s["title"]).alias("title"), s["uri"].alias("uri"))),
                          lambda s: s["title"] != "")
         titles = F.transform(named, lambda s: s["title"])
         first = F.filter(named, lambda s, i: F.array_position(titles, s["title"]) == i + 1)
-        sources = F.slice(first, 1, 12)
+        sources = _first(first, most_sources)
         usable = (F.size(kpis) >= 3) & (F.size(ordered) >= 3) & (F.size(sources) >= 1)
         return F.struct(kpis.alias("kpis"), ordered.alias("sections"), sources.alias("sources"), usable.alias("usable"))
 
@@ -170,15 +181,17 @@ def missing_parts(variant: Column, fields: Mapping[str, Column], requirements: M
     return F.coalesce(*lists, F.array().cast("array<string>"))
 
 
-def first_usable(*cols: Column, limit: int = 160) -> Column:
-    """First value that is not blank, trimmed and capped."""
-    return F.coalesce(*[F.substring(F.when(F.trim(c) != "", F.trim(c)), 1, limit) for c in cols], F.lit(""))
+def first_usable(*cols: Column, limit: int | None = None) -> Column:
+    """First value that is not blank, trimmed; `limit` cuts it."""
+    found = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in cols], F.lit(""))
+    return found if limit is None else F.substring(found, 1, limit)
 
 
-def kicker(token: Column, known: Mapping[str, str]) -> Column:
-    """Display label of a token: a known one, else the token in capitals with blanks, at most 26 characters."""
+def kicker(token: Column, known: Mapping[str, str], width: int | None = None) -> Column:
+    """Display label of a token: a known one, else the token in capitals with blanks; `width` cuts it."""
     t = F.trim(F.coalesce(token, F.lit("")))
-    plain = F.substring(F.upper(F.regexp_replace(t, "[_-]+", " ")), 1, 26)
+    plain = F.upper(F.regexp_replace(t, "[_-]+", " "))
+    plain = plain if width is None else F.substring(plain, 1, width)
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     return F.when(t == "", F.lit(None)).otherwise(F.coalesce(F.try_element_at(table, t), plain))
 
@@ -231,7 +244,7 @@ def title_company(title: Column, lead: str, verbs: str) -> Column:
     suffix = F.regexp_extract(head, rf"(?i)\b(?:{lead})\s+([^|–—:;,]{{2,80}})$", 1)
     prefix = F.regexp_extract(head, rf"(?i)^([^:|–—]{{2,80}}?)\s+(?:{verbs})\b", 1)
     best = F.when(suffix != "", suffix).otherwise(prefix)
-    return F.substring(F.regexp_replace(best, r"^[\s\"„“'’]+|[\s\"„“'’]+$", ""), 1, 120)
+    return F.regexp_replace(best, r"^[\s\"„“'’]+|[\s\"„“'’]+$", "")
 
 
 def rule_terms(pattern: str) -> list[str]:

@@ -17,32 +17,31 @@ NBSP = " "
 
 
 def _folding_table() -> tuple[str, str, list[tuple[str, str]]]:
-    """Derive the compatibility folding of lower-cased text from the Unicode data of the standard library.
+    """Derive the compatibility folding of lower-cased text from all of the standard library's Unicode data.
 
-    One-to-one foldings and deletions go into one `translate`; the few characters that expand to several ASCII
-    letters or digits are replaced one by one.
+    One-to-one foldings and deletions go into one `translate`; characters that expand to several are looked up one by
+    one in the texts that have any.
     """
     source, target, long_forms = [], [], []
-    ranges = [(0xA0, 0x250), (0x370, 0x400), (0x1D00, 0x2190), (0x2460, 0x2480), (0xFB00, 0xFB07), (0xFF10, 0xFF5B)]
-    for start, end in ranges:
-        for code in range(start, end):
-            char = chr(code)
-            if char.lower() != char or char == "ß":
-                continue
-            plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not 0x300 <= ord(c) <= 0x36F)
-            plain = "".join(c if c.isascii() and c.isalnum() and not c.isupper() else " " for c in plain)
-            if plain == char or not plain.strip():
-                continue
-            if len(plain) == 1:
-                source.append(char)
-                target.append(plain)
-            elif code < 0xC0 or 0xFB00 <= code < 0xFB07 or code in (0x133, 0x149, 0x1C6, 0x1C9, 0x1CC, 0x1F3):
-                long_forms.append((char, plain))
+    for code in [*range(0xA0, 0x300), *range(0x370, 0xD800), *range(0xE000, 0x20000)]:
+        char = chr(code)
+        if char == "ß":
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not 0x300 <= ord(c) <= 0x36F)
+        plain = "".join(c if c.isascii() and c.isalnum() and not c.isupper() else " " for c in plain)
+        if plain == char or not plain.strip():
+            continue
+        if len(plain) == 1:
+            source.append(char)
+            target.append(plain)
+        else:
+            long_forms.append((char, plain))
     marks = "".join(chr(c) for c in range(0x300, 0x370))
     return "".join(source) + marks, "".join(target), long_forms
 
 
 FOLD_FROM, FOLD_TO, FOLD_LONG = _folding_table()
+FOLD_LONG_CLASS = "[" + "".join(char for char, _ in FOLD_LONG) + "]"
 
 
 def _replace_all(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -52,8 +51,11 @@ def _replace_all(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
 def fold(col: Column) -> Column:
     """Lower case, compatibility-fold to base letters, ß as ss; punctuation is kept. Plain ASCII is only lower-cased."""
     low = F.lower(col)
-    long_forms = _replace_all(low, [("ß", "ss"), *FOLD_LONG])
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(long_forms, FOLD_FROM, FOLD_TO))
+    table = F.create_map(*[F.lit(x) for pair in FOLD_LONG for x in pair])
+    one_by_one = F.transform(F.split(low, ""), lambda c: F.when(F.octet_length(c) > 1, F.coalesce(F.try_element_at(table, c), c)).otherwise(c))
+    long_forms = F.when(low.rlike(FOLD_LONG_CLASS), F.array_join(one_by_one, "")).otherwise(low)
+    folded = F.translate(F.replace(long_forms, F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(folded)
 
 
 def norm_text(col: Column) -> Column:
@@ -76,7 +78,7 @@ GERMAN_WORDS = ["der", "die", "das", "den", "dem", "und", "mit", "fur", "von", "
                 "eine", "auf", "zu", "im", "des", "unternehmen"]
 ENGLISH_WORDS = ["the", "and", "with", "for", "from", "company", "market", "will", "is", "are", "a", "an", "of", "to",
                  "in", "on", "that", "this", "has"]
-LANGUAGE_TOKENS, LANGUAGE_CAP = 2400, 8
+LANGUAGE_CAP = 8
 
 
 def _equals(word: str):
@@ -95,10 +97,12 @@ def capped_hits(token_array: Column, terms: Sequence[str], cap: int = LANGUAGE_C
     return F.transform(F.array(F.filter(token_array, lambda t: t.isin(*terms))), total)[0]
 
 
-def detect_language(col: Column) -> Column:
-    """`de`, `en` or `other` from whole function words among the first tokens."""
+def detect_language(col: Column, first_tokens: int | None = None) -> Column:
+    """`de`, `en` or `other` from whole function words of the text, or of its first tokens where a number is given."""
+    words = tokens(norm_text(col))
+    words = words if first_tokens is None else F.slice(words, 1, first_tokens)
     known = sorted(set(GERMAN_WORDS) | set(ENGLISH_WORDS))
-    used = F.filter(F.slice(tokens(norm_text(col)), 1, LANGUAGE_TOKENS), lambda t: t.isin(*known))
+    used = F.filter(words, lambda t: t.isin(*known))
     scores = F.transform(
         F.array(used), lambda u: F.struct(capped_hits(u, GERMAN_WORDS).alias("de"), capped_hits(u, ENGLISH_WORDS).alias("en")))
     verdict = F.transform(scores, lambda s: F.when((s.de >= 6) & (s.de >= s.en * 1.35), "de")
@@ -238,10 +242,9 @@ BOILERPLATE_LINES = [
 TEMPLATE_LEAK = r"^\s*(\$\{[^}]*\}|\{\{[^}]*\}\})\s*$"
 NO_SCRIPT = (r"(?i)\b(browser is out of date|enable javascript|javascript aktivieren|bitte aktivieren sie javascript"
              r"|to get the best experience|activez javascript)\b")
-ARTICLE_MAX_CHARS = 45_000
 
 
-def clean_article_text(col: Column) -> Column:
+def clean_article_text(col: Column, max_chars: int | None = None) -> Column:
     """Article text without markup, navigation lines, fragments and repeated lines; blank lines stay as separators.
 
     All work happens inside the row. Repeated lines are found by sorting (key, position) pairs, so a document of n
@@ -296,7 +299,7 @@ def clean_article_text(col: Column) -> Column:
     )
     joined = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     joined = F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    return F.substring(joined, 1, ARTICLE_MAX_CHARS)
+    return joined if max_chars is None else F.substring(joined, 1, max_chars)
 
 
 PASSAGE_FEATURES = [

@@ -144,7 +144,7 @@ COMPANY_ROLES = ["primary_actor", "decision_maker", "directly_affected", "centra
 
 
 def validate_companies(decisions: DataFrame, articles: DataFrame, detected: DataFrame, aliases: DataFrame,
-                       roles: Sequence[str] = COMPANY_ROLES, cap: int = 800) -> DataFrame:
+                       roles: Sequence[str] = COMPANY_ROLES, cap: int | None = None) -> DataFrame:
     """First proven decision per article and company.
 
     `decisions` has doc_id, pos, name, role, evidence. The reported name must equal a detected company's name or alias,
@@ -161,7 +161,7 @@ def validate_companies(decisions: DataFrame, articles: DataFrame, detected: Data
     rows = rows.join(broadcast_if_small(all_terms), "company")
     rows = rows.where(F.exists("__terms", lambda t: contains_term(norm_text(F.col("evidence")), t))).drop("__terms")
     first = rows.groupBy("doc_id", "company").agg(F.min_by(F.struct("evidence", "role"), "pos").alias("d"))
-    return first.select("doc_id", "company", F.substring(F.trim("d.evidence"), 1, cap).alias("evidence"), "d.role")
+    return first.select("doc_id", "company", (F.trim("d.evidence") if cap is None else F.substring(F.trim("d.evidence"), 1, cap)).alias("evidence"), "d.role")
 
 
 def leadership_change(articles: DataFrame, lead: str, verbs: str, role: str, second_role: str, change: str, mandate: str) -> DataFrame:

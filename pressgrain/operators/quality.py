@@ -46,7 +46,7 @@ UPPER, LETTER = "[A-ZÄÖÜ]", "[A-Za-zÄÖÜäöüß]"
 def is_collection(title: Column, text: Column, pack: Pack) -> Column:
     """Asset index instead of an article: a press-kit title plus weak prose, or many asset markers and headlines."""
     kit = norm_text(title).rlike(pack.patterns["collection_title"])
-    markers = F.regexp_count(norm_text(F.substring(text, 1, 12_000)), F.lit(pack.patterns["asset_marker"]))
+    markers = F.regexp_count(norm_text(text), F.lit(pack.patterns["asset_marker"]))
 
     def classify(x: Column) -> Column:
         words = F.size(F.split(x, r"\s+"))
@@ -81,7 +81,7 @@ def all_caps_run(text: Column, k: int = 3, share: float = 0.78) -> Column:
 def vendor_pitch(title: Column, text: Column, pack: Pack) -> Column:
     """An offer that promotes itself and carries no study, paper or playbook with method and finding."""
     p = pack.patterns
-    n = norm_text(F.concat_ws(" ", title, F.substring(text, 1, 9000)))
+    n = norm_text(F.concat_ws(" ", title, text))
 
     def verdict(x: Column) -> Column:
         signals = reduce(lambda a, b: a + b, [x.rlike(p[k]).cast("int") for k in ("method", "finding", "quantity", "trend")])
@@ -127,16 +127,19 @@ def hard_rejections(
     as_of_year: int,
     event_source: Column | None = None,
     participation: Column | None = None,
-    classifier_chars: int = 12_000,
+    classifier_chars: int | None = None,
     career_hits: int = 3,
 ) -> Column:
-    """Ordered array of the reasons that reject an article; one boolean per rule, computed inside the row."""
+    """Ordered array of the reasons that reject an article; one boolean per rule, computed inside the row.
+
+    The rules see the whole text; `classifier_chars` makes them see its best passages of so many characters instead.
+    """
     p = pack.patterns
     event_source = F.lit(False) if event_source is None else event_source
     qualified = F.lit(False) if participation is None else participation
     full = F.concat_ws("\n", title, text)
     inputs = F.struct(
-        norm_text(F.concat_ws(" ", title, select_passages(text, classifier_chars))).alias("n"),
+        norm_text(F.concat_ws(" ", title, text if classifier_chars is None else select_passages(text, classifier_chars))).alias("n"),
         norm_text(title).alias("t"),
         F.struct(event_substance(full, pack).alias("own"), bare_event(full, pack).alias("bare")).alias("event"),
         (~text_quality(text)["sufficient"]).alias("empty"),
@@ -193,4 +196,4 @@ def article_type(raw: Column, text: Column, pack: Pack, allowed=ARTICLE_TYPES) -
             .otherwise("other")
         )
 
-    return F.transform(F.array(norm_text(F.substring(text, 1, 20_000))), verdict)[0]
+    return F.transform(F.array(norm_text(text)), verdict)[0]

@@ -46,9 +46,9 @@ def locale_sort(df: DataFrame, col: str, descending: bool = False, locale: str =
     return df.orderBy(key.desc() if descending else key.asc(), F.col(col))
 
 
-def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int, cap: int = 250) -> DataFrame:
+def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int, cap: int | None = None) -> DataFrame:
     """One page in order. Spark still sorts what lies before the offset; `page_after` continues from a key instead."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, cap)))
+    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, limit if cap is None else min(limit, cap)))
 
 
 def page_after(df: DataFrame, key: Sequence[tuple[str, object]], limit: int) -> DataFrame:
@@ -61,8 +61,9 @@ def page_after(df: DataFrame, key: Sequence[tuple[str, object]], limit: int) ->
     return df.where(later).orderBy(*[c for c, _ in key]).limit(limit)
 
 
-def newest_pool(df: DataFrame, ts: str, key: str, n: int | None, default: int = 1_000, cap: int = 3_000) -> DataFrame:
-    size = max(1, min(default if n is None else n, cap))
+def newest_pool(df: DataFrame, ts: str, key: str, n: int | None, default: int = 1_000, cap: int | None = None) -> DataFrame:
+    size = max(1, default if n is None else n)
+    size = size if cap is None else min(size, cap)
     return df.orderBy(F.desc(ts), F.desc(key)).limit(size)
 
 
@@ -108,19 +109,19 @@ MANUAL_CONTEXT = [("Quelle", "source"), ("Unternehmen", "company"), ("Zielgruppe
 RELEVANCE_TITLE, EVIDENCE_TITLE, CONTEXT_TITLE = "Warum es zählt:", "Belege und Zahlen:", "Kontext:"
 
 
-def _field(col: Column, limit: int) -> Column:
+def _field(col: Column, limit: int | None) -> Column:
     text = F.regexp_replace(F.replace(F.coalesce(col, F.lit("")), F.lit("\r"), F.lit("")), r"[ \t]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    return F.substring(text, 1, limit)
+    return text if limit is None else F.substring(text, 1, limit)
 
 
-def manual_signal(entries: DataFrame) -> DataFrame:
-    """Normalised manual entries with lane, mode, the first field that is too short (`issue`) and the corpus text."""
+def manual_signal(entries: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Normalised manual entries, cut where `limits` names a field, with lane, mode, the first field that is too short (`issue`) and the corpus text."""
     text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     lane = F.when(text("lane").rlike("sales|ansprache|memo"), "sales").otherwise("marketing")
     mode = F.when(text("mode").isin("manual", "hybrid"), text("mode")).otherwise("ai")
     rows = entries.select("entry_id", lane.alias("lane"), mode.alias("mode"), *[
-        (_field(F.col(c), n) if c in entries.columns else F.lit("")).alias(c) for c, n in MANUAL_LIMITS.items()])
+        (_field(F.col(c), (limits or {}).get(c)) if c in entries.columns else F.lit("")).alias(c) for c in MANUAL_LIMITS])
     issue = F.coalesce(*[F.when(F.length(c) < n, F.lit(c)) for c, n in MANUAL_MINIMUM.items()])
     context = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{label}: "), F.col(c))) for label, c in MANUAL_CONTEXT]))
     parts = F.array_compact(F.array(

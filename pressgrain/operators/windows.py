@@ -15,13 +15,13 @@ from pyspark.sql import Window
 from pressgrain.operators.ranking import top_k
 from pressgrain.scale import neighbour
 
-MIN_STAGE_MS, MAX_STAGE_MS = 200, 900_000
+MIN_STAGE_MS = 200
 
 
-def stage_durations(log_rows: DataFrame, runs: DataFrame, slice_ms: int = 60_000) -> DataFrame:
+def stage_durations(log_rows: DataFrame, runs: DataFrame, slice_ms: int = 60_000, max_ms: int | None = None) -> DataFrame:
     """Time from each stage event to the next one of its run, the last one to the run's end; at least 200 ms.
 
-    Durations above 900 s are left out.
+    `max_ms` leaves longer durations out.
     """
     stages = log_rows.where(F.col("stage").isNotNull()).select("run_id", "event_id", "stage", "t")
     bucket = F.floor(F.col("t") / slice_ms)
@@ -29,7 +29,8 @@ def stage_durations(log_rows: DataFrame, runs: DataFrame, slice_ms: int = 60_000
     rows = rows.join(runs.select("run_id", "duration_ms"), "run_id")
     dur = F.greatest(F.lit(MIN_STAGE_MS), F.coalesce(F.col("next.t"), F.col("duration_ms")) - F.col("t"))
     out = rows.select("run_id", "event_id", "stage", "t", dur.alias("dur"))
-    return out.where(F.col("dur").between(MIN_STAGE_MS, MAX_STAGE_MS))
+    out = out.where(F.col("dur") >= MIN_STAGE_MS)
+    return out if max_ms is None else out.where(F.col("dur") <= max_ms)
 
 
 def newest_n(df: DataFrame, order: Sequence[Column], n: int, key: Sequence[str] = ()) -> DataFrame:
@@ -144,11 +145,11 @@ def new_today(ts: Column, as_of: Column) -> Column:
     return F.to_date(ts) == F.to_date(as_of)
 
 
-def backlog(jobs: DataFrame, as_of: Column, limit: int, max_attempts: int = 3, stale_hours: int = 2, cap: int = 25) -> DataFrame:
-    """Claimable jobs in order: queued with attempts left, or running and stale; the limit is clamped."""
+def backlog(jobs: DataFrame, as_of: Column, limit: int, max_attempts: int = 3, stale_hours: int = 2, cap: int | None = None) -> DataFrame:
+    """Claimable jobs in order: queued with attempts left, or running and stale; a `cap` clamps the limit."""
     stale = F.col("updated_at") < as_of - F.expr(f"interval {stale_hours} hours")
     claimable = ((F.col("status") == "queued") & (F.col("attempts") < max_attempts)) | ((F.col("status") == "running") & stale)
-    return jobs.where(claimable).orderBy("available_at", "job_id").limit(clamp_limit(limit, 12, cap))
+    return jobs.where(claimable).orderBy("available_at", "job_id").limit(max(1, limit) if cap is None else clamp_limit(limit, 12, cap))
 
 
 def clamp_limit(n: int | None, default: int, cap: int) -> int:

@@ -31,7 +31,7 @@ def _profile(t: Tables) -> DataFrame:
 
 
 def language_sql(col: str) -> str:
-    toks = f"list_filter(string_split({norm(col)},' '), lambda x: x <> '')[1:2400]"
+    toks = f"list_filter(string_split({norm(col)},' '), lambda x: x <> '')"
     score = "list_sum(list_transform({w}, lambda w: least(len(list_filter(tk, lambda x: x = w)), 8)))"
     return toks, score.format(w=array(GERMAN_WORDS)), score.format(w=array(ENGLISH_WORDS))
 

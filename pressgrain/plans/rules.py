@@ -68,7 +68,7 @@ lf as (select doc_id, len(string_split_regex(x,'\\s+')) as w, regexp_matches(x,'
 lg as (select doc_id, count(*) filter (where w>=9 and ends) as prose, count(*) filter (where w between 4 and 24 and (not ends or (l>=12 and u/l>=0.72))) as heads from lf group by 1)"""
 
 
-@query("c04_is_collection", f"""with {LINE_FACTS}, d as (select doc_id, {norm(FIRST_LINE)} as t, len(regexp_extract_all({norm('substr(text,1,12000)')},'{P['asset_marker']}')) as markers from documents)
+@query("c04_is_collection", f"""with {LINE_FACTS}, d as (select doc_id, {norm(FIRST_LINE)} as t, len(regexp_extract_all({norm('text')},'{P['asset_marker']}')) as markers from documents)
 select d.doc_id, ({m('t', P['collection_title'])} and (markers>=2 or coalesce(heads,0)>=3 or coalesce(prose,0)<2)) or (markers>=4 and coalesce(heads,0)>=4 and coalesce(heads,0)>coalesce(prose,0)*2) as collection from d left join lg using (doc_id)""")
 def _(t):
     return t.documents.select("doc_id", ql.is_collection(first_line(), F.col("text"), FIXTURE).alias("collection"))
@@ -95,7 +95,7 @@ def _(t):
     return t.documents.select("doc_id", ql.text_quality(F.col("text"), clean=True).alias("q")).select("doc_id", "q.*")
 
 
-@query("c07_vendor_pitch", f"""with d as (select doc_id, {norm(FIRST_LINE + "||' '||substr(text,1,9000)")} as n from documents),
+@query("c07_vendor_pitch", f"""with d as (select doc_id, {norm(FIRST_LINE + "||' '||text")} as n from documents),
 s as (select *, ({m('n', P['method'])})::int+({m('n', P['finding'])})::int+({m('n', P['quantity'])})::int+({m('n', P['trend'])})::int as signals from d)
 select doc_id, {m('n', P['offer'])} and ({m('n', P['self_promo'])} or {m('n', P['profile_page'])}) and not (case when {m('n', P['study'])} then {m('n', P['method'])} and ({m('n', P['finding'])} or signals>=2)
  else {m('n', P['paper'])} and {m('n', P['finding'])} and signals>=2 end) as pitch from s""")
@@ -185,7 +185,7 @@ def _(t):
     return rows.select("doc_id", r.alias("r")).select("doc_id", "r.eligible", "r.confidence", F.col("r.evidence").alias("quote"))
 
 
-@query("c16_article_type", f"""with x as (select doc_id, {norm('substr(text,1,20000)')} as n, len(list_filter(list_transform(string_split(regexp_replace(text,'([.!?])\\s+|\\n+','\\1'||chr(1),'g'),chr(1)), lambda s: trim(s)), lambda s: length(s)>=60 and regexp_matches(s,'[.!?][”»"]?$'))) as prose from documents)
+@query("c16_article_type", f"""with x as (select doc_id, {norm('text')} as n, len(list_filter(list_transform(string_split(regexp_replace(text,'([.!?])\\s+|\\n+','\\1'||chr(1),'g'),chr(1)), lambda s: trim(s)), lambda s: length(s)>=60 and regexp_matches(s,'[.!?][”»"]?$'))) as prose from documents)
 select doc_id, case when {m('n', P['study'])} and {m('n', P['method'])} and {m('n', P['finding'])} then 'study' when {m('n', P['white_paper'])} and {m('n', P['substance'])} then 'whitepaper' when doc_id%10=0 then 'interview' when prose>=3 then 'news' else 'other' end as article_type from x""")
 def _(t):
     raw = F.when(F.col("doc_id") % 10 == 0, "interview").otherwise("other")
@@ -296,7 +296,7 @@ DECISION_SQL = "dec as (select doc_id, 0 as pos, company as name, case when doc_
 
 @query("c23_validate_companies", f"""with {fx.ANSWERS_SQL}, {DECISION_SQL}, ok as (select c.doc_id, c.pos, dd.company, c.role, c.evidence from dec c join documents t using (doc_id) join answers dd on dd.doc_id=c.doc_id and {norm('dd.company')}={norm('c.name')} and dd.company<>''
  where c.role in ('primary_actor','decision_maker') and length(trim(c.evidence))>=20 and contains({skeleton('t.text')},{skeleton('c.evidence')}) and length({skeleton('c.evidence')})>=12 and contains(' '||{norm('c.evidence')}||' ',' '||{norm('dd.company')}||' '))
-select doc_id, company, substr(trim(arg_min(evidence,pos)),1,800) as evidence, arg_min(role,pos) as role from ok group by 1,2""")
+select doc_id, company, trim(arg_min(evidence,pos)) as evidence, arg_min(role,pos) as role from ok group by 1,2""")
 def _(t):
     a = fx.answers(t)
     one = a.select("doc_id", F.lit(0).alias("pos"), F.col("company").alias("name"), F.when(F.col("doc_id") % 6 == 0, "bystander").otherwise("primary_actor").alias("role"), "evidence")
@@ -386,7 +386,7 @@ def _entries(t):
 ENTRY_SQL = f"""e as (select conv_id||'-'||turn as entry_id, case when role='user' then 'sales' else 'marketing' end as lane, case when turn=0 then 'manual' else 'ai' end as mode, substr(text,1,12) as h, text as c, case when turn%2=0 then substr(text,5,40) else '' end as r, substr(text,1,60) as v, case when turn=1 then 'src' else '' end as src from conversations),
 ef as (select entry_id, lane, mode, {{f}} from e), ei as (select *, case when length(h)<10 then 'headline' when length(c)<30 then 'core' when length(v)<20 then 'evidence' end as issue,
  h||chr(10)||chr(10)||c||(case when r<>'' then chr(10)||chr(10)||'Warum es zählt:'||chr(10)||r else '' end)||chr(10)||chr(10)||'Belege und Zahlen:'||chr(10)||v||(case when src<>'' then chr(10)||chr(10)||'Kontext:'||chr(10)||'Quelle: '||src else '' end) as corpus from ef)""".replace(
-    "{f}", ", ".join(f"substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},'[ \\t]+',' ','g'),'\\n{{3,}}',chr(10)||chr(10),'g'),'^\\s+',''),'\\s+$',''),1,{n}) as {c}" for c, n in (("h", 200), ("c", 1200), ("r", 800), ("v", 2000), ("src", 300))).replace("{{3,}}", "{3,}"))
+    "{f}", ", ".join(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},'[ \\t]+',' ','g'),'\\n{{3,}}',chr(10)||chr(10),'g'),'^\\s+',''),'\\s+$','') as {c}" for c in ("h", "c", "r", "v", "src")).replace("{{3,}}", "{3,}"))
 
 
 @query("c29_manual_signal", f"with {ENTRY_SQL} select entry_id, lane, mode, issue, md5(trim(corpus)) as corpus_md5 from ei")
@@ -456,7 +456,7 @@ def _(t):
     return rows.select("conv_id", "turn", "variant", F.array_join(miss, ",").alias("missing"))
 
 
-@query("c35_label_fallback", """select p_partkey, case when p_partkey%5=0 then 'CONSUMER' when p_partkey%5=1 then 'SMALL RINGS' when p_partkey%7=0 then upper(replace(p_type,'_',' ')) when p_partkey%3=0 then left(upper(p_name),26) when p_partkey%2=0 then 'SALES INSIGHT' else 'INSIGHT' end as label,
+@query("c35_label_fallback", """select p_partkey, case when p_partkey%5=0 then 'CONSUMER' when p_partkey%5=1 then 'SMALL RINGS' when p_partkey%7=0 then upper(replace(p_type,'_',' ')) when p_partkey%3=0 then upper(p_name) when p_partkey%2=0 then 'SALES INSIGHT' else 'INSIGHT' end as label,
  case when p_partkey%6=0 then p_brand when p_partkey%6=1 then p_name else '' end as subject from part""")
 def _(t):
     from pressgrain.functions.records import first_usable, label_fallback

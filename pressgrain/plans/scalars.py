@@ -354,7 +354,7 @@ def _(t):
 
 
 PROFILE_SQL = """with g as (select l_suppkey, l_returnflag as f, l_linestatus as s from lineitem group by 1,2,3),
-p as (select l_suppkey, least(6,count(*))::int as n_kpis, array_to_string(list_filter(list_transform(['R','A','N'], lambda x: case when list_contains(list(f),x) then 'Section '||x end), lambda x: x is not null),'|') as sections, least(12,count(distinct f))::int as n_sources from g group by 1)
+p as (select l_suppkey, count(*)::int as n_kpis, array_to_string(list_filter(list_transform(['R','A','N'], lambda x: case when list_contains(list(f),x) then 'Section '||x end), lambda x: x is not null),'|') as sections, count(distinct f)::int as n_sources from g group by 1)
 select *, n_kpis>=3 and len(string_split(sections,'|'))>=3 and n_sources>=1 as usable from p"""
 
 

@@ -60,7 +60,7 @@ a as (select page_id, origin, unnest(regexp_extract_all(html,'(?s)<a href="(/new
  unnest(range(0,len(regexp_extract_all(html,'(?s)<a href="(/news/[^">]+)">[^<]*</a>',1)))) as i from h),
 d as (select page_id, origin||replace(replace(replace(replace(href,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&amp;','&') as link, trim(regexp_replace(replace(replace(replace(replace(raw,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&amp;','&'),'\\s+',' ','g')) as title, i from a),
 u as (select *, row_number() over (partition by page_id, link order by i) as rn from d)
-select page_id, row_number() over (partition by page_id order by i)-1 as pos, link, title from u where rn=1 and length(title)>=10 and not regexp_matches(regexp_extract(link,'/news/([^?#]*)',1),'^(news|press)?/?$') qualify row_number() over (partition by page_id order by i)<=60""")
+select page_id, row_number() over (partition by page_id order by i)-1 as pos, link, title from u where rn=1 and length(title)>=10 and not regexp_matches(regexp_extract(link,'/news/([^?#]*)',1),'^(news|press)?/?$')""")
 def _(t):
     html = F.regexp_replace("html", '<a href="/([^"]*)">([^<]*)</a>',
                             '<a href="/news/$1">Artikel über $2</a><a class=x href="/jobs/$1/a">Stellenangebot $2</a><a href="https://else.example.org/x/$1">Fremder Artikel</a>')

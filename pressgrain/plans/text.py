@@ -74,7 +74,7 @@ lines3 as (select *, {norm('body')} as key_text, (leak or regexp_matches(line,'^
 lines4 as (select *, not blank and not dropped and key_text<>'' as keep from lines3),
 lines5 as (select *, row_number() over (partition by {key}, keep, case when keep then key_text end order by pos) as nth from lines4),
 lines6 as (select {key}, pos, case when blank then '' else line end as line from lines5 where blank or (keep and nth=1)),
-cleaned as (select d.{key} as {key}, substr({strip("regexp_replace(coalesce(string_agg(l.line, chr(10) order by l.pos),''),'\\n{3,}',chr(10)||chr(10),'g')")},1,45000) as text
+cleaned as (select d.{key} as {key}, {strip("regexp_replace(coalesce(string_agg(l.line, chr(10) order by l.pos),''),'\\n{3,}',chr(10)||chr(10),'g')")} as text
   from {source} d left join lines6 l on l.{key}=d.{key} group by d.{key})"""
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "pressgrain", master: str | None = None, **conf) -> SparkSession:
@@ -24,25 +27,32 @@ def build_session(app: str = "pressgrain", master: str | None = None, **conf) ->
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, so that its Python functions load there wherever the driver was started."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    if not any(os.path.basename(f).startswith(f"{name}-") for f in spark.sparkContext.listFiles):
+        archive = os.path.join(tempfile.mkdtemp(prefix="run-"), f"{name}-{uuid.uuid4().hex[:12]}")
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(root), name))
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one is set only where none is configured."""
+    """The shared checkpoint folder of the cluster. Where none is configured, a local master gets a temporary one, and any
+    other raises an error, since its executors would each write to a disk of their own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    if not configured and not re.fullmatch(r"local(\[[^]]*])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh subfolder of the shared checkpoint folder for one stream's output and progress."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the reliable checkpoint folder, so that lost executors cannot lose the data."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -40,7 +40,7 @@ def charset_of(label: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in CHARSETS.items() for x in kv]), key)
 
 
-def decode_bytes(raw: Column, header: Column, head_chars: int = 4_000) -> Column:
+def decode_bytes(raw: Column, header: Column, head_chars: int | None = None) -> Column:
     """Text of a response: charset of the header, else UTF-8; broken UTF-8 falls back to the declared charset, else windows-1252.
 
     Spark reads ISO-8859-1 natively; the two related charsets differ in a few characters, which one `translate` fixes.
@@ -53,9 +53,10 @@ def decode_bytes(raw: Column, header: Column, head_chars: int = 4_000) -> Column
     def choose(x: Column) -> Column:
         known = x["header"]
         text = x["utf8"]
+        head = text if head_chars is None else F.left(text, F.lit(head_chars))
         declared = F.coalesce(
-            charset_of(F.nullif(F.regexp_extract(F.left(text, F.lit(head_chars)), r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1), F.lit(""))),
-            charset_of(F.nullif(F.regexp_extract(F.left(text, F.lit(200)), r"(?i)encoding\s*=\s*[\"']([\w-]+)[\"']", 1), F.lit(""))))
+            charset_of(F.nullif(F.regexp_extract(head, r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1), F.lit(""))),
+            charset_of(F.nullif(F.regexp_extract(head, r"(?i)^\s*<\?xml\s[^>]*?encoding\s*=\s*[\"']([\w-]+)[\"']", 1), F.lit(""))))
         broken = known.isNull() & F.contains(text, F.lit("�"))
         name = F.when(known.isNotNull(), known).when(broken & declared.isNotNull() & (declared != "utf-8"), declared).when(broken, "windows-1252")
         return F.when(name == "windows-1252", cp1252).when(name == "iso-8859-15", latin9).otherwise(text)
@@ -69,7 +70,6 @@ REMOVED_CLASSES = {"advertisement", "ad", "cookie", "consent"}
 BLOCK_TAGS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "main", "blockquote"}
 MAIN_CLASSES = {"article-content", "article__content", "entry-content", "post-content", "content-body"}
 VOID_TAGS = {"br", "img", "meta", "link", "input", "hr", "source", "area", "base", "col", "embed", "wbr"}
-CONTENT_CHARS = 20_000
 
 
 class _ArticleParser(HTMLParser):
@@ -141,11 +141,11 @@ def _extract(html: str) -> tuple[str, str, str | None, str]:
     excerpt = p.meta.get("og:description") or p.meta.get("description") or ""
     published = p.meta.get("article:published_time") or p.time
     texts = [re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", "".join(t))).strip() for t in p.texts]
-    return title.strip(), excerpt.strip(), published, max(texts, key=len, default="")[:CONTENT_CHARS]
+    return title.strip(), excerpt.strip(), published, max(texts, key=len, default="")
 
 
-def extract_articles(pages: DataFrame) -> DataFrame:
-    """page_id, url, title, excerpt, published_at, content and paywall flag of every page.
+def extract_articles(pages: DataFrame, content_chars: int | None = None) -> DataFrame:
+    """page_id, url, title, excerpt, published_at, content and paywall flag of every page; `content_chars` cuts the content.
 
     Only the tree walk needs Python; it runs on Arrow batches and the flag is computed in the JVM.
     """
@@ -161,6 +161,7 @@ def extract_articles(pages: DataFrame) -> DataFrame:
 
     schema = "page_id long, url string, title string, excerpt string, published_at string, content string"
     out = pages.select("page_id", "url", "html").mapInPandas(parse, schema)
+    out = out if content_chars is None else out.withColumn("content", F.substring("content", 1, content_chars))
     return out.withColumn("paywall", paywall_flag(F.concat_ws(" ", "title", "content"), max_chars=1_400))
 
 
@@ -185,8 +186,8 @@ def resolve_url(base: Column, href: Column) -> Column:
     )
 
 
-def discover_links(pages: DataFrame, max_per_page: int = 60, min_title: int = 10, min_depth: int = 2) -> DataFrame:
-    """Article links of each page in order: same host, first per address, no assets or service pages, at most 60.
+def discover_links(pages: DataFrame, max_per_page: int | None = None, min_title: int = 10, min_depth: int = 2) -> DataFrame:
+    """Article links of each page in order: same host, first per address, no assets or service pages; `max_per_page` keeps the first ones.
 
     A page is one row and its links are an array in that row, so nothing is shuffled.
     """
@@ -211,7 +212,8 @@ def discover_links(pages: DataFrame, max_per_page: int = 60, min_title: int = 10
                 & (F.length(x["title"]) >= min_title) & (F.size(parts) >= min_depth) & ~last.rlike(GENERIC)
             )
 
-        return F.slice(F.filter(arr, good), 1, max_per_page)
+        found = F.filter(arr, good)
+        return found if max_per_page is None else F.slice(found, 1, max_per_page)
 
     rows = rows.select("page_id", F.posexplode(F.transform(F.array(same), usable)[0]).alias("pos", "x"))
     return rows.select("page_id", "pos", F.col("x.link").alias("link"), F.col("x.title").alias("title"))
@@ -228,14 +230,18 @@ def scope_urls(links: DataFrame, sources: DataFrame, on: str, url: str = "link")
 
 
 DATE_ELEMENT = (r"(?is)(<[a-z0-9]+\b[^>]*(?:id|class)=[\"'][^\"']*\b(?:date|datum|pubdate|publish[a-z-]*|timestamp)\b[^\"']*[\"'][^>]*>"
-                r".{0,200}?</)")
+                r".*?</)")
 FOREIGN_DATE = r"(?i)(?:feed|teaser|slider|carousel|\b(?:card|widget|sidebar|related|most-?read|popular|listing)\b)"
 
 
-def extract_publication_date(html: Column, as_of: Column, after_h1: int = 3_000, without_h1: int = 6_000) -> Column:
-    """First plausible date in an element marked as a date near the headline; teasers and cards do not count."""
+def extract_publication_date(html: Column, as_of: Column, after_h1: int | None = None, without_h1: int | None = None) -> Column:
+    """First plausible date in an element marked as a date; teasers and cards do not count.
+
+    `after_h1` and `without_h1` bound the distance from the headline, or from the start of a page without one.
+    """
     h1 = F.regexp_instr(html, F.lit(r"((?i)<h1\b)"))
-    limit = F.when(h1 > 0, h1 - 1 + after_h1).otherwise(without_h1)
+    whole = F.length(html)
+    limit = F.when(h1 > 0, whole if after_h1 is None else h1 - 1 + after_h1).otherwise(whole if without_h1 is None else F.lit(without_h1))
     latest = F.to_date(as_of + F.expr("interval 24 hours"))
 
     def date_of(e: Column) -> Column:
