@@ -62,25 +62,26 @@ def _(t):
 
 
 @query("i04_silent_stream", """with g as (select user_id, ts, lead(ts) over (partition by user_id order by ts) as next_at from (select distinct user_id, ts from events))
-select user_id, epoch_us(ts) as last_us, epoch_us(next_at) as next_us from g where epoch_us(next_at)-epoch_us(ts) > 7200000000""")
+select user_id, epoch_us(ts) as last_us, epoch_us(next_at) as next_us from g where next_at is null or epoch_us(next_at)-epoch_us(ts) > 7200000000""")
 def _(t):
     base = work_folder(t.spark, "silent")
     out = st.silent_runs(st.file_stream(t.spark, t.folder, "events"), "user_id", "ts", 7_200)
     st.run_available(out, st.append_batches(f"{base}/out"), f"{base}/progress")
-    rows = t.spark.read.parquet(f"{base}/out").where("next_us is not null")
+    rows = st.settled(t.spark.read.parquet(f"{base}/out"), "last_us")
     return rows.select(F.col("key").alias("user_id"), "last_us", "next_us")
 
 
 @query("i05_stream_pulses", """with e as (select user_id, event_id, ts, event_type as phase, json_extract(props,'$.k')::bigint as k from events),
 c as (select *, case when lag(phase) over w is distinct from phase then 1 else 0 end as c from e window w as (partition by user_id order by ts, event_id)), i as (select *, sum(c) over (partition by user_id order by ts, event_id) as g from c),
 p as (select user_id, g, any_value(phase) as phase, min(epoch_us(ts)) as since_us, max(epoch_us(ts)) as last_us, arg_max(k,(ts,event_id)) as value, count(*) as pulses from i group by 1,2)
-select user_id, phase, since_us, last_us, value, pulses from p qualify g < max(g) over (partition by user_id)""")
+select user_id, phase, since_us, last_us, value, pulses, g = max(g) over (partition by user_id) as is_open from p""")
 def _(t):
     base = work_folder(t.spark, "pulses")
     ev = st.file_stream(t.spark, t.folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    out = st.stream_pulses(ev, "user_id", "ts", "event_type", "k", "event_id", idle_s=10**8)
+    out = st.stream_pulses(ev, "user_id", "ts", "event_type", "k", "event_id")
     st.run_available(out, st.append_batches(f"{base}/out"), f"{base}/progress")
-    return t.spark.read.parquet(f"{base}/out").select(F.col("key").alias("user_id"), "phase", "since_us", "last_us", "value", "pulses")
+    rows = st.settled(t.spark.read.parquet(f"{base}/out"), "phase")
+    return rows.select(F.col("key").alias("user_id"), "phase", "since_us", "last_us", "value", "pulses", "is_open")
 
 
 @query("i06_stream_incidents", f"with {INCIDENT_SQL} select user_id, epoch_us(ts) as started_us, epoch_us(resolved_at) as resolved_us from n where down")
@@ -89,8 +90,7 @@ def _(t):
     ev = st.file_stream(t.spark, t.folder, "events").withColumn("down", F.col("event_type") == "error")
     out = st.stream_incidents(ev, "user_id", "ts", "down", "event_id")
     st.run_available(out, st.append_batches(f"{base}/out"), f"{base}/progress")
-    rows = t.spark.read.parquet(f"{base}/out").groupBy(F.col("key").alias("user_id"), "started_us")
-    return rows.agg(F.max("resolved_us").alias("resolved_us"))
+    return st.settled(t.spark.read.parquet(f"{base}/out"), "started_us").select(F.col("key").alias("user_id"), "started_us", "resolved_us")
 
 
 @query("i07_retention", "select event_id from events where ts >= timestamp '2024-02-05' - interval 30 day")

@@ -2,8 +2,7 @@
 
 Additive results (ledgers, counters) are written as one partial result per micro-batch under `batch_id=N`; a retried
 batch overwrites its own folder, so every batch counts exactly once without keyed state. Operators that need order per
-key keep a few values per key as state; one trigger's rows of a key are sorted in its task, so the trigger size bounds
-that work, not the stream.
+key keep as state the rows that the watermark has not passed yet, and a few values besides.
 """
 
 from __future__ import annotations
@@ -54,16 +53,21 @@ def merge_ledger(parts: DataFrame) -> DataFrame:
     return parts.groupBy(*LEDGER_KEYS).agg(*sums, F.min("first_event_at").alias("first_event_at"), F.max("last_event_at").alias("last_event_at"))
 
 
+def facts_of_days(stored: DataFrame, days: Sequence) -> DataFrame:
+    """Stored facts of some days; a filter on the partition column, so other days are not read."""
+    return stored.where(F.col("usage_date").isin(*days)).drop("batch_id")
+
+
 def late_correction(stream: DataFrame, facts_path: str, ledger_path: str, checkpoint: str) -> DataFrame:
     """Ledger partitioned by day; each batch stores its facts and rebuilds only the days it touches, late ones included."""
     spark = stream.sparkSession
 
     def sink(df: DataFrame, batch_id: int) -> None:
         facts = ledger_keys(df)
-        facts.write.mode("overwrite").parquet(f"{facts_path}/batch_id={batch_id}")
-        stored = spark.read.parquet(facts_path)
-        days = spark.read.parquet(f"{facts_path}/batch_id={batch_id}").select("usage_date").distinct()
-        touched = stored.join(F.broadcast(days), "usage_date", "left_semi")
+        facts.write.mode("overwrite").partitionBy("usage_date").parquet(f"{facts_path}/batch_id={batch_id}")
+        stored = spark.read.schema(facts.schema.add("batch_id", "long")).parquet(facts_path)
+        days = stored.where(F.col("batch_id") == batch_id).select("usage_date").distinct().collect()  # calendar days of a batch
+        touched = facts_of_days(stored, [d[0] for d in days])
         tables.write_partitions(touched.groupBy(*LEDGER_KEYS).agg(*ledger_measures()), ledger_path, "usage_date")
 
     run_available(stream, sink, checkpoint)
@@ -75,125 +79,121 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) ->
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _ordered(batches, by):
-    import pandas as pd
+def _with_micros(stream: DataFrame, key: str, ts: str, cols: Sequence[str]) -> DataFrame:
+    return stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts)).alias("us"), *cols)
+
 
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
+def _in_event_time(rows: DataFrame, delay: str, order: Sequence[str], fold: Callable, still_open: Callable, out: str, state: str) -> DataFrame:
+    """Fold each key's rows in event-time order, whatever order they arrive in within the watermark.
 
+    Rows wait as state until the watermark has passed them. Every turn of a key puts out what is final (`is_final`), and
+    what would follow if nothing else came: the rows that still wait folded in, and what is open after them. Turns of a
+    key are numbered; `settled` keeps the final rows and the provisional ones of the last turn.
+    """
+    names = [c.split(" ")[0] for c in out.split(", ")]
+    held = ["us", *order, *[c for c in rows.columns if c not in ("key", "ts", "us", *order)]]
 
-def _with_micros(stream: DataFrame, key: str, ts: str, delay: str, cols: Sequence[str]) -> DataFrame:
-    marked = stream.withWatermark(ts, delay) if delay else stream
-    return marked.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts)).alias("us"), *cols)
+    def step(k, batches, store):
+        import pickle
 
+        import pandas as pd
 
-def _wake(state, micros: int) -> None:
-    state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + 1)
+        values, waiting, turn = pickle.loads(store.get[0]) if store.exists else (None, [], 0)
+        for batch in [] if store.hasTimedOut else batches:
+            waiting += list(batch[held].itertuples(index=False, name=None))
+        waiting.sort(key=lambda row: row[: 1 + len(order)])
+        passed = store.getCurrentWatermarkMs() * 1000
+        ready = [row for row in waiting if row[0] < passed]
+        waiting = waiting[len(ready) :]
+        values, final = fold(values, ready)
+        after, soon = fold(values, waiting)
+        turn += 1
+        found = [(k[0], turn, True, *row) for row in final] + [(k[0], turn, False, *row) for row in [*soon, *still_open(after)]]
+        store.update((pickle.dumps((values, waiting, turn)),))
+        if waiting:
+            store.setTimeoutTimestamp(max(waiting[0][0] // 1000, store.getCurrentWatermarkMs()) + 1)
+        frame = pd.DataFrame(found or [(k[0], turn, False, *[None] * len(names))], columns=["key", "turn", "is_final", *names])
+        yield frame.astype({c: "Int64" for c, kind in (x.split(" ") for x in out.split(", ")) if kind == "long"})
+
+    schema = f"key long, turn long, is_final boolean, {out}"
+    marked = rows.withWatermark("ts", delay)
+    return marked.groupBy("key").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settled(changes: DataFrame, first: str) -> DataFrame:
+    """Final rows, and the provisional ones of each key's last turn. `first` is a column that is null in empty turns."""
+    last = changes.groupBy("key").agg(F.max("turn").alias("__last"))
+    rows = changes.join(last, "key").where(F.col("is_final") | (F.col("turn") == F.col("__last")))
+    return rows.where(F.col(first).isNotNull()).drop("__last", "turn")
 
 
 def thin_beats(beats: DataFrame, limit_us: int) -> DataFrame:
     """Heartbeats (key, ts, us) thinned before the shuffle without changing any silence longer than the limit.
 
-    Within each Arrow batch a beat is dropped if the kept beat before it and the beat after it are at most the limit
-    apart. What is kept still has no hole wider than the limit where the batch had none, and both ends of every real
-    silence stay. A hot run therefore shuffles beats in proportion to its time span, not to its rows.
+    Of each Arrow batch the first and the last beat per key and time slice of the limit's width stay. A longer silence
+    ends one slice and begins another, so both its ends stay; what goes lies between two beats less than the limit apart.
     """
     def thin(batches):
-        import numpy as np
-
         for batch in batches:
-            rows = batch.sort_values(["key", "us"], kind="stable")
-            keys, us = rows["key"].to_numpy(), rows["us"].to_numpy()
-            keep = np.ones(len(us), dtype=bool)
-            last = 0
-            for i in range(1, len(us) - 1):
-                if keys[i] == keys[last] == keys[i + 1] and us[i + 1] - us[last] <= limit_us:
-                    keep[i] = False
-                else:
-                    last = i
-            yield rows[keep]
+            by = [batch["key"], batch["us"] // limit_us]
+            us = batch.groupby(by)["us"]
+            yield batch[(batch["us"] == us.transform("min")) | (batch["us"] == us.transform("max"))]
 
     return beats.mapInPandas(thin, "key long, ts timestamp, us long")
 
 
 def silent_runs(stream: DataFrame, key: str, ts: str, threshold_s: int = 180, delay: str = "10 minutes") -> DataFrame:
-    """(key, last_us, next_us): a heartbeat followed by silence, by the next beat or by the event-time timer (null)."""
+    """(key, last_us, next_us) per silence: between two heartbeats further apart than the threshold, and after the last
+    heartbeat of a key (null). Read it through `settled`."""
     limit = threshold_s * 1_000_000
 
-    def step(k, batches, state):
-        import numpy as np
-        import pandas as pd
+    def fold(last, rows):
+        closed = []
+        for (us,) in rows:
+            if last is not None and us - last > limit:
+                closed.append((last, us))
+            last = us
+        return last, closed
+
+    rows = thin_beats(_with_micros(stream, key, ts, []), limit)
+    return _in_event_time(rows, delay, [], fold, lambda last: [] if last is None else [(last, None)], "last_us long, next_us long", "held binary")
 
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [k[0]], "last_us": [last], "next_us": pd.array([None], dtype="Int64")})
-            return
-        beats = np.concatenate([b["us"].to_numpy() for b in batches])
-        if state.exists:
-            beats = np.append(beats, state.get[0])
-        beats = np.unique(beats)
-        gap = np.flatnonzero(np.diff(beats) > limit)
-        state.update((int(beats[-1]),))
-        _wake(state, int(beats[-1]) + limit)
-        yield pd.DataFrame({"key": k[0], "last_us": beats[gap], "next_us": pd.array(beats[gap + 1], dtype="Int64")})
-
-    marked = _with_micros(stream, key, ts, "", [])
-    rows = thin_beats(marked, limit).withWatermark("ts", delay)
-    return rows.groupBy("key").applyInPandasWithState(step, "key long, last_us long, next_us long", "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_pulses(stream: DataFrame, key: str, ts: str, phase: str, value: str, order: str, idle_s: int = 3_600, delay: str = "10 minutes") -> DataFrame:
-    """Merged pulses, emitted when the phase changes or the run stays idle: phase, since, last time, last value, count."""
-    out = "key long, phase string, since_us long, last_us long, value long, pulses long"
-
-    def step(k, batches, state):
-        import pandas as pd
 
-        cols = ["key", "phase", "since_us", "last_us", "value", "pulses"]
-        if state.hasTimedOut:
-            yield pd.DataFrame([(k[0], *state.get)], columns=cols)
-            state.remove()
-            return
-        rows = _ordered(batches, ["us", order])
-        closed, current = [], list(state.get) if state.exists else None
-        for p, us, v in zip(rows["phase"], rows["us"], rows["value"]):
+def stream_pulses(stream: DataFrame, key: str, ts: str, phase: str, value: str, order: str, delay: str = "10 minutes") -> DataFrame:
+    """Merged pulses: phase, since, last time, last value, count and whether the pulse may go on (`is_open`). Read it
+    through `settled`."""
+    def fold(current, rows):
+        closed = []
+        for us, _, p, v in rows:
             if current and current[0] == p:
-                current[2], current[3], current[4] = int(us), int(v), current[4] + 1
+                current = (p, current[1], us, v, current[4] + 1)
             else:
                 if current:
-                    closed.append((k[0], *current))
-                current = [p, int(us), int(us), int(v), 1]
-        state.update(tuple(current))
-        _wake(state, current[2] + idle_s * 1_000_000)
-        yield pd.DataFrame(closed, columns=cols)
+                    closed.append((*current, False))
+                current = (p, us, us, v, 1)
+        return current, closed
 
-    rows = _with_micros(stream, key, ts, delay, [F.col(phase).alias("phase"), F.col(value).alias("value"), F.col(order)])
-    state = "phase string, since_us long, last_us long, value long, pulses long"
-    return rows.groupBy("key").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = _with_micros(stream, key, ts, [F.col(order).alias("position"), F.col(phase).alias("phase"), F.col(value).alias("value")])
+    out = "phase string, since_us long, last_us long, value long, pulses long, is_open boolean"
+    return _in_event_time(rows, delay, ["position"], fold, lambda current: [(*current, True)] if current else [], out, "held binary")
 
 
 def stream_incidents(stream: DataFrame, key: str, ts: str, down: str, order: str, delay: str = "10 minutes") -> DataFrame:
-    """Changes of incidents: one row when one opens (resolved null) and one when it closes; upsert on (key, started)."""
-    def step(k, batches, state):
-        import pandas as pd
-
-        started = state.get[0] if state.exists else -1
-        changes = []
-        rows = _ordered(batches, ["us", order])
-        for is_down, us in zip(rows["down"], rows["us"]):
-            if is_down and started < 0:
-                started = int(us)
-                changes.append((k[0], started, None))
-            elif not is_down and started >= 0:
-                changes.append((k[0], started, int(us)))
-                started = -1
-        state.update((started,))
-        out = pd.DataFrame(changes, columns=["key", "started_us", "resolved_us"])
-        out["resolved_us"] = out["resolved_us"].astype("Int64")
-        yield out
-
-    rows = _with_micros(stream, key, ts, delay, [F.col(down).alias("down"), F.col(order)])
-    return rows.groupBy("key").applyInPandasWithState(step, "key long, started_us long, resolved_us long", "started_us long", "append", GroupStateTimeout.NoTimeout)
+    """(key, started_us, resolved_us) per incident, from the first down row to the next up row (null while open). Read it
+    through `settled`."""
+    def fold(started, rows):
+        closed = []
+        for us, _, is_down in rows:
+            if is_down and started is None:
+                started = us
+            elif not is_down and started is not None:
+                closed.append((started, us))
+                started = None
+        return started, closed
+
+    rows = _with_micros(stream, key, ts, [F.col(order).alias("position"), F.col(down).alias("down")])
+    out = "started_us long, resolved_us long"
+    return _in_event_time(rows, delay, ["position"], fold, lambda started: [] if started is None else [(started, None)], out, "held binary")
 
 
 def resume_analysis(articles: DataFrame, done: DataFrame, key: str, stage_hash: str) -> DataFrame:
