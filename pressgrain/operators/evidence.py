@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from pressgrain.functions.text import EVIDENCE_MIN, evidence_skeleton
+from pressgrain.functions.text import EVIDENCE_MIN, evidence_skeleton, fold
 from pressgrain.scale import broadcast_if_small
 
 
@@ -53,69 +51,67 @@ def quotes_in_documents(docs: DataFrame, quotes: DataFrame, gram: int = EVIDENCE
     return contained_pairs(hays, quotes.select("item_id", evidence_skeleton(F.col("quote")).alias("needle")), gram)
 
 
-@lru_cache(maxsize=65_536)
-def _folded(char: str) -> str:
-    """Base letters and digits a character stands for; empty for everything else."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", char.lower()) if not 0x300 <= ord(c) <= 0x36F)
-    return "".join(c for c in plain.replace("ß", "ss") if c.isascii() and c.isalnum() and not c.isupper())
+def _letters(text: Column) -> Column:
+    """Struct of the folded text with single blanks (`hay`) and the raw offset of each of its characters (`at`).
 
+    Combining marks are taken out first, so a blank stands exactly where two letters are not neighbours any more.
+    """
+    numbered = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    kept = F.filter(numbered, lambda x: ~x["c"].rlike("[\u0300-\u036f]"))
+    folded = F.transform(kept, lambda x, rank: F.struct(
+        F.when(x["c"].rlike("^[a-z0-9]$"), x["c"]).otherwise(F.regexp_replace(fold(x["c"]), "[^a-z0-9]+", "")).alias("f"), x["i"].alias("i"), rank.alias("rank")))
+    letters = F.filter(folded, lambda x: x["f"] != "")
 
-def _folded_positions(text: str) -> tuple[str, list[int]]:
-    """Normalised text with single blanks and, for each of its characters, the offset in the raw text."""
-    out, where, gap = [], [], -1
-    for i, char in enumerate(text):
-        plain = char if "a" <= char <= "z" else _folded(char)
-        if plain:
-            if gap >= 0 and out:
-                out.append(" ")
-                where.append(gap)
-            gap = -1
-            for c in plain:
-                out.append(c)
-                where.append(i)
-        elif gap < 0 and out and not 0x300 <= ord(char) <= 0x36F:
-            gap = i
-    return "".join(out), where
+    def spaced(found: Column) -> Column:
+        def piece(x: Column, k: Column) -> Column:
+            apart = (k > 0) & (x["rank"] - F.coalesce(F.get(found, k - 1)["rank"], x["rank"]) > 1)
+            return F.struct(F.when(apart, F.concat(F.lit(" "), x["f"])).otherwise(x["f"]).alias("f"), x["i"].alias("i"))
 
+        return F.transform(found, piece)
 
-def evidence_spans(texts: DataFrame, quotes: DataFrame, min_chars: int = 4) -> DataFrame:
-    """Raw (doc_id, quote_id, start, end) of every non-overlapping occurrence of a document's quotes.
+    def glued(pieces: Column) -> Column:
+        at = F.flatten(F.transform(pieces, lambda x: F.array_repeat(x["i"], F.length(x["f"]))))
+        return F.struct(F.array_join(F.transform(pieces, lambda x: x["f"]), "").alias("hay"), at.alias("at"))
 
-    Texts and their quotes meet by an equality join on doc_id, quotes collected per document; the offset map is the
-    one step that needs Python and runs on Arrow batches.
-    """
-    per_doc = quotes.groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "quote")).alias("quotes"))
-    rows = texts.join(per_doc, "doc_id").select("doc_id", "text", "quotes")
+    bound = F.transform(F.array(letters), spaced)
+    return F.transform(bound, glued)[0]
 
-    def spans(batches):
-        import pandas as pd
 
-        for batch in batches:
-            found = []
-            for doc_id, text, items in zip(batch["doc_id"], batch["text"], batch["quotes"]):
-                hay, where = _folded_positions(text)
-                for item in items:
-                    needle, _ = _folded_positions(item["quote"])
-                    at = hay.find(needle) if len(needle) >= min_chars else -1
-                    while at >= 0:
-                        last = at + len(needle)
-                        found.append((doc_id, item["quote_id"], where[at], where[last - 1] + 1))
-                        at = hay.find(needle, last)
-            yield pd.DataFrame(found, columns=["doc_id", "quote_id", "start", "end"])
+def evidence_spans(texts: DataFrame, quotes: DataFrame, min_chars: int = 4) -> DataFrame:
+    """Raw (doc_id, quote_id, start, end) of every non-overlapping occurrence of a document's quotes.
 
-    return rows.mapInPandas(spans, "doc_id long, quote_id long, start int, end int")
+    Texts and quotes are compared folded; the offsets are those of the raw text. A text is folded once, then its quotes
+    meet it by an equality join, so a document may have any number of quotes.
+    """
+    hays = texts.select("doc_id", _letters(F.col("text")).alias("x")).select("doc_id", "x.hay", "x.at")
+    needles = quotes.select("doc_id", "quote_id", _letters(F.col("quote"))["hay"].alias("needle"))
+    rows = needles.where(F.length("needle") >= min_chars).join(hays, "doc_id").where(F.contains("hay", "needle"))
+    # Pieces between the occurrences: their lengths, summed up, are where the occurrences begin.
+    gaps = F.transform(F.split("hay", F.concat(F.lit("\\Q"), "needle", F.lit("\\E")), -1), lambda x: F.length(x))
+    step = F.length("needle")
+    begins = F.aggregate(
+        F.slice(gaps, 1, F.size(gaps) - 1), F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("all")),
+        lambda a, g: F.struct((a["n"] + g + step).alias("n"), F.concat(a["all"], F.array(a["n"] + g)).alias("all")), lambda a: a["all"])
+    rows = rows.select("doc_id", "quote_id", "at", step.alias("step"), F.explode(begins).alias("b"))
+    return rows.select("doc_id", "quote_id", F.get("at", F.col("b")).alias("start"), (F.get("at", F.col("b") + F.col("step") - 1) + 1).alias("end"))
 
 
 def segments(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Text cut at every span border, each piece with the sorted ids of the quotes that cover it."""
-    ranges = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "quote_id")).alias("r"))
-    rows = texts.select("doc_id", F.length("text").alias("n")).join(ranges, "doc_id")
-    cuts = F.array_sort(F.array_distinct(F.concat(
-        F.array(F.lit(0), F.col("n")), F.transform("r", lambda x: x["start"]), F.transform("r", lambda x: x["end"]))))
-    rows = rows.select("doc_id", "r", cuts.alias("cuts"))
-    pieces = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda c, i: F.struct(
-        c.alias("start"), F.get(F.col("cuts"), i + 1).alias("end")))
-    rows = rows.select("doc_id", "r", F.posexplode(pieces).alias("segment", "p"))
-    covering = F.array_sort(F.array_distinct(F.transform(
-        F.filter("r", lambda x: (x["start"] <= F.col("p.start")) & (x["end"] >= F.col("p.end"))), lambda x: x["quote_id"])))
-    return rows.select("doc_id", "segment", "p.start", "p.end", covering.alias("quote_ids"))
+    """Text cut at every span border, each piece with the sorted ids of the quotes that cover it.
+
+    Borders are numbered per document; a span then covers the pieces from the number of its start to that of its end.
+    """
+    named = spans.select("doc_id", "start", "end", "quote_id").distinct()
+    lengths = texts.select("doc_id", F.length("text").alias("n")).join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+    borders = named.select("doc_id", F.explode(F.array("start", "end")).alias("cut")).unionByName(
+        lengths.select("doc_id", F.explode(F.array(F.lit(0), "n")).alias("cut"))).distinct()
+    order = Window.partitionBy("doc_id").orderBy("cut")
+    borders = borders.select("doc_id", "cut", (F.row_number().over(order) - 1).alias("segment"), F.lead("cut").over(order).alias("next"))
+    pieces = borders.where("next is not null").select("doc_id", "segment", F.col("cut").alias("start"), F.col("next").alias("end"))
+    low = borders.select("doc_id", F.col("cut").alias("start"), F.col("segment").alias("low"))
+    high = borders.select("doc_id", F.col("cut").alias("end"), F.col("segment").alias("high"))
+    covered = named.join(low, ["doc_id", "start"]).join(high, ["doc_id", "end"]).where("low < high")
+    covered = covered.select("doc_id", "quote_id", F.explode(F.sequence("low", F.col("high") - 1)).alias("segment"))
+    ids = covered.groupBy("doc_id", "segment").agg(F.array_sort(F.collect_set("quote_id")).alias("quote_ids"))
+    none = F.array().cast(ids.schema["quote_ids"].dataType)
+    return pieces.join(ids, ["doc_id", "segment"], "left").withColumn("quote_ids", F.coalesce("quote_ids", none))
