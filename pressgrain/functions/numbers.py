@@ -244,7 +244,10 @@ def evidence_profile(article: Column, signal: Column | None = None, words: dict[
 
 
 def eligible_templates(profile: Column, dark: Column, carousel: Column) -> Column:
-    """Template labels whose data or argument structure the profile really contains, per theme."""
+    """Template labels whose data or argument structure the profile really contains, per theme.
+
+    Labels, their order and what each of them needs are fixed values.
+    """
     p, n = profile, profile["number_count"]
     dark_rules = [("M", F.lit(True)), ("A", p["has_quote"]), ("H", n >= 2), ("S2", p["has_maturity"]),
                   ("S4", p["has_funnel"] & p["has_sequence"])]
@@ -303,9 +306,13 @@ def fold_long(col: Column) -> Column:
                   [("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")], F.lower(F.coalesce(col, F.lit(""))))
 
 
+# Endings that are cut off, the least length of a stem, and the share of stems that must match.
+STEM_ENDINGS, STEM_CHARS, STEM_SHARE = "(?:en|er|es|te|ten|t|e)$", 4, 0.55
+
+
 def content_stems(col: Column, stop: list[str]) -> Column:
-    parts = F.transform(F.split(fold_long(col), "[^a-z0-9]+"), lambda t: F.regexp_replace(t, "(?:en|er|es|te|ten|t|e)$", ""))
-    return F.filter(parts, lambda t: (F.length(t) >= 4) & ~t.isin(*stop))
+    parts = F.transform(F.split(fold_long(col), "[^a-z0-9]+"), lambda t: F.regexp_replace(t, STEM_ENDINGS, ""))
+    return F.filter(parts, lambda t: (F.length(t) >= STEM_CHARS) & ~t.isin(*stop))
 
 
 def paraphrases(title: Column, source: Column, stop: list[str]) -> Column:
@@ -319,7 +326,7 @@ def paraphrases(title: Column, source: Column, stop: list[str]) -> Column:
     def verdict(x: Column) -> Column:
         hits = F.size(F.filter(x["a"], lambda t: F.exists(x["b"], lambda u: F.startswith(u, t) | F.startswith(t, u))))
         n = F.size(x["a"])
-        enough = F.when(n <= 3, hits >= 2).otherwise(hits / n >= 0.55)
+        enough = F.when(n <= 3, hits >= 2).otherwise(hits / n >= STEM_SHARE)
         contained = (F.length(x["nt"]) >= 18) & F.contains(x["ns"], x["nt"])
         return contained | F.when((n < 2) | (F.size(x["b"]) < 2), F.lit(False)).otherwise(enough)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressgrain.session import work_folder
+
 
 def exact_duplicates(docs: DataFrame, hash_col: str) -> DataFrame:
     """Every copy but the first with the id it repeats and the number of copies.
@@ -17,6 +19,13 @@ def exact_duplicates(docs: DataFrame, hash_col: str) -> DataFrame:
     return rows.where(F.col("doc_id") != F.col("duplicate_of")).select("doc_id", "duplicate_of", "copies")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows through a table in the shared folder, so that later uses read it and don't compute it again."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def near_duplicates(docs: DataFrame, min_score: float, min_shared: int) -> DataFrame:
     """(doc_id, duplicate_of): the smallest earlier document with an equal or similar enough token set.
 
@@ -26,8 +35,8 @@ def near_duplicates(docs: DataFrame, min_score: float, min_shared: int) -> DataF
     in length. Frequent tokens therefore index few sets, and the result is exact, not approximate.
     """
     sets = docs.where(F.size("tokens") > 0).select("doc_id", F.array_sort("tokens").alias("tokens"))
-    sets = sets.withColumn("set_key", F.md5(F.array_join("tokens", " ")))
-    unique = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"))
+    sets = written(sets.withColumn("set_key", F.md5(F.array_join("tokens", " "))), "token-sets")
+    unique = written(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens")), "distinct-sets")
     freq = unique.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     words = unique.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(freq, "token")
     ranked = words.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Limits of the fields.
+# Limits of the fields, and what counts as link, number and quote.
 LIMITS = {"hook": 140, "strong_from": 1300, "strong_to": 2500, "hard": 3000, "carousel": 900, "cta": 42, "cover": 56}
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>\"']{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+/[^\s<>\"']*"
 NUMBER = r"(?i)(?<!\d)\d+(?:[.,]\d+)?\s?(?:%|prozent|prozentpunkte|mio|mrd|millionen|milliarden|euro|€)?"

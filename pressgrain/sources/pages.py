@@ -165,6 +165,7 @@ def extract_articles(pages: DataFrame, content_chars: int | None = None) -> Data
     return out.withColumn("paywall", paywall_flag(F.concat_ws(" ", "title", "content"), max_chars=1_400))
 
 
+# Link elements, file endings, service pages and path parts that are no article.
 ANCHOR = r"(?is)(<a\s[^>]*href=[\"'][^\"'>]+[\"'][^>]*>.*?</a>)"
 ASSET = r"(?i)\.(pdf|jpg|jpeg|png|svg|zip)$"
 SERVICE = r"(?i)/(jobs?|career|karriere|kontakt|contact|privacy|datenschutz|impressum)(/|$)"
@@ -229,6 +230,7 @@ def scope_urls(links: DataFrame, sources: DataFrame, on: str, url: str = "link")
         rows.where((F.col("include_url_pattern") != "") & F.regexp(F.col(url), F.col("include_url_pattern")))).drop("include_url_pattern")
 
 
+# Elements that are marked as dates, and surroundings whose dates belong to other articles.
 DATE_ELEMENT = (r"(?is)(<[a-z0-9]+\b[^>]*(?:id|class)=[\"'][^\"']*\b(?:date|datum|pubdate|publish[a-z-]*|timestamp)\b[^\"']*[\"'][^>]*>"
                 r".*?</)")
 FOREIGN_DATE = r"(?i)(?:feed|teaser|slider|carousel|\b(?:card|widget|sidebar|related|most-?read|popular|listing)\b)"
