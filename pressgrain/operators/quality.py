@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -129,10 +130,14 @@ def hard_rejections(
     participation: Column | None = None,
     classifier_chars: int | None = None,
     career_hits: int = 3,
+    listing_links: int = 6,
+    switched_off: Sequence[str] = (),
 ) -> Column:
     """Ordered array of the reasons that reject an article; one boolean per rule, computed inside the row.
 
-    The rules see the whole text; `classifier_chars` makes them see its best passages of so many characters instead.
+    A page is a directory by its title, as the media section of a site, by contact data with an address, or by its number
+    of links to more. A title that only names a list of an event is a programme whatever its text holds. Reasons in
+    `switched_off` are not given. The rules see the whole text; `classifier_chars` makes them see its best passages of so many characters instead.
     """
     p = pack.patterns
     event_source = F.lit(False) if event_source is None else event_source
@@ -141,19 +146,21 @@ def hard_rejections(
     inputs = F.struct(
         norm_text(F.concat_ws(" ", title, text if classifier_chars is None else select_passages(text, classifier_chars))).alias("n"),
         norm_text(title).alias("t"),
+        norm_text(text).alias("b"),
         F.struct(event_substance(full, pack).alias("own"), bare_event(full, pack).alias("bare")).alias("event"),
         (~text_quality(text)["sufficient"]).alias("empty"),
     )
 
     def rules(x: Column) -> Column:
-        n, t, empty = x["n"], x["t"], x["empty"]
+        n, t, b, empty = x["n"], x["t"], x["b"], x["empty"]
         hits = reduce(lambda a, b: a + b, [contains_term(n, w).cast("int") for w in pack.terms["career"]])
         year = F.regexp_extract(t, r"\b(20\d{2})\b", 1).try_cast("int")
         flags = [
             hits >= career_hits,
             t.rlike(p["faq"]),
-            t.rlike(p["program"]) & ~qualified & ~x["event"]["own"] & ~t.rlike(p["program_ok"]),
-            t.rlike(p["directory"]),
+            t.rlike(p["program_title"]) | (t.rlike(p["program"]) & ~qualified & ~x["event"]["own"] & ~t.rlike(p["program_ok"])),
+            t.rlike(p["directory"]) | (t.rlike(p["media_title"]) & b.rlike(p["media_text"])) | (b.rlike(p["contact"]) & b.rlike(p["address"]))
+            | (t.rlike(p["listing_title"]) & (F.regexp_count(b, F.lit(p["listing_link"])) >= listing_links)),
             is_collection(title, text, pack),
             all_caps_run(text),
             vendor_pitch(title, text, pack),
@@ -165,7 +172,7 @@ def hard_rejections(
             n.rlike(p["appointment"]) & ~n.rlike(p["strategic"]),
             n.rlike(p["product_launch"]) & ~n.rlike(p["strategic"]),
         ]
-        return F.array_compact(F.array(*[F.when(flag, name) for name, flag in zip(REASONS, flags)]))
+        return F.array_compact(F.array(*[F.when(flag, name) for name, flag in zip(REASONS, flags) if name not in switched_off]))
 
     return F.transform(F.array(inputs), rules)[0]
 

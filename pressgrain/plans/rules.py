@@ -52,12 +52,6 @@ def c01(t):
     return out.select("doc_id", F.array_join("families", ",").alias("families"), "reject", F.array_join("companies", ",").alias("companies"))
 
 
-@query("c02_hard_rejections")
-def _(t):
-    r = ql.hard_rejections(F.col("title"), F.col("content"), FIXTURE, 2026, F.col("source") == "src3")
-    return fx.articles(t).select("doc_id", F.array_join(r, ",").alias("reasons"))
-
-
 @query("c03_freshness", """select event_id, case when ts < timestamp '2024-01-20' - interval 10 day then 'too_old' when ts > timestamp '2024-01-20' + interval 24 hour then 'future' end as reason from events""")
 def _(t):
     return t.events.select("event_id", ql.freshness(F.col("ts"), F.lit("2024-01-20").cast("timestamp"), 10, 24).alias("reason"))
@@ -74,11 +68,15 @@ def _(t):
     return t.documents.select("doc_id", ql.is_collection(first_line(), F.col("text"), FIXTURE).alias("collection"))
 
 
-@query("c05_all_caps_run", """with l as (select doc_id, unnest(string_split(text,chr(10))) as x, unnest(range(0,len(string_split(text,chr(10))))) as pos from (select doc_id, case when doc_id%3=0 then upper(text) else text end as text from documents)),
-f as (select doc_id, pos, x, length(x)>=35 and len(list_filter(string_split_regex(x,'\\s+'), lambda w: w<>''))>=6 and len(regexp_extract_all(x,'[A-Za-zÄÖÜäöüß]'))>=20 and len(regexp_extract_all(x,'[A-ZÄÖÜ]'))/len(regexp_extract_all(x,'[A-Za-zÄÖÜäöüß]'))>=0.78 as caps
- from (select doc_id, pos, trim(regexp_replace(x,'^#{1,6}\\s+|^-\\s+|\\*+','','g')) as x from l) where x<>''),
-g as (select *, row_number() over (partition by doc_id order by pos)-row_number() over (partition by doc_id, caps order by pos) as g from f)
-select d.doc_id, coalesce(max(n),0)>=3 as all_caps from documents d left join (select doc_id, g, count(*) as n from g where caps group by 1,2) r using (doc_id) group by 1""")
+CAPS_CTE = """cl as (select doc_id, unnest(string_split(text,chr(10))) as x, unnest(range(0,len(string_split(text,chr(10))))) as pos from (select doc_id, {text} as text from documents)),
+cf as (select doc_id, pos, x, length(x)>=35 and len(list_filter(string_split_regex(x,'\\s+'), lambda w: w<>''))>=6 and len(regexp_extract_all(x,'[A-Za-zÄÖÜäöüß]'))>=20 and len(regexp_extract_all(x,'[A-ZÄÖÜ]'))/len(regexp_extract_all(x,'[A-Za-zÄÖÜäöüß]'))>=0.78 as caps
+ from (select doc_id, pos, trim(regexp_replace(x,'^#{{1,6}}\\s+|^-\\s+|\\*+','','g')) as x from cl) where x<>''),
+cg as (select *, row_number() over (partition by doc_id order by pos)-row_number() over (partition by doc_id, caps order by pos) as g from cf),
+caps as (select doc_id, max(n) as caps_run from (select doc_id, g, count(*) as n from cg where caps group by 1,2) group by 1)"""
+
+
+@query("c05_all_caps_run", f"""with {CAPS_CTE.format(text='case when doc_id%3=0 then upper(text) else text end')}
+select d.doc_id, coalesce(caps_run,0)>=3 as all_caps from documents d left join caps using (doc_id)""")
 def _(t):
     text = F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text"))
     return t.documents.select("doc_id", ql.all_caps_run(text).alias("all_caps"))
@@ -103,6 +101,39 @@ def _(t):
     return t.documents.select("doc_id", ql.vendor_pitch(first_line(), F.col("text"), FIXTURE).alias("pitch"))
 
 
+_CAREER = "+".join(f"contains(' '||n||' ',' '||{norm(repr(w))}||' ')::int" for w in FIXTURE.terms["career"])
+_OWN = f"({m('n', P['event'])} and {m('n', P['event_topic'])} and {m('n', P['substance'])})"
+_PITCH = f"""({m('n', P['offer'])} and ({m('n', P['self_promo'])} or {m('n', P['profile_page'])}) and not (case when {m('n', P['study'])} then {m('n', P['method'])} and ({m('n', P['finding'])} or signals>=2)
+ else {m('n', P['paper'])} and {m('n', P['finding'])} and signals>=2 end))"""
+_RULES = [
+    ("career", f"({_CAREER})>=3"),
+    ("faq", m("t", P["faq"])),
+    ("event_program", f"{m('t', P['program_title'])} or ({m('t', P['program'])} and not qualified and not {_OWN} and not {m('t', P['program_ok'])})"),
+    ("directory", f"{m('t', P['directory'])} or ({m('t', P['media_title'])} and {m('b', P['media_text'])}) or ({m('b', P['contact'])} and {m('b', P['address'])}) or ({m('t', P['listing_title'])} and len(regexp_extract_all(b,'{P['listing_link']}'))>=6)"),
+    ("collection", f"({m('t', P['collection_title'])} and (markers>=2 or heads>=3 or prose<2)) or (markers>=4 and heads>=4 and heads>prose*2)"),
+    ("all_caps", "caps_run>=3"),
+    ("vendor_pitch", _PITCH),
+    ("no_content", "empty"),
+    ("event_source_unqualified", "not empty and source='src3' and not qualified"),
+    ("bare_event", f"not empty and source<>'src3' and not qualified and {m('n', P['event'])} and {m('n', P['bare_event'])} and not {_OWN}"),
+    ("stale_event_year", f"try_cast(regexp_extract(t,'\\b(20\\d{{2}})\\b',1) as int)<=2024 and {m('t', P['event'])}"),
+    ("no_professional_signal", f"not empty and not {m('n', P['professional'])}"),
+    ("pure_appointment", f"{m('n', P['appointment'])} and not {m('n', P['strategic'])}"),
+    ("bare_product_launch", f"{m('n', P['product_launch'])} and not {m('n', P['strategic'])}"),
+]
+
+
+@query("c02_hard_rejections", f"""with {LINE_FACTS}, lang_rows as (select doc_id, text from documents), {QUALITY_CTE}, {CAPS_CTE.format(text='text')},
+c0 as (select d.doc_id, source, doc_id%4=0 as qualified, {norm(FIRST_LINE)} as t, {norm('d.text')} as b, {norm(FIRST_LINE.replace('text', 'd.text') + "||' '||d.text")} as n from documents d),
+c1 as (select c0.*, len(regexp_extract_all(b,'{P['asset_marker']}')) as markers, coalesce(heads,0) as heads, coalesce(prose,0) as prose, coalesce(caps_run,0) as caps_run, not sufficient as empty,
+ ({m('c0.n', P['method'])})::int+({m('c0.n', P['finding'])})::int+({m('c0.n', P['quantity'])})::int+({m('c0.n', P['trend'])})::int as signals
+ from c0 join quality using (doc_id) left join lg using (doc_id) left join caps using (doc_id))
+select doc_id, array_to_string(list_filter([{", ".join(f"case when {rule} then '{name}' end" for name, rule in _RULES)}], lambda x: x is not null),',') as reasons from c1""")
+def _(t):
+    r = ql.hard_rejections(F.col("title"), F.col("content"), FIXTURE, 2026, F.col("source") == "src3", F.col("doc_id") % 4 == 0)
+    return fx.articles(t).select("doc_id", F.array_join(r, ",").alias("reasons"))
+
+
 @query("c08_event_participation")
 def _(t):
     texts = t.documents.select("doc_id", "text")

@@ -60,6 +60,13 @@ MARKETING = Pack(
         "program": words("agenda", "schedule", "speakers", "tickets", "programm", "teilnehmer"),
         "program_ok": words("report", "results", "ergebnisse", "launch", "strategy", "strategie"),
         "directory": words("media contact*", "kontakt", "company profile", "supplier"),
+        "program_title": r"^(?:event )?(?:agenda|schedule|speakers|tickets|programm|teilnehmer)(?: \d{4})?$",
+        "media_title": r"^media(?: |$)",
+        "media_text": words("latest news", "reports?", "download"),
+        "contact": words("tel", "fax", "mitarbeiter", "employees"),
+        "address": words("adresse", "strasse", "address", "www"),
+        "listing_title": words("media", "downloads?", "publications?"),
+        "listing_link": words("read more", "download file", "mehr lesen"),
         "professional": words("brand strateg*", "campaign*", "kampagn*", "customer experience", "private label*",
                               "pricing strateg*", "rebrand*", "market entr*", "acquisition"),
         "appointment": words("appoint*", "named", "ernenn*", "beruf*"),
@@ -103,6 +110,13 @@ FIXTURE = Pack(
         "program": words("be", "un", "zu"),
         "program_ok": words("for", "pour"),
         "directory": words("are", "auch"),
+        "program_title": r"^(?:the )?(?:is|der|la|en)(?: \d{4})?$",
+        "media_title": r"^(?:the|en)(?: |$)",
+        "media_text": words("haenonn", "have"),
+        "contact": words("scum", "moron"),
+        "address": words("clown", "idiot"),
+        "listing_title": words("of", "de", "und"),
+        "listing_link": words("that the", "las ie", "die der"),
         "professional": words("the", "die", "les", "los"),
         "appointment": words("at", "ein"),
         "product_launch": words("not", "nicht"),
