@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pressgrain.functions.cost import weighted_score
 from pressgrain.functions.records import title_company
 from pressgrain.functions.text import EVIDENCE_MIN, clamp01, contains_term, evidence_exists, evidence_skeleton, norm_text, sentences
-from pressgrain.operators.rules import topic_context, unresolved_problem
+from pressgrain.operators.rules import infer_topic, recover_evidence, topic_context, unresolved_problem
 from pressgrain.rules.packs import Pack
 from pressgrain.scale import broadcast_if_small
 
@@ -220,11 +221,85 @@ def decide_signal(prefiltered: DataFrame, answers: DataFrame, articles: DataFram
         F.when(ok, F.col("final_score")).otherwise(0).alias("score"), keep("proven_company").alias("company"), "reject_reason")
 
 
+@dataclass(frozen=True)
+class Policy:
+    """What an organisation accepts as evidence; the defaults accept all. Patterns match folded quotes.
+
+    `needs_impact` topics count only with a quote that matches `impact`; `must` and `must_not` bind a topic's quote to a
+    pattern, and `unless_impact` lets a forbidden pattern pass if the quote matches `impact` too. `implemented` binds the
+    quotes of triggers. `recover` and `value` find sentences for topics that an answer left out, `infer` names the topic of
+    a recovered sentence, and `any_topic` is what such a sentence must hold.
+    """
+
+    not_relevant: tuple[str, ...] = ()
+    needs_impact: tuple[str, ...] = ()
+    impact: str = ""
+    must: Mapping[str, str] = field(default_factory=dict)
+    must_not: Mapping[str, str] = field(default_factory=dict)
+    unless_impact: Mapping[str, str] = field(default_factory=dict)
+    implemented: str = ""
+    recover: Mapping[str, str] = field(default_factory=dict)
+    value: str = ""
+    any_topic: str = ""
+    infer: tuple[tuple[str, str], ...] = ()
+    otherwise: str = "marketing_insights"
+    territories: tuple[str, ...] = ()
+
+    def accepts(self, topic: Column) -> Column:
+        n, name = norm_text(topic["evidence"]), topic["id"]
+        ok = ~name.isin(*self.not_relevant) & (~name.isin(*self.needs_impact) | n.rlike(self.impact))
+        for known, pattern in self.must.items():
+            ok = ok & ((name != known) | n.rlike(pattern))
+        for known, pattern in self.must_not.items():
+            ok = ok & ((name != known) | ~n.rlike(pattern))
+        for known, pattern in self.unless_impact.items():
+            ok = ok & ((name != known) | ~n.rlike(pattern) | n.rlike(self.impact))
+        return ok
+
+
+def _recovered(rows: DataFrame, policy: Policy, topic_rules: Mapping[str, Sequence[str]], least: float) -> DataFrame:
+    """Marketing use with a sentence of the article where the answer gave no proven one, and the topics left out.
+
+    Only answers that claim a transferable value of sufficient substance are completed. The sentence must stand in a
+    topic's context, or the answer must hold a proven subsector insight.
+    """
+    use, topics = F.col("marketing_use"), F.col("topics")
+    direct = lambda t: topic_context(t["id"], t["evidence"], topic_rules)
+    claims = F.col("transferable") & use["sufficient_substance"] & (F.coalesce(use["transferable_value"], F.lit("")) != "")
+    sentence = F.when(use["evidence"] != "", use["evidence"]).otherwise(recover_evidence(F.col("text"), policy.any_topic, policy.value))
+    rows = rows.withColumn("__found", F.when(claims, sentence).otherwise(""))
+    name = infer_topic(F.col("__found"), policy.infer, policy.otherwise)
+    confidence = F.greatest(F.lit(least), clamp01(F.col("routes.marketing.confidence")))
+    tag = F.struct(name.alias("id"), confidence.alias("confidence"), F.col("__found").alias("evidence"))
+    rows = rows.withColumn("__tag", tag).withColumn("__direct", topic_context(F.col("__tag.id"), F.col("__found"), topic_rules))
+    subsector = F.exists(topics, lambda t: t["id"] == "sub_branchen_insight")
+    fits = (F.col("__found") != "") & (F.col("__direct") | subsector)
+    grown = F.when(fits & F.col("__direct") & ~F.exists(topics, direct), F.concat(topics, F.array("__tag"))).otherwise(topics)
+    publishable = F.when(F.col("__found") != "", fits).otherwise(use["publishable"] & (use["evidence"] != ""))
+    evidence = F.when(fits, F.col("__found")).otherwise(use["evidence"])
+    full = (F.coalesce(use["transferable_value"], F.lit("")) != "") & use["sufficient_substance"] & (evidence != "")
+    rows = rows.withColumn("topics", grown).withColumn("marketing_use", F.struct(
+        (publishable & full).alias("publishable"), use["transferable_value"].alias("transferable_value"), use["sufficient_substance"].alias("sufficient_substance"), evidence.alias("evidence")))
+    for topic, pattern in policy.recover.items():
+        hit = recover_evidence(F.col("text"), pattern, policy.value, low=45)
+        missing = _lacks(topic)
+        extra = F.struct(F.lit(topic).alias("id"), F.lit(max(least, 0.9)).alias("confidence"), hit.alias("evidence"))
+        rows = rows.withColumn("topics", F.when(missing & (hit != ""), F.concat("topics", F.array(extra))).otherwise(F.col("topics")))
+    return rows.drop("__found", "__tag", "__direct")
+
+
+def _lacks(topic: str) -> Column:
+    return F.col("marketing_use.publishable") & ~F.exists("topics", lambda t: t["id"] == F.lit(topic))
+
+
 def validate_classification(answers: DataFrame, articles: DataFrame, aliases: DataFrame, pack: Pack, patterns: Mapping[str, str],
                             topic_rules: Mapping[str, Sequence[str]], topic_ids: Sequence[str], trigger_ids: Sequence[str],
-                            quality: Mapping[str, float] = QUALITY) -> DataFrame:
+                            quality: Mapping[str, float] = QUALITY, policy: Policy = Policy(), participation: DataFrame | None = None) -> DataFrame:
     """Validated answer per article: proven topics, companies, people and triggers, derived uses, routes and status.
 
+    `participation` has the doc_ids with a qualified event participation; without it no trigger of that kind counts. If
+    the answers have a `territory`, the result holds it where it is known and proven, else null.
+
     Quotes are checked against one skeleton per article. Companies leave the row once to meet the canonical names by
     equality and come back as an array bounded by the answer.
     """
@@ -241,9 +316,17 @@ def validate_classification(answers: DataFrame, articles: DataFrame, aliases: Da
 
     rows = rows.withColumn("topics", F.filter(proven("topics", topic_ids, quality["topic"]), lambda t: (
         ~t["id"].isin(*topic_rules) | topic_context(t["id"], t["evidence"], topic_rules)) & (
-        (t["id"] != "sub_branchen_insight") | F.col("transferable"))))
+        (t["id"] != "sub_branchen_insight") | F.col("transferable")) & policy.accepts(t)))
+    if participation is not None:
+        rows = rows.join(participation.select("doc_id", F.lit(True).alias("__takes_part")).distinct(), "doc_id", "left")
+    takes_part = F.lit(False) if participation is None else F.coalesce("__takes_part", F.lit(False))
     rows = rows.withColumn("triggers", F.filter(proven("triggers", trigger_ids, quality["trigger"]), lambda t: (
-        t["id"] != "marketing_problem") | unresolved_problem(t["evidence"], pack)))
+        (t["id"] != "marketing_problem") | unresolved_problem(t["evidence"], pack)) & ((t["id"] != "event_participation") | takes_part) & (
+        norm_text(t["evidence"]).rlike(policy.implemented))))
+    if "territory" in answers.columns:
+        land = F.col("territory")
+        known = land["id"].isin(*policy.territories) & (clamp01(land["confidence"]) >= quality.get("territory", quality["topic"])) & in_text(skel, land["evidence"])
+        rows = rows.withColumn("territory", F.when(known, land))
     rows = rows.withColumn("people", F.filter("people", lambda p: (F.trim(p["name"]) != "") & (F.trim(p["role"]) != "") & (
         clamp01(p["confidence"]) >= quality["person"]) & in_text(skel, p["evidence"])))
 
@@ -262,6 +345,8 @@ def validate_classification(answers: DataFrame, articles: DataFrame, aliases: Da
     full = (F.coalesce(use["transferable_value"], F.lit("")) != "") & use["sufficient_substance"] & (quote != "")
     rows = rows.withColumn("marketing_use", F.struct((use["publishable"] & full).alias("publishable"), use["transferable_value"].alias("transferable_value"),
                                                     use["sufficient_substance"].alias("sufficient_substance"), quote.alias("evidence")))
+    if policy.any_topic:
+        rows = _recovered(rows, policy, topic_rules, quality["topic"])
     sale = F.col("sales_use")
     sale_quote = F.when(in_text(skel, sale["evidence"]), F.trim(sale["evidence"])).otherwise(F.coalesce(F.get("triggers", F.lit(0))["evidence"], F.lit("")))
     action = (sale["company_challenge"] != "") & (sale["relevance"] != "") & sale["sufficient_substance"] & (F.size(sale["facts"]) > 0) & (sale_quote != "")
@@ -294,4 +379,5 @@ def validate_classification(answers: DataFrame, articles: DataFrame, aliases: Da
     raw = F.col("relevance_status")
     reliable = no_objection & (((raw == "reliable") & sure & any_signal & complete) | ((raw != "rejected") & (strong | sales_case)))
     status = F.when(reliable & (F.col("substance") | sales_case), "reliable").when(reliable, "uncertain").when((raw == "rejected") & sure, "rejected").otherwise("uncertain")
-    return rows.select("doc_id", status.alias("status"), "topics", "companies", "people", "triggers", "marketing_use", "sales_use", "marketing", "sales", "substance")
+    return rows.select("doc_id", status.alias("status"), "topics", "companies", "people", "triggers", "marketing_use", "sales_use", "marketing", "sales", "substance",
+                       *["territory"] * ("territory" in answers.columns))

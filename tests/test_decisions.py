@@ -87,6 +87,43 @@ def test_validate_classification(spark):
         ("reliable", 1, 1, 1, True), ("uncertain", 0, 0, 0, False), ("uncertain", 1, 0, 1, True)]
 
 
+def test_classification_policy_recovers_and_restricts(spark):
+    rest = "Kunden der Marke erwarten laut der Messung ein Ergebnis von zehn Prozent mehr Umsatz im Handel. "
+    text = "Der Pilot mit KI laeuft bei der Muster AG und zeigt bisher kein Resultat fuer die Marke. " + rest + "Die Muster AG spricht auf der Messe ueber die Marke."
+    pilot, fair = "Der Pilot mit KI laeuft bei der Muster AG und zeigt bisher kein Resultat", "Die Muster AG spricht auf der Messe ueber die Marke"
+    tag = "struct<id:string,confidence:double,evidence:string>"
+    who = "struct<name:string,role:string,confidence:double,evidence:string>"
+    schema = (f"doc_id long, topics array<{tag}>, companies array<{who}>, people array<{who}>, triggers array<{tag}>, territory {tag},"
+              "marketing_use struct<publishable:boolean,transferable_value:string,sufficient_substance:boolean,evidence:string>,"
+              "sales_use struct<actionable:boolean,company_challenge:string,relevance:string,sufficient_substance:boolean,facts:array<string>,evidence:string>,"
+              "routes struct<marketing:struct<eligible:boolean,confidence:double,evidence:string>,sales:struct<eligible:boolean,confidence:double,evidence:string>>,"
+              "transferable boolean, overall_confidence double, relevance_status string, article_type string, title_de string, rejection_reasons array<string>")
+    row = lambda i, land: (i, [("ki_performance", 0.95, pilot)], [], [], [("event_participation", 0.95, fair)], (land, 0.95, fair), (False, "Wert", True, "erfundenes Zitat, das fehlt"),
+                           (False, "", "", False, [], ""), ((False, 0.1, ""), (False, 0.1, "")), True, 0.95, "uncertain", "news", "Titel", [])
+    answers = spark.createDataFrame([row(1, "dach"), row(2, "mars")], schema)
+    arts = spark.createDataFrame([(i, text) for i in (1, 2)], "doc_id long, text string")
+    names = spark.createDataFrame([("Muster AG", "Muster AG")], "company string, alias string")
+    patterns = {k: "zzz" for k in ("context", "depth", "industrial", "sponsor", "activation", "discount", "campaign")}
+    policy = dc.Policy(must_not={"ki_performance": r"\bpilot\b"}, any_topic=r"\b(kunden|handel)\b", value=r"\bergebnis\b", infer=(("customer_insights", r"\bkunden\b"),),
+                       recover={"fmcg_retail_signale": r"\bhandel\b"}, territories=("dach",))
+    fixed = (MARKETING, patterns, {"customer_insights": [r"\bkunden\b"]}, ["ki_performance", "customer_insights"], ["event_participation"])
+    plain = dc.validate_classification(answers, arts, names, *fixed).orderBy("doc_id").collect()
+    assert [([t["id"] for t in r["topics"]], len(r["triggers"]), r["territory"]) for r in plain] == [(["ki_performance"], 0, None)] * 2
+    part = spark.createDataFrame([(1,)], "doc_id long")
+    out = dc.validate_classification(answers, arts, names, *fixed, policy=policy, participation=part).orderBy("doc_id").collect()
+    assert [[t["id"] for t in r["topics"]] for r in out] == [["customer_insights", "fmcg_retail_signale"]] * 2
+    assert [len(r["triggers"]) for r in out] == [1, 0] and [r["territory"] and r["territory"]["id"] for r in out] == ["dach", None]
+    assert all(r["marketing_use"]["publishable"] and r["marketing_use"]["evidence"] == rest.strip() for r in out)
+
+
+def test_directory_pages_and_switches(spark):
+    body = "Der Umsatz der Marke stieg im letzten Jahr deutlich an. " * 30
+    rows = [("Agenda 2026", body), ("Media", body + " latest news "), ("Titel", body + " tel 030 adresse "), ("Media downloads", body + " read more" * 6), ("Titel", body)]
+    got = evaluate(spark, rows, lambda t, x: ql.hard_rejections(t, x, MARKETING, 2026, switched_off=["no_professional_signal"]), ("t", "x"))
+    assert [("event_program" in r, "directory" in r) for r in got] == [(True, False), (False, True), (False, True), (False, True), (False, False)]
+    assert all("no_professional_signal" not in r for r in got)
+
+
 def test_offering_rules_stop_at_the_first_match(spark):
     rules = [catalogue.OfferingRule("a", (r"\bmarke\b",)), catalogue.OfferingRule("b", (r"\bmarke\b|\bpreis\b",), ("t",))]
     pick = lambda active: evaluate(spark, ["Marke", "Preis", "Nichts"], lambda c: catalogue.match_offering(c, F.array(F.lit("t")), rules, active))
