@@ -133,6 +133,12 @@ def postings(docs: DataFrame, grams: Sequence[str], id_col: str = "doc_id", text
     return low.select("doc", F.explode(found).alias("gram"))
 
 
+def _literal(like: DataFrame, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """A table of a few literal rows."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return like.sparkSession.range(1).select(F.inline(F.array(*structs)))
+
+
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """`doc`, `kinds`: which rules' queries hold for which documents. One row per document with a candidate."""
     rows, needed = [], {}
@@ -140,9 +146,8 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         query = trigram_query(rule.pattern)
         needed[rule.kind] = len(query)
         rows += [(rule.kind, s, w, g, len(way)) for s, ways in enumerate(query) for w, way in enumerate(ways) for g in sorted(way)]
-    spark = index.sparkSession
-    clauses = spark.createDataFrame(rows, "kind string, segment int, way int, gram string, need int")  # bounded by the rules
-    whole = spark.createDataFrame(list(needed.items()), "kind string, segments int")
+    clauses = _literal(index, rows, ("kind", "segment", "way", "gram", "need"))  # bounded by the rules
+    whole = _literal(index, list(needed.items()), ("kind", "segments"))
     met = index.join(F.broadcast(clauses), "gram").groupBy("doc", "kind", "segment", "way", "need").agg(F.collect_set("gram").alias("seen"))
     met = met.where(F.size("seen") == F.col("need")).groupBy("doc", "kind").agg(F.collect_set("segment").alias("held"))
     met = met.join(F.broadcast(whole), "kind").where(F.size("held") == F.col("segments"))
