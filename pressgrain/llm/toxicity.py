@@ -290,10 +290,11 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(id_column.cast("string")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows: int = 2500, longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
     """At most `toxic_rows` and `clean_rows` labelled texts of the two classes outside the held-out fold, in the order of a hash of the id.
 
-    An id with several labels counts as toxic if any says so; null ids, texts and labels take no part.
+    So that the sample is bounded in bytes too, texts of more than `longest` characters are not learnt from (all texts
+    are scored). An id with several labels counts as toxic if any says so; null ids, texts and labels take no part.
     """
     marks = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("y")).dropna().where(~held_out(F.col("i")))
     marks = marks.groupBy("i").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
@@ -301,7 +302,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_row
     picked = [marks.where(F.col("y") == y).orderBy(*order).limit(n) for y, n in ((0, clean_rows), (1, toxic_rows))]
     chosen = F.broadcast(picked[0].unionAll(picked[1]))  # toxic_rows + clean_rows rows at most
     own = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"))
-    rows = own.join(chosen, "i").where("t is not null").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy("i").collect()
+    rows = own.join(chosen, "i").where(F.length("t") <= longest).groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy("i").collect()
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
 
