@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressgrain.scale import broadcast_if_small
+
 # Peak hours (UTC) and the price list in USD per million tokens (input, cached input, output).
 PEAK_HOURS = [(1, 4), (6, 10)]
 RATES = [
@@ -40,14 +42,14 @@ def rate_table(spark, rows=RATES) -> DataFrame:
 def rate_lookup(events: DataFrame, catalogue: DataFrame, default: str = DEFAULT_MODEL) -> DataFrame:
     """Add the rates valid at `created_at`; unknown models get those of the default model.
 
-    The catalogue has one row per model and tariff, so it is broadcast; the default falls out of the same join by
+    The catalogue has one row per model and tariff and is broadcast if it is small; the default falls out of the same join by
     rewriting unknown model names against the small list of known ones.
     """
     known = catalogue.select(F.col("model").alias("__known")).distinct()
-    rows = events.join(F.broadcast(known), F.col("model") == F.col("__known"), "left")
+    rows = events.join(broadcast_if_small(known), F.col("model") == F.col("__known"), "left")
     rows = rows.withColumn("__model", F.coalesce("__known", F.lit(default))).withColumn("peak", peak_flag(F.col("created_at")))
     rates = catalogue.withColumnRenamed("model", "__model")
-    return rows.join(F.broadcast(rates), ["__model", "peak"], "left").withColumnRenamed("__model", "rate_model").drop("__known")
+    return rows.join(broadcast_if_small(rates), ["__model", "peak"], "left").withColumnRenamed("__model", "rate_model").drop("__known")
 
 
 def usage_cost(inp: Column, cached: Column, out: Column, thinking: Column,

@@ -79,8 +79,10 @@ def embed_dim(facts: DataFrame, dim: DataFrame, on: str, cols: Sequence[str], na
 
 
 def cross_scalar(totals: DataFrame, detail: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row of `detail`."""
-    return detail.join(F.broadcast(totals.limit(1)), F.lit(True))
+    """Attach a one-row aggregate to every row of `detail`; totals of any other number of rows are an error."""
+    one = totals.agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in totals.columns])
+    one = one.where(F.assert_true(F.col("__n") == 1, "the totals must be one row").isNull()).drop("__n")
+    return detail.join(F.broadcast(one), F.lit(True))
 
 
 def entity_groups(main: Column, mentioned: Column, incidental: Column) -> Column:

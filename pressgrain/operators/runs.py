@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pressgrain.operators.aggregates import stage_totals
 from pressgrain.operators.windows import stage_durations
+from pressgrain.scale import broadcast_if_small
 
 STAGES = ["lesen", "recherchieren", "modell", "pruefen", "bilder", "fuellen"]
 MODEL_STAGE, IMAGE_STAGE = "modell", "bilder"
@@ -132,7 +133,7 @@ def eta_remaining(state: DataFrame, medians: DataFrame) -> DataFrame:
     thinking_chars; null without one) and forecast_ms; `medians` has kind and a map of stage times. The current model
     stage follows its live writing or thinking rate, other stages their median; later stages add theirs.
     """
-    rows = state.join(F.broadcast(medians), "kind", "left")
+    rows = state.join(broadcast_if_small(medians), "kind", "left")
     memo = F.col("kind") == "memo"
     pictures = memo & (F.col("images") != "upload")
     applies = {s: memo if s == "recherchieren" else pictures if s == IMAGE_STAGE else F.lit(True) for s in STAGES}

@@ -538,9 +538,9 @@ def _ranked(t, mode):
     return vw.ranked_view(rows, mode, F.lit("1998-08-02").cast("timestamp"), {"O": 0, "P": 1}, 200).select("id")
 
 
-@query("g02_locale_sort", "select distinct regexp_extract(text,'(\\p{L}+)',1) as word from documents where regexp_extract(text,'(\\p{L}+)',1)<>''")
+@query("g02_locale_sort", "select distinct unnest(regexp_extract_all(text,'\\p{L}+')) as word from documents")
 def _(t):
-    words = t.documents.select(F.regexp_extract("text", r"(\p{L}+)", 1).alias("word")).where("word <> ''").distinct()
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).distinct()
     return vw.locale_sort(words, "word")
 
 

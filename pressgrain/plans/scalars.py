@@ -17,8 +17,7 @@ STOP = ["the", "and", "der", "die", "und", "les", "une", "con"]
 def b14(t):
     docs = t.documents.select("doc_id", "text")
     sent = tx.sentences(F.col("text"))
-    own = docs.select("doc_id", F.posexplode(F.array(F.get(sent, F.lit(0)), F.get(sent, F.lit(2)))).alias("quote_id", "quote"))
-    own = own.where("quote is not null").select("doc_id", F.col("quote_id").cast("long").alias("quote_id"), "quote")
+    own = docs.select("doc_id", F.posexplode(sent).alias("quote_id", "quote")).select("doc_id", F.col("quote_id").cast("long").alias("quote_id"), "quote")
     return evidence.evidence_spans(docs, own)
 
 
@@ -131,14 +130,14 @@ def _semantic(x: str) -> str:
     return f"list_distinct(list_concat({base},{stems}))"
 
 
-OVERLAP_SQL = f"""with j as (select doc_id, item_id, split_part(b.text,'.',1) as claim, d.text as context from documents d join benchmark b on d.doc_id%40=b.item_id),
+OVERLAP_SQL = f"""with j as (select doc_id, item_id, b.text as claim, d.text as context from documents d join benchmark b on d.doc_id%40=b.item_id),
 x as (select doc_id, item_id, {norm('claim')} as c, {norm('context')} as s, list_intersect({_semantic('claim')}, {_semantic('context')}) as shared from j)
 select doc_id, item_id, (length(c)>=4 and contains(s,c)) or len(shared)>=2 or len(list_filter(shared, lambda w: length(w)>=8))>0 as overlaps from x"""
 
 
 @query("b22_semantic_overlap", OVERLAP_SQL)
 def _(t):
-    b = t.benchmark.select("item_id", F.split("text", "[.]")[0].alias("claim"))
+    b = t.benchmark.select("item_id", F.col("text").alias("claim"))
     rows = t.documents.join(b, F.col("doc_id") % 40 == F.col("item_id"))
     return rows.select("doc_id", "item_id", nb.semantic_overlap(F.col("claim"), F.col("text"), STOP).alias("overlaps"))
 

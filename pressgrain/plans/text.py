@@ -126,7 +126,7 @@ def _(t):
 
 @query("b09_keyword_variants", f"""
 with fam(family, variant) as (values ('the','the'),('the','that'),('der','der'),('der','die'),('der','das'),('les','les'),('les','la'),('in','en')),
-kw as (select distinct {norm("split_part(text,' ',1)")} as keyword from documents)
+kw as (select distinct unnest(string_split({norm("text")},' ')) as keyword from documents)
 select keyword, count(*) as n_variants, string_agg(variant, '|' order by variant) as variants from (
   select keyword, keyword as variant from kw where keyword<>'' union
   select kw.keyword, f2.variant from kw join fam f1 on f1.variant=kw.keyword join fam f2 on f2.family=f1.family)
@@ -135,7 +135,7 @@ def _(t):
     families = {"the": ["the", "that"], "der": ["der", "die", "das"], "les": ["les", "la"], "in": ["en"]}
     from pressgrain.operators.entities import keyword_variants
 
-    kw = t.documents.select(tx.norm_text(F.split("text", " ")[0]).alias("keyword")).where("keyword <> ''").distinct()
+    kw = t.documents.select(F.explode(F.split(tx.norm_text(F.col("text")), " ")).alias("keyword")).where("keyword <> ''").distinct()
     out = keyword_variants(kw, families)
     return out.select("keyword", F.size("variants").cast("long").alias("n_variants"),
                       F.array_join(F.array_sort("variants"), "|").alias("variants"))
@@ -170,9 +170,9 @@ PAY = ("of the .*sh|de la .*on", r"\b(and|und|et)\b", r"\b(with|mit|avec)\b", 60
 
 @query("b12_paywall_flag", f"""
 select page_id, (regexp_matches(n,'{PAY[0]}') or (length(trim(h1))<600 and regexp_matches(n,'{PAY[1]}') and regexp_matches(n,'{PAY[2]}'))) as paywall
-from (select page_id, h1, {norm('h1')} as n from (select page_id, regexp_extract(html,'(?s)<article>(.*?)</p>',1) as h1 from pages))""")
+from (select page_id, h1, {norm('h1')} as n from (select page_id, regexp_extract(html,'(?s)<article>(.*)</article>',1) as h1 from pages))""")
 def _(t):
-    part = t.pages.select("page_id", F.regexp_extract("html", "(?s)<article>(.*?)</p>", 1).alias("h1"))
+    part = t.pages.select("page_id", F.regexp_extract("html", "(?s)<article>(.*)</article>", 1).alias("h1"))
     return part.select("page_id", tx.paywall_flag(F.col("h1"), *PAY).alias("paywall"))
 
 
@@ -181,13 +181,13 @@ BENCH_QUOTE = "split_part(b.text, '.', 1)"
 
 @query("b13_evidence_exists", f"""
 with d as (select doc_id, {skeleton('text')} as s from documents),
-q as (select item_id, {skeleton("split_part(text,'.',1)")} as k from benchmark)
-select d.doc_id, q.item_id from d join q on length(q.k)>=12 and contains(d.s, q.k)""")
+q0 as (select item_id, unnest(string_split(text,'.')) as quote from benchmark), q as (select item_id, {skeleton('quote')} as k from q0)
+select distinct d.doc_id, q.item_id from d join q on length(q.k)>=12 and contains(d.s, q.k)""")
 def _(t):
     from pressgrain.operators.evidence import quotes_in_documents
 
-    quotes = t.benchmark.select("item_id", F.split("text", "[.]")[0].alias("quote"))
-    return quotes_in_documents(t.documents.select("doc_id", "text"), quotes).select("doc_id", "item_id")
+    quotes = t.benchmark.select("item_id", F.explode(F.split("text", "[.]")).alias("quote"))
+    return quotes_in_documents(t.documents.select("doc_id", "text"), quotes).select("doc_id", "item_id").distinct()
 
 
 @query("b15_clamp01", """select vec_id, label, round(greatest(0, least(1, embedding[1]*4))::double, 6) as c0,
