@@ -50,12 +50,12 @@ def offering_fit(offering_id: Column, concept_text: Column, text: Column, strict
 
 
 def rank_offerings(articles: DataFrame, offerings: DataFrame, preferred: Mapping[str, Sequence[str]], k: int = 10,
-                   stop: Sequence[str] = (), min_score: int = 10, catalogue_limit: int = 500) -> DataFrame:
+                   stop: Sequence[str] = (), min_score: int = 10, catalogue_limit: int = 500, catalogue_bytes: int = 4 << 20) -> DataFrame:
     """Best `k` offerings per article: family preference, shared words (up to eight) and the literal label.
 
     `articles` has doc_id, text and families; `offerings` has offering_id, label, description and position. A catalogue
-    of at most `catalogue_limit` rows is one array attached to every row, so ranking needs no join per word and no
-    shuffle of articles; a larger one is joined by words and labels with the same result.
+    of at most `catalogue_limit` rows and `catalogue_bytes` bytes of text is broadcast as one array, so ranking needs no
+    join per word and no shuffle of articles; a larger one is joined by words and labels with the same result.
     """
     big = lambda c: F.array_distinct(F.filter(F.split(norm_text(c), " "), lambda w: F.length(w) >= 5))
     words = F.filter(big(F.concat_ws(" ", "label", "description")), lambda w: ~w.isin(*stop) if stop else F.lit(True))
@@ -63,8 +63,9 @@ def rank_offerings(articles: DataFrame, offerings: DataFrame, preferred: Mapping
     table = F.create_map(*[x for f, ids in preferred.items() for x in (F.lit(f), F.array(*[F.lit(i) for i in ids]))])
     wanted = F.flatten(F.transform("families", lambda f: F.coalesce(F.try_element_at(table, f), F.array().cast("array<string>"))))
     rows = articles.select("doc_id", norm_text(F.col("text")).alias("n"), wanted.alias("wanted"))
-    small = offerings.limit(catalogue_limit + 1).count() <= catalogue_limit
-    rank = _rank_by_array if small else _rank_by_joins
+    size = F.octet_length(F.concat_ws(" ", "label", "description"))
+    count, size = offerings.limit(catalogue_limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    rank = _rank_by_array if count <= catalogue_limit and size <= catalogue_bytes else _rank_by_joins
     return rank(rows.withColumn("mine", big(F.col("n"))), catalogue, k, min_score)
 
 
