@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -233,11 +234,10 @@ def train(texts: Sequence[str], labels: Sequence[int], steps: int = 260, batch:
     both classes the network stays untrained and scores every text as 0.
     """
     target = np.array(labels, np.float64)
-    tokens = [t.split() for t in texts]
-    cleaned = [[normal(w) for w in t] for t in tokens]
+    cleaned = [[intern(normal(w)) for w in t.split()] for t in texts]  # each distinct word is held once
     often = Counter(w for t in cleaned for w in set(t))
     net = new_network(sorted(w for w, n in often.items() if n > 3), seed)
-    usable = [k for k, t in enumerate(tokens) if t]
+    usable = [k for k, t in enumerate(cleaned) if t]
     if not usable or len({labels[k] for k in usable}) < 2:
         net.shift[:] = -1e3
         return net
