@@ -13,7 +13,7 @@ import json
 import os
 import re
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -235,20 +235,23 @@ def _settle(step: int, capacity: int):
     return settle
 
 
-def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 4096, loose: float = 0.05) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 4096, loose: float = 0.05, apart: tuple[str, ...] = ()) -> DataFrame:
     """`items` (any columns, `length` from 1 to the capacity) plus `sequence_id` and `offset`, gapless from 0.
 
     Rows of the capacity itself are sequences of their own. The rest is dealt over groups of about `group_rows` rows; the
     bins a group leaves with more than the share `loose` free go into the next round, until they fit one group or no
     longer halve in number. Repeated rows are separate items. An empty table gives an empty result. Rows whose length is
-    null, under 1 or over the capacity raise an error.
+    null, under 1 or over the capacity raise an error. Columns named in `apart` stay out of the rounds and are joined to the
+    places at the end.
     """
     wrong = F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity)
     checked = items.withColumn("length", F.when(wrong, F.raise_error("piece length outside the capacity").cast("long")).otherwise(F.col("length").cast("long")))
     base = saved(checked.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     columns = [c for c in base.columns if c != "__row"]
+    slim = [c for c in columns if c not in apart]
     done = base.where(F.col("length") == capacity).select(*columns, F.col("__row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo = base.where(F.col("length") < capacity).withColumn("__bin", F.lit(None).cast("long"))
+    todo = base.where(F.col("length") < capacity).select(*slim, "__row", F.lit(None).cast("long").alias("__bin"))
+    kept, placed = base.where(F.col("length") < capacity).select("__row", *apart), []
     count, step = todo.count(), 1
     while count:
         groups = max(1, round(count / group_rows))
@@ -261,14 +264,17 @@ def pack(items: DataFrame, capacity: int = 1024, group_rows: int = 4096, loose:
         left = packed.where(is_loose).count() if groups > 1 else 0
         final = left == 0 or left > count / 2
         ready = packed if final else packed.where(~is_loose)
-        done = done.unionByName(ready.select(*columns, F.col("__bin").alias("sequence_id"), "offset"))
+        placed.append(ready.select(*slim, "__row", F.col("__bin").alias("sequence_id"), "offset"))
         if final:
             break
-        todo = packed.where(is_loose).select(*columns, "__row", "__bin")
+        todo = packed.where(is_loose).select(*slim, "__row", "__bin")
         count, step = left, step + 1
+    if placed:
+        rest = reduce(DataFrame.unionByName, placed)
+        done = done.unionByName((rest.join(kept, "__row") if apart else rest).select(*done.columns))
     return done
 
 
 def pack_documents(docs: DataFrame, file: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """`pieces` of all documents packed by `pack`."""
-    return pack(pieces(docs, file, capacity, end_id, id_col, text_col, with_ids), capacity)
+    """`pieces` of all documents packed by `pack`; the ids, if wanted, meet their places after the last round."""
+    return pack(pieces(docs, file, capacity, end_id, id_col, text_col, with_ids), capacity, apart=("ids",) * with_ids)
