@@ -53,9 +53,9 @@ def rank_offerings(articles: DataFrame, offerings: DataFrame, preferred: Mapping
                    stop: Sequence[str] = (), min_score: int = 10, catalogue_limit: int = 500, catalogue_bytes: int = 4 << 20) -> DataFrame:
     """Best `k` offerings per article: family preference, shared words (up to eight) and the literal label.
 
-    `articles` has doc_id, text and families; `offerings` has offering_id, label, description and position. A catalogue
-    of at most `catalogue_limit` rows and `catalogue_bytes` bytes of text is broadcast as one array, so ranking needs no
-    join per word and no shuffle of articles; a larger one is joined by words and labels with the same result.
+    `articles` has doc_id, text and families; `offerings` has offering_id, label, description and position. Articles meet
+    offerings by words and labels, whatever the size of the catalogue: `catalogue_limit` and `catalogue_bytes` are
+    accepted for older callers and have no effect. Equal scores are ordered by position, then by offering_id.
     """
     big = lambda c: F.array_distinct(F.filter(F.split(norm_text(c), " "), lambda w: F.length(w) >= 5))
     words = F.filter(big(F.concat_ws(" ", "label", "description")), lambda w: ~w.isin(*stop) if stop else F.lit(True))
@@ -63,10 +63,7 @@ def rank_offerings(articles: DataFrame, offerings: DataFrame, preferred: Mapping
     table = F.create_map(*[x for f, ids in preferred.items() for x in (F.lit(f), F.array(*[F.lit(i) for i in ids]))])
     wanted = F.flatten(F.transform("families", lambda f: F.coalesce(F.try_element_at(table, f), F.array().cast("array<string>"))))
     rows = articles.select("doc_id", norm_text(F.col("text")).alias("n"), wanted.alias("wanted"))
-    size = F.octet_length(F.concat_ws(" ", "label", "description"))
-    count, size = offerings.limit(catalogue_limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    rank = _rank_by_array if count <= catalogue_limit and size <= catalogue_bytes else _rank_by_joins
-    return rank(rows.withColumn("mine", big(F.col("n"))), catalogue, k, min_score)
+    return _rank_by_joins(rows.withColumn("mine", big(F.col("n"))), catalogue, k, min_score)
 
 
 def _preference(wanted: Column, offering_id: Column) -> Column:
@@ -75,21 +72,6 @@ def _preference(wanted: Column, offering_id: Column) -> Column:
     return F.when(F.array_contains(wanted, offering_id), F.greatest(F.lit(20), F.lit(40) - last)).otherwise(0)
 
 
-def _rank_by_array(rows: DataFrame, catalogue: DataFrame, k: int, min_score: int) -> DataFrame:
-    whole = catalogue.agg(F.collect_list(F.struct("*")).alias("catalogue"))
-    rows = rows.join(F.broadcast(whole), F.lit(True))
-
-    def score(o: Column) -> Column:
-        shared = F.least(F.lit(8), F.size(F.array_intersect(o["words"], F.col("mine"))))
-        label = F.when((F.length(o["label"]) >= 6) & F.contains(F.col("n"), o["label"]), 60).otherwise(0)
-        total = (_preference(F.col("wanted"), o["offering_id"]) + shared * 5 + label).cast("int")
-        return F.struct((-total).alias("neg"), o["position"].alias("position"), o["offering_id"].alias("offering_id"))
-
-    best = F.slice(F.array_sort(F.filter(F.transform("catalogue", score), lambda x: x["neg"] <= -min_score)), 1, k)
-    out = rows.select("doc_id", F.posexplode(best).alias("rank", "b"))
-    return out.select("doc_id", (F.col("rank") + 1).alias("rank"), "b.offering_id", (-F.col("b.neg")).alias("score"))
-
-
 def _rank_by_joins(rows: DataFrame, catalogue: DataFrame, k: int, min_score: int) -> DataFrame:
     from pressgrain.operators.evidence import contained_pairs
     from pressgrain.operators.ranking import top_k
@@ -102,4 +84,4 @@ def _rank_by_joins(rows: DataFrame, catalogue: DataFrame, k: int, min_score: int
     liked = liked.select("doc_id", "offering_id", _preference(F.col("wanted"), F.col("offering_id")).cast("long").alias("points"))
     total = shared.unionByName(named).unionByName(liked).groupBy("doc_id", "offering_id").agg(F.sum("points").cast("int").alias("score"))
     total = total.where(F.col("score") >= min_score).join(catalogue.select("offering_id", "position"), "offering_id")
-    return top_k(total, ["doc_id"], [F.desc("score"), F.asc("position")], k).select("doc_id", "rank", "offering_id", "score")
+    return top_k(total, ["doc_id"], [F.desc("score"), F.asc("position"), F.asc("offering_id")], k).select("doc_id", "rank", "offering_id", "score")

@@ -165,3 +165,14 @@ def test_offering_rank_is_the_same_by_array_and_by_joins(spark):
     large = rank_offerings(arts, offers, pref, 2, catalogue_limit=1)
     want = {(1, 1, "a", 109), (1, 2, "b", 65), (2, 1, "c", 39), (2, 2, "b", 38), (3, 1, "b", 75)}
     assert {tuple(r) for r in small.collect()} == {tuple(r) for r in large.collect()} == want
+
+
+def test_offering_ties_are_broken_by_id(spark):
+    from pressgrain.operators.catalogue import rank_offerings
+
+    arts = spark.createDataFrame([(1, "Markenstrategie", [])], "doc_id long, text string, families array<string>")
+    offers = spark.createDataFrame([(x, 1, "Markenstrategie", "") for x in "dbeac"], "offering_id string, position int, label string, description string")
+    for limit in (500, 1):
+        got = rank_offerings(arts, offers, {"f": ["a"]}, 3, catalogue_limit=limit)
+        assert [r["offering_id"] for r in got.orderBy("rank").collect()] == ["a", "b", "c"]
+        assert "collect_list" not in got._jdf.queryExecution().toString()
