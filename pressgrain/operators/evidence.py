@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pressgrain.functions.text import EVIDENCE_MIN, evidence_skeleton, fold
+from pressgrain.functions.numbers import semantic_tokens
+from pressgrain.functions.text import EVIDENCE_MIN, evidence_skeleton, fold, norm_text
 from pressgrain.scale import broadcast_if_small
 
 
@@ -51,6 +52,31 @@ def quotes_in_documents(docs: DataFrame, quotes: DataFrame, gram: int = EVIDENCE
     return contained_pairs(hays, quotes.select("item_id", evidence_skeleton(F.col("quote")).alias("needle")), gram)
 
 
+def overlapping_pairs(docs: DataFrame, claims: DataFrame, stop: list[str]) -> DataFrame:
+    """All distinct (doc_id, item_id) for which `semantic_overlap` of the claim and the text holds.
+
+    `docs` has doc_id and text, `claims` item_id and claim. Pairs meet on shared tokens by equality, or on a character gram
+    where a text contains the whole claim.
+    """
+    c = claims.select("item_id", norm_text(F.col("claim")).alias("needle"), F.explode_outer(semantic_tokens(F.col("claim"), stop)).alias("token"))
+    words = docs.select("doc_id", F.explode(semantic_tokens(F.col("text"), stop)).alias("token")).distinct()
+    met = words.join(broadcast_if_small(c.select("item_id", "token").where("token is not null").distinct()), "token").groupBy("doc_id", "item_id")
+    shared = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("token")).alias("longest")).where("n >= 2 or longest >= 8")
+    whole = contained_pairs(docs.select("doc_id", norm_text(F.col("text")).alias("hay")), c.select("item_id", "needle").distinct(), 4)
+    return shared.select("doc_id", "item_id").unionByName(whole.select("doc_id", "item_id")).distinct()
+
+
+def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """`doc_id`, `item_id`, `shared`, `score` of all pairs that share a token; every other pair has none and score 0.
+
+    `left` has doc_id and `tokens`, `right` item_id and `tokens`, both of distinct tokens and distinct ids.
+    """
+    a = left.select("doc_id", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
+    b = right.select("item_id", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
+    both = a.join(broadcast_if_small(b), "token").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return both.select("doc_id", "item_id", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("score"))
+
+
 def _letters(text: Column) -> Column:
     """Struct of the folded text with single blanks (`hay`) and the raw offset of each of its characters (`at`).
 

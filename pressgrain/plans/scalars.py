@@ -142,6 +142,15 @@ def _(t):
     return rows.select("doc_id", "item_id", nb.semantic_overlap(F.col("claim"), F.col("text"), STOP).alias("overlaps"))
 
 
+@query("b22_semantic_overlap_pairs", f"""with d as (select doc_id, {norm('text')} as s, {_semantic('text')} as ts from documents),
+b as (select item_id, {norm('text')} as c, {_semantic('text')} as tc from benchmark),
+x as (select doc_id, item_id, c, s, list_intersect(tc, ts) as shared from d, b)
+select doc_id, item_id from x where (length(c)>=4 and contains(s,c)) or len(shared)>=2 or len(list_filter(shared, lambda w: length(w)>=8))>0""")
+def _(t):
+    claims = t.benchmark.select("item_id", F.col("text").alias("claim"))
+    return evidence.overlapping_pairs(t.documents.select("doc_id", "text"), claims, STOP)
+
+
 # Texts with figures, written from the part and order tables.
 PRICE = "replace(cast(cast(p_retailprice as decimal(12,2)) as varchar(20)),'.',',')"
 CLAIM = f"p_size||' % der Kunden zahlten '||{PRICE}||' Euro, vorher '||(p_partkey+1000)||'; '||(p_partkey%7)||' Filialen, Stand 05.08. 2024, '||(case when p_partkey%3=0 then 'siebzig Prozent' when p_partkey%3=1 then 'ein Viertel' else 'zwanzig  Mio.' end)||' mehr'"

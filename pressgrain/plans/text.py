@@ -158,6 +158,17 @@ def _(t):
                        F.round(tx.jaccard(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+@query("b10_token_similarity_pairs", f"""
+with d as (select doc_id, {HEAD_TOKENS.format(h=HEAD_SQL)} as a from documents), b as (select item_id, {HEAD_TOKENS.format(h=HEAD_SQL)} as b from benchmark)
+select doc_id, item_id, len(list_intersect(a,b)) as shared, round(len(list_intersect(a,b))/len(list_distinct(list_concat(a,b))), 6) as score from d, b where len(list_intersect(a,b))>0""")
+def _(t):
+    from pressgrain.operators.evidence import similar_pairs
+
+    head = tx.headline_tokens(tx.canonical_headline(F.split(F.col("text"), "\n")[0], NOISE)).alias("tokens")
+    pairs = similar_pairs(t.documents.select("doc_id", head), t.benchmark.select("item_id", head))
+    return pairs.select("doc_id", "item_id", "shared", F.round("score", 6).alias("score"))
+
+
 @query("b11_select_passages")
 def _(t):
     picked = tx.select_passages(F.col("text"), 1500)

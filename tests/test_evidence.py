@@ -55,3 +55,21 @@ def test_spans_and_segments_equal_brute_force(spark):
             pieces.append((d, k, a, b, sorted({x[1] for x in own if x[2] <= a and x[3] >= b})))
     got = evidence.segments(t, spans).select("doc_id", "segment", "start", "end", "quote_ids").collect()
     assert sorted((tuple(r[:4]), r[4]) for r in got) == sorted((x[:4], x[4]) for x in pieces)
+
+
+def test_overlapping_and_similar_pairs_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from pressgrain.functions import numbers as nb, text as tx
+    from pressgrain.operators.evidence import overlapping_pairs, similar_pairs
+
+    docs = spark.createDataFrame([(1, "Kundenerlebnis und Marke"), (2, "Apfel Birne Tomate"), (3, "Tomate Apfel abcd"), (4, None), (45, "")], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, "Marke"), (77, "Kundenerlebnis"), (150, "Apfel, Tomate"), (199, "abcd"), (201, "")], "item_id long, claim string")
+    every = docs.crossJoin(claims)
+    want = {tuple(r) for r in every.where(nb.semantic_overlap(F.col("claim"), F.col("text"), ["und"])).select("doc_id", "item_id").collect()}
+    got = [tuple(r) for r in overlapping_pairs(docs, claims, ["und"]).collect()]
+    assert {(1, 77), (3, 150), (3, 199)} <= want and sorted(got) == sorted(want)
+    heads = lambda c: tx.headline_tokens(tx.canonical_headline(F.col(c)))
+    scored = every.select("doc_id", "item_id", tx.token_similarity(F.col("text"), F.col("claim")).alias("s")).where("s.shared > 0")
+    pairs = similar_pairs(docs.select("doc_id", heads("text").alias("tokens")), claims.select("item_id", heads("claim").alias("tokens")))
+    assert sorted((r["doc_id"], r["item_id"], r["shared"], r["score"]) for r in pairs.collect()) == sorted((r["doc_id"], r["item_id"], r["s"]["shared"], r["s"]["score"]) for r in scored.collect())
