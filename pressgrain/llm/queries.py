@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import ann, chat, merkle, packing, paragraphs, quality, secrets, sentencepiece, simhash, suffixes, toxicity
+from pressgrain.llm import ann, chat, merkle, packing, paragraphs, quality, secrets, sentencepiece, simhash, suffixes, toxicity, trie
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,10 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a leaf; those of every second checksum are folded without their line ends."""
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
     return merkle.manifest(table(spark, folder, "documents"), {"text": tampered})
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All beginnings that conversations share, where each begins like the first of its twenty."""
+    turns = trie.placed_turns(table(spark, folder, "conversations"))
+    return trie.prefix_trie(*trie.rebuilt(turns))
