@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import ann, chat, merkle, packing, paragraphs, quality, secrets, sentencepiece, simhash, suffixes, toxicity, trie
+from pressgrain.llm import ann, chat, merkle, packing, paragraphs, parity, quality, secrets, sentencepiece, simhash, suffixes, toxicity, trie
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,9 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """All beginnings that conversations share, where each begins like the first of its twenty."""
     turns = trie.placed_turns(table(spark, folder, "conversations"))
     return trie.prefix_trie(*trie.rebuilt(turns))
+
+
+@query
+def op13_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents whose shingle sets have a Jaccard similarity of 0.85 or more."""
+    return parity.similar_documents(table(spark, folder, "documents"))
