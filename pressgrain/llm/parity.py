@@ -10,9 +10,10 @@ blocks are the join keys. A block is kept as the exclusive or of 64-bit values o
 thinly filled. Blocks of fewer than `thin` shingles say little and are no keys. Two similar documents can lack a common
 key only if each has `spare` such blocks; those poor in keys are hashed anew, and again, and at last give all blocks.
 
-Equal sets are one document. In each bucket of a key every member is compared with the smallest one; a bucket's pairs of
-documents that two such rounds leave in different classes are tested by the distance of their sketches, in blocks of
-pairs, and only those within the allowed distance go on. Every link is verified on the sets themselves.
+Equal sets are one document. In each bucket of a key every member is compared with the smallest one, twice. In
+buckets that this leaves in different classes, sketch distances are computed in blocks of pairs: first only as many near
+pairs go on as would join the classes, in the end all that still lie between classes. Pairs that go on are verified on the
+sets themselves.
 """
 
 from __future__ import annotations
@@ -56,8 +57,16 @@ def plan(starts: np.ndarray, part: int = PART, whole: int = WHOLE) -> tuple[np.n
     """Per band: blocks, blocks that similar documents share at least, and the fewest shingles of a block that is a key."""
     largest = np.append(starts[1:], starts[-1] * whole // part + 1) - 1
     distance = allowed(largest + largest * whole // part, part, whole)
-    thin = np.where(largest < 40, 1, np.where(largest < 100, 2, 3))
-    spare = np.where(largest < 40, 2, np.where(largest < 100, 4, 5 + distance // 9))
+    thin = np.where(largest < 60, 1, 2)
+    # As many spare blocks as leave about one in a hundred of the band's smallest sets poor.
+    spare, short = np.full(len(starts), 2), np.ones(len(starts), bool)
+    while short.any():
+        spare[short] += 1
+        blocks = distance + spare
+        mean = starts / blocks
+        bad = np.exp(-mean) * np.where(thin == 1, 1, 1 + mean)
+        short &= blocks * bad + 2.3 * np.sqrt(blocks * bad * (1 - bad)) > spare
+        short &= spare < distance + 2
     return distance + spare, spare, thin
 
 
@@ -154,13 +163,13 @@ def names(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """Parity sketch of one set: four bits a shingle and more, a power of two of 64 and more."""
-    bits = max(64, 1 << int(4 * len(x) - 1).bit_length())
-    odd, count = np.unique(_mix(x, 60) & np.uint64(bits - 1), return_counts=True)
-    out = np.zeros(bits, bool)
-    out[odd[count % 2 == 1].astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+def sketches(x: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity sketches of sets: four bits a shingle and more, a power of two of 64 and more."""
+    bits = np.array([max(64, 1 << int(4 * n - 1).bit_length()) for n in sizes.tolist()], np.int64)
+    ends = np.cumsum(bits)
+    at = (_mix(x, 60) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(ends - bits, sizes)
+    raw = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little").tobytes()
+    return [raw[(e - b) // 8 : e // 8] for b, e in zip(bits.tolist(), ends.tolist())]
 
 
 def folded(raw: bytes, size: int) -> np.ndarray:
@@ -179,11 +188,13 @@ def _marked(id_type: str, words: int, part: int, whole: int):
                 if own not in seen:
                     seen.add(own)
                     fresh[i] = True
-            owner, key = keys(x[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0), part, whole)
+            x, own = x[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0)
+            owner, key = keys(x, own, part, whole)
+            marks = [m if f else None for m, f in zip(sketches(x, own), fresh.tolist())]
             order = np.argsort(owner, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name), pa.array(sizes), lists], ["id", "name", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name), pa.array(sizes), lists, pa.array(marks, pa.binary())], ["id", "name", "n", "keys", "sketch"])
 
     return run
 
@@ -221,35 +232,74 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             x, sizes = shingle_sets(batch.column(0).to_pylist(), words)
-            cuts = np.cumsum(sizes)[:-1]
-            own = np.split(x, cuts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names(x, sizes)), lists, pa.array([sketch(s) for s in own], pa.binary())], ["name", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(names(x, sizes)), lists], ["name", "shingles"])
 
     return run
 
 
-def _near_pairs(part: int, whole: int, rows: int = 256):
-    """Pairs of a task's documents in different classes whose sketches allow them to be similar. `side` tells the chunks of
-    a large bucket apart: pairs are made between them only, 2 is a task of one chunk."""
+def _near(part: int, whole: int):
+    """Those of the pairs (a, b, n, m, x, y) of sizes n, m and sketches x, y that can be similar."""
+
+    def close(n, m, x, y):
+        size = min(len(x), len(y))
+        return np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= allowed(n + m, part, whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [close(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _near_pairs(part: int, whole: int, forest: bool, rows: int = 256):
+    """Pairs of a task's documents in different classes whose sketches allow them to be similar: all of them, or with
+    `forest` only as many as join the classes that they would join. `side` tells the chunks of a large bucket apart: pairs
+    are made between them only, 2 is a task of one chunk."""
+
+    def distances(bits, ok):
+        """Sketch distances where `ok`, a large number elsewhere."""
+        out = np.full(ok.shape, 1 << 40, np.int64)
+        i, j = np.nonzero(ok)
+        for cut in range(0, len(i), 1 << 14):
+            p, q = i[cut : cut + (1 << 14)], j[cut : cut + (1 << 14)]
+            out[p, q] = np.bitwise_count(bits[0][p] ^ bits[1][q]).sum(axis=1, dtype=np.int64)
+        return out
+
+    def chosen(apart, a, b, own, up):
+        """Pairs that join classes, each row with the nearest document of another class, until none can be joined."""
+        while True:
+            left, right = up[own[a]], up[own[b]]
+            apart[left[:, None] == right[None, :]] = 1 << 40
+            best = apart.argmin(axis=1)
+            hits = np.flatnonzero(apart[np.arange(len(a)), best] < 1 << 40)
+            if not len(hits):
+                return
+            for i in hits.tolist():
+                x, y = up[own[a[i]]], up[own[b[best[i]]]]
+                if x != y:
+                    up[up == max(x, y)] = min(x, y)
+                    yield a[i], b[best[i]]
 
     def pairs(names_, sizes, roots, sides, raws):
         small = min(map(len, raws))
         bits = np.stack([folded(r, small) for r in raws])
-        names_, sizes, roots, sides = map(np.array, (names_, sizes, roots, sides))
+        names_, sizes, sides = map(np.array, (names_, sizes, sides))
+        own = np.unique(roots, return_inverse=True)[1]
+        up = np.arange(own.max() + 1)
         for at in range(0, len(names_), rows):
             a = np.arange(at, min(at + rows, len(names_)))
             b = np.arange(at, len(names_))
             limit = allowed(sizes[a][:, None] + sizes[b][None, :], part, whole)
-            ok = (roots[a][:, None] != roots[b][None, :]) & (a[:, None] < b[None, :]) & (np.abs(sizes[a][:, None] - sizes[b][None, :]) <= limit)
+            ok = (up[own[a]][:, None] != up[own[b]][None, :]) & (a[:, None] < b[None, :]) & (np.abs(sizes[a][:, None] - sizes[b][None, :]) <= limit)
             ok &= (sides[a][:, None] != sides[b][None, :]) | (sides[a][:, None] == 2)
-            i, j = np.nonzero(ok)
-            for cut in range(0, len(i), 1 << 14):
-                p, q = a[i[cut : cut + (1 << 14)]], b[j[cut : cut + (1 << 14)]]
-                close = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= allowed(sizes[p] + sizes[q], part, whole)
-                if close.any():
-                    x, y = names_[p[close]], names_[q[close]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            apart = distances((bits[a], bits[b]), ok)
+            apart[apart > limit] = 1 << 40
+            found = list(chosen(apart, a, b, own, up)) if forest else list(zip(*((x[k] for x, k in zip((a, b), np.nonzero(apart < 1 << 40))))))
+            if found:
+                x, y = names_[np.array(found)].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, ([], [], [], [], [])
@@ -267,11 +317,19 @@ def _near_pairs(part: int, whole: int, rows: int = 256):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
-    one = sets.select(F.col("name").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+def _links(pairs: DataFrame, part: int, whole: int, known: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar: sketches first, then the sets of those that are left."""
+    one = known.select(F.col("name").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+    two = known.select(F.col("name").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    near = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y")
+    near = saved(near.mapInArrow(_near(part, whole), "a long, b long"), "near")
+    wanted = saved(near.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(known.select("name", "least"), "name"), "wanted")
+    own = texts.join(wanted.select(F.col("least").alias("__id")).distinct(), F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    # Of rows that share an id some have other sets.
+    sets = own.mapInArrow(_sets(words), "name long, shingles array<long>").join(wanted.select("name"), "name", "left_semi")
+    sets = saved(sets.groupBy("name").agg(F.first("shingles").alias("shingles")), "sets")
+    both = near.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.withColumn("both", F.size(F.array_intersect("x", "y")))
     return both.where(whole * F.col("both") >= part * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
@@ -297,33 +355,29 @@ def similar_documents(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    marked = saved(own.mapInArrow(_marked(kind, words, part, whole), f"id {kind}, name long, n long, keys array<long>"), "marked")
-    dealt = marked.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name")
+    marked = saved(own.mapInArrow(_marked(kind, words, part, whole), f"id {kind}, name long, n long, keys array<long>, sketch binary"), "marked")
+    fresh = marked.where(F.size("keys") > 0)
+    dealt = fresh.select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name")
     buckets = saved(dealt.mapInArrow(_shared, "key long, name long"), "buckets")
-    # Sets of the documents that share a key with another one, each from one of its texts.
-    wanted = buckets.select("name").distinct()
-    first = marked.where(F.size("keys") > 0).join(wanted, "name", "left_semi").groupBy("name").agg(F.min("id").alias("least"))
-    texts = own.join(first.select(F.col("least").alias("__id")).distinct(), F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words), "name long, shingles array<long>, sketch binary").join(wanted, "name", "left_semi")
-    sets = saved(sets.groupBy("name").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")), "sets")
+    # What is known of the documents that share a key with another one.
+    known = fresh.join(buckets.select("name").distinct(), "name", "left_semi").groupBy("name")
+    known = saved(known.agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "known")
     links, open_, tested = None, buckets, []
-    classes = saved(sets.select(F.col("name").alias("node"), F.col("name").alias("root")).limit(0), "classes")
     for _ in range(rounds):
         centres = open_.groupBy("key").agg(F.min("name").alias("a"))
         pairs = open_.join(centres, "key").where("name <> a").select("a", F.col("name").alias("b")).distinct()
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        tested.append(saved(pairs, "pairs"))
-        found = _links(tested[-1], sets, part, whole)
-        links = saved(found if links is None else links.unionByName(found), "links")
+        links = _more(links, pairs, tested, part, whole, known, own, words)
         classes = saved(components(links), "classes")
         rest = open_.join(centres, "key").where("name <> a").select("key", "name")
         open_ = saved(_apart(rest, classes), "open")
-    pairs = saved(_close(open_, classes, sets, part, whole, chunk), "pairs").distinct()
-    for done in tested:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    links = saved(links.unionByName(_links(pairs, sets, part, whole)), "links")
-    classes = components(links)
+    # First as few pairs as join what can be joined, then, between the classes that this leaves, all.
+    for forest in (True, True, False):
+        if not open_.take(1):
+            break
+        pairs = _close(open_, classes, known, part, whole, chunk, forest).distinct()
+        links = _more(links, pairs, tested, part, whole, known, own, words)
+        classes = saved(components(links), "classes")
+        open_ = saved(_apart(open_, classes), "open")
     ends = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
     members = marked.where("n > 0").groupBy("name").agg(F.min("id").alias("least"))
     members = members.join(classes, F.col("name") == F.col("node"), "left").join(ends, "name", "left")
@@ -334,6 +388,15 @@ def similar_documents(
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"))
 
 
+def _more(links: DataFrame | None, pairs: DataFrame, tested: list[DataFrame], part: int, whole: int, known: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The links so far, and those among the pairs that were not tested before."""
+    for done in tested:
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    tested.append(saved(pairs, "pairs"))
+    found = _links(tested[-1], part, whole, known, texts, words)
+    return saved(found if links is None else links.unionByName(found), "links")
+
+
 def _apart(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of the keys whose names are not all in one class."""
     named = rows.join(classes, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("root", "name").alias("root"))
@@ -341,7 +404,7 @@ def _apart(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
-def _close(rows: DataFrame, classes: DataFrame, sets: DataFrame, part: int, whole: int, chunk: int) -> DataFrame:
+def _close(rows: DataFrame, classes: DataFrame, known: DataFrame, part: int, whole: int, chunk: int, forest: bool) -> DataFrame:
     """Pairs of a bucket in different classes whose sketches are close enough. Buckets of more than `chunk` documents are
     dealt into chunks, and each pair of chunks is a task of its own."""
     named = rows.join(classes, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("root", "name").alias("root"))
@@ -350,5 +413,5 @@ def _close(rows: DataFrame, classes: DataFrame, sets: DataFrame, part: int, whol
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "name", "root", side.alias("side"))
-    full = dealt.join(sets.select("name", F.size("shingles").alias("n"), "sketch"), "name").select("task", "name", "n", "root", "side", "sketch")
-    return full.repartition("task").sortWithinPartitions("task").mapInArrow(_near_pairs(part, whole), "a long, b long")
+    full = dealt.join(known.select("name", "n", "sketch"), "name").select("task", "name", "n", "root", "side", "sketch")
+    return full.repartition("task").sortWithinPartitions("task").mapInArrow(_near_pairs(part, whole, forest), "a long, b long")

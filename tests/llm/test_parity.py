@@ -81,8 +81,9 @@ def test_limits_of_similarity_share_a_key():
         for own in (a, b):
             got.append(set(parity.keys(np.sort(own), np.array([len(own)]))[1].tolist()))
         assert got[0] & got[1]
-        small = min(len(parity.sketch(a)), len(parity.sketch(b)))
-        apart = int(np.bitwise_count(parity.folded(parity.sketch(a), small) ^ parity.folded(parity.sketch(b), small)).sum())
+        one, two = parity.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        small = min(len(one), len(two))
+        apart = int(np.bitwise_count(parity.folded(one, small) ^ parity.folded(two, small)).sum())
         assert apart <= len(a) + len(b) - 2 * both <= parity.allowed(np.int64(len(a) + len(b)))
 
 
