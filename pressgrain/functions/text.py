@@ -6,6 +6,7 @@ whitespace classes differ between regex engines on accented text.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 from functools import reduce
@@ -41,7 +42,23 @@ def _folding_table() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 FOLD_FROM, FOLD_TO, FOLD_LONG = _folding_table()
-FOLD_LONG_CLASS = "[" + "".join(char for char, _ in FOLD_LONG) + "]"
+
+
+def _code_ranges(chars: Sequence[str], gap: int = 32) -> str:
+    """A regex class of few ranges that holds all of `chars`; ranges may cover other rare characters between them, but no
+    general punctuation."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code - ranges[-1][1] <= gap and not (ranges[-1][1] < 0x2000 <= code):
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
+FOLD_LONG_CLASS = _code_ranges([char for char, _ in FOLD_LONG])
+# Pairs of one string literal: a map literal of that size would cost hundreds of calls to the JVM in each plan.
+FOLD_LONG_PAIRS = ";".join(f"{char}={plain}" for char, plain in FOLD_LONG)
 
 
 def _replace_all(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -51,7 +68,7 @@ def _replace_all(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
 def fold(col: Column) -> Column:
     """Lower case, compatibility-fold to base letters, ß as ss; punctuation is kept. Plain ASCII is only lower-cased."""
     low = F.lower(col)
-    table = F.create_map(*[F.lit(x) for pair in FOLD_LONG for x in pair])
+    table = F.str_to_map(F.lit(FOLD_LONG_PAIRS), F.lit(";"), F.lit("="))
     one_by_one = F.transform(F.split(low, ""), lambda c: F.when(F.octet_length(c) > 1, F.coalesce(F.try_element_at(table, c), c)).otherwise(c))
     long_forms = F.when(low.rlike(FOLD_LONG_CLASS), F.array_join(one_by_one, "")).otherwise(low)
     folded = F.translate(F.replace(long_forms, F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)
@@ -63,6 +80,15 @@ def norm_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(fold(F.coalesce(col, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+_FOLD_CHARS = {**dict(FOLD_LONG), "ß": "ss", **{c: (FOLD_TO[i] if i < len(FOLD_TO) else "") for i, c in enumerate(FOLD_FROM)}}
+
+
+def norm_literal(text: str) -> str:
+    """`norm_text` of a plan-time literal."""
+    low = "".join(_FOLD_CHARS.get(c, c) for c in text.lower())
+    return re.sub("[^a-z0-9]+", " ", low).strip(" ")
+
+
 def evidence_skeleton(col: Column) -> Column:
     """Letters and digits only, umlauts and broken characters deleted on both sides of a comparison."""
     cleared = F.translate(_replace_all(F.lower(col), [("ß", "ss")]), "äöü�", "")
@@ -126,7 +152,8 @@ def canonical_headline(col: Column, noise: Sequence[str] = HEADLINE_NOISE) -> Co
 def contains_term(norm: Column, term: Column | str) -> Column:
     """Whole-phrase match of a term in folded text; an empty term never matches."""
     if isinstance(term, str):
-        term = F.lit(term)
+        t = norm_literal(term)
+        return F.contains(F.concat(F.lit(" "), norm, F.lit(" ")), F.lit(f" {t} ")) if t else F.lit(False)
     t = norm_text(term)
     return (t != "") & F.contains(F.concat(F.lit(" "), norm, F.lit(" ")), F.concat(F.lit(" "), t, F.lit(" ")))
 
