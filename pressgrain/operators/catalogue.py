@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgrain.functions.text import norm_text
+from pressgrain.operators.retrieval import long_words, top_entries
 
 
 @dataclass(frozen=True)
@@ -50,38 +51,18 @@ def offering_fit(offering_id: Column, concept_text: Column, text: Column, strict
 
 
 def rank_offerings(articles: DataFrame, offerings: DataFrame, preferred: Mapping[str, Sequence[str]], k: int = 10,
-                   stop: Sequence[str] = (), min_score: int = 10, catalogue_limit: int = 500, catalogue_bytes: int = 4 << 20) -> DataFrame:
+                   stop: Sequence[str] = (), min_score: int = 10, shard_words: int = 2_000_000) -> DataFrame:
     """Best `k` offerings per article: family preference, shared words (up to eight) and the literal label.
 
-    `articles` has doc_id, text and families; `offerings` has offering_id, label, description and position. Articles meet
-    offerings by words and labels, whatever the size of the catalogue: `catalogue_limit` and `catalogue_bytes` are
-    accepted for older callers and have no effect. Equal scores are ordered by position, then by offering_id.
+    `articles` has doc_id, text and families; `offerings` has offering_id, label, description and position. An article
+    carries its best offerings past the shards of an index of the catalogue (`retrieval`), so neither pairs of articles and
+    offerings nor texts are shuffled. Equal scores are ordered by position, then by offering_id.
     """
-    big = lambda c: F.array_distinct(F.filter(F.split(norm_text(c), " "), lambda w: F.length(w) >= 5))
-    words = F.filter(big(F.concat_ws(" ", "label", "description")), lambda w: ~w.isin(*stop) if stop else F.lit(True))
+    words = long_words(norm_text(F.concat_ws(" ", "label", "description")))
+    words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
     catalogue = offerings.select("offering_id", "position", norm_text(F.col("label")).alias("label"), words.alias("words"))
-    table = F.create_map(*[x for f, ids in preferred.items() for x in (F.lit(f), F.array(*[F.lit(i) for i in ids]))])
-    wanted = F.flatten(F.transform("families", lambda f: F.coalesce(F.try_element_at(table, f), F.array().cast("array<string>"))))
-    rows = articles.select("doc_id", norm_text(F.col("text")).alias("n"), wanted.alias("wanted"))
-    return _rank_by_joins(rows.withColumn("mine", big(F.col("n"))), catalogue, k, min_score)
-
-
-def _preference(wanted: Column, offering_id: Column) -> Column:
-    """40 for the first preferred offering down to 20; a later mention overwrites an earlier one."""
-    last = F.size(wanted) - F.array_position(F.reverse(wanted), offering_id)
-    return F.when(F.array_contains(wanted, offering_id), F.greatest(F.lit(20), F.lit(40) - last)).otherwise(0)
-
-
-def _rank_by_joins(rows: DataFrame, catalogue: DataFrame, k: int, min_score: int) -> DataFrame:
-    from pressgrain.operators.evidence import contained_pairs
-    from pressgrain.operators.ranking import top_k
-
-    by_word = rows.select("doc_id", F.explode("mine").alias("word")).join(catalogue.select("offering_id", F.explode("words").alias("word")), "word")
-    shared = by_word.groupBy("doc_id", "offering_id").agg((F.least(F.lit(8), F.count(F.lit(1))) * 5).alias("points"))
-    labels = contained_pairs(rows.select("doc_id", F.col("n").alias("hay")), catalogue.select(F.col("offering_id").alias("item_id"), F.col("label").alias("needle")), 6)
-    named = labels.select("doc_id", F.col("item_id").alias("offering_id"), F.lit(60).cast("long").alias("points")).distinct()
-    liked = rows.select("doc_id", "wanted", F.explode(F.array_distinct("wanted")).alias("offering_id"))
-    liked = liked.select("doc_id", "offering_id", _preference(F.col("wanted"), F.col("offering_id")).cast("long").alias("points"))
-    total = shared.unionByName(named).unionByName(liked).groupBy("doc_id", "offering_id").agg(F.sum("points").cast("int").alias("score"))
-    total = total.where(F.col("score") >= min_score).join(catalogue.select("offering_id", "position"), "offering_id")
-    return top_k(total, ["doc_id"], [F.desc("score"), F.asc("position"), F.asc("offering_id")], k).select("doc_id", "rank", "offering_id", "score")
+    pairs = [x for f, ids in preferred.items() for x in (F.lit(f), F.array(*[F.lit(i) for i in ids]))]
+    kind = offerings.schema["offering_id"].dataType
+    none = F.array().cast(f"array<{kind.simpleString()}>")
+    wanted = F.flatten(F.transform("families", lambda f: F.coalesce(F.try_element_at(F.create_map(*pairs), f), none))) if pairs else none
+    return top_entries(articles.select("doc_id", norm_text(F.col("text")).alias("n"), wanted.alias("wanted")), catalogue, k, min_score, shard_words)

@@ -358,6 +358,19 @@ def _(t):
     return catalogue.rank_offerings(rows, off, PREFERRED, 3)
 
 
+ITEM_LABEL = "split_part(text,' ',1)||' '||split_part(text,' ',2)||' '||split_part(text,' ',3)"
+
+
+@query("c24_rank_benchmark", f"""with cat as (select item_id as offering_id, item_id as position, {norm(ITEM_LABEL)} as label, list_distinct(list_filter(string_split({norm(f"{ITEM_LABEL}||' '||text")},' '), lambda w: length(w)>=5)) as ws from benchmark),
+d as (select doc_id, n, list_distinct(list_filter(string_split(n,' '), lambda x: length(x)>=5)) as mine from (select doc_id, {norm('text')} as n from documents)),
+p as (select doc_id, offering_id, position, least(8,len(list_intersect(ws,mine)))*5 + (case when length(label)>=6 and contains(n,label) then 60 else 0 end) as score from d, cat),
+rk as (select *, row_number() over (partition by doc_id order by score desc, position) as rank from p where score>=10) select doc_id, rank, offering_id, score::int as score from rk where rank<=10""")
+def _(t):
+    label = F.concat_ws(" ", F.slice(F.split("text", " "), 1, 3))
+    items = t.benchmark.select(F.col("item_id").alias("offering_id"), F.col("item_id").alias("position"), label.alias("label"), F.col("text").alias("description"))
+    return catalogue.rank_offerings(t.documents.select("doc_id", "text", F.array().cast("array<string>").alias("families")), items, {})
+
+
 OFFERINGS = [{"id": "off_ring", "pillar": "Round", "label": "small ring"}, {"id": "off_bolt", "pillar": "Long", "label": "blue bolt"}, {"id": "off_gear", "pillar": "Round", "label": "hot gear"}]
 LABELS = "case p_partkey%4 when 0 then p_name when 1 then 'Round: Small Ring + '||p_name when 2 then 'Leistung: '||p_name||' ; blue bolt' else 'off_gear' end"
 

@@ -153,7 +153,7 @@ def test_plans_avoid_cross_joins_of_tables(spark):
         assert "CartesianProduct" not in buf.getvalue() and "NestedLoopJoin" not in buf.getvalue(), name
 
 
-def test_offering_rank_is_the_same_by_array_and_by_joins(spark):
+def test_offering_rank_is_the_same_in_one_shard_and_in_many(spark):
     from pressgrain.operators.catalogue import rank_offerings
 
     arts = spark.createDataFrame([(1, "Die Markenstrategie braucht Positionierung und Kundenerlebnis", ["f"]), (2, "Ganz anderes Thema ohne Bezug", ["g"]), (3, "Kundenerlebnis und Touchpoints steuern", [])],
@@ -162,7 +162,7 @@ def test_offering_rank_is_the_same_by_array_and_by_joins(spark):
                                    "offering_id string, position int, label string, description string")
     pref = {"f": ["c", "a"], "g": ["b", "c", "b"]}
     small = rank_offerings(arts, offers, pref, 2)
-    large = rank_offerings(arts, offers, pref, 2, catalogue_limit=1)
+    large = rank_offerings(arts, offers, pref, 2, shard_words=1)
     want = {(1, 1, "a", 109), (1, 2, "b", 65), (2, 1, "c", 39), (2, 2, "b", 38), (3, 1, "b", 75)}
     assert {tuple(r) for r in small.collect()} == {tuple(r) for r in large.collect()} == want
 
@@ -172,7 +172,62 @@ def test_offering_ties_are_broken_by_id(spark):
 
     arts = spark.createDataFrame([(1, "Markenstrategie", [])], "doc_id long, text string, families array<string>")
     offers = spark.createDataFrame([(x, 1, "Markenstrategie", "") for x in "dbeac"], "offering_id string, position int, label string, description string")
-    for limit in (500, 1):
-        got = rank_offerings(arts, offers, {"f": ["a"]}, 3, catalogue_limit=limit)
+    for limit in (500, 7):
+        got = rank_offerings(arts, offers, {"f": ["a"]}, 3, shard_words=limit)
         assert [r["offering_id"] for r in got.orderBy("rank").collect()] == ["a", "b", "c"]
         assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def _slow_rank(texts, entries, k, least):
+    out = []
+    for doc, text, wanted in texts:
+        scored = []
+        for name, position, label, own in entries:
+            last = max((i for i, w in enumerate(wanted) if w == name), default=None)
+            score = 5 * min(8, len({w for w in text.split(" ")} & set(own))) + (60 if len(label) >= 6 and label in text else 0)
+            score += 0 if last is None else max(20, 40 - last)
+            if score >= least:
+                scored.append((-score, position, name))
+        out += [(doc, r + 1, name, -s) for r, (s, _, name) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+def test_top_entries_equal_all_pairs(spark):
+    import random
+
+    from pressgrain.operators.retrieval import top_entries
+
+    for seed, vocabulary, shard in ((1, 30, 10_000), (2, 200, 90), (3, 12, 400)):
+        rng = random.Random(seed)
+        words = [f"word{i:03d}" for i in range(vocabulary)]
+        entries = [(f"e{i}", rng.randrange(5), rng.choice(words) + rng.choice(["", " " + rng.choice(words)]), sorted({rng.choice(words) for _ in range(rng.randint(0, 14))})) for i in range(150)]
+        texts = [(d, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 60]))), [f"e{rng.randrange(200)}" for _ in range(rng.choice([0, 0, 1, 30]))]) for d in range(60)]
+        cat = spark.createDataFrame(entries, "offering_id string, position int, label string, words array<string>")
+        rows = spark.createDataFrame(texts, "doc_id long, n string, wanted array<string>")
+        got = top_entries(rows, cat, 4, 10, shard, 16)
+        assert sorted(map(tuple, got.collect())) == sorted(_slow_rank(texts, entries, 4, 10))
+    assert top_entries(rows, cat.limit(0), 4, 10).count() == 0
+
+
+def test_a_catalogue_of_fifty_thousand(spark):
+    """Chunks that cannot beat the best entries are skipped, and no row per document and offering is made."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from pressgrain.operators.retrieval import top_entries
+
+    own = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda x: F.concat(F.lit("word"), F.pmod(F.xxhash64("id", x), F.lit(20_000)).cast("string")))
+    cat = spark.range(50_000).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("offering_id"), F.col("id").alias("position"), F.concat(F.lit("label "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("label"), F.array_distinct(own).alias("words"))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda x: F.concat(F.lit("word"), F.pmod(F.xxhash64("id", x + 77), F.lit(20_000)).cast("string"))), " ")
+    texts = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(text, F.lit(" label "), F.lpad((F.col("id") * 20 + 9_000).cast("string"), 6, "0")).alias("n"), F.array().cast("array<string>").alias("wanted"))
+    began = time.time()
+    got = top_entries(texts, cat, 3, 10).collect()
+    assert time.time() - began < 60
+    assert len(got) == 6_000
+    assert all(r["score"] >= 60 and r["offering_id"] == f"o{r['doc_id'] * 20 + 9_000}" for r in got if r["rank"] == 1)
+    entries = {r["offering_id"]: (r["position"], set(r["words"])) for r in cat.collect()}
+    for d in texts.where("doc_id in (0, 777, 1999)").collect():
+        mine = set(d["n"].split(" "))
+        scored = sorted((-(5 * min(8, len(mine & w)) + (60 if f"label {p:06d}" in d["n"] else 0)), p) for p, w in entries.values())[:3]
+        assert [(-r["score"], entries[r["offering_id"]][0]) for r in sorted(got, key=lambda r: r["rank"]) if r["doc_id"] == d["doc_id"]] == scored
