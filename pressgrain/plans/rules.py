@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pressgrain.functions import text as tx
 from pressgrain.operators import catalogue, decisions as dc, dedup, entities, quality as ql, rules as rl, views as vw
+from pressgrain.operators.rule_index import match_rule_table
 from pressgrain.plans import fixtures as fx
 from pressgrain.plans.flagship import QUALITY_CTE
 from pressgrain.plans.registry import query
@@ -520,6 +522,32 @@ def _(t):
     return rl.match_rules(t.documents, FIXTURE.families, "doc_id", "text")
 
 
+# One rule of whole words, one of a beginning with a context, and one without a fixed word, per benchmark item.
+RULES_SQL = f"""items as (select item_id, list_filter(string_split({norm('text')},' '), lambda w: length(w)>=4) as w from benchmark),
+rules as (select item_id*3 as rule_id, '\\b('||w[1]||'|'||w[2]||')\\b' as trigger_, null as context from items where len(w)>=4
+ union all select item_id*3+1, '\\b'||substr(w[3],1,5)||'\\w*', '\\b('||w[4]||' |'||w[1]||')' from items where len(w)>=4
+ union all select item_id*3+2, substr(w[4],1,2)||'[aeiou]+n', w[2] from items where len(w)>=4)"""
+
+
+def _rule_table(t):
+    w = F.filter(F.split(tx.norm_text(F.col("text")), " "), lambda x: F.length(x) >= 4)
+    items = t.benchmark.select("item_id", w.alias("w")).where(F.size("w") >= 4)
+    word = lambda i: F.col("w")[i - 1]
+    lit = F.lit
+    kinds = [
+        (F.concat(lit(r"\b("), word(1), lit("|"), word(2), lit(r")\b")), lit(None).cast("string")),
+        (F.concat(lit(r"\b"), F.substring(word(3), 1, 5), lit(r"\w*")), F.concat(lit(r"\b("), word(4), lit(" |"), word(1), lit(")"))),
+        (F.concat(F.substring(word(4), 1, 2), lit("[aeiou]+n")), word(2)),
+    ]
+    each = F.array(*[F.struct((F.col("item_id") * 3 + i).alias("rule_id"), a.alias("trigger"), b.alias("context")) for i, (a, b) in enumerate(kinds)])
+    return items.select(F.explode(each).alias("r")).select("r.*")
+
+
+@query("d10_match_rule_table", f"with {RULES_SQL}, x as (select doc_id, {norm('text')} as n from documents) select doc_id, rule_id from x, rules where regexp_matches(n, trigger_) and (context is null or regexp_matches(n, context))")
+def _(t):
+    return match_rule_table(t.documents, _rule_table(t), "doc_id", "text")
+
+
 @query("d12_near_duplicates", f"""with h as (select doc_id, {HEAD_TOKENS.format(h=HEAD_SQL)} as tk from documents), u as (select list_sort(tk) as tk, min(doc_id) as doc_id from h where len(tk)>0 group by 1),
 p as (select a.doc_id as l, b.doc_id as r from u a join u b on a.doc_id<b.doc_id and len(list_intersect(a.tk,b.tk))>=3 and len(list_intersect(a.tk,b.tk))/len(list_distinct(list_concat(a.tk,b.tk)))>=0.6),
 best as (select r, min(l) as l from p group by 1), rep as (select h.doc_id, u.doc_id as same from h join u on u.tk=list_sort(h.tk))
