@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressgrain.operators import aggregates as ag, tables as tb
+from pressgrain.operators.keyed_table import KeyedTable
 from pressgrain.plans import fixtures as fx
 from pressgrain.plans.registry import query
 from pressgrain.plans.reports import LEDGER_SELECT, LEDGER_SQL, _stamped
+from pressgrain.session import work_folder
 from pressgrain.sources import pages as pg
 from pressgrain.sources.registry import source_policy
 
@@ -120,6 +122,39 @@ def _(t):
     return tb.delete_using(t.events.select("event_id"), t.events.where("event_type = 'error' and value > 100"), ["event_id"])
 
 
+def _stored(t, rows, keys):
+    return KeyedTable(t.spark, work_folder(t.spark, "keyed")).create(rows, keys)
+
+
+@query("a08_upsert_stored", f"with n as ({NEW_CUST}) select * from n union all select c_custkey, c_name, c_acctbal from customer where c_custkey not in (select c_custkey from n)")
+def _(t):
+    table = _stored(t, _cust(t), ["c_custkey"])
+    table.upsert(_new(t))
+    return table.read()
+
+
+@query("a09_insert_ignore_stored", f"with n as ({NEW_CUST}) select c_custkey, c_name, c_acctbal from customer union all select * from n where c_custkey not in (select c_custkey from customer)")
+def _(t):
+    table = _stored(t, _cust(t), ["c_custkey"])
+    table.insert_ignore(_new(t))
+    return table.read()
+
+
+@query("a10_update_from_stored", "with s as (select l_orderkey, max(l_extendedprice) as m, case when count(*)>3 then 'X' end as st from lineitem group by 1) select o_orderkey, coalesce(m, o_totalprice) as o_totalprice, coalesce(st, o_orderstatus) as o_orderstatus from orders left join s on l_orderkey=o_orderkey")
+def _(t):
+    s = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("o_totalprice"), F.when(F.count(F.lit(1)) > 3, "X").alias("o_orderstatus"))
+    table = _stored(t, t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), ["o_orderkey"])
+    table.update_from(s, ["o_totalprice", "o_orderstatus"])
+    return table.read()
+
+
+@query("a11_delete_using_stored", "select event_id, value from events where event_id not in (select event_id from events where event_type='error' and value>100)")
+def _(t):
+    table = _stored(t, t.events.select("event_id", "value"), ["event_id"])
+    table.delete_using(t.events.where("event_type = 'error' and value > 100"))
+    return table.read()
+
+
 CHANGED = "ts::date in (select distinct ts::date from events where value>300)"
 
 
