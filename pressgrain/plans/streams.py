@@ -66,8 +66,8 @@ select user_id, epoch_us(ts) as last_us, epoch_us(next_at) as next_us from g whe
 def _(t):
     base = work_folder(t.spark, "silent")
     out = st.silent_runs(st.file_stream(t.spark, t.folder, "events"), "user_id", "ts", 7_200)
-    st.run_available(out, st.append_batches(f"{base}/out"), f"{base}/progress")
-    rows = st.settled(t.spark.read.parquet(f"{base}/out"), "last_us")
+    st.run_available(out.changes, st.append_batches(f"{base}/out"), f"{base}/progress")
+    rows = out.results(t.spark, f"{base}/out", f"{base}/progress")
     return rows.select(F.col("key").alias("user_id"), "last_us", "next_us")
 
 
@@ -79,8 +79,8 @@ def _(t):
     base = work_folder(t.spark, "pulses")
     ev = st.file_stream(t.spark, t.folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     out = st.stream_pulses(ev, "user_id", "ts", "event_type", "k", "event_id")
-    st.run_available(out, st.append_batches(f"{base}/out"), f"{base}/progress")
-    rows = st.settled(t.spark.read.parquet(f"{base}/out"), "phase")
+    st.run_available(out.changes, st.append_batches(f"{base}/out"), f"{base}/progress")
+    rows = out.results(t.spark, f"{base}/out", f"{base}/progress")
     return rows.select(F.col("key").alias("user_id"), "phase", "since_us", "last_us", "value", "pulses", "is_open")
 
 
@@ -89,8 +89,8 @@ def _(t):
     base = work_folder(t.spark, "incidents")
     ev = st.file_stream(t.spark, t.folder, "events").withColumn("down", F.col("event_type") == "error")
     out = st.stream_incidents(ev, "user_id", "ts", "down", "event_id")
-    st.run_available(out, st.append_batches(f"{base}/out"), f"{base}/progress")
-    return st.settled(t.spark.read.parquet(f"{base}/out"), "started_us").select(F.col("key").alias("user_id"), "started_us", "resolved_us")
+    st.run_available(out.changes, st.append_batches(f"{base}/out"), f"{base}/progress")
+    return out.results(t.spark, f"{base}/out", f"{base}/progress").select(F.col("key").alias("user_id"), "started_us", "resolved_us")
 
 
 @query("i07_retention", "select event_id from events where ts >= timestamp '2024-02-05' - interval 30 day")

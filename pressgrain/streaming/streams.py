@@ -2,16 +2,17 @@
 
 Additive results (ledgers, counters) are written as one partial result per micro-batch under `batch_id=N`; a retried
 batch overwrites its own folder, so every batch counts exactly once without keyed state. Operators that need order per
-key keep as state the rows that the watermark has not passed yet, and a few values besides.
+key append rows to list states per time bucket until the watermark has passed them, and keep one small value besides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from pressgrain.operators import tables
 from pressgrain.operators.aggregates import LEDGER_KEYS, TOKENS, ledger_keys, ledger_measures
@@ -83,48 +84,127 @@ def _with_micros(stream: DataFrame, key: str, ts: str, cols: Sequence[str]) -> D
     return stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts)).alias("us"), *cols)
 
 
-def _in_event_time(rows: DataFrame, delay: str, order: Sequence[str], fold: Callable, still_open: Callable, out: str, state: str) -> DataFrame:
-    """Fold each key's rows in event-time order, whatever order they arrive in within the watermark.
+RING = 8
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Rows wait as state until the watermark has passed them. Every turn of a key puts out what is final (`is_final`), and
-    what would follow if nothing else came: the rows that still wait folded in, and what is open after them. Turns of a
-    key are numbered; `settled` keeps the final rows and the provisional ones of the last turn.
+
+class _Buckets(StatefulProcessor):
+    """Keeps each key's rows in a ring of list states, one per time bucket, until the watermark has passed the bucket.
+
+    New rows are appended to the lists of their buckets and nothing else is written. A timer at the end of a bucket folds
+    its rows, in event-time order, into one small value, puts out what is final, and empties the list.
     """
-    names = [c.split(" ")[0] for c in out.split(", ")]
-    held = ["us", *order, *[c for c in rows.columns if c not in ("key", "ts", "us", *order)]]
 
-    def step(k, batches, store):
-        import pickle
+    def __init__(self, fold: Callable, width_us: int, row: str, value: str, out: Sequence[str]):
+        self.fold, self.width, self.row, self.value, self.out = fold, width_us, row, value, list(out)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", self.value)
+        self.lists = [handle.getListState(f"rows_{i}", self.row) for i in range(RING)]
+
+    def handleInputRows(self, key, rows, timerValues):
+        for batch in rows:
+            batch = batch[[c.split(" ")[0] for c in self.row.split(", ")]]
+            for bucket, part in batch.groupby(batch["us"] // self.width):
+                self.lists[int(bucket) % RING].appendList([_plain(r) for r in part.itertuples(index=False, name=None)])
+                self.handle.registerTimer((int(bucket) + 1) * self.width // 1000)
+        return iter(())
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        values, waiting, turn = pickle.loads(store.get[0]) if store.exists else (None, [], 0)
-        for batch in [] if store.hasTimedOut else batches:
-            waiting += list(batch[held].itertuples(index=False, name=None))
-        waiting.sort(key=lambda row: row[: 1 + len(order)])
-        passed = store.getCurrentWatermarkMs() * 1000
-        ready = [row for row in waiting if row[0] < passed]
-        waiting = waiting[len(ready) :]
-        values, final = fold(values, ready)
-        after, soon = fold(values, waiting)
-        turn += 1
-        found = [(k[0], turn, True, *row) for row in final] + [(k[0], turn, False, *row) for row in [*soon, *still_open(after)]]
-        store.update((pickle.dumps((values, waiting, turn)),))
-        if waiting:
-            store.setTimeoutTimestamp(max(waiting[0][0] // 1000, store.getCurrentWatermarkMs()) + 1)
-        frame = pd.DataFrame(found or [(k[0], turn, False, *[None] * len(names))], columns=["key", "turn", "is_final", *names])
-        yield frame.astype({c: "Int64" for c, kind in (x.split(" ") for x in out.split(", ")) if kind == "long"})
-
-    schema = f"key long, turn long, is_final boolean, {out}"
-    marked = rows.withWatermark("ts", delay)
-    return marked.groupBy("key").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def settled(changes: DataFrame, first: str) -> DataFrame:
-    """Final rows, and the provisional ones of each key's last turn. `first` is a column that is null in empty turns."""
-    last = changes.groupBy("key").agg(F.max("turn").alias("__last"))
-    rows = changes.join(last, "key").where(F.col("is_final") | (F.col("turn") == F.col("__last")))
-    return rows.where(F.col(first).isNotNull()).drop("__last", "turn")
+        bucket = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.width - 1
+        held = self.lists[bucket % RING]
+        rows = [tuple(r) for r in held.get()] if held.exists() else []
+        # A row far ahead of the watermark shares its list with an earlier bucket.
+        own, later = ([r for r in rows if (r[0] // self.width == bucket) == here] for here in (True, False))
+        value, final = self.fold(_known(self.folded.get()) if self.folded.exists() else None, sorted(own))
+        if value is not None:
+            self.folded.update(value)
+        elif self.folded.exists():
+            self.folded.clear()
+        held.clear()
+        if later:
+            held.put(later)
+        if final:
+            yield pd.DataFrame([(key[0], *f) for f in final], columns=["key", *self.out])
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(row: tuple) -> tuple:
+    """A row's values as Python's own types, with None for what is missing."""
+    return tuple(None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in row)
+
+
+def _known(row) -> tuple | None:
+    """A stored value; None if nothing was stored."""
+    return None if row is None or all(x is None for x in row) else tuple(row)
+
+
+@dataclass
+class EventTimeFold:
+    """A fold of each key's rows in event-time order. `changes` is the stream of final results; `results` adds those that
+    are still open, read from the state of the stream's checkpoint."""
+
+    rows: DataFrame
+    fold: Callable
+    still_open: Callable
+    width_us: int
+    row: str
+    value: str
+    out: str
+
+    @property
+    def changes(self) -> DataFrame:
+        spark = self.rows.sparkSession
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        # Python's state takes no nulls in the names of a row; values may be null.
+        names = [c.split(" ")[0] for c in self.out.split(", ")]
+        step = _Buckets(self.fold, self.width_us, self.row, self.value, names)
+        return self.rows.groupBy("key").transformWithStateInPandas(step, f"key long, {self.out}", outputMode="append", timeMode="EventTime")
+
+    def open_results(self, spark: SparkSession, checkpoint: str) -> DataFrame:
+        """What would follow if nothing else came: the rows that still wait folded in, and what is open after them."""
+        state = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+        names = [c.split(" ")[0] for c in self.row.split(", ")]
+        waiting = None
+        for i in range(RING):
+            part = state(f"rows_{i}").select("key.key", *(F.col(f"list_element.{c}").alias(c) for c in names))
+            waiting = part if waiting is None else waiting.unionByName(part)
+        known = [c.split(" ")[0] for c in self.value.split(", ")]
+        values = state("folded").select("key.key", *(F.col(f"value.{c}").alias(c) for c in known))
+        out = [c.split(" ")[0] for c in self.out.split(", ")]
+        fold, still_open = self.fold, self.still_open
+
+        def follow(key, left, right):
+            import pandas as pd
+
+            own = [_plain(r) for r in right[known].astype(object).itertuples(index=False, name=None)]
+            rows = sorted(_plain(r) for r in left[names].astype(object).itertuples(index=False, name=None))
+            after, soon = fold(_known(own[0]) if own else None, rows)
+            return pd.DataFrame([(key[0], *f) for f in [*soon, *still_open(after)]], columns=["key", *out])
+
+        return waiting.groupBy("key").cogroup(values.groupBy("key")).applyInPandas(follow, f"key long, {self.out}")
+
+    def results(self, spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+        """Final rows that the stream has written to `path`, and the open ones."""
+        final = spark.read.parquet(path).drop("batch_id").withColumn("is_final", F.lit(True))
+        return final.unionByName(self.open_results(spark, checkpoint).withColumn("is_final", F.lit(False)))
+
+
+def _seconds(delay: str) -> float:
+    """Length of an interval of fixed length such as `10 minutes`."""
+    number, unit = delay.split()
+    return float(number) * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.rstrip("s")]
+
+
+def _in_event_time(rows: DataFrame, delay: str, fold: Callable, still_open: Callable, row: str, value: str, out: str) -> EventTimeFold:
+    """Buckets are a quarter of the delay wide, so that the ring holds all rows up to one delay ahead of the watermark."""
+    width = max(1_000, int(_seconds(delay) * 250_000) // 1_000 * 1_000)
+    return EventTimeFold(rows.withWatermark("ts", delay), fold, still_open, width, row, value, out)
 
 
 def thin_beats(beats: DataFrame, limit_us: int) -> DataFrame:
@@ -142,26 +222,25 @@ def thin_beats(beats: DataFrame, limit_us: int) -> DataFrame:
     return beats.mapInPandas(thin, "key long, ts timestamp, us long")
 
 
-def silent_runs(stream: DataFrame, key: str, ts: str, threshold_s: int = 180, delay: str = "10 minutes") -> DataFrame:
+def silent_runs(stream: DataFrame, key: str, ts: str, threshold_s: int = 180, delay: str = "10 minutes") -> EventTimeFold:
     """(key, last_us, next_us) per silence: between two heartbeats further apart than the threshold, and after the last
-    heartbeat of a key (null). Read it through `settled`."""
+    heartbeat of a key (null)."""
     limit = threshold_s * 1_000_000
 
     def fold(last, rows):
         closed = []
         for (us,) in rows:
-            if last is not None and us - last > limit:
-                closed.append((last, us))
-            last = us
+            if last is not None and us - last[0] > limit:
+                closed.append((last[0], us))
+            last = (us,)
         return last, closed
 
     rows = thin_beats(_with_micros(stream, key, ts, []), limit)
-    return _in_event_time(rows, delay, [], fold, lambda last: [] if last is None else [(last, None)], "last_us long, next_us long", "held binary")
+    return _in_event_time(rows, delay, fold, lambda last: [] if last is None else [(last[0], None)], "us long", "last_us long", "last_us long, next_us long")
 
 
-def stream_pulses(stream: DataFrame, key: str, ts: str, phase: str, value: str, order: str, delay: str = "10 minutes") -> DataFrame:
-    """Merged pulses: phase, since, last time, last value, count and whether the pulse may go on (`is_open`). Read it
-    through `settled`."""
+def stream_pulses(stream: DataFrame, key: str, ts: str, phase: str, value: str, order: str, delay: str = "10 minutes") -> EventTimeFold:
+    """Merged pulses: phase, since, last time, last value, count and whether the pulse may go on (`is_open`)."""
     def fold(current, rows):
         closed = []
         for us, _, p, v in rows:
@@ -174,26 +253,26 @@ def stream_pulses(stream: DataFrame, key: str, ts: str, phase: str, value: str,
         return current, closed
 
     rows = _with_micros(stream, key, ts, [F.col(order).alias("position"), F.col(phase).alias("phase"), F.col(value).alias("value")])
-    out = "phase string, since_us long, last_us long, value long, pulses long, is_open boolean"
-    return _in_event_time(rows, delay, ["position"], fold, lambda current: [(*current, True)] if current else [], out, "held binary")
+    kept = "phase string, since_us long, last_us long, value long, pulses long"
+    row = "us long, position long, phase string, value long"
+    return _in_event_time(rows, delay, fold, lambda current: [(*current, True)] if current else [], row, kept, f"{kept}, is_open boolean")
 
 
-def stream_incidents(stream: DataFrame, key: str, ts: str, down: str, order: str, delay: str = "10 minutes") -> DataFrame:
-    """(key, started_us, resolved_us) per incident, from the first down row to the next up row (null while open). Read it
-    through `settled`."""
+def stream_incidents(stream: DataFrame, key: str, ts: str, down: str, order: str, delay: str = "10 minutes") -> EventTimeFold:
+    """(key, started_us, resolved_us) per incident, from the first down row to the next up row (null while open)."""
     def fold(started, rows):
         closed = []
         for us, _, is_down in rows:
             if is_down and started is None:
-                started = us
+                started = (us,)
             elif not is_down and started is not None:
-                closed.append((started, us))
+                closed.append((started[0], us))
                 started = None
         return started, closed
 
     rows = _with_micros(stream, key, ts, [F.col(order).alias("position"), F.col(down).alias("down")])
     out = "started_us long, resolved_us long"
-    return _in_event_time(rows, delay, ["position"], fold, lambda started: [] if started is None else [(started, None)], out, "held binary")
+    return _in_event_time(rows, delay, fold, lambda started: [] if started is None else [(started[0], None)], "us long, position long, down boolean", "started_us long", out)
 
 
 def resume_analysis(articles: DataFrame, done: DataFrame, key: str, stage_hash: str) -> DataFrame:

@@ -66,9 +66,9 @@ def shuffled_events(spark, folder, n=5):
     return ev
 
 
-def settled(spark, stream, path, first):
-    st.run_available(stream, st.append_batches(f"{path}/out"), f"{path}/cp")
-    return st.settled(spark.read.parquet(f"{path}/out"), first)
+def settled(spark, fold, path, first):
+    st.run_available(fold.changes, st.append_batches(f"{path}/out"), f"{path}/cp")
+    return fold.results(spark, f"{path}/out", f"{path}/cp").where(F.col(first).isNotNull())
 
 
 @pytest.mark.parametrize("files", [split_events, shuffled_events])
@@ -144,3 +144,16 @@ def test_ledger_total_equals_event_total(spark):
     folder = "/root/testdata/sf0.001"
     ledger = entry.queries()["e02_daily_ledger"](spark, folder)
     assert ledger.agg(F.sum("request_count")).first()[0] == spark.read.parquet(f"{folder}/events.parquet").count()
+
+
+def test_state_written_per_turn_follows_the_new_rows(spark, tmp_path):
+    """One hot key: a turn must not rewrite what waits from the turns before."""
+    files = [[(1, f"10:{m:02d}:{s:02d}", "view") for m in range(i * 2, i * 2 + 2) for s in range(60)] for i in range(5)]
+    write_files(spark, tmp_path / "in", files)
+    live = st.stream_pulses(stream_of(spark, tmp_path / "in"), "user_id", "ts", "event_type", "event_id", "event_id", "1 hour")
+    q = live.changes.writeStream.option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(st.append_batches(f"{tmp_path}/out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(written) == 5 and max(written) <= 120 + 20
+    got = live.results(spark, f"{tmp_path}/out", f"{tmp_path}/cp").collect()
+    assert [(r["pulses"], r["is_open"], r["is_final"]) for r in got] == [(600, True, False)]
