@@ -46,6 +46,12 @@ def _anchor(alias):
     return F.element_at(F.array_sort(F.transform(F.split(alias, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
 
 
+def alias_words(aliases: DataFrame, min_chars: int = 3) -> DataFrame:
+    """Distinct (company, alias) in folded form with the alias's longest word."""
+    alias = aliases.select("company", norm_text(F.col("alias")).alias("alias")).where(F.length("alias") >= min_chars).distinct()
+    return alias.withColumn("word", _anchor(F.col("alias")))
+
+
 def match_aliases(texts: DataFrame, aliases: DataFrame, min_chars: int = 3) -> DataFrame:
     """(doc_id, company, alias) for every alias that occurs as a whole phrase in the folded text.
 
@@ -54,8 +60,7 @@ def match_aliases(texts: DataFrame, aliases: DataFrame, min_chars: int = 3) -> D
     """
     from pressgrain.scale import broadcast_if_small
 
-    alias = aliases.select("company", norm_text(F.col("alias")).alias("alias")).where(F.length("alias") >= min_chars).distinct()
-    alias = alias.withColumn("word", _anchor(F.col("alias"))).withColumn("single", ~F.contains("alias", F.lit(" ")))
+    alias = alias_words(aliases, min_chars).withColumn("single", ~F.contains("alias", F.lit(" ")))
     docs = texts.select("doc_id", norm_text(F.col("text")).alias("n"))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("n", " "))).alias("word"))
     hits = words.join(broadcast_if_small(alias), "word").select("doc_id", "company", "alias", "single")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pressgrain.plans import registry
 
-MODULES = ["text", "scalars", "reports", "rules", "storage", "streams"]
+MODULES = ["text", "scalars", "reports", "rules", "storage", "streams", "sqlforms"]
 
 
 def load():

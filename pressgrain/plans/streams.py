@@ -110,19 +110,16 @@ H1 = "regexp_extract(html,'(?s)<h1>(.*?)</h1>',1)"
 BODY = "regexp_replace(regexp_extract(html,'(?s)<article>(.*?)</article>',1),'<[^>]+>',' '{g})"
 
 
-@query("i09_stream_signals", f"""with pa0 as (select page_id, {H1} as title, {BODY.format(g=",'g'")} as content, regexp_replace(lower(regexp_extract(url,'^[a-z]+://([^/?#:]+)',1)),'^www\\.','') as host from pages),
+@query("i09_stream_signals", f"""with {fx.COMPANIES_SQL}, pa0 as (select page_id, {H1} as title, {BODY.format(g=",'g'")} as content, regexp_replace(lower(regexp_extract(url,'^[a-z]+://([^/?#:]+)',1)),'^www\\.','') as host from pages),
 pa as (select page_id, length(trim(trim(title)||chr(10)||trim(content))) as len, {norm('title')} as t, {norm("title||chr(10)||content")} as n, host from pa0),
 pb as (select *, {m('n', FIXTURE.patterns['sensitive'])} as sens, case when len<220 then 'too_short' when {m('t', FIXTURE.patterns['sensitive'])} then 'sensitive' end as r0 from pa),
-pc as (select *, case when r0 is null then {_families_sql('n', 't', 'host', 'sens')} else []::varchar[] end as families from pb)
-select page_id, array_to_string(families,',') as families, case when r0 is not null then r0 when len(families)=0 then 'no_signal_pattern' end as reject from pc""")
+pc as (select *, case when r0 is null then {_families_sql('n', 't', 'host', 'sens')} else []::varchar[] end as families from pb),
+named as (select page_id, string_agg(distinct company, ',' order by company) as companies from pa join aliases on length(alias)>=3 and contains(' '||n||' ', ' '||alias||' ') group by 1)
+select page_id, array_to_string(families,',') as families, case when r0 is not null then r0 when len(families)=0 then 'no_signal_pattern' end as reject, coalesce(companies,'') as companies from pc left join named using (page_id)""")
 def _(t):
     base = work_folder(t.spark, "signals")
-
-    def to_articles(df):
-        return df.selectExpr("page_id as doc_id", "url", r"regexp_extract(html,'(?s)<h1>(.*?)</h1>',1) as title", BODY.format(g="") + " as content")
-
-    out = st.stream_signals(st.file_stream(t.spark, t.folder, "pages"), to_articles, FIXTURE, f"{base}/out", f"{base}/progress")
-    return out.select(F.col("doc_id").alias("page_id"), F.array_join("families", ",").alias("families"), "reject")
+    out = st.stream_signals(st.file_stream(t.spark, t.folder, "pages"), FIXTURE, fx.aliases(t), f"{base}/out", f"{base}/progress")
+    return out.select(F.col("doc_id").alias("page_id"), F.array_join("families", ",").alias("families"), "reject", F.array_join("companies", ",").alias("companies"))
 
 
 @query("i10_stream_backlog", """select case o_orderstatus when 'F' then 'done' when 'O' then 'queued' else 'running' end as status, (o_custkey%5)::int as attempts, count(*) as n,

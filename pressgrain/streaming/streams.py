@@ -280,15 +280,33 @@ def resume_analysis(articles: DataFrame, done: DataFrame, key: str, stage_hash:
     return articles.join(done.select(key, stage_hash), [key, stage_hash], "left_anti")
 
 
-def stream_signals(pages: DataFrame, to_articles: Callable[[DataFrame], DataFrame], pack, path: str, checkpoint: str) -> DataFrame:
-    """New pages through extraction and prefilter; each batch lands once, families and reject reason per page."""
-    from pressgrain.operators.rules import prefilter
-
-    def sink(df: DataFrame, batch_id: int) -> None:
-        append_batches(path)(prefilter(to_articles(df), pack), batch_id)
+def signal_rows(pages: DataFrame, pack, aliases: DataFrame) -> DataFrame:
+    """Signals of pages as a stateless stream: pages through extraction and prefilter, their words joined to the aliases.
 
-    run_available(pages, sink, checkpoint)
-    return pages.sparkSession.read.parquet(path)
+    One row per page with families and reject reason and a null company, and one per alias that its text holds as a whole
+    phrase. The aliases are the static side of a stream-static join on their longest word.
+    """
+    from pressgrain.functions.text import norm_text
+    from pressgrain.operators.entities import alias_words
+    from pressgrain.operators.rules import prefilter
+    from pressgrain.scale import broadcast_if_small
+    from pressgrain.sources.pages import extract_articles
+
+    articles = extract_articles(pages).withColumnRenamed("page_id", "doc_id")
+    articles = articles.withColumn("norm", norm_text(F.concat_ws("\n", "title", "content")))
+    rows = prefilter(articles, pack, keep=["norm"]).drop("companies")
+    # The empty word stands for the page itself.
+    words = rows.withColumn("word", F.explode(F.array_union(F.array(F.lit("")), F.split("norm", " "))))
+    met = words.join(broadcast_if_small(alias_words(aliases)), "word", "left")
+    held = F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))
+    return met.where((F.col("word") == "") | held).select("doc_id", "families", "reject", "company")
+
+
+def stream_signals(pages: DataFrame, pack, aliases: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Families, companies and reject reason per page of a stream, as `prefilter` gives them for a batch of pages."""
+    run_available(signal_rows(pages, pack, aliases), append_batches(path), checkpoint)
+    rows = pages.sparkSession.read.parquet(path)
+    return rows.groupBy("doc_id").agg(F.first("families").alias("families"), F.first("reject").alias("reject"), F.array_sort(F.collect_set("company")).alias("companies"))
 
 
 def stream_backlog(jobs: DataFrame, as_of, path: str, checkpoint: str, stale_hours: int = 2) -> DataFrame:
