@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressgrain.operators.aggregates import stage_totals
-from pressgrain.operators.windows import stage_durations
+from pressgrain.operators.dedup import written
+from pressgrain.operators.ranking import top_k
+from pressgrain.operators.windows import MIN_STAGE_MS
 from pressgrain.scale import broadcast_if_small
 
 STAGES = ["lesen", "recherchieren", "modell", "pruefen", "bilder", "fuellen"]
@@ -20,45 +21,93 @@ def _half_even(col: Column) -> Column:
     return F.rint(col).cast("long")
 
 
-def _pool_summary(pool: DataFrame, logs: DataFrame) -> DataFrame:
-    """One row of totals and the map of stage times over a pool of at most a few runs."""
-    totals = pool.agg(
-        F.count(F.lit(1)).alias("sample_count"), _half_even(F.percentile("duration_ms", 0.5)).alias("median_ms"),
-        _half_even(F.percentile("duration_ms", 0.75)).alias("p75_ms"), _half_even(F.percentile("total_tokens", 0.5)).alias("median_tokens"))
-    mine = logs.join(F.broadcast(pool.select("run_id")), "run_id", "left_semi")
-    segs = stage_durations(mine.where(F.col("event") == "stage").where(F.col("stage").isin(*STAGES)), pool)
-    per = stage_totals(segs, ["run_id"], MODEL_STAGE).where(F.col("stage") != IMAGE_STAGE).select("stage", "dur")
-    img = mine.groupBy("run_id").agg(F.max(F.when(F.col("event") == "images_done", F.col("t"))).alias("done"),
-                                     F.min(F.when(F.col("event") == "image_start", F.col("t"))).alias("start"))
-    img = img.select(F.lit(IMAGE_STAGE).alias("stage"), (F.col("done") - F.col("start")).alias("dur")).where(F.col("dur").between(*IMAGE_RANGE))
-    med = union_stages(per, img).groupBy("stage").agg(_half_even(F.percentile("dur", 0.75)).alias("ms"))
-    stages = med.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "ms")))).alias("stages"))
-    return totals.join(F.broadcast(stages), F.lit(True))
-
-
 def union_stages(stages: DataFrame, images: DataFrame) -> DataFrame:
     return stages.unionByName(images)
 
 
-def duration_forecast(runs: DataFrame, logs: DataFrame, kind: str, params: dict[str, object] | None = None,
-                      n: int = 15, min_n: int = 3) -> DataFrame:
+def run_stages(runs: DataFrame, logs: DataFrame) -> DataFrame:
+    """(run_id, stages): time per stage of each of a few runs, in one pass over their logs.
+
+    A stage lasts to the next one of its run or to the run's end, at least 200 ms; the model stage adds up, of the others
+    the longest counts, images last from the first start to the last end. Runs of a pool last 20 minutes at most, so the
+    log of one fits a task.
+    """
+    rows = logs.join(broadcast_if_small(runs.select("run_id", "duration_ms")), "run_id")
+    staged = (F.col("event") == "stage") & F.col("stage").isin(*STAGES)
+    rows = rows.where(staged | F.col("event").isin("image_start", "images_done")).withColumn("__staged", staged)
+    nxt = F.lead("t").over(Window.partitionBy("run_id", "__staged").orderBy("t", "event_id"))
+    rows = rows.withColumn("dur", F.when(F.col("__staged"), F.greatest(F.lit(MIN_STAGE_MS), F.coalesce(nxt, F.col("duration_ms")) - F.col("t"))))
+    times = {s: (F.sum if s == MODEL_STAGE else F.max)(F.when(F.col("stage") == s, F.col("dur"))) for s in STAGES if s != IMAGE_STAGE}
+    image = F.max(F.when(F.col("event") == "images_done", F.col("t"))) - F.min(F.when(F.col("event") == "image_start", F.col("t")))
+    times[IMAGE_STAGE] = F.when(image.between(*IMAGE_RANGE), image)
+    per = rows.groupBy("run_id").agg(*[c.cast("long").alias(s) for s, c in times.items()])
+    return per.select("run_id", _stage_map({s: F.col(s) for s in times}).alias("stages"))
+
+
+def _stage_map(times: dict[str, Column]) -> Column:
+    """Map of the stages that have a time, by name."""
+    entries = F.array(*[F.struct(F.lit(s).alias("key"), times[s].alias("value")) for s in sorted(times)])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
+def _newest() -> list[Column]:
+    return [F.desc("created_at"), F.desc("run_id")]
+
+
+def merge_pool(pool: DataFrame | None, runs: DataFrame, logs: DataFrame, params: Sequence[str], n: int = 15) -> DataFrame:
+    """The newest `n` usable runs per kind and values of `params`, with their stage times: those kept so far, and new ones.
+
+    A newest-n table of a union is that of the tables' newest n, so the pool can be kept batch by batch, and a run that
+    comes late finds its place. Only the logs of runs that enter are read. A run is given once; if it is in the pool
+    already, the pool's row stays.
+    """
+    cols = ["run_id", "kind", *params, "created_at", "duration_ms", "total_tokens"]
+    fresh = runs.where((F.col("status") == "done") & F.col("duration_ms").between(*DURATION_RANGE)).select(*cols)
+    known = None if pool is None else pool.select("run_id")
+    fresh = fresh if known is None else fresh.join(known, "run_id", "left_anti")
+    fresh = written(top_k(fresh, ["kind", *params], _newest(), n, "__rank").drop("__rank"), "newest")
+    fresh = fresh.join(run_stages(fresh, logs), "run_id", "left")
+    both = fresh if pool is None else pool.unionByName(fresh)
+    return top_k(both, ["kind", *params], _newest(), n, "__rank").drop("__rank")
+
+
+def forecast_of_pool(pool: DataFrame, kind: str, params: dict[str, object] | None = None, n: int = 15, min_n: int = 3) -> DataFrame:
     """Median and p75 of the newest similar runs and their stages; too few exact matches widen the pool to the kind.
 
-    Both pools are planned and the row is chosen by count, so the driver takes no decision between jobs. Pools hold at
-    most `n` runs, which bounds every broadcast here.
+    One pass over the pool and one row, whatever is in it: the driver takes no decision between jobs.
     """
-    base = runs.where((F.col("status") == "done") & F.col("duration_ms").between(*DURATION_RANGE) & (F.col("kind") == kind))
-    exact = base
+    exact = F.lit(True)
     for name, value in (params or {}).items():
         if value is not None:
-            exact = exact.where(F.col(name) == value)
-    newest = lambda df: df.orderBy(F.desc("created_at"), F.desc("run_id")).limit(n)
-    a = _pool_summary(newest(exact), logs).select(F.struct("*").alias("exact"))
-    b = _pool_summary(newest(base), logs).select(F.struct("*").alias("wide"))
-    both = a.join(F.broadcast(b), F.lit(True))
-    enough = F.col("exact.sample_count") >= min_n
-    scope = F.when(enough, "exact").when(F.col("exact.sample_count") > 0, "mixed").otherwise("kind")
-    return both.select(F.when(enough, F.col("exact")).otherwise(F.col("wide")).alias("f"), scope.alias("scope")).select("f.*", "scope")
+            exact = exact & F.coalesce(F.col(name) == value, F.lit(False))
+    rows = top_k(pool.where(F.col("kind") == kind).withColumn("exact", exact), ["exact"], _newest(), n, "__rank")
+    rows = rows.withColumn("wide", F.row_number().over(Window.partitionBy("kind").orderBy(*_newest())) <= n)
+
+    def summary(use: Column) -> list[Column]:
+        mine = lambda c: F.when(use, c)
+        times = {s: _half_even(F.percentile(mine(F.try_element_at("stages", F.lit(s))), 0.75)) for s in STAGES}
+        return [
+            F.count_if(use).alias("sample_count"), _half_even(F.percentile(mine(F.col("duration_ms")), 0.5)).alias("median_ms"),
+            _half_even(F.percentile(mine(F.col("duration_ms")), 0.75)).alias("p75_ms"), _half_even(F.percentile(mine(F.col("total_tokens")), 0.5)).alias("median_tokens"),
+            _stage_map(times).alias("stages"),
+        ]
+
+    one = rows.agg(F.struct(*summary(F.col("exact"))).alias("e"), F.struct(*summary(F.col("wide"))).alias("w"))
+    enough = F.col("e.sample_count") >= min_n
+    scope = F.when(enough, "exact").when(F.col("e.sample_count") > 0, "mixed").otherwise("kind")
+    return one.select(F.when(enough, F.col("e")).otherwise(F.col("w")).alias("f"), scope.alias("scope")).select("f.*", "scope")
+
+
+def duration_forecast(runs: DataFrame, logs: DataFrame, kind: str, params: dict[str, object] | None = None,
+                      n: int = 15, min_n: int = 3) -> DataFrame:
+    """`forecast_of_pool` over all runs: the runs and the logs are read once each."""
+    used = [name for name, value in (params or {}).items() if value is not None]
+    wanted = F.lit(True)
+    for name in used:
+        wanted = wanted & F.coalesce(F.col(name) == params[name], F.lit(False))
+    # Two groups are enough for one forecast: runs that match, and the others.
+    mine = runs.where(F.col("kind") == kind).withColumn("matches", wanted)
+    return forecast_of_pool(merge_pool(None, mine, logs, ["matches"], n), kind, {"matches": True}, n, min_n)
 
 
 def pace_rows(pulses: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pressgrain.functions import cost
 from pressgrain.functions.text import norm_text
 from pressgrain.operators import aggregates as ag, joins as jn, runs as rn, windows as wn
+from pressgrain.operators.dedup import written
 from pressgrain.operators.ranking import newest_per_key, top_k
 from pressgrain.plans import fixtures as fx
 from pressgrain.plans.registry import query
@@ -304,6 +305,17 @@ def _(t):
     return _forecast(t, {"images": "none", "n_events": 99999})
 
 
+@query("e16_forecast_kept_pool", forecast_sql("and images='auto'"))
+def _(t):
+    # The pool is kept in three batches by run id, so that newer and older runs arrive in any order.
+    runs, logs = fx.run_tables(t)
+    pool = None
+    for batch in range(3):
+        pool = written(rn.merge_pool(pool, runs.where(F.pmod(F.xxhash64("run_id"), F.lit(3)) == batch), logs, ["images"]), "pool")
+    f = rn.forecast_of_pool(pool, "memo", {"images": "auto"})
+    return f.withColumn("stages", F.array_join(F.transform(F.map_entries("stages"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
 PULSE_SQL = f"""{fx.RUN_LOG_SQL}, chg as (select *, case when lag(phase) over w is distinct from phase then 1 else 0 end as c from log_rows window w as (partition by run_id order by t, event_id)),
 isl as (select *, sum(c) over (partition by run_id order by t, event_id) as island from chg),
 pulses as (select run_id, island, any_value(phase) as phase, min(t) as since, max(t) as t, arg_max(chars,(t,event_id)) as chars, count(*) as pulses from isl group by 1,2)"""
@@ -552,6 +564,7 @@ def eta_state(t):
 def eta(t):
     runs, logs = fx.run_tables(t)
     segs = ag.stage_totals(wn.stage_durations(logs, runs), ["run_id"], "modell").join(runs.select("run_id", "kind"), "run_id")
+    segs = written(segs.select("kind", "stage", "dur"), "segments")
     med = ag.to_object(ag.percentiles(segs, ["kind", "stage"], "dur", [0.75], 10_000.0), ["kind"], "stage", "value").withColumnRenamed("object", "stages")
     return rn.eta_remaining(eta_state(t), med)
 

@@ -231,3 +231,25 @@ def test_a_catalogue_of_fifty_thousand(spark):
         mine = set(d["n"].split(" "))
         scored = sorted((-(5 * min(8, len(mine & w)) + (60 if f"label {p:06d}" in d["n"] else 0)), p) for p, w in entries.values())[:3]
         assert [(-r["score"], entries[r["offering_id"]][0]) for r in sorted(got, key=lambda r: r["rank"]) if r["doc_id"] == d["doc_id"]] == scored
+
+
+def test_a_kept_pool_gives_the_forecast_of_all_runs(spark):
+    """Batches in any order, late runs and repeated batches; at most two scans of the pool's tables."""
+    import random
+
+    from pressgrain.operators import runs as rn
+    from pressgrain.operators.dedup import written
+
+    rng = random.Random(3)
+    runs = [(i, rng.choice(["memo", "post"]), rng.choice(["done", "done", "error"]), rng.choice(["a", "b", None]), f"2024-01-{rng.randint(1, 28):02d}", rng.choice([5_000, 9_000, 40_000, 70_123]), rng.randrange(9_000)) for i in range(300)]
+    logs = [(r[0], i * 1_000 + r[0], rng.choice(["stage", "stage", "image_start", "images_done"]), rng.choice(rn.STAGES), rng.randrange(9_000)) for r in runs for i in range(rng.choice([0, 3, 9]))]
+    rows = spark.createDataFrame(runs, "run_id long, kind string, status string, images string, created_at string, duration_ms long, total_tokens long")
+    log = spark.createDataFrame(logs, "run_id long, event_id long, event string, stage string, t long")
+    pool = None
+    for batch in (2, 0, 1, 0):
+        pool = written(rn.merge_pool(pool, rows.where(f"run_id % 3 = {batch}"), log, ["images"], 6), "pool")
+    for kind in ("memo", "post", "none"):
+        for params in ({}, {"images": "a"}, {"images": None}, {"images": "zz"}):
+            kept = rn.forecast_of_pool(pool, kind, params, 6)
+            assert kept.collect() == rn.duration_forecast(rows, log, kind, params, 6).collect()
+            assert kept._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
