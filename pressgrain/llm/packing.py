@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgrain.llm.common import KnownWords, saved, slices
+from pressgrain.llm.common import saved, slices
 
 #: The public pre-tokenizer of this kind of vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,33 +56,109 @@ class ByteBpe:
         byte = {c: b for b, c in letter.items()}
         ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if not re.fullmatch("|".join(added) or "(?!)", piece)}
         self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kept = KnownWords(self._words, KEPT_WORDS)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
+        self.kept = _Known(self._words, KEPT_WORDS)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        fast = self.fast.encode_ordinary
-        if max(map(max, filter(None, words)), default="") < "ɐ":
-            ids = list(map(fast, words))
-        else:
-            ids = [fast(w) if not w or max(w) < "ɐ" else self.whole.encode(w, add_special_tokens=False).ids for w in words]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, count.sum()), count
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """One id array per text; null counts as empty."""
+        """Ids of all words in one array, and how many each has.
+
+        Words that begin with a blank, end with none and have common letters are encoded as one text: no pre-token crosses
+        the blank before a word, so the bytes of the ids tell where each word ends.
+        """
+        joins = [len(w) > 1 and w[0] == " " and not w[-1].isspace() for w in words]
+        if max(map(max, filter(None, words)), default="") >= "ɐ":
+            joins = [j and max(w) < "ɐ" for j, w in zip(joins, words)]
+        together = [w for w, j in zip(words, joins) if j]
+        flat = self.fast.encode_to_numpy("".join(together)).astype(np.int32) if together else np.empty(0, np.int32)
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in together), np.int64, len(together)))
+        stops = np.searchsorted(np.cumsum(self.sizes[flat]), ends, "right")
+        count = np.zeros(len(words), np.int64)
+        count[np.array(joins, bool)] = np.diff(stops, prepend=0)
+        if len(together) == len(words):
+            return flat, count
+        alone = [k for k, j in enumerate(joins) if not j]
+        parts = [self._alone(words[k]) for k in alone]
+        count[alone] = [len(p) for p in parts]
+        out = np.empty(count.sum(), np.int32)
+        own = np.repeat(np.array(joins, bool), count)
+        out[own] = flat
+        out[~own] = [i for p in parts for i in p]
+        return out, count
+
+    def _alone(self, word: str) -> list[int]:
+        return self.fast.encode_ordinary(word) if not word or max(word) < "ɐ" else self.whole.encode(word, add_special_tokens=False).ids
+
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each has; null counts as empty."""
         plain = [not t or not self.odd.search(t) for t in texts]
         words = []
         for text, simple in zip(texts, plain):
-            if not text or not simple:
-                words.append([])
-                continue
-            first, *rest = text.split(" ")
-            words.append([first, *[" " + w for w in rest]] if first else [" " + w for w in rest])
+            own = text.split(" ") if text and simple else []
+            # Words are known by what follows their blank; a text's first word has none and gets a mark instead.
+            if own and own[0]:
+                own[0] = FIRST + own[0]
+            elif own:
+                del own[0]
+            words.append(own)
         flat, count = self.kept.ids(words)
-        out = np.split(flat, np.cumsum(count)[:-1])
-        for i, simple in enumerate(plain):
-            if not simple:
-                out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.int32)
-        return out
+        odd = [i for i, simple in enumerate(plain) if not simple]
+        if not odd:
+            return flat, count
+        parts = np.split(flat, np.cumsum(count)[:-1])
+        for i in odd:
+            parts[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """One id array per text; null counts as empty."""
+        flat, count = self.flat(texts)
+        return np.split(flat, np.cumsum(count)[:-1])
+
+
+FIRST = "\ud800"  # half a surrogate pair stands in no valid text
+
+
+class _Numbers(dict):
+    """Numbers of words in order of first sight; new ones are noted."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = number = len(self)
+        return number
+
+
+class _Known:
+    """Ids of the words that this worker has seen, each encoded once; starts anew beyond `limit` words."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers, self.pool = _Numbers(), np.empty(0, np.int32)
+        self.starts, self.lens = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.numbers) > self.limit:
+            self._reset()
+        sizes = [len(words) for words in texts]
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        if self.numbers.fresh:
+            fresh = [w[1:] if w.startswith(FIRST) else " " + w for w in self.numbers.fresh]
+            self.numbers.fresh = []
+            flat, count = self.encode(fresh)
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(count) - count])
+            self.lens = np.concatenate([self.lens, count])
+            self.pool = np.concatenate([self.pool, flat])
+        lens = self.lens[at]
+        before = np.cumsum(lens) - lens
+        flat = self.pool[np.arange(lens.sum()) + np.repeat(self.starts[at] - before, lens)]
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *sizes])]
+        return flat, np.diff(ends)
 
 
 @lru_cache(maxsize=2)
@@ -100,16 +177,18 @@ def pieces(docs: DataFrame, file: str, capacity: int = 1024, end_id: int = 2, id
     def run(batches):
         bpe = vocabulary(file)
         for batch in slices(batches, rows):
-            source, piece, start, length, crc, kept = [], [], [], [], [], []
-            for row, ids in enumerate(bpe.encode(batch.column(1).to_pylist())):
-                ids = np.append(ids, end_id).astype("<u4")
-                cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                raw = ids.tobytes()
+            own, count = bpe.flat(batch.column(1).to_pylist())
+            ends = np.cumsum(count + 1)
+            ids = np.full(int(ends[-1]) if len(ends) else 0, end_id, "<u4")
+            ids[np.arange(len(own)) + np.repeat(np.arange(len(count)), count)] = own
+            source, piece, start, length, crc, kept, raw = [], [], [], [], [], [], memoryview(ids.tobytes())
+            for row, (n, end) in enumerate(zip((count + 1).tolist(), ends.tolist())):
+                cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     source.append(row), piece.append(k), start.append(a), length.append(b - a)
-                    crc.append(zlib.crc32(raw[4 * a : 4 * b]))
+                    crc.append(zlib.crc32(raw[4 * (end - n + a) : 4 * (end - n + b)]))
                     if with_ids:
-                        kept.append(ids[a:b].astype(np.int32))
+                        kept.append(ids[end - n + a : end - n + b].astype(np.int32))
             columns = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
