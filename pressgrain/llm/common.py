@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 from itertools import chain
 
 import numpy as np
@@ -16,14 +18,46 @@ from pressgrain.session import checkpoint_dir
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: Tables written while `settled` makes something, to be removed when it stands.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a table in the shared checkpoint folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, as a saved table; the tables and shuffles made on the way are let go.
+
+    Only tables that `saved` has written inside `make` are removed, and only once the result is stored.
+    """
+    inside: list[str] = []
+    token = _made.set(inside)
+    try:
+        result = make()
+        path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        result.write.parquet(path)
+        schema = result.schema
+    finally:
+        _made.reset(token)
+    del result
+    for old in inside:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    # Spark removes shuffle files once the driver has forgotten the frames that use them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    if (outer := _made.get()) is not None:
+        outer.append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from pressgrain.llm.common import saved, slices
 
 #: The public pre-tokenizer of this kind of vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 class ByteBpe:
@@ -136,15 +136,15 @@ class _Known:
 
     def __init__(self, encode, limit: int):
         self.encode, self.limit = encode, limit
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         self.numbers, self.pool = _Numbers(), np.empty(0, np.int32)
         self.starts, self.lens = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > self.limit:
-            self._reset()
+            self.forget()
         sizes = [len(words) for words in texts]
         at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
         if self.numbers.fresh:
@@ -194,6 +194,7 @@ def pieces(docs: DataFrame, file: str, capacity: int = 1024, end_id: int = 2, id
             if with_ids:
                 columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.kept.forget()  # the worker may serve other stages
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

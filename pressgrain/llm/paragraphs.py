@@ -61,7 +61,7 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class _Words:
     """64-bit hashes of words, kept per worker up to a bound."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.known, self.limit = {}, limit
 
     def __call__(self, paragraphs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +80,18 @@ class _Words:
 _hashes = _Words()
 
 
+def forgetting(run):
+    """A function over batches that leaves no known words behind in its worker, which later stages may use."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _hashes.known = {}
+
+    return wrapped
+
+
 def similarity(a: set, b: set) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both)
@@ -171,7 +183,7 @@ def remove_repeats(docs: DataFrame, least_words: int = 20, similar: float = 0.8,
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     own = docs.select(docs[id_col].alias("id"), *_keys(text), text.alias("text"))
-    listed = saved(own.mapInArrow(_listed(least_words), f"id {kind}, k1 long, k2 int, line int, name binary, bands array<long>"), "paragraphs")
+    listed = saved(own.mapInArrow(forgetting(_listed(least_words)), f"id {kind}, k1 long, k2 int, line int, name binary, bands array<long>"), "paragraphs")
     place = F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2", "line")
     distinct = listed.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     bands = listed.groupBy("name").agg(F.first("bands").alias("bands")).select("name", F.explode("bands").alias("key"))
@@ -185,7 +197,7 @@ def remove_repeats(docs: DataFrame, least_words: int = 20, similar: float = 0.8,
     dealt = buckets.withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("key", F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))))
     pairs = dealt.select("key", "name").join(texts, "name").select("key", "name", "text").repartition("key").sortWithinPartitions("key")
-    classes = components(pairs.mapInArrow(_linked(similar), "a binary, b binary"))
+    classes = components(pairs.mapInArrow(forgetting(_linked(similar)), "a binary, b binary"))
     known = distinct.join(classes, F.col("name") == F.col("node"), "left").select("name", "n", "at", F.coalesce("root", "name").alias("root"))
     stays = known.groupBy("root").agg(F.sum("n").alias("n"), F.min("at").alias("stay")).where("n > 1")
     repeated = known.join(stays.select("root", "stay"), "root").select("name", "stay")
@@ -194,11 +206,12 @@ def remove_repeats(docs: DataFrame, least_words: int = 20, similar: float = 0.8,
     lost = gone.groupBy("id", "k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set("stay.id")).alias("kept_in"))
     added = ("n_paragraphs", "n_removed", "removed", "kept_in")
     rest = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*[docs[c] for c in rest]).alias("row"), docs[id_col].alias("id"), *_keys(text), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in rest]).alias("row"), docs[id_col].alias("id"), *_keys(text))
     facts = per_doc.join(lost, [per_doc[c].eqNullSafe(lost[c]) for c in ("id", "k1", "k2")], "left").select(per_doc["id"].alias("i"), per_doc["k1"].alias("j1"), per_doc["k2"].alias("j2"), "n_paragraphs", "removed", "kept_in")
     joined = rows.join(facts, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("id").eqNullSafe(F.col("i")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("removed", k)), "\n")
-    cleaned = F.when(F.col("removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
+    before = F.col("row")[text_col].cast("string")
+    kept = F.array_join(F.filter(F.split(before, "\n"), lambda _, k: ~F.array_contains("removed", k)), "\n")
+    cleaned = F.when(F.col("removed").isNull() | before.isNull(), before).otherwise(kept)
     columns = [cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest]
     none = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
     return joined.select(

@@ -12,14 +12,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressgrain.llm.common import saved, slices
-from pressgrain.llm.paragraphs import _hashes, _keys, _mix
+from pressgrain.llm.common import saved, settled, slices
+from pressgrain.llm.paragraphs import _hashes, _keys, _mix, forgetting
 
-GRAM = 16
+GRAM, WORD_BITS = 16, 28  # a place is one number: the document's, then the word's
 _PLACES = np.random.default_rng(5).integers(1, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,15 +67,14 @@ def _windows(least: int):
         from xxhash import xxh3_128_digest
 
         for batch in slices(batches, 32):
-            owner, at, name = [], [], []
-            for row, (text, asked) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            place, name = [], []
+            for doc, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.split()
                 hit = np.isin(_grams(words), np.array(asked, np.int64).view(np.uint64))
                 before = np.concatenate([[0], np.cumsum(hit)])
                 for k in np.flatnonzero(before[reach:] > before[:-reach]).tolist():
-                    owner.append(row), at.append(k), name.append(xxh3_128_digest(" ".join(words[k : k + least]).encode("utf-8", "surrogatepass")))
-            ids, k1, k2 = (batch.column(k).take(pa.array(owner, pa.int64())) for k in range(3))
-            yield pa.RecordBatch.from_arrays([ids, k1, k2, pa.array(at, pa.int32()), pa.array(name, pa.binary())], ["id", "k1", "k2", "at", "name"])
+                    place.append(doc << WORD_BITS | k), name.append(xxh3_128_digest(" ".join(words[k : k + least]).encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(name, pa.binary())], ["place", "name"])
 
     return run
 
@@ -93,43 +93,63 @@ def without_words(text: str, starts: list[int], least: int) -> tuple[str, int]:
 
 
 def _cut(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            cut = [without_words(t, s, least) for t, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            columns = [*batch.columns[:3], pa.array([c for c, _ in cut], pa.string()), pa.array([n for _, n in cut], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["i", "j1", "j2", "left", "n"])
+    @F.pandas_udf("left string, n long")
+    def run(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        cut = [(None, 0) if s is None else without_words(t, s.tolist(), least) for t, s in zip(texts, starts)]
+        return pd.DataFrame(cut, columns=["left", "n"])
 
     return run
 
 
+def _numbered(sorted_rows: DataFrame) -> DataFrame:
+    """Numbers without the gaps between tasks, which would leave no bits for the words: task numbers come first in
+    `monotonically_increasing_id`, so each task's first number is moved behind the rows of the tasks before it."""
+    stored = saved(sorted_rows, "sorted")
+    part = F.shiftright("doc", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per task
+    counts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    moved = stored.join(counts, part == F.col("part"))
+    return moved.withColumn("doc", F.col("base") + F.col("doc").bitwiseAND((1 << 33) - 1)).drop("part", "base")
+
+
 def remove_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, the text without every run of `least` words that stands earlier too, plus `n_words_removed`.
 
     Words are compared as they are, the blanks between them do not matter. The earliest place is that of the smallest id
     (nulls last) and word number. Rows of the same id and text are one document. Null texts stay null. All runs are judged
-    on the input: where two passages go, what stood around them may form a new run.
+    on the input: where two passages go, what stood around them may form a new run. An empty table stays empty; a column
+    `n_words_removed` is replaced, other names never clash.
     """
     if least < GRAM:
         raise ValueError("runs must have a gram's words at least")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    own = docs.select(docs[id_col].alias("id"), *_keys(text), text.alias("text")).dropDuplicates(["id", "k1", "k2"])
+    own = docs.select(docs[id_col].alias("id"), *_keys(text), text.alias("text"))
     keys = f"id {kind}, k1 long, k2 int"
-    anchors = saved(own.mapInArrow(_anchors(least), f"{keys}, gram long, times int"), "anchors")
-    twice = anchors.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
-    asked = anchors.join(twice, "gram").groupBy("id", "k1", "k2").agg(F.collect_list("gram").alias("asked"))
-
-    o, q = own.alias("o"), asked.alias("q")
-    regions = o.join(q, F.col("o.id").eqNullSafe(F.col("q.id")) & (F.col("o.k1") == F.col("q.k1")) & (F.col("o.k2") == F.col("q.k2"))).select("o.*", "q.asked")
-    windows = saved(regions.mapInArrow(_windows(least), f"{keys}, at int, name binary"), "windows")
-    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2", "at")
-    first = windows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("name", "first")
-    gone = windows.join(first, "name").where(~place.eqNullSafe(F.col("first")))
-    starts = gone.groupBy("id", "k1", "k2").agg(F.collect_set("at").alias("starts")).alias("s")
-    texts = o.join(starts, F.col("o.id").eqNullSafe(F.col("s.id")) & (F.col("o.k1") == F.col("s.k1")) & (F.col("o.k2") == F.col("s.k2"))).select("o.*", "s.starts")
-    cut = texts.mapInArrow(_cut(least), f"i {kind}, j1 long, j2 int, left string, n long")
+    spark = docs.sparkSession
+
+    def marked() -> DataFrame:
+        """Documents that hold marks which occur twice, numbered in their order, so that the smallest place is the earliest."""
+        anchors = saved(own.mapInArrow(forgetting(_anchors(least)), f"{keys}, gram long, times int"), "anchors")
+        twice = anchors.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
+        asked = anchors.join(twice, "gram").groupBy("id", "k1", "k2").agg(F.collect_set("gram").alias("asked"))
+        ordered = asked.orderBy(F.col("id").asc_nulls_last(), "k1", "k2").withColumn("doc", F.monotonically_increasing_id())
+        return _numbered(ordered.select(F.col("id").alias("i"), F.col("k1").alias("j1"), F.col("k2").alias("j2"), "doc", "asked"))
+
+    ordered = settled(spark, "numbered", marked)
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))
+    regions = lambda: own.join(ordered, same).select("doc", "text", "asked")
+    windows = settled(spark, "windows", lambda: regions().mapInArrow(forgetting(_windows(least)), "place long, name binary"))
+    first = windows.groupBy("name").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("name", "first")
+    gone = windows.join(first, "name").where("place <> first")
+    starts = gone.groupBy(F.shiftright("place", WORD_BITS).alias("doc")).agg(F.collect_set(F.col("place").bitwiseAND((1 << WORD_BITS) - 1).cast("int")).alias("starts"))
+    starts = starts.join(ordered.select("doc", "i", "j1", "j2"), "doc").select("i", "j1", "j2", "starts")
     rest = [c for c in docs.columns if c != "n_words_removed"]
     rows = docs.select(F.struct(*[docs[c] for c in rest]).alias("row"), docs[id_col].alias("id"), *_keys(text))
-    joined = rows.join(cut, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("id").eqNullSafe(F.col("i")), "left")
-    columns = [F.coalesce("left", F.col("row")[c].cast("string")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest]
-    return joined.select(*columns, F.coalesce("n", F.lit(0).cast("long")).alias("n_words_removed"))
+    joined = rows.join(starts, same, "left")
+    # Only texts that lose something go to Python.
+    touched = F.when(F.col("starts").isNotNull(), F.col("row")[text_col].cast("string"))
+    joined = joined.withColumn("cut", _cut(least)(touched, F.col("starts")))
+    columns = [F.when(F.col("starts").isNotNull(), F.col("cut.left")).otherwise(F.col("row")[c].cast("string")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest]
+    return joined.select(*columns, F.coalesce("cut.n", F.lit(0).cast("long")).alias("n_words_removed"))

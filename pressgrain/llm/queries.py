@@ -114,8 +114,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the paragraphs that are kept elsewhere."""
-    found = paragraphs.remove_repeats(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_paragraphs", "n_removed", "kept_in", "text")
+    docs = table(spark, folder, "documents").withColumn("before", F.length("text"))
+    found = paragraphs.remove_repeats(docs)
+    lost = F.coalesce(F.col("before") - F.length("text"), F.lit(0)).cast("long").alias("n_chars_removed")
+    return found.select("doc_id", "n_removed", lost, "kept_in", "text")
 
 
 @query

@@ -306,7 +306,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_row
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
     """All columns of `docs` plus `score` (double from 0 to 1) and `predicted` (1 from 0.5 on), over all windows of the
     whole text. Null, empty and blank texts score 0. Repeated rows and null ids are scored like any other; columns named
     `score` or `predicted` are replaced. Only the text is an input."""

@@ -324,3 +324,18 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     frame(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """The values, not the names only, of columns that operators use themselves."""
+    from pyspark.sql import functions as F
+
+    own = {"score": "s", "spans": "t", "removed": "u", "n_removed": "v", "n_words_removed": "w", "predicted": "x", "kept_in": "y", "row": "z", "starts": "q"}
+    docs = frame(spark).select("doc_id", "text", "n_chars", F.col("doc_id").alias("copy")).withColumns({c: F.concat(F.lit(v), F.col("doc_id").cast("string")) for c, v in own.items()})
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(26)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert r["copy"] == r["doc_id"] and all(r[c] == (None if r["doc_id"] is None else f"{v}{r['doc_id']}") for c, v in own.items()), name
