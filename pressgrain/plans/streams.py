@@ -107,10 +107,21 @@ def _(t):
 
 
 H1 = "regexp_extract(html,'(?s)<h1>(.*?)</h1>',1)"
-BODY = "regexp_replace(regexp_extract(html,'(?s)<article>(.*?)</article>',1),'<[^>]+>',' '{g})"
+# Block elements end a line, other tags leave nothing, blanks and empty lines are folded, as extraction does it.
+BODY = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html,'(?s)<article>(.*?)</article>',1),"
+    r"'</?(p|br|div|li|ul|ol|h[1-6]|tr|section|article|main|blockquote)\b[^>]*>',chr(10),'g'),'<[^>]+>','','g'),'[ \t]+',' ','g'),'\n{3,}',chr(10)||chr(10),'g')"
+)
 
 
-@query("i09_stream_signals", f"""with {fx.COMPANIES_SQL}, pa0 as (select page_id, {H1} as title, {BODY.format(g=",'g'")} as content, regexp_replace(lower(regexp_extract(url,'^[a-z]+://([^/?#:]+)',1)),'^www\\.','') as host from pages),
+def _decoded(text: str) -> str:
+    """The entities of the test pages, as extraction decodes them."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = f"replace({text},'{entity}','{char}')"
+    return text
+
+
+@query("i09_stream_signals", f"""with {fx.COMPANIES_SQL}, pa0 as (select page_id, {_decoded(H1)} as title, trim(regexp_replace({_decoded(BODY)},'^\\s+|\\s+$','','g')) as content, regexp_replace(lower(regexp_extract(url,'^[a-z]+://([^/?#:]+)',1)),'^www\\.','') as host from pages),
 pa as (select page_id, length(trim(trim(title)||chr(10)||trim(content))) as len, {norm('title')} as t, {norm("title||chr(10)||content")} as n, host from pa0),
 pb as (select *, {m('n', FIXTURE.patterns['sensitive'])} as sens, case when len<220 then 'too_short' when {m('t', FIXTURE.patterns['sensitive'])} then 'sensitive' end as r0 from pa),
 pc as (select *, case when r0 is null then {_families_sql('n', 't', 'host', 'sens')} else []::varchar[] end as families from pb),
