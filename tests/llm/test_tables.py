@@ -221,6 +221,36 @@ def test_neighbours(spark, relax):
     assert few.count() == 2 and ann.search(df.limit(0)).count() == 0
 
 
+def nearest_ids(rows, k=20, every=20):
+    """Brute force: of each id divisible by `every`, the k ids of the best scores, smaller ids first."""
+    out = {}
+    for q in {i for i, _ in rows if i % every == 0}:
+        best = {}
+        for _, x in [r for r in rows if r[0] == q]:
+            for i, y in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(np.dot(x, y)))
+        out[q] = sorted((-s, i) for i, s in best.items())[:k]
+    return out
+
+
+def test_neighbours_of_equal_scores_and_of_repeated_ids(spark):
+    """Scores that tie between different vectors go to smaller ids; repeated rows, and ids with several vectors, rank once."""
+    rng = np.random.default_rng(8)
+    small = [(i, rng.integers(-2, 3, 4).astype(float)) for i in range(900)]
+    tied = [(i, np.array([1.0, float(i), float(i % 7)])) for i in range(1, 600)] + [(0, np.array([1.0, 0.0, 0.0]))]
+    one = np.array([1.0, 2.0, 2.0])
+    twice = [(0, one)] * 30 + [(5, one), (7, 3 * one), (8, -one)] + [(7, 2 * one)] * 30 + [(40, one + k) for k in range(25)]
+    for rows in (small, tied, twice + [(100 + i, rng.integers(-1, 2, 3).astype(float)) for i in range(300)]):
+        usable = [(i, x) for i, x in rows if x.any()]
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<float>").repartition(3)
+        got = collections.defaultdict(list)
+        for r in ann.search(df, relax=1.0, shard_rows=300, block=8).collect():
+            got[r["query_id"]].append((r["rank"], -r["score"], r["vec_id"]))
+        want = nearest_ids(usable)
+        assert {q: [(s, i) for _, s, i in sorted(found)] for q, found in got.items()} == want
+
+
 def test_packing_keeps_every_piece(spark):
     rows = [*enumerate(texts()), (None, "no id"), (9, texts()[9])]
     df = frame(spark, rows)
