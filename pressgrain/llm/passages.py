@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgrain.llm.common import saved, settled, slices
-from pressgrain.llm.paragraphs import _hashes, _keys, _mix, forgetting
+from pressgrain.llm.paragraphs import _hashes, _keys, _mix, forgetting, remove_repeats
 
 GRAM, WORD_BITS = 16, 28  # a place is one number: the document's, then the word's
 _PLACES = np.random.default_rng(5).integers(1, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,3 +153,15 @@ def remove_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", te
     joined = joined.withColumn("cut", _cut(least)(touched, F.col("starts")))
     columns = [F.when(F.col("starts").isNotNull(), F.col("cut.left")).otherwise(F.col("row")[c].cast("string")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest]
     return joined.select(*columns, F.coalesce("cut.n", F.lit(0).cast("long")).alias("n_words_removed"))
+
+
+def remove_repeated_text(docs: DataFrame, least_words: int = 20, similar: float = 0.8, least_run: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the paragraphs that `remove_repeats` keeps elsewhere, near copies included, and without the runs of
+    `least_run` words that then still stand earlier: inside longer lines, or wrapped over short ones.
+
+    Adds `n_paragraphs`, `n_removed`, `removed` and `kept_in` of the paragraphs and `n_words_removed` of the runs; columns
+    of these names are replaced. Nulls, repeated rows and empty tables are treated as in the two steps. What the first has
+    written is let go before the second begins.
+    """
+    found = settled(docs.sparkSession, "paragraphs", lambda: remove_repeats(docs, least_words, similar, id_col, text_col))
+    return remove_passages(found, least_run, id_col, text_col)

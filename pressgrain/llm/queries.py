@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgrain.llm import ann, chat, merkle, packing, paragraphs, parity, quality, secrets, sentencepiece, simhash, suffixes, toxicity, trie
+from pressgrain.llm import ann, chat, merkle, packing, parity, passages, quality, secrets, sentencepiece, simhash, suffixes, toxicity, trie
 from pressgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,11 +113,12 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without the paragraphs that are kept elsewhere."""
+    """Every document without the paragraphs, and the runs of 50 words, that are kept elsewhere; `n_removed` is the number
+    of characters that went."""
     docs = table(spark, folder, "documents").withColumn("before", F.length("text"))
-    found = paragraphs.remove_repeats(docs)
-    lost = F.coalesce(F.col("before") - F.length("text"), F.lit(0)).cast("long").alias("n_chars_removed")
-    return found.select("doc_id", "n_removed", lost, "kept_in", "text")
+    found = passages.remove_repeated_text(docs)
+    lost = F.coalesce(F.col("before") - F.length("text"), F.lit(0)).cast("long").alias("n_removed")
+    return found.select("doc_id", lost, F.col("n_removed").alias("n_lines_removed"), "n_words_removed", "kept_in", "text")
 
 
 @query

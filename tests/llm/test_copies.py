@@ -8,7 +8,7 @@ import numpy as np
 import corpus_pipeline
 from pressgrain.llm import copies, passages
 from tests.llm.fixtures import frame, words
-from tests.llm.test_tables import Union
+from tests.llm.test_tables import Union, slow_paragraphs
 
 
 def jaccard(a, b):
@@ -79,6 +79,34 @@ def test_passages_equal_brute_force(spark, tmp_path):
     assert passages.remove_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_text_equals_brute_force_in_two_steps(spark):
+    """Paragraphs first, near copies too, then runs of 50 words inside longer lines and across short ones."""
+    rng = random.Random(34)
+    passage, line = words(rng, 60).split(" "), words(rng, 40).split(" ")
+    rows = [(i, f"{words(rng, 30)}\n{words(rng, 40)} {' '.join(passage)} {words(rng, 10)}") for i in range(4)]
+    rows += [(10 + i, "\n".join([words(rng, 15), *(" ".join(passage[k : k + 7 + i]) for k in range(0, 60, 7 + i)), words(rng, 9)])) for i in range(3)]
+    for i in range(5):
+        near = [*line]
+        near[-1] = f"changed{i}"
+        rows.append((20 + i, f"{words(rng, 25)}\n{' '.join(near)}"))
+    rows += [(30 + i, words(rng, 120)) for i in range(5)] + [(40, None), (41, ""), (None, rows[0][1])]
+    gone = slow_paragraphs(rows)
+    left = []
+    for i, t in rows:
+        own = (i is None, i or 0)
+        left.append((i, t and "\n".join(x for k, x in enumerate(t.split("\n")) if (own, k) not in gone)))
+    runs = repeated_runs([t for _, t in left])
+    want = {}
+    for k, (i, t) in enumerate(left):
+        cut = {j for n, at in runs if n == k for j in range(at, at + 50)}
+        want[i] = ([w for j, w in enumerate((t or "").split()) if j not in cut], len(cut))
+    got = passages.remove_repeated_text(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: ((r["text"] or "").split(), r["n_words_removed"]) for r in got} == want
+    assert {r["doc_id"] for r in got if r["n_words_removed"]} == {1, 2, 3, 10, 11, 12} and {r["doc_id"] for r in got if r["n_removed"]} == {21, 22, 23, 24, None}
+    assert all(want[i] == ((t or "").split(), 0) for i, t in rows if i in (30, 31, 32, 33, 34, 40, 41))
+    assert passages.remove_repeated_text(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_pipeline_packs_token_ids(spark, tmp_path):
     rng = random.Random(33)
     docs = frame(spark, [(i, words(rng, rng.choice([20, 300, 1500]))) for i in range(30)])
