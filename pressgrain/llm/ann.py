@@ -80,9 +80,15 @@ class VantageTree:
             first, second = self.ids[points].T
             key = np.where(first == self.own[rows, None], second, first)
             score[key == NO_ID] = -np.inf
+            points = np.broadcast_to(points, score.shape)
+            # Only as many columns are ordered as some query has points that its k-th best does not beat.
+            most = int((score >= self.best[rows, -1:]).sum(axis=1).max())
+            if most < score.shape[1]:
+                some = np.argpartition(-score, most - 1, axis=1)[:, :most]
+                score, key, points = (np.take_along_axis(x, some, 1) for x in (score, key, points))
             scores = np.concatenate([self.best[rows], score], axis=1)
             keys = np.concatenate([self.key[rows], key], axis=1)
-            found = np.concatenate([self.point[rows], np.broadcast_to(points, score.shape)], axis=1)
+            found = np.concatenate([self.point[rows], points], axis=1)
             top = np.lexsort((keys, -scores))[:, : self.k]
             self.best[rows] = np.take_along_axis(scores, top, 1)
             self.key[rows] = np.take_along_axis(keys, top, 1)
