@@ -21,24 +21,22 @@ from pressgrain.llm.common import saved, settled, slices
 from pressgrain.llm.paragraphs import _hashes, _keys, _mix, forgetting, remove_repeats
 
 GRAM, WORD_BITS = 16, 28  # a place is one number: the document's, then the word's
-_PLACES = np.random.default_rng(5).integers(1, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = [(1 << k, p) for k, p in enumerate(np.random.default_rng(5).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1))]
 
 
-def _grams(words: list[str]) -> np.ndarray:
-    """Hashes of all runs of `GRAM` words; at least `GRAM` words are needed."""
-    own, _ = _hashes([words])
-    many = len(own) - GRAM + 1
-    total = np.zeros(many, np.uint64)
-    for k in range(GRAM):
-        total += own[k : k + many] * _PLACES[k]
-    return _mix(total)
+def _grams(own: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of `GRAM` words, from the hashes of the words: runs of 2, 4, 8 and 16 words from half as long ones."""
+    for step, factor in _STEPS:
+        own = own[:-step] * factor + own[step:]
+    return _mix(own)
 
 
-def _least(grams: np.ndarray, reach: int) -> np.ndarray:
-    """Marks the grams that are the least of some `reach` neighbours, ties included."""
-    least = np.lib.stride_tricks.sliding_window_view(grams, reach).min(axis=1)
-    pad = np.zeros(reach - 1, np.uint64)  # of the windows around a gram none has a larger least one than the gram
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, least, pad]), reach).max(axis=1) == grams
+def _over(choose: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The least or greatest of every `width` neighbours, by doubling the width."""
+    have = 1
+    while 2 * have <= width:
+        values, have = choose(values[:-have], values[have:]), 2 * have
+    return choose(values[: len(values) - (width - have)], values[width - have :])
 
 
 def _anchors(least: int):
@@ -46,16 +44,22 @@ def _anchors(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            owner, found, times = [], [np.empty(0, np.uint64)], []
-            for row, text in enumerate(batch.column(3).to_pylist()):
-                words = text.split()
-                if len(words) >= least:
-                    grams = _grams(words)
-                    values, counts = np.unique(grams[_least(grams, reach)], return_counts=True)
-                    owner += [row] * len(values)
-                    found.append(values), times.extend(np.minimum(counts, 2).tolist())
-            ids, k1, k2 = (batch.column(k).take(pa.array(owner, pa.int64())) for k in range(3))
-            yield pa.RecordBatch.from_arrays([ids, k1, k2, pa.array(np.concatenate(found).view(np.int64)), pa.array(times, pa.int32())], ["id", "k1", "k2", "gram", "times"])
+            own, sizes = _hashes([text.split() for text in batch.column(3).to_pylist()])
+            if len(own) < least:
+                continue
+            row, grams = np.repeat(np.arange(len(sizes)), sizes), _grams(own)
+            low = _over(np.minimum, grams, reach)
+            inside = np.arange(least, len(own) + 1) <= np.cumsum(sizes)[row[: len(low)]]  # windows that end in their text
+            pad = np.zeros(reach - 1, np.uint64)  # of the windows around a gram none has a larger least one than the gram
+            high = _over(np.maximum, np.concatenate([pad, np.where(inside, low, np.uint64(0)), pad]), reach)
+            at = np.flatnonzero((high == grams) & (high > 0))
+            owner, value = row[at], grams[at]
+            sort = np.lexsort((value, owner))
+            owner, value = owner[sort], value[sort]
+            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])[: len(at)])
+            times = np.minimum(np.diff(np.append(new, len(at))), 2)
+            ids, k1, k2 = (batch.column(k).take(pa.array(owner[new])) for k in range(3))
+            yield pa.RecordBatch.from_arrays([ids, k1, k2, pa.array(value[new].view(np.int64)), pa.array(times, pa.int32())], ["id", "k1", "k2", "gram", "times"])
 
     return run
 
@@ -70,7 +74,7 @@ def _windows(least: int):
             place, name = [], []
             for doc, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.split()
-                hit = np.isin(_grams(words), np.array(asked, np.int64).view(np.uint64))
+                hit = np.isin(_grams(_hashes([words])[0]), np.array(asked, np.int64).view(np.uint64))
                 before = np.concatenate([[0], np.cumsum(hit)])
                 for k in np.flatnonzero(before[reach:] > before[:-reach]).tolist():
                     place.append(doc << WORD_BITS | k), name.append(xxh3_128_digest(" ".join(words[k : k + least]).encode("utf-8", "surrogatepass")))
