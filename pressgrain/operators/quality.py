@@ -76,7 +76,7 @@ def all_caps_run(text: Column, k: int = 3, share: float = 0.78) -> Column:
         return (F.length(x) >= 35) & (words >= 6) & (letters >= 20) & (upper / letters >= share)
 
     flags = F.array_join(F.transform(_lines(text, r"^#{1,6}\s+|^-\s+|\*+"), lambda x: F.when(capital(x), "1").otherwise("0")), "")
-    return F.contains(flags, F.lit("1" * k))
+    return F.coalesce(F.contains(flags, F.lit("1" * k)), F.lit(False))
 
 
 def vendor_pitch(title: Column, text: Column, pack: Pack) -> Column:

@@ -25,6 +25,14 @@ def test_all_caps_and_collections(spark):
     assert evaluate(spark, [("Pressemappe 2026", kit), ("Artikel", kit)], lambda t, x: ql.is_collection(t, x, MARKETING), ("t", "x")) == [True, False]
 
 
+def test_capitals_keep_the_number_of_letters(spark):
+    from pressgrain.plans.rules import capitals
+
+    line = "ßßßßß ßßßßß ßßßßß abcde abcde abcde abcd"  # 19 letters besides ß, whose capital is none of A to Z
+    assert evaluate(spark, ["\n".join([line] * 3), None], lambda c: ql.all_caps_run(capitals(c))) == [False, False]
+    assert evaluate(spark, ["Straße ŉ Ä"], capitals) == ["STRAẞE ẞ Ä"]
+
+
 def test_freshness_bounds(spark):
     as_of = F.lit("2026-08-10 12:00:00").cast("timestamp")
     rows = ["2026-08-11 12:00:00", "2026-08-11 12:00:01", "2026-02-08 12:00:00", "2026-02-08 11:59:59", None]
