@@ -19,11 +19,11 @@ from pressgrain.operators.aggregates import LEDGER_KEYS, TOKENS, ledger_keys, le
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 64) -> DataFrame:
-    """Stream of the parquet files of one table in a folder."""
+    """Stream of the parquet files of one table in a folder; an entry named after the table is a file or a folder of files."""
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
-    schema = spark.read.parquet(f"{folder}/{table}*.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    entries = f"{folder}/{table}*.parquet"
+    schema = spark.read.parquet(entries).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(entries)
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

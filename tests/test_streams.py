@@ -34,6 +34,14 @@ def same(a, b):
     assert sorted(map(str, a.select(cols).collect())) == sorted(map(str, b.select(cols).collect()))
 
 
+def test_tables_are_files_or_folders_of_files(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/in/events.parquet")
+    spark.range(10, 16).repartition(2).write.parquet(f"{tmp_path}/in/events_late.parquet")
+    spark.range(90, 99).write.parquet(f"{tmp_path}/in/orders.parquet")
+    st.run_available(st.file_stream(spark, f"{tmp_path}/in", "events"), st.append_batches(f"{tmp_path}/out"), f"{tmp_path}/cp")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(16))
+
+
 def test_ledger_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     ev = split_events(spark, tmp_path / "in")
     live = lambda: usage(stream_of(spark, tmp_path / "in"))
