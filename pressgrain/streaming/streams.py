@@ -91,8 +91,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class _Buckets(StatefulProcessor):
     """Keeps each key's rows in a ring of list states, one per time bucket, until the watermark has passed the bucket.
 
-    New rows are appended to the lists of their buckets and nothing else is written. A timer at the end of a bucket folds
-    its rows, in event-time order, into one small value, puts out what is final, and empties the list.
+    New rows are appended to the lists of their buckets, as one block of columns per list and turn, and nothing else is
+    written but the earliest bucket that waits in each list. One timer per key stands at the end of the earliest of all. It folds
+    every bucket that the watermark has passed, in event-time order, into one small value, puts out what is final, and
+    empties the lists; lists that hold only later buckets are not read.
     """
 
     def __init__(self, fold: Callable, width_us: int, row: str, value: str, out: Sequence[str]):
@@ -101,32 +103,63 @@ class _Buckets(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.folded = handle.getValueState("folded", self.value)
-        self.lists = [handle.getListState(f"rows_{i}", self.row) for i in range(RING)]
+        self.due = handle.getValueState("due", ", ".join(f"b{i} long" for i in range(RING)))
+        self.lists = [handle.getListState(f"rows_{i}", _blocks(self.row)) for i in range(RING)]
+
+    def _wait(self, due) -> None:
+        """Keep the earliest bucket of each list and stand a timer at the end of the earliest of all."""
+        waiting = [b for b in due if b is not None]
+        if waiting:
+            self.due.update(tuple(due))
+            self.handle.registerTimer((min(waiting) + 1) * self.width // 1000)
+        else:
+            self.due.clear()
 
     def handleInputRows(self, key, rows, timerValues):
+        known, fresh = self.due.get(), {}
+        due = list(known) if known is not None else [None] * RING
         for batch in rows:
-            batch = batch[[c.split(" ")[0] for c in self.row.split(", ")]]
-            for bucket, part in batch.groupby(batch["us"] // self.width):
-                self.lists[int(bucket) % RING].appendList([_plain(r) for r in part.itertuples(index=False, name=None)])
-                self.handle.registerTimer((int(bucket) + 1) * self.width // 1000)
+            us = batch["us"].tolist()
+            for at, row in zip(us, zip(*(batch[c.split(" ")[0]].tolist() for c in self.row.split(", ")))):
+                fresh.setdefault(at // self.width % RING, []).append(_plain(row))
+        for slot, own in fresh.items():
+            self.lists[slot].appendValue(_block(own))
+            first = min(r[0] for r in own) // self.width
+            due[slot] = first if due[slot] is None else min(first, due[slot])
+        self._wait(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        bucket = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.width - 1
-        held = self.lists[bucket % RING]
-        rows = [tuple(r) for r in held.get()] if held.exists() else []
-        # A row far ahead of the watermark shares its list with an earlier bucket.
-        own, later = ([r for r in rows if (r[0] // self.width == bucket) == here] for here in (True, False))
-        value, final = self.fold(_known(self.folded.get()) if self.folded.exists() else None, sorted(own))
+        known = self.due.get()
+        if known is None:
+            return
+        # Buckets up to this one have ended.
+        last = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000 // self.width - 1
+        due, own = list(known), []
+        for slot, first in enumerate(due):
+            if first is None or first > last:
+                continue
+            later = []
+            for block in self.lists[slot].get():
+                for r in zip(*block):
+                    (own if r[0] // self.width <= last else later).append(r)
+            # A row far ahead of the watermark shares its list with an earlier bucket.
+            if later:
+                self.lists[slot].put([_block(later)])
+            else:
+                self.lists[slot].clear()
+            due[slot] = min(r[0] for r in later) // self.width if later else None
+        if not own:
+            return
+        self._wait(due)
+        before = _known(self.folded.get())
+        value, final = self.fold(before, sorted(own))
         if value is not None:
             self.folded.update(value)
-        elif self.folded.exists():
+        elif before is not None:
             self.folded.clear()
-        held.clear()
-        if later:
-            held.put(later)
         if final:
             yield pd.DataFrame([(key[0], *f) for f in final], columns=["key", *self.out])
 
@@ -134,6 +167,15 @@ class _Buckets(StatefulProcessor):
         pass
 
 
+def _blocks(row: str) -> str:
+    """The type of a block of rows: an array per column."""
+    return ", ".join("{} array<{}>".format(*c.split(" ")) for c in row.split(", "))
+
+
+def _block(rows: Sequence[tuple]) -> tuple:
+    return tuple(list(c) for c in zip(*rows))
+
+
 def _plain(row: tuple) -> tuple:
     """A row's values as Python's own types, with None for what is missing."""
     return tuple(None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in row)
@@ -144,6 +186,36 @@ def _known(row) -> tuple | None:
     return None if row is None or all(x is None for x in row) else tuple(row)
 
 
+def _followed(fold: Callable, still_open: Callable, n_known: int, out: str) -> Callable:
+    """Arrow batches of (key, waits, folded value, row), sorted, to what would follow for each key if nothing else came."""
+    def run(batches):
+        from itertools import chain, groupby
+
+        import pyarrow as pa
+
+        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        types = [pa.int64(), *(kinds[c.split(" ")[1]] for c in out.split(", "))]
+        names = ["key", *(c.split(" ")[0] for c in out.split(", "))]
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+
+        rows, found = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), []
+        for key, own in groupby(rows, lambda r: r[0]):
+            first = next(own)
+            before = None if first[1] else _known(first[2:2 + n_known])
+            waiting = chain([first], own) if first[1] else own
+            after, soon = fold(before, (r[2 + n_known:] for r in waiting))
+            found += [(key, *f) for f in [*soon, *still_open(after)]]
+            if len(found) >= 10_000:
+                yield batch_of(found)
+                found = []
+        if found:
+            yield batch_of(found)
+
+    return run
+
+
 @dataclass
 class EventTimeFold:
     """A fold of each key's rows in event-time order. `changes` is the stream of final results; `results` adds those that
@@ -172,22 +244,16 @@ class EventTimeFold:
         names = [c.split(" ")[0] for c in self.row.split(", ")]
         waiting = None
         for i in range(RING):
-            part = state(f"rows_{i}").select("key.key", *(F.col(f"list_element.{c}").alias(c) for c in names))
+            part = state(f"rows_{i}").select("key.key", F.inline(F.arrays_zip(*(F.col(f"list_element.{c}") for c in names))).alias(*names))
             waiting = part if waiting is None else waiting.unionByName(part)
         known = [c.split(" ")[0] for c in self.value.split(", ")]
         values = state("folded").select("key.key", *(F.col(f"value.{c}").alias(c) for c in known))
-        out = [c.split(" ")[0] for c in self.out.split(", ")]
-        fold, still_open = self.fold, self.still_open
-
-        def follow(key, left, right):
-            import pandas as pd
-
-            own = [_plain(r) for r in right[known].astype(object).itertuples(index=False, name=None)]
-            rows = sorted(_plain(r) for r in left[names].astype(object).itertuples(index=False, name=None))
-            after, soon = fold(_known(own[0]) if own else None, rows)
-            return pd.DataFrame([(key[0], *f) for f in [*soon, *still_open(after)]], columns=["key", *out])
-
-        return waiting.groupBy("key").cogroup(values.groupBy("key")).applyInPandas(follow, f"key long, {self.out}")
+        # A key's folded value, then its rows in event-time order; one task goes through many keys, row by row.
+        own = ["key", "waits", *(f"value_{c}" for c in known), *(f"row_{c}" for c in names)]
+        values = values.toDF("key", *(f"value_{c}" for c in known)).withColumn("waits", F.lit(False))
+        both = waiting.toDF("key", *(f"row_{c}" for c in names)).withColumn("waits", F.lit(True)).unionByName(values, allowMissingColumns=True)
+        dealt = both.select(*own).repartition("key").sortWithinPartitions("key", "waits", *own[2 + len(known):])
+        return dealt.mapInArrow(_followed(self.fold, self.still_open, len(known), self.out), f"key long, {self.out}")
 
     def results(self, spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
         """Final rows that the stream has written to `path`, and the open ones."""

@@ -165,3 +165,15 @@ def test_state_written_per_turn_follows_the_new_rows(spark, tmp_path):
     assert len(written) == 5 and max(written) <= 120 + 20
     got = live.results(spark, f"{tmp_path}/out", f"{tmp_path}/cp").collect()
     assert [(r["pulses"], r["is_open"], r["is_final"]) for r in got] == [(600, True, False)]
+
+
+def test_a_turn_registers_one_timer_per_key_and_appends_blocks(spark, tmp_path):
+    """Many rows of few keys: the work on state follows keys and lists, not rows or time buckets."""
+    write_files(spark, tmp_path / "in", [[(k, f"{h:02d}:{m:02d}:00", "view") for k in (1, 2) for h in range(10) for m in range(0, 60, 3)]])
+    live = st.stream_pulses(stream_of(spark, tmp_path / "in"), "user_id", "ts", "event_type", "event_id", "event_id")
+    q = live.changes.writeStream.option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(st.append_batches(f"{tmp_path}/out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    first = q.recentProgress[0]["stateOperators"][0]
+    assert first["customMetrics"]["numRegisteredTimers"] == 2 and first["numRowsUpdated"] <= 2 * (st.RING + 4)
+    got = live.results(spark, f"{tmp_path}/out", f"{tmp_path}/cp").collect()
+    assert sorted((r["key"], r["pulses"], r["is_open"]) for r in got) == [(1, 200, True), (2, 200, True)]
