@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -77,15 +79,21 @@ def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("doc_id", "item_id", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("score"))
 
 
+# Folded ASCII: capitals to small letters, everything but letters and digits to nothing.
+ASCII_FROM = string.ascii_uppercase + "".join(c for c in map(chr, range(128)) if not c.isalnum())
+ASCII_TO = string.ascii_lowercase
+
+
 def _letters(text: Column) -> Column:
     """Struct of the folded text with single blanks (`hay`) and the raw offset of each of its characters (`at`).
 
     Combining marks are taken out first, so a blank stands exactly where two letters are not neighbours any more.
     """
     numbered = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    kept = F.filter(numbered, lambda x: ~x["c"].rlike("[\u0300-\u036f]"))
+    kept = F.filter(numbered, lambda x: ~x["c"].between("\u0300", "\u036f"))
+    # Nearly all characters are ASCII, for which one table lookup does; only the others are folded one by one.
     folded = F.transform(kept, lambda x, rank: F.struct(
-        F.when(x["c"].rlike("^[a-z0-9]$"), x["c"]).otherwise(F.regexp_replace(fold(x["c"]), "[^a-z0-9]+", "")).alias("f"), x["i"].alias("i"), rank.alias("rank")))
+        F.when(F.octet_length(x["c"]) == 1, F.translate(x["c"], ASCII_FROM, ASCII_TO)).otherwise(F.regexp_replace(fold(x["c"]), "[^a-z0-9]+", "")).alias("f"), x["i"].alias("i"), rank.alias("rank")))
     letters = F.filter(folded, lambda x: x["f"] != "")
 
     def spaced(found: Column) -> Column:
@@ -109,8 +117,9 @@ def evidence_spans(texts: DataFrame, quotes: DataFrame, min_chars: int = 4) -> D
     Texts and quotes are compared folded; the offsets are those of the raw text. A text is folded once, then its quotes
     meet it by an equality join, so a document may have any number of quotes.
     """
-    hays = texts.select("doc_id", _letters(F.col("text")).alias("x")).select("doc_id", "x.hay", "x.at")
-    needles = quotes.select("doc_id", "quote_id", _letters(F.col("quote"))["hay"].alias("needle"))
+    # An exploded array of one element is computed once; as a plain column every filter and join on it would fold anew.
+    hays = texts.select("doc_id", F.explode(F.array(_letters(F.col("text")))).alias("x")).select("doc_id", "x.hay", "x.at")
+    needles = quotes.select("doc_id", "quote_id", F.explode(F.array(_letters(F.col("quote"))["hay"])).alias("needle"))
     rows = needles.where(F.length("needle") >= min_chars).join(hays, "doc_id").where(F.contains("hay", "needle"))
     # Pieces between the occurrences: their lengths, summed up, are where the occurrences begin.
     gaps = F.transform(F.split("hay", F.concat(F.lit("\\Q"), "needle", F.lit("\\E")), -1), lambda x: F.length(x))

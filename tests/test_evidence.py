@@ -73,3 +73,12 @@ def test_overlapping_and_similar_pairs_equal_brute_force(spark):
     scored = every.select("doc_id", "item_id", tx.token_similarity(F.col("text"), F.col("claim")).alias("s")).where("s.shared > 0")
     pairs = similar_pairs(docs.select("doc_id", heads("text").alias("tokens")), claims.select("item_id", heads("claim").alias("tokens")))
     assert sorted((r["doc_id"], r["item_id"], r["shared"], r["score"]) for r in pairs.collect()) == sorted((r["doc_id"], r["item_id"], r["s"]["shared"], r["s"]["score"]) for r in scored.collect())
+
+
+def test_evidence_spans_fold_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "Ä b C. Ä b C")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, 7, "ä-b c!")], "doc_id long, quote_id long, quote string")
+    found = evidence.evidence_spans(docs, quotes, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text#") == 1 and plan.count("split(quote#") == 1
+    assert sorted((r["start"], r["end"]) for r in found.collect()) == [(0, 5), (7, 12)]
