@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgrain.scale import broadcast_if_small
@@ -45,26 +45,60 @@ def rows_on_days(facts: DataFrame, days: DataFrame, day: Column) -> DataFrame:
     return facts.withColumn("usage_date", day).join(broadcast_if_small(days.select("usage_date").distinct()), "usage_date", "left_semi")
 
 
+def _covers(runs: DataFrame, micros: int) -> DataFrame:
+    """Pieces of the runs per (key, slice, level, cell): one holds from its time `__t` to the end of the cell (`__begin`), or
+    from the start of the cell to `__t` (`__until`). Level 63 is the whole slice, level h a cell of 2^h microseconds.
+
+    A run gives a piece where it starts, one where it ends, and one for each slice between, of which a partial maximum keeps
+    the newest. A run within one slice is cut at the border of the smallest power of two that parts its ends, so it gives
+    two pieces as well.
+    """
+    width = F.lit(micros)
+    place = lambda c: F.unix_micros(c.cast("timestamp"))
+    r = runs.withColumn("__s", place(F.col("__run.start"))).withColumn("__e", place(F.col("__end")))
+    r = r.withColumn("__first", F.floor(F.col("__s") / width)).withColumn("__last", F.floor(F.col("__e") / width))
+    ends = F.pmod("__s", width).bitwiseXOR(F.pmod("__e", width))
+    high = F.when(F.col("__first") < F.col("__last"), 63).when(ends == 0, 0).otherwise(F.length(F.bin(ends)) - 1)
+    piece = lambda slot, at, begin: F.struct(slot.alias("__slot"), at.alias("__t"), F.lit(begin).alias("begin"))
+    start, stop = piece(F.col("__first"), F.col("__s"), True), piece(F.col("__last"), F.col("__e"), False)
+    borders = r.withColumn("__level", high).select("__key", "__level", "__run", F.inline(F.when(F.col("__s") == F.col("__e"), F.array(start)).otherwise(F.array(start, stop))))
+    # Of runs over the same slices only the newest can win between them.
+    inner = r.where(F.col("__last") - F.col("__first") >= 2).groupBy("__key", "__first", "__last").agg(F.max("__run").alias("__run"))
+    inner = inner.select("__key", F.explode(F.sequence(F.col("__first") + 1, F.col("__last") - 1)).alias("__slot"), "__run")
+    inner = inner.groupBy("__key", "__slot").agg(F.max("__run").alias("__run"))
+    inner = inner.select("__key", F.lit(63).alias("__level"), "__run", "__slot", (F.col("__slot") * width).alias("__t"), F.lit(True).alias("begin"))
+    pieces = borders.unionByName(inner)
+    return pieces.select("__key", "__slot", "__level", _cell(micros), "__t", F.when(F.col("begin"), F.col("__run")).alias("__begin"), F.when(~F.col("begin"), F.col("__run")).alias("__until"))
+
+
+def _cell(micros: int) -> Column:
+    at = F.pmod("__t", F.lit(micros))
+    return F.when(F.col("__level") == 63, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", at, F.col("__level"))).alias("__cell")
+
+
 def asof_run(events: DataFrame, runs: DataFrame, key: str, as_of: Column, slice_minutes: int = 60) -> DataFrame:
     """Newest run with the same key whose interval holds the event's time.
 
-    Time is cut into slices. A run enters the slices in which it starts or ends; of the runs that cover a whole slice
-    only the newest can win there, so a partial maximum keeps one per (key, slice). Events meet these few candidates
-    on (key, slice) by equality, and a hot key is split over its slices. An open run ends at `as_of`.
+    Time is cut into slices, and every run into pieces that reach to a border of their cell. So within a cell the newest
+    piece that holds a time is a running maximum: over the starts up to it, and over the ends from it on. No event meets a
+    run one by one; work grows with the rows (and with the number of levels, one unless runs are shorter than a slice), and
+    a hot key is split over its slices. An open run ends at `as_of`.
     """
-    width = F.lit(slice_minutes * 60)
-    slot = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / width)
+    micros = slice_minutes * 60_000_000
     r = runs.select(F.col(key).alias("__key"), F.struct(F.col("started_at").alias("start"), "run_id").alias("__run"),
-                    F.coalesce("finished_at", as_of).alias("__end")).where(F.col("__end") >= F.col("__run.start"))
-    r = r.withColumn("__first", slot(F.col("__run.start"))).withColumn("__last", slot(F.col("__end")))
-    partly = r.select("__key", F.explode(F.array_distinct(F.array("__first", "__last"))).alias("__slot"), "__run", "__end")
-    inner = r.where(F.col("__last") - F.col("__first") >= 2)
-    inner = inner.select("__key", F.explode(F.sequence(F.col("__first") + 1, F.col("__last") - 1)).alias("__slot"), "__run", "__end")
-    fully = inner.groupBy("__key", "__slot").agg(F.max(F.struct("__run", "__end")).alias("m"))
-    candidates = partly.unionByName(fully.select("__key", "__slot", "m.__run", "m.__end"))
-    e = events.select("event_id", F.col(key).alias("__key"), F.col("created_at").alias("__at"), slot(F.col("created_at")).alias("__slot"))
-    hits = e.join(candidates, ["__key", "__slot"]).where(F.col("__at").between(F.col("__run.start"), F.col("__end")))
-    hits = hits.groupBy("event_id").agg(F.max("__run").alias("m")).select("event_id", F.col("m.run_id").alias("run_id"))
+                    F.coalesce("finished_at", as_of).alias("__end")).where((F.col("__end") >= F.col("__run.start")) & F.col("__key").isNotNull())
+    pieces = _covers(r, micros)
+    levels = pieces.groupBy("__key", "__slot").agg(F.collect_set("__level").alias("__levels"))
+    e = events.select("event_id", F.col(key).alias("__key"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("__t"))
+    e = e.withColumn("__slot", F.floor(F.col("__t") / F.lit(micros))).join(levels, ["__key", "__slot"]).withColumn("__level", F.explode("__levels"))
+    e = e.select("__key", "__slot", "__level", _cell(micros), "__t", F.struct("event_id").alias("__event"))
+    cell = Window.partitionBy("__key", "__slot", "__level", "__cell")
+    before = cell.orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = cell.orderBy(F.desc("__t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = e.unionByName(pieces, allowMissingColumns=True)
+    both = both.withColumn("__begin", F.max("__begin").over(before)).withColumn("__until", F.max("__until").over(after))
+    hits = both.where(F.col("__event").isNotNull()).select("__event.event_id", F.greatest("__begin", "__until").alias("m")).where("m IS NOT NULL")
+    hits = hits.groupBy("event_id").agg(F.max("m").alias("m")).select("event_id", F.col("m.run_id").alias("run_id"))
     return events.join(hits, "event_id", "left")
 
 

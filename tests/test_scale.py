@@ -253,3 +253,41 @@ def test_a_kept_pool_gives_the_forecast_of_all_runs(spark):
             kept = rn.forecast_of_pool(pool, kind, params, 6)
             assert kept.collect() == rn.duration_forecast(rows, log, kind, params, 6).collect()
             assert kept._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
+
+
+def test_asof_run_inside_one_slice_and_work_that_grows_with_the_rows(spark):
+    rnd = random.Random(8)
+    runs = [(i, "v", s, s + rnd.choice([0, 1, 7, 500, 4_000, 9_000_000])) for i, s in enumerate(rnd.randrange(20_000) for _ in range(150))]
+    events = [(i, "v", rnd.randrange(22_000)) for i in range(300)] + [(300, None, 5), (301, "v", None)]
+    at = "timestamp_micros(1700000000000000 + {})".format
+    r = spark.createDataFrame(runs, "run_id long, ver string, s long, e long").selectExpr("run_id", "ver", at("s") + " as started_at", at("e") + " as finished_at")
+    e = spark.createDataFrame(events, "event_id long, ver string, s long").selectExpr("event_id", "ver", at("s") + " as created_at")
+    got = {x["event_id"]: x["run_id"] for x in joins.asof_run(e, r, "ver", F.lit(None).cast("timestamp")).collect()}
+    for i, k, t in events:
+        fit = [(s, rid) for rid, rk, s, end in runs if rk == k and t is not None and s <= t <= end]
+        assert got[i] == (max(fit)[1] if fit else None)
+    # 3,000 events and 3,000 runs in one slice of one key: no join makes a row per pair.
+    many = spark.range(3_000).selectExpr("id", "'v' as ver", at("id * 1000") + " as t")
+    runs = many.selectExpr("id as run_id", "ver", "t as started_at", "t + interval 6 hours as finished_at")
+    plan = joins.asof_run(many.selectExpr("id as event_id", "ver", "t as created_at"), runs, "ver", F.lit(None).cast("timestamp"))
+    assert sorted((x["event_id"], x["run_id"]) for x in plan.collect()) == [(i, i) for i in range(3_000)]
+    assert 3_000 <= rows_made(plan) <= 20_000
+
+
+def rows_made(df):
+    """The most rows that an operator of the executed plan put out."""
+    found = []
+
+    def walk(node):
+        for child in [node.children().apply(i) for i in range(node.children().size())]:
+            walk(child)
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            walk(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        found.append(metric.get().value() if metric.isDefined() else 0)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found)
