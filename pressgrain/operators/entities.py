@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgrain.functions.text import norm_text
+from pressgrain.scale import is_small
 
 
 def keyword_variants(keywords: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -52,22 +53,40 @@ def alias_words(aliases: DataFrame, min_chars: int = 3) -> DataFrame:
     return alias.withColumn("word", _anchor(F.col("alias")))
 
 
-def match_aliases(texts: DataFrame, aliases: DataFrame, min_chars: int = 3) -> DataFrame:
+def _phrase_keys(n: Column) -> Column:
+    """The distinct words of a folded text and its distinct pairs of neighbours."""
+    words = F.split(n, " ")
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.concat(words, pairs))
+
+
+def _first_pair(alias: Column) -> Column:
+    return F.substring_index(alias, " ", 2)
+
+
+def _stands(n: Column, alias: Column) -> Column:
+    return F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" ")))
+
+
+def match_aliases(texts: DataFrame, aliases: DataFrame, min_chars: int = 3, holds: Callable[[Column, Column], Column] = _stands, most_aliases: int = 500_000) -> DataFrame:
     """(doc_id, company, alias) for every alias that occurs as a whole phrase in the folded text.
 
-    Each text emits its distinct words; aliases meet them on their longest word by equality. Aliases of one word are
-    matched by that alone, longer ones are compared with the text. No text is scanned once per alias.
+    Each text emits its distinct words and pairs of words; an alias, whatever number of companies has it, meets them once
+    by its first two words, and `holds(text, alias)` decides. Where the aliases are few enough to broadcast, all that
+    happens beside the text, which is never shuffled. Otherwise (or with more than `most_aliases`) texts and aliases meet
+    in a shuffle of their keys, and each text travels once, to the list of its candidates.
     """
-    from pressgrain.scale import broadcast_if_small
-
-    alias = alias_words(aliases, min_chars).withColumn("single", ~F.contains("alias", F.lit(" ")))
+    alias = aliases.select("company", norm_text(F.col("alias")).alias("alias")).where(F.length("alias") >= min_chars).distinct()
     docs = texts.select("doc_id", norm_text(F.col("text")).alias("n"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("n", " "))).alias("word"))
-    hits = words.join(broadcast_if_small(alias), "word").select("doc_id", "company", "alias", "single")
-    phrases = hits.where(~F.col("single")).join(docs, "doc_id")
-    padded = F.concat(F.lit(" "), "n", F.lit(" "))
-    phrases = phrases.where(F.contains(padded, F.concat(F.lit(" "), "alias", F.lit(" "))))
-    return hits.where("single").select("doc_id", "company", "alias").unionByName(phrases.select("doc_id", "company", "alias"))
+    key = _first_pair(F.col("alias")).alias("__key")
+    if is_small(alias, most_aliases):
+        phrases = alias.groupBy("alias").agg(F.collect_list("company").alias("__companies")).withColumn("__key", key)
+        met = docs.select("doc_id", "n", F.explode(_phrase_keys(F.col("n"))).alias("__key")).join(F.broadcast(phrases), "__key")
+        return met.where(holds(F.col("n"), F.col("alias"))).select("doc_id", F.explode("__companies").alias("company"), "alias")
+    met = docs.select("doc_id", F.explode(_phrase_keys(F.col("n"))).alias("__key")).join(alias.select("alias", key).distinct(), "__key")
+    asked = met.groupBy("doc_id").agg(F.collect_set("alias").alias("__asked"))
+    found = F.filter("__asked", lambda a: holds(F.col("n"), a))
+    return docs.join(asked, "doc_id").select("doc_id", F.explode(found).alias("alias")).join(alias, "alias").select("doc_id", "company", "alias")
 
 
 # Fixed values (over folded text): entity words before a single-word name, prepositions of ownership before it, acting verbs
@@ -112,7 +131,7 @@ def company_in_context(norm, term, before: int = 120, after: int = 180, entity=E
 
 def match_companies(texts: DataFrame, aliases: DataFrame, **context) -> DataFrame:
     """Alias matches, single-word names only where their surroundings show a company."""
-    hits = match_aliases(texts, aliases)
-    single = hits.where(~F.contains("alias", F.lit(" "))).join(texts.select("doc_id", norm_text(F.col("text")).alias("n")), "doc_id")
-    single = single.where(company_in_context(F.col("n"), F.col("alias"), **context)).select("doc_id", "company", "alias")
-    return hits.where(F.contains("alias", F.lit(" "))).unionByName(single)
+    def holds(n: Column, alias: Column) -> Column:
+        return _stands(n, alias) & (F.contains(alias, F.lit(" ")) | company_in_context(n, alias, **context))
+
+    return match_aliases(texts, aliases, holds=holds)

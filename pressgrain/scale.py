@@ -16,12 +16,17 @@ from pyspark.sql import Window
 BROADCAST_LIMIT_ROWS, BROADCAST_LIMIT_BYTES = 200_000, 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting rows and bytes of at most `max_rows + 1` rows; otherwise leave the join to the
-    optimizer. Bytes are those of the rows written out as text."""
+def is_small(df: DataFrame, max_rows: int = BROADCAST_LIMIT_ROWS) -> bool:
+    """Whether the table has at most `max_rows` rows and few bytes, by a look at `max_rows + 1` of them. Bytes are those of
+    the rows written out as text."""
     size = F.octet_length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
     rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if rows <= max_rows and size <= BROADCAST_LIMIT_BYTES else df
+    return rows <= max_rows and size <= BROADCAST_LIMIT_BYTES
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
+    """Hint a broadcast only where `is_small` holds; otherwise leave the join to the optimizer."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -104,6 +104,22 @@ def test_aliases_match_brute_force(spark):
     assert {tuple(r) for r in hits.collect()} == {(1, "m", "muster ag"), (1, "m", "muster"), (3, "m", "muster ag"), (3, "m", "muster"), (3, "b", "beispiel gruppe")}
 
 
+def test_aliases_in_both_forms_and_candidates_that_share_a_long_word(spark):
+    rnd = random.Random(9)
+    pool = ["aa", "bbb", "cc", "ddd", "ee", "sameword"]
+    texts = [(i, " ".join(rnd.choices(pool, k=rnd.randrange(0, 40)))) for i in range(60)]
+    alias = [(j, " ".join(rnd.choices(pool, k=rnd.randrange(1, 6)))) for j in range(60)]
+    d, a = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(alias, "company long, alias string")
+    want = sorted((i, j, x) for i, t in texts for j, x in alias if len(x) >= 3 and f" {x} " in f" {t} ")
+    for most in (500_000, 0):
+        assert sorted(tuple(r) for r in entities.match_aliases(d, a, most_aliases=most).collect()) == want
+    # 300 texts and 300 aliases share their longest word; no join makes a row per pair.
+    d = spark.range(300).selectExpr("id as doc_id", "concat('p', id, ' thelongestword q') as text")
+    plan = entities.match_aliases(d, spark.range(300).selectExpr("id as company", "concat('p', id, ' thelongestword') as alias"))
+    assert sorted((r["doc_id"], r["company"]) for r in plan.collect()) == [(i, i) for i in range(300)]
+    assert 300 <= rows_made(plan) <= 5_000
+
+
 def test_single_word_names_need_context(spark):
     texts = [(1, "Die Marke Tempo wächst"), (2, "Das Tempo steigt"), (3, "Tempo investiert in Werke"), (4, "Neues bei Tempo mit mehr Umsatz")]
     alias = spark.createDataFrame([("t", "Tempo")], "company string, alias string")
