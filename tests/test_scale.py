@@ -97,6 +97,25 @@ def test_quotes_match_brute_force(spark):
     assert got == want and want
 
 
+def test_near_duplicates_by_one_shared_token_and_sets_that_share_a_rare_one(spark):
+    rnd = random.Random(10)
+    docs = [(i, sorted(set(rnd.choices([f"w{k}" for k in range(25)], k=rnd.randrange(1, 6))))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    reps = {}
+    for i, tk in docs:
+        reps.setdefault(tuple(tk), i)
+    for score, least in ((0.3, 1), (0.5, 2), (1.0, 1)):
+        got = {r["doc_id"]: r["duplicate_of"] for r in dedup.near_duplicates(df, score, least).collect()}
+        near = lambda a, b: len(set(a) & set(b)) >= least and len(set(a) & set(b)) / len(set(a) | set(b)) >= score
+        to = {i: min([rep for tk, rep in reps.items() if rep <= reps[tuple(own)] and (rep == reps[tuple(own)] or near(tk, own))]) for i, own in docs}
+        assert got == {i: d for i, d in to.items() if i != d}
+    # 400 sets share one of their rarest tokens and nothing else; no join makes a row per pair.
+    df = spark.range(400).selectExpr("id as doc_id", "concat(array('shared'), transform(sequence(1, 5), k -> concat('t', pmod(xxhash64(id, k), 90)))) as tokens")
+    plan = dedup.near_duplicates(df.selectExpr("doc_id", "array_distinct(tokens) as tokens"), 0.6, 3)
+    plan.collect()
+    assert 0 < rows_made(plan) <= 20_000
+
+
 def test_aliases_match_brute_force(spark):
     texts = [(1, "Die Muster AG wächst, sagt Muster."), (2, "Ein Musterhaus"), (3, "muster ag und Beispiel Gruppe"), (4, "")]
     alias = [("m", "Muster AG"), ("m", "Muster"), ("b", "Beispiel Gruppe"), ("x", "AG")]
