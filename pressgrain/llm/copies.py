@@ -1,10 +1,11 @@
-"""Near copies of whole documents: MinHash bands give candidates, exact Jaccard similarity gives the links.
-
-Texts are compared by their five-word shingles in lower case. Texts of equal words are folded first. Texts that agree in a
-band of `paragraphs` are candidates; each text travels once, to the task of its component of candidates, and only pairs
-whose exact similarity suffices become links. Large components are dealt into chunks, and each pair of chunks is a task of
-its own. SimHash at a radius that finds similarity 0.8 (about 10 of 64 bits on average, 15 and more at times) would have
-to compare nearly all pairs.
+"""Near copies of whole documents: SimHash fingerprints give candidates, exact Jaccard similarity gives the links.
+
+Texts are compared by their five-word shingles in lower case. Texts of equal words are folded first. Their fingerprints are
+linked by the forest of vantage-point trees of `simhash`; every pair within its radius becomes a candidate. Similarity 0.8
+lies about 10 of 64 bits apart on average, 15 and more at times, and a radius that wide would have to compare nearly all
+pairs. So what lies beyond the radius is found by the MinHash bands of `paragraphs`: texts that agree in a band are
+candidates too. Each text travels once, to the task of its component of candidates, and only pairs whose exact similarity
+suffices become links. Large components are dealt into chunks, and each pair of chunks is a task of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 from pressgrain.llm.common import components, saved, slices
 from pressgrain.llm.paragraphs import BANDS, _hashes, band_keys, bucket_links, forgetting, shingles
+from pressgrain.llm.simhash import fingerprint, links
+
+#: Words of a shingle.
+SHINGLE = 5
 
 
 def _words(text: str | None) -> list[str]:
@@ -33,9 +38,10 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         names = [xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
         keys = band_keys(*shingles(*_hashes(words)))
+        marks = pa.array([fingerprint(" ".join(w), SHINGLE) for w in words], pa.int64())
         bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
         sizes = pa.array([len(w) for w in words], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), sizes, bands], ["id", "name", "words", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), sizes, marks, bands], ["id", "name", "words", "fp", "bands"])
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,21 +76,26 @@ def _linked(least: float):
     return run
 
 
-def near_copies(docs: DataFrame, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 2_000, chunk_words: int = 1_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 2_000, chunk_words: int = 1_000_000, radius: int = 4) -> DataFrame:
     """`id_col`, `name` (of the words in lower case), `component_id` of every row: the smallest id among the rows reachable
     by links of similarity `similar` and more.
 
     Texts without words (null or empty too) are copies of each other. Repeated rows stay and share a class. Null ids take
-    part and stay null; a class of null ids only has a null `component_id`. Candidates of similarity 0.8 are missed with a
-    chance of 0.2 %, closer ones less often.
+    part and stay null; a class of null ids only has a null `component_id`. Pairs whose fingerprints differ in at most
+    `radius` bits are all compared; others of similarity 0.8 are missed with a chance of 0.2 %, closer ones less often.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    marked = saved(own.mapInArrow(forgetting(_marked), f"id {kind}, name binary, words long, bands array<long>"), "copies")
+    marked = saved(own.mapInArrow(forgetting(_marked), f"id {kind}, name binary, words long, fp long, bands array<long>"), "copies")
     distinct = marked.groupBy("name").agg(F.min("id").alias("least"), F.first("words").alias("words"))
+    marks = saved(marked.groupBy("fp").agg(F.min("name").alias("center")), "fingerprints")
+    close = links(marks.select("fp"), radius).join(marks.select(F.col("fp").alias("a"), F.col("center").alias("own")), "a").join(marks.select(F.col("fp").alias("b"), F.col("center").alias("other")), "b")
+    close = close.select(F.col("own").alias("a"), F.col("other").alias("b"))
+    alike = marked.join(marks, "fp").select(F.col("name").alias("a"), F.col("center").alias("b")).where("a <> b")
     bands = marked.groupBy("name").agg(F.first("bands").alias("bands")).select("name", F.explode("bands").alias("key"))
     met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("center")).where("n > 1")
-    near = saved(components(bands.join(met.select("key", "center"), "key").select(F.col("name").alias("a"), F.col("center").alias("b")), "candidates"), "candidates")
+    banded = bands.join(met.select("key", "center"), "key").select(F.col("name").alias("a"), F.col("center").alias("b"))
+    near = saved(components(close.unionByName(alike).unionByName(banded), "candidates"), "candidates")
     asked = near.join(distinct, F.col("node") == F.col("name")).select("name", "root", "words")
     chunks = F.ceil(F.greatest(F.count(F.lit(1)) / chunk_rows, F.sum("words") / chunk_words)).cast("int")
     asked = asked.select("name", "root").join(asked.groupBy("root").agg(chunks.alias("chunks")), "root")

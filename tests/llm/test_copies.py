@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from pressgrain.llm import copies, passages
+from pressgrain.llm import copies, paragraphs, passages, simhash
 from tests.llm.fixtures import frame, words
 from tests.llm.test_tables import Union, slow_paragraphs
 
@@ -42,6 +42,24 @@ def test_near_copies_equal_brute_force(spark, tmp_path):
     assert copies.near_copies(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_link_what_the_fingerprints_link(spark):
+    """Pairs that share no MinHash band, but lie within the radius of their fingerprints."""
+    rng = random.Random(35)
+    rows, pairs = [], 0
+    while pairs < 3:
+        a = words(rng, 100).split(" ")
+        b = list(a)
+        for at in rng.sample(range(100), 5):
+            b[at] = f"new{rng.randrange(10**6)}"
+        keys = paragraphs.band_keys(*paragraphs.shingles(*paragraphs._hashes([a, b])))
+        apart = (simhash.fingerprint(" ".join(a), 5) ^ simhash.fingerprint(" ".join(b), 5)) & (2**64 - 1)
+        if (keys[0] != keys[1]).all() and apart.bit_count() <= 16 and jaccard(" ".join(a), " ".join(b)) >= 0.5:
+            rows += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+            pairs += 1
+    got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(frame(spark, rows), 0.5, radius=16).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def repeated_runs(texts, least=50):
     """Word numbers (text, word) at which a run starts that stands earlier too."""
     seen, out = set(), set()
