@@ -48,7 +48,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each class of near copies (five-word Jaccard 0.8), the one of the smallest id (null ids last);
-    repeated rows count as copies.
+    repeated rows count as copies. Candidates are the fingerprints that op8's forest of vantage-point trees links, and texts
+    beyond its radius that share a MinHash band; every link is checked by exact similarity.
 
     Texts without words are copies of each other, so of them one stays.
     """
