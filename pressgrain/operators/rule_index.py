@@ -1,15 +1,17 @@
 """Rules as a table: texts meet the rules whose mandatory words they hold, and only those patterns are run.
 
 Of each pattern a set of keys is derived, one of which every match must contain: a whole word where the pattern pins both
-of its ends, otherwise a run of four letters of a word. Texts give the same keys, an equality join makes the candidates,
-and the rule's own pattern decides. Rules without such keys, and patterns this small reader does not know (look-around,
-back references, flags), are tried on every text, in blocks of rules.
+of its ends, otherwise a run of four letters of a word. The distinct words of all texts meet the patterns on such keys. A
+pattern whose matches hold no blank runs on these words only, once each, and is decided by them; of any other its texts
+must have a word with a key, and the pattern runs on those texts. Rules for which words say nothing, and patterns this small
+reader does not know (look-around, back references, flags), are tried on every text, in blocks of rules.
 
 Patterns run on normalised text: words of a-z and 0-9 with one blank between them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -179,14 +181,30 @@ def keys_of(pattern: str | None) -> list[str] | None:
     return sorted({p.key for p in cover}) if cover else None
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# What a pattern may consist of so that no match can hold a blank: letters, digits, classes of them, borders, groups.
+INSIDE = r"(?:[A-Za-z0-9_|)?*+]|\(\?:|\((?!\?)|\{\d+(?:,\d*)?\}|\\[bwd]|\[[A-Za-z0-9_-]+\])+"
+
+
+def within_word(pattern: str | None) -> bool:
+    """Whether the pattern occurs in a normalised text exactly if it occurs in one of its words, taken alone."""
+    try:
+        if not pattern or not re.fullmatch(INSIDE, pattern):
+            return False
+        _Reader(pattern).read()
+        return re.search(pattern, "") is None
+    except (Unknown, re.error):
+        return False
+
+
+def _tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each rule the conditions (0 trigger, 1 context) that some word of a text must meet, and those that are decided by it."""
     for batch in batches:
-        found = []
-        for trigger, context in zip(batch["trigger"], batch["context"]):
-            options = [k for k in (keys_of(trigger), keys_of(context)) if k]
-            # Few and long keys are rare in texts.
-            found.append(min(options, key=lambda k: (len(k), -min(map(len, k)))) if options else None)
-        yield batch.assign(keys=found)
+        tests, exact = [], []
+        for trigger, context, title in zip(batch["trigger"], batch["context"], batch["exclude_title"]):
+            own = [{"role": r, "pattern": p, "keys": keys_of(p), "inside": within_word(p)} for r, p in enumerate((trigger, context)) if p is not None]
+            tests.append([x for x in own if x["keys"]])
+            exact.append([x["role"] for x in tests[-1] if x["inside"]])
+        yield batch.assign(tests=tests, exact=exact)
 
 
 def text_keys(n: Column) -> Column:
@@ -197,6 +215,20 @@ def text_keys(n: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), inside))
 
 
+def _words_of(rows: DataFrame, tests: DataFrame) -> DataFrame:
+    """(`__w`, `__u`, role, `__need`) for every distinct word of the texts that passes a test.
+
+    Words meet tests on their keys. Patterns that stay within a word run on it, of others a word must have a key.
+    """
+    words = written(rows.select(F.explode(F.split("__n", " ")).alias("__w")).where("__w <> ''").distinct(), "vocabulary")
+    # Few bytes and much work: dealt by number, since by size all would come in one task.
+    tasks = 4 * words.sparkSession.sparkContext.defaultParallelism
+    words = words.repartition(tasks, "__w")
+    index = tests.withColumn("__k", F.explode("keys")).drop("keys")
+    met = words.select("__w", F.explode(text_keys(F.col("__w"))).alias("__k")).join(broadcast_if_small(index), "__k")
+    return met.where(~F.col("inside") | F.rlike("__w", F.col("pattern"))).select("__w", "__u", "role", "__need").distinct()
+
+
 def match_rule_table(texts: DataFrame, rules: DataFrame, key: str, text: str, title: str | None = None, block: int = 256) -> DataFrame:
     """(key, rule_id) for every rule whose trigger and context occur in the folded text.
 
@@ -207,15 +239,25 @@ def match_rule_table(texts: DataFrame, rules: DataFrame, key: str, text: str, ti
     spare = [c for c in ("context", "exclude_title") if c not in rules.columns]
     wide = rules.where("trigger IS NOT NULL").select("rule_id", "trigger", *(F.col(c) if c not in spare else F.lit(None).cast("string").alias(c) for c in ("context", "exclude_title")))
     kind = rules.schema["rule_id"].dataType.simpleString()
-    pack = written(wide.mapInPandas(_keyed, f"rule_id {kind}, trigger string, context string, exclude_title string, keys array<string>"), "rules")
-    rows = texts.select(key, norm_text(F.col(text)).alias("__n"), (norm_text(F.col(title)) if title else F.lit("")).alias("__t"))
+    schema = f"rule_id {kind}, trigger string, context string, exclude_title string, tests array<struct<role:int,pattern:string,keys:array<string>,inside:boolean>>, exact array<int>"
+    pack = written(wide.distinct().mapInPandas(_tested, schema).withColumn("__u", F.monotonically_increasing_id()), "rules")
+    rows = texts.select(key, F.monotonically_increasing_id().alias("__row"), norm_text(F.col(text)).alias("__n"), (norm_text(F.col(title)) if title else F.lit("")).alias("__t"))
     rows = written(rows, "folded")
-    index = pack.where("keys IS NOT NULL").select("rule_id", F.explode("keys").alias("__k"))
-    met = rows.select(key, F.explode(text_keys(F.col("__n"))).alias("__k"))
-    pairs = met.join(broadcast_if_small(index), "__k").select(key, "rule_id").distinct()
-    patterns = broadcast_if_small(pack.where("keys IS NOT NULL").drop("keys"))
-    found = pairs.join(rows, key).join(patterns, "rule_id").where(_matches(F.col("__n"), F.col("__t"), F.col("trigger"), F.col("context"), F.col("exclude_title")))
-    open_ = pack.where("keys IS NULL").drop("keys")
+    tests = pack.select("__u", F.size("tests").alias("__need"), F.explode("tests").alias("x")).select("__u", "__need", "x.*")
+    held = written(_words_of(rows, tests), "words")
+    # Of a row and a rule only which of the tests some word passes is kept, so the sums are small before the shuffle.
+    met = rows.select(key, "__row", F.explode(F.array_distinct(F.split("__n", " "))).alias("__w")).join(broadcast_if_small(held), "__w")
+    passed = met.groupBy("__row", key, "__u").agg((F.max((F.col("role") == 0).cast("int")) + F.max((F.col("role") == 1).cast("int"))).alias("__passed"), F.max("__need").alias("__need"))
+    pairs = passed.where("__passed = __need").select(key, "__row", "__u")
+    # Conditions that the words have decided are not run again.
+    undecided = lambda c, role: F.when(~F.array_contains("exact", role), F.col(c)).alias(c)
+    left = pack.where("size(tests) > 0").select("__u", "rule_id", undecided("trigger", 0), undecided("context", 1), "exclude_title")
+    sure = left.where("trigger IS NULL AND context IS NULL AND exclude_title IS NULL").select("__u", "rule_id")
+    found = pairs.join(broadcast_if_small(sure), "__u").select(key, "rule_id")
+    asked = pairs.join(broadcast_if_small(left.join(sure, "__u", "left_anti")), "__u").drop(key).join(rows, "__row")
+    asked = asked.where(_matches(F.col("__n"), F.col("__t"), F.col("trigger"), F.col("context"), F.col("exclude_title")))
+    found = found.unionByName(asked.select(key, "rule_id"))
+    open_ = pack.where("size(tests) = 0").drop("tests", "exact", "__u")
     # Blocks of rules without keys, dealt by their hash; a text is tried once per block, inside its row.
     count = max(1, -(-open_.count() // block))
     blocks = open_.groupBy(F.pmod(F.xxhash64("trigger", "context", "rule_id"), F.lit(count)).alias("__b")).agg(F.collect_list(F.struct("rule_id", "trigger", "context", "exclude_title")).alias("__rules"))
@@ -226,4 +268,4 @@ def match_rule_table(texts: DataFrame, rules: DataFrame, key: str, text: str, ti
 
 
 def _matches(n: Column, title: Column, trigger: Column, context: Column, exclude: Column) -> Column:
-    return F.rlike(n, trigger) & F.coalesce(F.rlike(n, context), F.lit(True)) & ~F.coalesce(F.rlike(title, exclude), F.lit(False))
+    return F.coalesce(F.rlike(n, trigger), F.lit(True)) & F.coalesce(F.rlike(n, context), F.lit(True)) & ~F.coalesce(F.rlike(title, exclude), F.lit(False))

@@ -4,9 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pressgrain.functions.text import norm_literal
-from pressgrain.operators.rule_index import keys_of, match_rule_table
+from pressgrain.operators.rule_index import _tested, keys_of, match_rule_table, within_word
 
 
 @pytest.mark.parametrize(
@@ -58,3 +59,29 @@ def test_ten_thousand_rules_of_a_table(spark, tmp_path):
     assert len(pairs) == len(set(pairs)) and set(pairs) == plain and len(plain) > 1_000
     assert match_rule_table(df.limit(0), spark.read.parquet(str(tmp_path / "rules")), "doc_id", "text").count() == 0
     assert match_rule_table(df, spark.createDataFrame([], "rule_id long, trigger string"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "pattern,inside",
+    [
+        (r"\b(the|der)\b", True), (r"th[aeiou]+n", True), (r"\bmark\w*", True), (r"ab{2,3}c\d?", True), ("Ab", True),
+        (r"\b(the |der)", False), (r"a.c", False), (r"^the", False), (r"the$", False), (r"x*", False), (r"(a|)", False), (r"[^a]b", False),
+        (r"a\sb", False), (r"(?i)the", False), (r"(?=the)", False), (r"[ -z]b", False), (r"(a)\1", False), (r"(un", False), (None, False),
+    ],
+)
+def test_patterns_that_stay_within_a_word(pattern, inside):
+    assert within_word(pattern) == inside
+
+
+def test_rows_of_one_key_are_tested_apart(spark):
+    df = spark.createDataFrame([(1, "alpha"), (1, "beta"), (None, "alpha beta"), (2, "")], "doc_id long, text string")
+    rules = spark.createDataFrame([(7, r"\balpha\b", r"\bbeta\b"), (7, r"ga+m", None), (8, r"\b[ab]\w+", "a b")], "rule_id long, trigger string, context string")
+    assert {tuple(r) for r in match_rule_table(df, rules, "doc_id", "text").collect()} == {(None, 7), (None, 8)}
+
+
+def test_texts_are_searched_only_for_patterns_across_words(spark):
+    df = spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string")
+    rules = spark.createDataFrame([(7, r"\balpha\b", r"b[aeiou]t"), (8, r"a b", None)], "rule_id long, trigger string, context string")
+    pack = next(_tested(iter([rules.withColumn("exclude_title", F.lit(None).cast("string")).toPandas()])))
+    assert list(map(list, pack["exact"])) == [[0], []] and [len(x) for x in pack["tests"]] == [1, 0]
+    assert {tuple(r) for r in match_rule_table(df, rules, "doc_id", "text").collect()} == {(1, 7), (1, 8)}
