@@ -56,7 +56,8 @@ def _code_ranges(chars: Sequence[str], gap: int = 32) -> str:
     return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
 
 
-FOLD_LONG_CLASS = _code_ranges([char for char, _ in FOLD_LONG])
+# The one wide range is tried first, so the many small ones cost nothing on the letters that make up most of a text.
+FOLD_LONG_CLASS = f"[\\x{{{min(ord(char) for char, _ in FOLD_LONG):x}}}-\\x{{1ffff}}&&{_code_ranges([char for char, _ in FOLD_LONG])}]"
 # Pairs of one string literal: a map literal of that size would cost hundreds of calls to the JVM in each plan.
 FOLD_LONG_PAIRS = ";".join(f"{char}={plain}" for char, plain in FOLD_LONG)
 
@@ -72,12 +73,21 @@ def fold(col: Column) -> Column:
     one_by_one = F.transform(F.split(low, ""), lambda c: F.when(F.octet_length(c) > 1, F.coalesce(F.try_element_at(table, c), c)).otherwise(c))
     long_forms = F.when(low.rlike(FOLD_LONG_CLASS), F.array_join(one_by_one, "")).otherwise(low)
     folded = F.translate(F.replace(long_forms, F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(folded)
+    return F.when(F.octet_length(col) == F.length(col), low).otherwise(folded)
+
+
+def bound(value: Column, fn) -> Column:
+    """`fn(value)` with `value` computed once, however often `fn` names it."""
+    return F.transform(F.array(value), fn)[0]
+
+
+# A run of characters between words, unless it is one blank already.
+BETWEEN_WORDS = "[^a-z0-9](?:[^a-z0-9]++|(?<! ))"
 
 
 def norm_text(col: Column) -> Column:
     """Folded text with every run of other characters as one blank."""
-    return F.trim(F.regexp_replace(fold(F.coalesce(col, F.lit(""))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(fold(F.coalesce(col, F.lit(""))), BETWEEN_WORDS, " "))
 
 
 _FOLD_CHARS = {**dict(FOLD_LONG), "ß": "ss", **{c: (FOLD_TO[i] if i < len(FOLD_TO) else "") for i, c in enumerate(FOLD_FROM)}}
@@ -89,10 +99,13 @@ def norm_literal(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", low).strip(" ")
 
 
+ASCII_OTHER = "".join(c for c in map(chr, range(1, 128)) if not c.isalnum())
+
+
 def evidence_skeleton(col: Column) -> Column:
     """Letters and digits only, umlauts and broken characters deleted on both sides of a comparison."""
-    cleared = F.translate(_replace_all(F.lower(col), [("ß", "ss")]), "äöü�", "")
-    return F.regexp_replace(fold(cleared), "[^a-z0-9]+", "")
+    cleared = F.translate(_replace_all(F.lower(col), [("ß", "ss")]), "äöü�" + ASCII_OTHER, "")
+    return bound(cleared, lambda c: F.regexp_replace(fold(c), "[^a-z0-9]+", ""))
 
 
 def tokens(norm: Column) -> Column:
@@ -189,16 +202,30 @@ PAYWALL_VERB = r"\b(weiterlesen|vollstandigen artikel|continue reading|read more
 PAYWALL_CHARS = 1200
 
 
+def has_any_of(norm: Column, pattern: str) -> Column:
+    """`rlike`, with those alternatives of the pattern that are plain words looked up as they are, which costs far less."""
+    one = r"(?:\(\?:[a-z0-9 |]*\)|[a-z0-9 .*])+"
+    options = re.findall(one, pattern) if re.fullmatch(rf"{one}(?:\|{one})*", pattern) else [pattern]
+    plain = [o for o in options if re.fullmatch("[a-z0-9 ]+", o)]
+    rest = [o for o in options if o not in plain]
+    found = [F.contains(norm, F.lit(o)) for o in plain] + ([norm.rlike("|".join(rest))] if rest else [])
+    return reduce(lambda a, b: a | b, found)
+
+
 def paywall_flag(
     col: Column,
     explicit: str = PAYWALL_EXPLICIT,
     noun: str = PAYWALL_NOUN,
     verb: str = PAYWALL_VERB,
     max_chars: int = PAYWALL_CHARS,
+    norm: Column | None = None,
 ) -> Column:
-    norm = norm_text(col)
-    short = F.length(F.trim(col)) < max_chars
-    return norm.rlike(explicit) | (short & norm.rlike(noun) & norm.rlike(verb))
+    """Whether the text is a teaser; `norm`, where given, is its normalised form."""
+    def judge(n: Column) -> Column:
+        short = F.length(F.trim(col)) < max_chars
+        return has_any_of(n, explicit) | (short & n.rlike(noun) & n.rlike(verb))
+
+    return bound(norm_text(col), judge) if norm is None else judge(norm)
 
 
 EVIDENCE_MIN = 12
@@ -278,41 +305,45 @@ def clean_article_text(col: Column, max_chars: int | None = None) -> Column:
     lines costs n log n and no shuffle.
     """
     text = decode_entities(F.coalesce(col, F.lit("")))
-    text = F.regexp_replace(text, r"(?is)<script.*?</script>", " ")
-    text = F.regexp_replace(text, r"(?is)<style.*?</style>", " ")
-    text = F.regexp_replace(text, r"<[^>]+>", "\n")
+
+    def without_markup(x: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(x, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
+        return F.when(F.contains(x, F.lit("<")), F.regexp_replace(plain, r"<[^>]+>", "\n")).otherwise(x)
 
     def prepare(raw: Column, i: Column) -> Column:
-        line = F.trim(F.regexp_replace(raw, r"[\s\x{00a0}]+", " "))
-        blank = line == ""
-        leak = line.rlike(TEMPLATE_LEAK)
-        plain = F.regexp_replace(F.regexp_replace(line, r"\*\*\s*\*\*", ""), r"(^|\s)\*{1,2}(\s|$)", "$1$2")
-        line = F.when(F.contains(line, F.lit("*")), F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(line)
-        return F.struct(line.alias("line"), blank.alias("blank"), leak.alias("leak"), i.alias("pos"))
+        def parts(line: Column) -> Column:
+            plain = F.regexp_replace(F.regexp_replace(line, r"\*\*\s*\*\*", ""), r"(^|\s)\*{1,2}(\s|$)", "$1$2")
+            shown = F.when(F.contains(line, F.lit("*")), F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(line)
+            return F.struct(shown.alias("line"), (line == "").alias("blank"), line.rlike(TEMPLATE_LEAK).alias("leak"), i.alias("pos"))
+
+        # Runs of blanks that are one blank already stay as they are.
+        return bound(F.trim(F.regexp_replace(raw, r"[\s\x{a0}](?:[\s\x{a0}]++|(?<! ))", " ")), parts)
 
     def judge(x: Column) -> Column:
         line = x["line"]
+
+        def by_body(body: Column) -> Column:
+            marked = line.rlike(r"^#{2,3}\s+") | line.rlike(r"^-\s+")
+            few_words = ~body.rlike(r"^\s*+(?:\S++\s++){4}\S")
+            fragment = ((F.length(body) < 30) | few_words) & ~body.rlike("[.!?:”»\")]$") & ~marked
+            drop = (
+                x["leak"]
+                | (line == "-")
+                | fragment
+                | line.rlike(r"^#{1,6}\s*$")
+                | ((F.length(line) < 160) & line.rlike("[»›]"))
+                | ~line.rlike(r"[^*#\-•·➟>\s][*#\-•·➟>\s]*+[^*#\-•·➟>\s]")
+                | F.lower(body).isin(*BOILERPLATE_LINES)
+                | line.rlike(NO_SCRIPT)
+            )
+            # A line without a key is not kept.
+            return F.when(~x["blank"] & ~drop, norm_text(body)).otherwise("")
+
         body = F.regexp_replace(F.regexp_replace(line, r"^#{2,3}\s+", ""), r"^-\s+", "")
-        marked = line.rlike(r"^#{2,3}\s+") | line.rlike(r"^-\s+")
-        words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
-        fragment = ~marked & ~body.rlike("[.!?:”»\")]$") & ((words <= 4) | (F.length(body) < 30))
-        drop = (
-            x["leak"]
-            | line.rlike(r"^#{1,6}\s*$")
-            | (line == "-")
-            | (F.length(F.regexp_replace(line, r"[*#\-•·➟>\s]", "")) < 2)
-            | (line.rlike("[»›]") & (F.length(line) < 160))
-            | line.rlike(NO_SCRIPT)
-            | F.lower(body).isin(*BOILERPLATE_LINES)
-            | fragment
-        )
-        key = norm_text(body)
-        keep = ~x["blank"] & ~drop & (key != "")
-        return F.struct(
-            F.when(keep, key).otherwise(F.lit("")).alias("key"), x["pos"].alias("pos"), line.alias("line"),
-            x["blank"].alias("blank"), keep.alias("keep"),
-        )
+        return bound(bound(body, by_body), lambda key: F.struct(
+            key.alias("key"), x["pos"].alias("pos"), line.alias("line"), x["blank"].alias("blank"), (key != "").alias("keep")))
 
+    text = bound(text, without_markup)
     judged = F.transform(F.transform(F.split(text, "\n"), prepare), judge)
     kept = F.array_sort(F.filter(judged, lambda x: x["keep"] | x["blank"]))
 
@@ -346,20 +377,21 @@ def select_passages(col: Column, max_chars: int = 12_000, features: Sequence[str
     """
     blocks = F.split(col, r"\n{2,}|(?<=[.!?])\s+(?=[A-ZÄÖÜ])")
 
-    def scored(b: Column, i: Column) -> Column:
-        t = F.trim(F.regexp_replace(b, r"^\s+|\s+$", ""))
-        n = norm_text(t)
-        score = reduce(lambda x, y: x + y, [n.rlike(p).cast("int") for p in features])
-        return F.struct(F.length(t).alias("len"), i.alias("i"), score.alias("score"), t.alias("t"))
+    def trimmed(b: Column, i: Column) -> Column:
+        return bound(F.regexp_replace(b, r"^\s+|\s+$", ""), lambda x: bound(F.trim(x), lambda t: F.struct(F.length(t).alias("len"), i.alias("i"), t.alias("t"))))
+
+    def score(t: Column) -> Column:
+        return bound(norm_text(t), lambda n: reduce(lambda x, y: x + y, [n.rlike(p).cast("int") for p in features]))
 
-    usable = F.filter(F.transform(blocks, scored), lambda x: x["len"] >= 40)
+    usable = F.filter(F.transform(blocks, trimmed), lambda x: x["len"] >= 40)
 
     def choose(arr: Column) -> Column:
         n = F.size(arr)
 
         def queue(x: Column, j: Column) -> Column:
+            # Only blocks between the first and the last four are ranked by what they hold.
             rank = F.when(j < 4, 0).when(j >= n - 4, 1).otherwise(2)
-            order = F.when(rank == 2, -x["score"]).otherwise(0)
+            order = F.when((j < 4) | (j >= n - 4), 0).otherwise(-score(x["t"]))
             return F.struct(rank.alias("rank"), order.alias("o"), x["i"].alias("i"), x["len"].alias("len"),
                             x["t"].alias("t"))
 
