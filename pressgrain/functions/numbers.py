@@ -335,11 +335,13 @@ def paraphrases(title: Column, source: Column, stop: list[str]) -> Column:
 
 def semantic_tokens(col: Column, stop: list[str]) -> Column:
     """Words of five or more characters without stop words, together with their lightly stemmed forms."""
-    base = F.filter(F.split(norm_text(col), " "), lambda w: (F.length(w) >= 5) & ~w.rlike(r"^\d+$") & ~w.isin(*stop))
-    stems = F.filter(
-        F.transform(F.filter(base, lambda w: F.length(w) >= 7), lambda w: F.regexp_replace(w, "(?:ern|en|er|es|em|e|s)$", "")),
-        lambda w: F.length(w) >= 5)
-    return F.array_distinct(F.concat(base, stems))
+    base = F.filter(F.array_distinct(F.split(norm_text(col), " ")), lambda w: (F.length(w) >= 5) & ~w.rlike(r"^\d+$") & ~w.isin(*stop))
+
+    def with_stems(words: Column) -> Column:
+        stems = F.transform(F.filter(words, lambda w: F.length(w) >= 7), lambda w: F.regexp_replace(w, "(?:ern|en|er|es|em|e|s)$", ""))
+        return F.array_distinct(F.concat(words, F.filter(stems, lambda w: F.length(w) >= 5)))
+
+    return _let(base, with_stems)
 
 
 def semantic_overlap(claim: Column, context: Column, stop: list[str]) -> Column:
