@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from pressgrain.functions.numbers import semantic_tokens
 from pressgrain.functions.text import EVIDENCE_MIN, evidence_skeleton, fold, norm_text
-from pressgrain.scale import broadcast_if_small
+from pressgrain.scale import broadcast_if_small, is_small
 
 
 # First characters of the grams that serve as meeting points, rarest class first; together they cover folded text.
@@ -22,15 +22,21 @@ def _grams(skeleton: Column, n: int, start: str = ".") -> Column:
     return F.regexp_extract_all(skeleton, F.lit(f"(?=({start}.{{{n - 1}}}))"), F.lit(1))
 
 
-def contained_pairs(hays: DataFrame, needles: DataFrame, gram: int) -> DataFrame:
+def contained_pairs(hays: DataFrame, needles: DataFrame, gram: int, few: int = 2_000) -> DataFrame:
     """All (doc_id, item_id, needle) where a needle of at least `gram` characters occurs in a hay.
 
     Candidates meet on a character gram by equality and only they are compared in full. A needle is looked up by its
     smallest gram of the rarest class of first characters it has, and a hay emits its grams of that class, so a
     contained needle always meets its hay. Classes that no needle uses are not emitted; most needles own a gram of the
-    first class, which is about an eighth of all grams.
+    first class, which is about an eighth of all grams. At most `few` different needles are looked for in each hay as they
+    are, which costs less than its grams.
     """
     q = needles.select("item_id", "needle").where(F.length("needle") >= gram)
+    if is_small(q, few):
+        each = q.groupBy("needle").agg(F.collect_list("item_id").alias("items"))
+        each = F.broadcast(each.agg(F.collect_list(F.struct("needle", "items")).alias("__needles")))
+        hits = hays.select("doc_id", "hay").crossJoin(each).select("doc_id", F.explode(F.filter("__needles", lambda x: F.contains(F.col("hay"), x["needle"]))).alias("x"))
+        return hits.select("doc_id", F.explode("x.items").alias("item_id"), F.col("x.needle").alias("needle"))
     found = [F.array_min(_grams(F.col("needle"), gram, start)) for start in GRAM_STARTS]
     picks = [F.when(g.isNotNull(), F.struct(F.lit(i).alias("level"), g.alias("gram"))) for i, g in enumerate(found)]
     q = q.withColumn("pick", F.coalesce(*picks)).select("item_id", "needle", "pick.*")
