@@ -248,7 +248,8 @@ with v as (select p_partkey, p_partkey%3 as r, p_size, {PRICE} as price from par
 select p_partkey, array_to_string(list_sort(list_distinct(list_filter([case when p_size>=10 then p_size::varchar end, regexp_replace(price,'\\D','','g'),
   case r when 0 then '70' when 2 then '20' end], lambda x: x is not null))),' ') as leads from v""")
 def _(t):
-    rows = t.part.selectExpr("p_partkey", f"{CLAIM.replace('varchar(20)', 'string')} as tx")
+    # Short rows and much work: a file of few row groups would keep most cores idle.
+    rows = t.part.repartition(4 * t.spark.sparkContext.defaultParallelism, "p_partkey").selectExpr("p_partkey", f"{CLAIM.replace('varchar(20)', 'string')} as tx")
     return rows.select("p_partkey", F.array_join(F.array_sort(nb.lead_numbers(F.col("tx"))), " ").alias("leads"))
 
 
