@@ -68,17 +68,23 @@ def _stands(n: Column, alias: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" ")))
 
 
-def match_aliases(texts: DataFrame, aliases: DataFrame, min_chars: int = 3, holds: Callable[[Column, Column], Column] = _stands, most_aliases: int = 500_000) -> DataFrame:
+def match_aliases(texts: DataFrame, aliases: DataFrame, min_chars: int = 3, holds: Callable[[Column, Column], Column] = _stands, most_aliases: int = 500_000, few: int = 256) -> DataFrame:
     """(doc_id, company, alias) for every alias that occurs as a whole phrase in the folded text.
 
     Each text emits its distinct words and pairs of words; an alias, whatever number of companies has it, meets them once
-    by its first two words, and `holds(text, alias)` decides. Where the aliases are few enough to broadcast, all that
+    by its first two words, and `holds(text, alias)` decides. At most `few` aliases are tried on each text as they are, which
+    costs less than its words and pairs. Where the aliases are few enough to broadcast, all that
     happens beside the text, which is never shuffled. Otherwise (or with more than `most_aliases`) texts and aliases meet
     in a shuffle of their keys, and each text travels once, to the list of its candidates.
     """
     alias = aliases.select("company", norm_text(F.col("alias")).alias("alias")).where(F.length("alias") >= min_chars).distinct()
     docs = texts.select("doc_id", norm_text(F.col("text")).alias("n"))
     key = _first_pair(F.col("alias")).alias("__key")
+    if is_small(alias, few):
+        phrases = alias.groupBy("alias").agg(F.collect_list("company").alias("companies"))
+        phrases = F.broadcast(phrases.agg(F.collect_list(F.struct("alias", "companies")).alias("__phrases")))
+        met = docs.crossJoin(phrases).select("doc_id", F.explode(F.filter("__phrases", lambda p: holds(F.col("n"), p["alias"]))).alias("p"))
+        return met.select("doc_id", F.explode("p.companies").alias("company"), "p.alias")
     if is_small(alias, most_aliases):
         phrases = alias.groupBy("alias").agg(F.collect_list("company").alias("__companies")).withColumn("__key", key)
         met = docs.select("doc_id", "n", F.explode(_phrase_keys(F.col("n"))).alias("__key")).join(F.broadcast(phrases), "__key")
