@@ -375,7 +375,7 @@ def select_passages(col: Column, max_chars: int = 12_000, features: Sequence[str
 
     The greedy choice is a fold: a block that does not fit is skipped, later smaller ones may still be taken.
     """
-    blocks = F.split(col, r"\n{2,}|(?<=[.!?])\s+(?=[A-ZÄÖÜ])")
+    blocks = F.split(col, r"(?=\s)(?:\n{2,}|(?<=[.!?])\s+(?=[A-ZÄÖÜ]))")
 
     def trimmed(b: Column, i: Column) -> Column:
         return bound(F.regexp_replace(b, r"^\s+|\s+$", ""), lambda x: bound(F.trim(x), lambda t: F.struct(F.length(t).alias("len"), i.alias("i"), t.alias("t"))))
@@ -415,7 +415,7 @@ def select_passages(col: Column, max_chars: int = 12_000, features: Sequence[str
 
 def sentences(col: Column, min_len: int = 20) -> Column:
     """Sentences in order, without heading marks, of at least `min_len` characters."""
-    parts = F.split(F.coalesce(col, F.lit("")), r"(?<=[.!?])\s+|\n+")
+    parts = F.split(F.coalesce(col, F.lit("")), r"(?=\s)(?:(?<=[.!?])\s+|\n+)")
     trimmed = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^#{1,6}\s*", ""), r"^\s+|\s+$", ""))
     return F.filter(trimmed, lambda s: F.length(s) >= min_len)
 
