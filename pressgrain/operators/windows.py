@@ -123,11 +123,12 @@ def series_quality(df: DataFrame, group: Sequence[str], pos: str, label: str, va
     rows = neighbour(df, group, [pos], F.floor(F.col(pos) / 10_000), [label, value], "__prev", forward=False)
     back = F.col(f"__prev.{label}") >= F.col(label)
     up = F.col(value) > F.col(f"__prev.{value}")
+    # One distinct count only: a second one would write each row three times into the aggregation.
     stats = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("labels"), F.countDistinct(unit).alias("units"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("labels"), F.coalesce(F.min(unit) < F.max(unit), F.lit(False)).alias("mixed"),
         F.sum(value).alias("total"), F.max(F.coalesce(back, F.lit(False))).alias("back"), F.max(F.coalesce(up, F.lit(False))).alias("up"))
     issues = F.array_compact(F.array(
-        F.when(F.col("labels") < F.col("n"), "labels_repeat"), F.when(F.col("units") > 1, "units_differ"),
+        F.when(F.col("labels") < F.col("n"), "labels_repeat"), F.when(F.col("mixed"), "units_differ"),
         F.when(F.col("back"), "not_ascending"), F.when(~F.col("total").between(99, 101), "shares_not_100"),
         F.when(F.col("up"), "funnel_rises")))
     return stats.select(*group, "n", issues.alias("issues"))
