@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from pressgrain.operators.dedup import written
 
+#: Rows that Spark hands to Python at once. Its own 10,000 rows of whole texts are held several times over in a task.
+BATCH_ROWS = "500"
+
 POINTS, MOST_WORDS, LABEL_POINTS, LABEL_CHARS = 5, 8, 60, 6  # fixed values of the score
 PREFERRED_MOST, PREFERRED_LEAST = 40, 20
 BEST = "array<struct<score:int,position:long,offering_id:{kind}>>"
@@ -120,6 +123,7 @@ def top_entries(texts: DataFrame, catalogue: DataFrame, k: int, least: int, shar
     entries are not allowed. A shard is the only thing that is sent to all tasks, and `shard_words` bounds it.
     """
     spark, kind = texts.sparkSession, catalogue.schema["offering_id"].dataType.simpleString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     key = texts.schema["doc_id"].dataType.simpleString()
     held = BEST.format(kind=kind)
     schema = f"doc_id {key}, n string, wanted array<{kind}>, best {held}"
