@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressgrain.llm.common import components, saved, slices
-from pressgrain.llm.paragraphs import BANDS, _hashes, band_keys, bucket_links, forgetting, shingles
+from pressgrain.llm.paragraphs import BANDS, band_keys, bucket_links, shingles, word_hashes
 from pressgrain.llm.simhash import fingerprint, links
 
 #: Words of a shingle.
@@ -36,9 +36,10 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [_words(t) for t in batch.column(1).to_pylist()]
         if not words:
             continue
-        names = [xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
-        keys = band_keys(*shingles(*_hashes(words)))
-        marks = pa.array([fingerprint(" ".join(w), SHINGLE) for w in words], pa.int64())
+        texts = [" ".join(w) for w in words]
+        names = [xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+        keys = band_keys(*shingles(*word_hashes(texts)))
+        marks = pa.array([fingerprint(t, SHINGLE) for t in texts], pa.int64())
         bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
         sizes = pa.array([len(w) for w in words], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), sizes, marks, bands], ["id", "name", "words", "fp", "bands"])
@@ -63,7 +64,7 @@ def _linked(least: float):
 
         for batch in slices(batches, 64):
             tasks, own, texts = (c.to_pylist() for c in batch.columns)
-            hashes, starts = shingles(*_hashes([t.split() for t in texts]))
+            hashes, starts = shingles(*word_hashes(texts))
             for task, name, values in zip(tasks, own, np.split(hashes, starts[1:])):
                 if task != key and len(names) > 1:
                     yield links()
@@ -86,7 +87,7 @@ def near_copies(docs: DataFrame, similar: float = 0.8, id_col: str = "doc_id", t
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    marked = saved(own.mapInArrow(forgetting(_marked), f"id {kind}, name binary, words long, fp long, bands array<long>"), "copies")
+    marked = saved(own.mapInArrow(_marked, f"id {kind}, name binary, words long, fp long, bands array<long>"), "copies")
     distinct = marked.groupBy("name").agg(F.min("id").alias("least"), F.first("words").alias("words"))
     marks = saved(marked.groupBy("fp").agg(F.min("name").alias("center")), "fingerprints")
     close = links(marks.select("fp"), radius).join(marks.select(F.col("fp").alias("a"), F.col("center").alias("own")), "a").join(marks.select(F.col("fp").alias("b"), F.col("center").alias("other")), "b")
@@ -104,7 +105,7 @@ def near_copies(docs: DataFrame, similar: float = 0.8, id_col: str = "doc_id", t
     dealt = asked.withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("name", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
     pairs = texts.join(dealt, "name").select("task", "name", "text").repartition("task").sortWithinPartitions("task")
-    classes = components(pairs.mapInArrow(forgetting(_linked(similar)), "a binary, b binary"))
+    classes = components(pairs.mapInArrow(_linked(similar), "a binary, b binary"))
     members = distinct.join(classes, F.col("name") == F.col("node"), "left").select("name", "least", F.coalesce("root", "name").alias("root"))
     named = members.groupBy("root").agg(F.min("least").alias("component_id"))
     result = marked.select("id", "name").join(members.join(named, "root").select("name", "component_id"), "name")

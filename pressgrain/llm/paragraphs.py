@@ -24,6 +24,10 @@ _DRAW = np.random.default_rng(3)
 FACTORS = _DRAW.integers(1, 2**63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _DRAW.integers(1, 2**63, BANDS * MINIMA, dtype=np.uint64)
 PLACES = _DRAW.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Numbers of the characters, 0 for those at which `str.split` cuts, and odd ones of the places in a word.
+_CHARS = _DRAW.integers(1, 2**64, 0x110000, dtype=np.uint64)
+_CHARS[[c for c in range(0x3001) if chr(c).isspace()]] = 0
+_AT = _DRAW.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,46 +54,43 @@ def shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(paragraphs, BANDS) keys; equal keys of a band mean equal minima."""
     keys = np.zeros((len(starts), BANDS), np.uint64)
+    own, shifted = np.empty_like(hashes), np.empty_like(hashes)  # filled anew for each minimum, so that no memory is asked for
     for band in range(BANDS):
         key = np.full(len(starts), band + 1, np.uint64)
         for k in range(band * MINIMA, (band + 1) * MINIMA):
-            key = _mix(key ^ np.minimum.reduceat(_mix(hashes * FACTORS[k] + ADDENDS[k]), starts))
+            np.multiply(hashes, FACTORS[k], out=own)
+            own += ADDENDS[k]
+            np.right_shift(own, np.uint64(31), out=shifted)
+            own ^= shifted
+            own *= np.uint64(0x9E3779B97F4A7C15)
+            key = _mix(key ^ np.minimum.reduceat(own, starts))
         keys[:, band] = key
     return keys.view(np.int64)
 
 
-class _Words:
-    """64-bit hashes of words, kept per worker up to a bound."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words that `str.split` finds in all texts, in one flat array, and how many words each text has.
 
-    def __init__(self, limit: int = 200_000):
-        self.known, self.limit = {}, limit
-
-    def __call__(self, paragraphs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        from itertools import chain
-
-        from xxhash import xxh3_64_intdigest
-
-        if len(self.known) > self.limit:
-            self.known = {}
-        for w in set(chain.from_iterable(paragraphs)).difference(self.known):
-            self.known[w] = xxh3_64_intdigest(w)
-        sizes = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(paragraphs)), np.uint64, sizes.sum()), sizes
-
-
-_hashes = _Words()
-
-
-def forgetting(run):
-    """A function over batches that leaves no known words behind in its worker, which later stages may use."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            _hashes.known = {}
-
-    return wrapped
+    A word is the sum of its characters' numbers, each times the number of its place in the word.
+    """
+    points = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    values = _CHARS[points]
+    word = values != 0
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    starts = np.flatnonzero(begins)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.zeros(0, np.uint64), sizes
+    values = values[starts[0] :]
+    at = np.arange(starts[0], len(points)) - np.repeat(starts, np.diff(starts, append=len(points)))
+    values *= _AT[at % len(_AT)] + np.uint64(2) * (at // len(_AT)).astype(np.uint64) if at.max() >= len(_AT) else _AT[at]
+    return _mix(np.add.reduceat(values, starts - starts[0])), sizes
+
+
+def _hashes(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes([" ".join(own) for own in words])
 
 
 def similarity(a: set, b: set) -> float:
@@ -120,18 +121,21 @@ def _listed(least: int):
         from xxhash import xxh3_128_digest
 
         for batch in slices(batches, 512):
-            owner, line, name, words = [], [], [], []
+            owner, line, name, words, many = [], [], [], [], []
             for row, text in enumerate(batch.column(3).to_pylist()):
+                before = len(owner)
                 for k, paragraph in enumerate(text.split("\n")):
                     own = paragraph.split()
                     if len(own) >= least:
-                        owner.append(row), line.append(k), name.append(xxh3_128_digest(" ".join(own).encode("utf-8", "surrogatepass"))), words.append(own)
+                        joined = " ".join(own)
+                        owner.append(row), line.append(k), name.append(xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))), words.append(joined)
+                many += [len(owner) - before] * (len(owner) - before)
             if not owner:
                 continue
-            keys = band_keys(*shingles(*_hashes(words)))
+            keys = band_keys(*shingles(*word_hashes(words)))
             bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
             ids, k1, k2 = (batch.column(k).take(pa.array(owner)) for k in range(3))
-            yield pa.RecordBatch.from_arrays([ids, k1, k2, pa.array(line, pa.int32()), pa.array(name, pa.binary()), bands], ["id", "k1", "k2", "line", "name", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, k1, k2, pa.array(line, pa.int32()), pa.array(many, pa.int32()), pa.array(name, pa.binary()), bands], ["id", "k1", "k2", "line", "many", "name", "bands"])
 
     return run
 
@@ -152,7 +156,7 @@ def _linked(least: float):
         key, names, texts = None, [], []
 
         def links():
-            hashes, starts = shingles(*_hashes([t.split() for t in texts]))
+            hashes, starts = shingles(*word_hashes(texts))
             found = bucket_links(names, [set(x.tolist()) for x in np.split(hashes, starts[1:])], least)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -173,6 +177,15 @@ def _keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.shiftright(F.xxhash64(F.lit(1), text), 32).cast("int").alias("k2")]
 
 
+def distinct_buckets(bands: DataFrame, bucket_rows: int) -> DataFrame:
+    """`key`, `name`, `chunks` of the buckets of two names or more. Close copies meet in most bands: of buckets that hold
+    the same names, told by their number and a 128-bit sum of their hashes, one is looked at."""
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "name")).alias(f"sum{k}") for k in (1, 2)]
+    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *sums).where("n > 1")
+    met = met.groupBy("n", "sum1", "sum2").agg(F.min("key").alias("key"))
+    return bands.join(met.select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("chunks")), "key")
+
+
 def remove_repeats(docs: DataFrame, least_words: int = 20, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 5_000) -> DataFrame:
     """All columns of `docs`, the text without its repeated paragraphs, plus `n_paragraphs`, `n_removed`, `removed` (line
     numbers from 0) and `kept_in` (the ids of the documents in which the removed ones stay).
@@ -183,12 +196,11 @@ def remove_repeats(docs: DataFrame, least_words: int = 20, similar: float = 0.8,
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     own = docs.select(docs[id_col].alias("id"), *_keys(text), text.alias("text"))
-    listed = saved(own.mapInArrow(forgetting(_listed(least_words)), f"id {kind}, k1 long, k2 int, line int, name binary, bands array<long>"), "paragraphs")
+    listed = saved(own.mapInArrow(_listed(least_words), f"id {kind}, k1 long, k2 int, line int, many int, name binary, bands array<long>"), "paragraphs")
     place = F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2", "line")
     distinct = listed.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     bands = listed.groupBy("name").agg(F.first("bands").alias("bands")).select("name", F.explode("bands").alias("key"))
-    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("chunks"))
-    buckets = saved(bands.join(met, "key"), "buckets")
+    buckets = saved(distinct_buckets(bands, bucket_rows), "buckets")
     asked = distinct.join(buckets.select("name").distinct(), "name").select("name", "at.*")
     asked = asked.groupBy("k1", "k2").agg(F.collect_set(F.struct("name", "line")).alias("asked"))
     texts = own.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(_texts, "name binary, text string")
@@ -197,12 +209,12 @@ def remove_repeats(docs: DataFrame, least_words: int = 20, similar: float = 0.8,
     dealt = buckets.withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("key", F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))))
     pairs = dealt.select("key", "name").join(texts, "name").select("key", "name", "text").repartition("key").sortWithinPartitions("key")
-    classes = components(pairs.mapInArrow(forgetting(_linked(similar)), "a binary, b binary"))
+    classes = components(pairs.mapInArrow(_linked(similar), "a binary, b binary"))
     known = distinct.join(classes, F.col("name") == F.col("node"), "left").select("name", "n", "at", F.coalesce("root", "name").alias("root"))
     stays = known.groupBy("root").agg(F.sum("n").alias("n"), F.min("at").alias("stay")).where("n > 1")
     repeated = known.join(stays.select("root", "stay"), "root").select("name", "stay")
     gone = listed.join(repeated, "name").where(~place.eqNullSafe(F.col("stay")))
-    per_doc = listed.groupBy("id", "k1", "k2").agg(F.count_distinct("line").alias("n_paragraphs"))
+    per_doc = listed.groupBy("id", "k1", "k2").agg(F.max("many").cast("long").alias("n_paragraphs"))  # repeated rows have the same lines
     lost = gone.groupBy("id", "k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set("stay.id")).alias("kept_in"))
     added = ("n_paragraphs", "n_removed", "removed", "kept_in")
     rest = [c for c in docs.columns if c not in added]

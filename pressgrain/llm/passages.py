@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgrain.llm.common import saved, settled, slices
-from pressgrain.llm.paragraphs import _hashes, _keys, _mix, forgetting, remove_repeats
+from pressgrain.llm.paragraphs import _keys, _mix, remove_repeats, word_hashes
 
 GRAM, WORD_BITS = 16, 28  # a place is one number: the document's, then the word's
 _STEPS = [(1 << k, p) for k, p in enumerate(np.random.default_rng(5).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1))]
@@ -44,7 +44,7 @@ def _anchors(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            own, sizes = _hashes([text.split() for text in batch.column(3).to_pylist()])
+            own, sizes = word_hashes(batch.column(3).to_pylist())
             if len(own) < least:
                 continue
             row, grams = np.repeat(np.arange(len(sizes)), sizes), _grams(own)
@@ -72,9 +72,11 @@ def _windows(least: int):
 
         for batch in slices(batches, 32):
             place, name = [], []
-            for doc, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            docs, texts, marks = (c.to_pylist() for c in batch.columns)
+            flat, sizes = word_hashes(texts)
+            for doc, text, asked, own in zip(docs, texts, marks, np.split(flat, np.cumsum(sizes)[:-1])):
                 words = text.split()
-                hit = np.isin(_grams(_hashes([words])[0]), np.array(asked, np.int64).view(np.uint64))
+                hit = np.isin(_grams(own), np.array(asked, np.int64).view(np.uint64))
                 before = np.concatenate([[0], np.cumsum(hit)])
                 for k in np.flatnonzero(before[reach:] > before[:-reach]).tolist():
                     place.append(doc << WORD_BITS | k), name.append(xxh3_128_digest(" ".join(words[k : k + least]).encode("utf-8", "surrogatepass")))
@@ -135,7 +137,7 @@ def remove_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", te
 
     def marked() -> DataFrame:
         """Documents that hold marks which occur twice, numbered in their order, so that the smallest place is the earliest."""
-        anchors = saved(own.mapInArrow(forgetting(_anchors(least)), f"{keys}, gram long, times int"), "anchors")
+        anchors = saved(own.mapInArrow(_anchors(least), f"{keys}, gram long, times int"), "anchors")
         twice = anchors.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
         asked = anchors.join(twice, "gram").groupBy("id", "k1", "k2").agg(F.collect_set("gram").alias("asked"))
         ordered = asked.orderBy(F.col("id").asc_nulls_last(), "k1", "k2").withColumn("doc", F.monotonically_increasing_id())
@@ -144,7 +146,7 @@ def remove_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", te
     ordered = settled(spark, "numbered", marked)
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))
     regions = lambda: own.join(ordered, same).select("doc", "text", "asked")
-    windows = settled(spark, "windows", lambda: regions().mapInArrow(forgetting(_windows(least)), "place long, name binary"))
+    windows = settled(spark, "windows", lambda: regions().mapInArrow(_windows(least), "place long, name binary"))
     first = windows.groupBy("name").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("name", "first")
     gone = windows.join(first, "name").where("place <> first")
     starts = gone.groupBy(F.shiftright("place", WORD_BITS).alias("doc")).agg(F.collect_set(F.col("place").bitwiseAND((1 << WORD_BITS) - 1).cast("int")).alias("starts"))
