@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import string
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pressgrain.functions.numbers import semantic_tokens
-from pressgrain.functions.text import EVIDENCE_MIN, evidence_skeleton, fold, norm_text
+from pressgrain.functions.text import EVIDENCE_MIN, FOLD_FROM, FOLD_LONG, FOLD_TO, _code_ranges, bound, evidence_skeleton, norm_text
 from pressgrain.scale import broadcast_if_small, is_small
 
 
@@ -85,36 +85,75 @@ def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("doc_id", "item_id", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("score"))
 
 
-# Folded ASCII: capitals to small letters, everything but letters and digits to nothing.
-ASCII_FROM = string.ascii_uppercase + "".join(c for c in map(chr, range(128)) if not c.isalnum())
-ASCII_TO = string.ascii_lowercase
+# Signs in folded text: a raw character that vanishes, one more letter of the same raw character, and the border of a stretch.
+SKIP, AGAIN, EDGE = "\x01", "\x02", "\x03"
 
 
-def _letters(text: Column) -> Column:
-    """Struct of the folded text with single blanks (`hay`) and the raw offset of each of its characters (`at`).
+def _own_pieces() -> tuple[str, str]:
+    """Characters that don't fold to one character each, as a regex class and as pairs with what they fold to: the letters of
+    their long form, with a sign between them. The signs themselves are blanks."""
+    table = {char: re.sub("[^a-z0-9]+", "", plain) for char, plain in FOLD_LONG} | {"ß": "ss", "\u0130": "i"}
+    table |= {char: table[char.lower()] for char in map(chr, range(0x80, 0x20000)) if char not in table and char.lower() in table}
+    found = f"[{SKIP}{AGAIN}{EDGE}[\\x{{80}}-\\x{{1ffff}}&&{_code_ranges(list(table))}]]"
+    return found, ";".join([*(f"{sign}= " for sign in (SKIP, AGAIN, EDGE)), *(f"{char}={AGAIN.join(letters)}" for char, letters in table.items())])
 
-    Combining marks are taken out first, so a blank stands exactly where two letters are not neighbours any more.
+
+OWN_PIECE, OWN_PAIRS = _own_pieces()
+MARKS = FOLD_FROM[len(FOLD_TO):]
+# Words with one blank between them, taken by one match: the borders of every word, tried one by one, would cost far more.
+STRETCH = "[a-z0-9]+(?: [a-z0-9]+)*+"
+
+
+def _coded(text: Column) -> Column:
+    """Text folded character by character: a combining mark is a sign, and a long form has signs between its letters.
+
+    Works on whole strings; only characters with long forms are cut out.
     """
-    numbered = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    kept = F.filter(numbered, lambda x: ~x["c"].between("\u0300", "\u036f"))
-    # Nearly all characters are ASCII, for which one table lookup does; only the others are folded one by one.
-    folded = F.transform(kept, lambda x, rank: F.struct(
-        F.when(F.octet_length(x["c"]) == 1, F.translate(x["c"], ASCII_FROM, ASCII_TO)).otherwise(F.regexp_replace(fold(x["c"]), "[^a-z0-9]+", "")).alias("f"), x["i"].alias("i"), rank.alias("rank")))
-    letters = F.filter(folded, lambda x: x["f"] != "")
+    table = F.str_to_map(F.lit(OWN_PAIRS), F.lit(";"), F.lit("="))
+    cut = F.split(text, f"(?={OWN_PIECE})|(?<={OWN_PIECE})", -1)
+    long_forms = F.array_join(F.transform(cut, lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+    signs = F.contains(text, F.lit(SKIP)) | F.contains(text, F.lit(AGAIN)) | F.contains(text, F.lit(EDGE))
+    plain = F.octet_length(text) == F.length(text)
+    low = F.lower(F.when(signs | (~plain & text.rlike(OWN_PIECE)), long_forms).otherwise(text))
+    return bound(low, lambda x: F.when(plain, x).otherwise(F.translate(x, FOLD_FROM, FOLD_TO + SKIP * len(MARKS))))
+
+
+def _letters(code: Column) -> Column:
+    """The words of a coded text with single blanks; a blank stands exactly where two letters are not neighbours any more."""
+    clear = F.replace(F.replace(code, F.lit(SKIP)), F.lit(AGAIN))
+    return F.array_join(F.regexp_extract_all(clear, F.lit(STRETCH), F.lit(0)), " ")
 
-    def spaced(found: Column) -> Column:
-        def piece(x: Column, k: Column) -> Column:
-            apart = (k > 0) & (x["rank"] - F.coalesce(F.get(found, k - 1)["rank"], x["rank"]) > 1)
-            return F.struct(F.when(apart, F.concat(F.lit(" "), x["f"])).otherwise(x["f"]).alias("f"), x["i"].alias("i"))
 
-        return F.transform(found, piece)
+def _running(values: Column, block: int = 256) -> Column:
+    """Running sums of an array, block by block, so that no long array is copied for each of its values."""
+    def sums(x: Column) -> Column:
+        start = F.array().cast("array<int>")
+        return F.aggregate(x, start, lambda a, v: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + v)))
 
-    def glued(pieces: Column) -> Column:
-        at = F.flatten(F.transform(pieces, lambda x: F.array_repeat(x["i"], F.length(x["f"]))))
-        return F.struct(F.array_join(F.transform(pieces, lambda x: x["f"]), "").alias("hay"), at.alias("at"))
+    def joined(blocks: Column) -> Column:
+        before = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return bound(before, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda v: v + F.get(t, i - 1))))))
+
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(block))
+    blocks = F.transform(starts, lambda i: sums(F.slice(values, i, F.lit(block))))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(bound(blocks, joined))
+
+
+def _raw_offsets(code: Column) -> Column:
+    """For each character of `_letters`, how much further on it stands in the raw text.
+
+    Few different values in long runs, so next to nothing once compressed.
+    """
+    def farther(parts: Column) -> Column:
+        # Gaps and stretches take turns; a gap is one blank of the folded text unless it has nothing but signs.
+        gaps = F.filter(parts, lambda x, i: i % 2 == 0)
+        steps = F.transform(gaps, lambda x, i: F.length(x) - F.when(F.contains(x, F.lit(AGAIN)), 2 * F.length(F.regexp_replace(x, f"[^{AGAIN}]+", ""))).otherwise(0)
+                            - F.when((i > 0) & x.rlike(f"[^{SKIP}{AGAIN}]"), 1).otherwise(0))
+        # A stretch has the blank after it.
+        runs = F.transform(F.filter(parts, lambda x, i: i % 2 == 1), lambda x, i: F.octet_length(x) + F.get(parts, 2 * i + 2).rlike(f"[^{SKIP}{AGAIN}]").cast("int"))
+        return bound(_running(steps), lambda far: F.flatten(F.transform(runs, lambda n, i: F.array_repeat(F.get(far, i), n))))
 
-    bound = F.transform(F.array(letters), spaced)
-    return F.transform(bound, glued)[0]
+    return bound(F.split(F.regexp_replace(code, STRETCH, f"{EDGE}$0{EDGE}"), EDGE, -1), farther)
 
 
 def evidence_spans(texts: DataFrame, quotes: DataFrame, min_chars: int = 4) -> DataFrame:
@@ -124,17 +163,17 @@ def evidence_spans(texts: DataFrame, quotes: DataFrame, min_chars: int = 4) -> D
     meet it by an equality join, so a document may have any number of quotes.
     """
     # An exploded array of one element is computed once; as a plain column every filter and join on it would fold anew.
-    hays = texts.select("doc_id", F.explode(F.array(_letters(F.col("text")))).alias("x")).select("doc_id", "x.hay", "x.at")
-    needles = quotes.select("doc_id", "quote_id", F.explode(F.array(_letters(F.col("quote"))["hay"])).alias("needle"))
-    rows = needles.where(F.length("needle") >= min_chars).join(hays, "doc_id").where(F.contains("hay", "needle"))
-    # Pieces between the occurrences: their lengths, summed up, are where the occurrences begin.
-    gaps = F.transform(F.split("hay", F.concat(F.lit("\\Q"), "needle", F.lit("\\E")), -1), lambda x: F.length(x))
-    step = F.length("needle")
-    begins = F.aggregate(
-        F.slice(gaps, 1, F.size(gaps) - 1), F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("all")),
-        lambda a, g: F.struct((a["n"] + g + step).alias("n"), F.concat(a["all"], F.array(a["n"] + g)).alias("all")), lambda a: a["all"])
-    rows = rows.select("doc_id", "quote_id", "at", step.alias("step"), F.explode(begins).alias("b"))
-    return rows.select("doc_id", "quote_id", F.get("at", F.col("b")).alias("start"), (F.get("at", F.col("b") + F.col("step") - 1) + 1).alias("end"))
+    hays = texts.select("doc_id", F.explode(F.array(_coded(F.col("text")))).alias("code"))
+    hays = hays.select("doc_id", F.explode(F.array(F.struct(_letters(F.col("code")).alias("hay"), _raw_offsets(F.col("code")).alias("far")))).alias("x")).select("doc_id", "x.hay", "x.far")
+    needles = quotes.select("doc_id", "quote_id", F.explode(F.array(_letters(_coded(F.col("quote"))))).alias("needle"))
+    rows = needles.where(F.length("needle") >= min_chars).join(hays, "doc_id")
+    # Pieces between the occurrences: their lengths, summed up, are where the occurrences begin. Folded text is ASCII.
+    step = F.octet_length("needle")
+    gaps = F.transform(F.split("hay", F.concat(F.lit("\\Q"), "needle", F.lit("\\E")), -1), lambda x: F.octet_length(x))
+    begins = bound(gaps, lambda g: F.transform(_running(F.slice(g, 1, F.size(g) - 1)), lambda n, i: n + i * step))
+    rows = rows.select("doc_id", "quote_id", "far", step.alias("step"), F.explode(begins).alias("b"))
+    last = F.col("b") + F.col("step") - 1
+    return rows.select("doc_id", "quote_id", (F.col("b") + F.get("far", F.col("b"))).alias("start"), (last + F.get("far", last) + 1).alias("end"))
 
 
 def segments(texts: DataFrame, spans: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from pressgrain.operators import evidence
 
 
@@ -82,3 +84,27 @@ def test_evidence_spans_fold_each_text_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(text#") == 1 and plan.count("split(quote#") == 1
     assert sorted((r["start"], r["end"]) for r in found.collect()) == [(0, 5), (7, 12)]
+
+
+def test_spans_of_signs_marks_and_long_forms_equal_brute_force(spark):
+    rng = random.Random(5)
+    raw = ["\x01", "\x02", "\x03", "\u0301", "\u0301\u0308", "\u0130", "ẞ", "ß", "ﬃ", "Ǆ", "⒈", "½", "™", "K", "Ｗ", "😀", "\u212b", "\u00a0", "ab", "C", "d e", "f.", "^", "<"]
+    texts = [(d, "".join(rng.choice(raw) + rng.choice(["", "", " ", "  ", ", "]) for _ in range(rng.choice([3, 40, 900])))) for d in range(30)]
+    texts += [(50, "\u0301a b c d"), (51, " \u0301 abc d \u0301"), (52, "ß" * 600), (53, "...")]
+    quotes = [(d, q, text[a : a + rng.randint(2, 12)]) for d, text in texts for q, a in enumerate(rng.randrange(len(text)) for _ in range(12))]
+    want = []
+    for d, q, quote in quotes:
+        (hay, at), (needle, _) = folded(dict(texts)[d]), folded(quote)
+        k = hay.find(needle) if len(needle) >= 2 else -1
+        while k >= 0:
+            want.append((d, q, at[k], at[k + len(needle) - 1] + 1))
+            k = hay.find(needle, k + len(needle))
+    found = evidence.evidence_spans(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(quotes, "doc_id long, quote_id long, quote string"), 2)
+    assert len(want) > 500 and sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_texts_are_not_taken_apart_into_characters(spark):
+    docs = spark.createDataFrame([(1, "Ä b C")], "doc_id long, text string")
+    found = evidence.evidence_spans(docs, docs.select("doc_id", F.lit(1).alias("quote_id"), F.col("text").alias("quote")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"split\((?:text|quote)#\d+, ,", plan)
