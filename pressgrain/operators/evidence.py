@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from pressgrain.functions.numbers import semantic_tokens
 from pressgrain.functions.text import EVIDENCE_MIN, FOLD_FROM, FOLD_LONG, FOLD_TO, _code_ranges, bound, evidence_skeleton, norm_text
+from pressgrain.operators.dedup import written
 from pressgrain.scale import broadcast_if_small, is_small
 
 
@@ -179,19 +180,22 @@ def evidence_spans(texts: DataFrame, quotes: DataFrame, min_chars: int = 4) -> D
 def segments(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """Text cut at every span border, each piece with the sorted ids of the quotes that cover it.
 
-    Borders are numbered per document; a span then covers the pieces from the number of its start to that of its end.
+    Borders are numbered per document; a span then covers the pieces from the number of its start to that of its end. The
+    spans are found once and written; their borders are dealt by document once, and a span meets its two borders in a sum.
     """
-    named = spans.select("doc_id", "start", "end", "quote_id").distinct()
+    named = written(spans.select("doc_id", "start", "end", "quote_id").distinct(), "spans")
     lengths = texts.select("doc_id", F.length("text").alias("n")).join(named.select("doc_id").distinct(), "doc_id", "left_semi")
-    borders = named.select("doc_id", F.explode(F.array("start", "end")).alias("cut")).unionByName(
-        lengths.select("doc_id", F.explode(F.array(F.lit(0), "n")).alias("cut"))).distinct()
+    span = F.struct("start", "end", "quote_id")
+    cuts = named.select("doc_id", F.explode(F.array("start", "end")).alias("cut"), span.alias("span"))
+    cuts = cuts.unionByName(lengths.select("doc_id", F.explode(F.array(F.lit(0), "n")).alias("cut")), allowMissingColumns=True)
+    borders = cuts.repartition("doc_id").groupBy("doc_id", "cut").agg(F.collect_list("span").alias("spans"))
     order = Window.partitionBy("doc_id").orderBy("cut")
-    borders = borders.select("doc_id", "cut", (F.row_number().over(order) - 1).alias("segment"), F.lead("cut").over(order).alias("next"))
+    borders = borders.select("doc_id", "cut", "spans", (F.row_number().over(order) - 1).alias("segment"), F.lead("cut").over(order).alias("next"))
     pieces = borders.where("next is not null").select("doc_id", "segment", F.col("cut").alias("start"), F.col("next").alias("end"))
-    low = borders.select("doc_id", F.col("cut").alias("start"), F.col("segment").alias("low"))
-    high = borders.select("doc_id", F.col("cut").alias("end"), F.col("segment").alias("high"))
-    covered = named.join(low, ["doc_id", "start"]).join(high, ["doc_id", "end"]).where("low < high")
-    covered = covered.select("doc_id", "quote_id", F.explode(F.sequence("low", F.col("high") - 1)).alias("segment"))
-    ids = covered.groupBy("doc_id", "segment").agg(F.array_sort(F.collect_set("quote_id")).alias("quote_ids"))
-    none = F.array().cast(ids.schema["quote_ids"].dataType)
-    return pieces.join(ids, ["doc_id", "segment"], "left").withColumn("quote_ids", F.coalesce("quote_ids", none))
+    met = borders.where("doc_id is not null").select("doc_id", "cut", "segment", F.explode("spans").alias("span"))
+    number = lambda border: F.max(F.when(F.col("cut") == F.col("span")[border], F.col("segment"))).alias(border)
+    covered = met.groupBy("doc_id", "span").agg(number("start"), number("end")).where("start < end")
+    covered = covered.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("segment"), "span.quote_id")
+    # Dealt by an exchange of its own: the partitions of the two parts need not agree once each is coalesced.
+    both = pieces.unionByName(covered, allowMissingColumns=True).repartition("doc_id").groupBy("doc_id", "segment")
+    return both.agg(F.max("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("quote_id")).alias("quote_ids"))

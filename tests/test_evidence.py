@@ -108,3 +108,26 @@ def test_texts_are_not_taken_apart_into_characters(spark):
     found = evidence.evidence_spans(docs, docs.select("doc_id", F.lit(1).alias("quote_id"), F.col("text").alias("quote")))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"split\((?:text|quote)#\d+, ,", plan)
+
+
+def test_segments_compute_the_spans_once(spark):
+    docs = spark.createDataFrame([(1, "ab cd ef gh ij"), (1, "ab cd"), (2, "zz"), (None, "ab cd")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, 5, "ab cd"), (1, 6, "cd ef gh"), (1, None, "ef gh ij"), (2, 7, "nothing"), (None, 8, "ab cd")], "doc_id long, quote_id long, quote string")
+    found = evidence.segments(docs, evidence.evidence_spans(docs, quotes))
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cuts = [(0, 3, [5]), (3, 5, [5, 6]), (5, 6, [6]), (6, 11, [6]), (11, 14, [])]
+    assert sorted(map(tuple, found.collect())) == [(1, k, *x) for k, x in enumerate(cuts)]
+
+
+def test_borders_are_numbered_alike_wherever_the_parts_were_dealt(spark):
+    texts = [(d, "x. " * (d % 3) + "some words here. " + "more of them, " * (d % 5 + 1)) for d in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8, "doc_id")
+    quotes = docs.select("doc_id", F.posexplode(F.array(F.lit("words here"), F.lit("here more"), F.lit("them"))).alias("quote_id", "quote"))
+    spans = evidence.evidence_spans(docs, quotes)
+    own, want = {}, []
+    for d, q, a, b in map(tuple, spans.collect()):
+        own.setdefault(d, []).append((q, a, b))
+    for d, text in texts:
+        cuts = sorted({0, len(text), *(x for s in own[d] for x in s[1:])})
+        want += [(d, k, a, b, sorted({q for q, x, y in own[d] if x <= a and y >= b})) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted((tuple(r[:4]), r[4]) for r in evidence.segments(docs, spans).collect()) == [(x[:4], x[4]) for x in sorted(want)]
