@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressgrain.functions.text import norm_text
+from pressgrain.functions.text import bound, norm_text
+from pressgrain.operators.dedup import written
 from pressgrain.scale import is_small
 
 
@@ -53,43 +54,50 @@ def alias_words(aliases: DataFrame, min_chars: int = 3) -> DataFrame:
     return alias.withColumn("word", _anchor(F.col("alias")))
 
 
+def _pairs(n: Column) -> Column:
+    """All pairs of neighbours among the words of a folded text."""
+    return bound(F.split(n, " "), lambda words: F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
 def _phrase_keys(n: Column) -> Column:
     """The distinct words of a folded text and its distinct pairs of neighbours."""
-    words = F.split(n, " ")
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(words, pairs))
+    return F.array_distinct(F.concat(F.split(n, " "), _pairs(n)))
 
 
-def _first_pair(alias: Column) -> Column:
-    return F.substring_index(alias, " ", 2)
+def _rarest_keys(alias: DataFrame) -> DataFrame:
+    """(alias, `__key`): of each alias the pair of neighbours that the fewest aliases have, the longest of these, or its one word."""
+    pairs = alias.select("alias").distinct().select("alias", F.explode(F.when(F.contains("alias", F.lit(" ")), _pairs(F.col("alias"))).otherwise(F.array("alias"))).alias("pair"))
+    counts = pairs.distinct().groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(counts, "pair").groupBy("alias").agg(F.min_by("pair", F.struct("n", -F.length("pair"), "pair")).alias("__key"))
 
 
 def _stands(n: Column, alias: Column) -> Column:
-    return F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" ")))
+    # Few texts that lack the phrase hold it as letters, so few are copied.
+    return F.contains(n, alias) & F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" ")))
 
 
 def match_aliases(texts: DataFrame, aliases: DataFrame, min_chars: int = 3, holds: Callable[[Column, Column], Column] = _stands, most_aliases: int = 500_000, few: int = 256) -> DataFrame:
     """(doc_id, company, alias) for every alias that occurs as a whole phrase in the folded text.
 
     Each text emits its distinct words and pairs of words; an alias, whatever number of companies has it, meets them once
-    by its first two words, and `holds(text, alias)` decides. At most `few` aliases are tried on each text as they are, which
+    by its rarest pair of neighbours, and `holds(text, alias)` decides. At most `few` aliases are tried on each text as they are, which
     costs less than its words and pairs. Where the aliases are few enough to broadcast, all that
     happens beside the text, which is never shuffled. Otherwise (or with more than `most_aliases`) texts and aliases meet
     in a shuffle of their keys, and each text travels once, to the list of its candidates.
     """
     alias = aliases.select("company", norm_text(F.col("alias")).alias("alias")).where(F.length("alias") >= min_chars).distinct()
+    alias = written(alias, "aliases")
     docs = texts.select("doc_id", norm_text(F.col("text")).alias("n"))
-    key = _first_pair(F.col("alias")).alias("__key")
     if is_small(alias, few):
         phrases = alias.groupBy("alias").agg(F.collect_list("company").alias("companies"))
-        phrases = F.broadcast(phrases.agg(F.collect_list(F.struct("alias", "companies")).alias("__phrases")))
-        met = docs.crossJoin(phrases).select("doc_id", F.explode(F.filter("__phrases", lambda p: holds(F.col("n"), p["alias"]))).alias("p"))
+        phrases = phrases.agg(F.collect_list(F.struct("alias", "companies")).alias("__phrases")).scalar()
+        met = docs.select("doc_id", "n", F.explode(F.array(phrases)).alias("__phrases")).select("doc_id", F.explode(F.filter("__phrases", lambda p: holds(F.col("n"), p["alias"]))).alias("p"))
         return met.select("doc_id", F.explode("p.companies").alias("company"), "p.alias")
     if is_small(alias, most_aliases):
-        phrases = alias.groupBy("alias").agg(F.collect_list("company").alias("__companies")).withColumn("__key", key)
+        phrases = alias.groupBy("alias").agg(F.collect_list("company").alias("__companies")).join(_rarest_keys(alias), "alias")
         met = docs.select("doc_id", "n", F.explode(_phrase_keys(F.col("n"))).alias("__key")).join(F.broadcast(phrases), "__key")
         return met.where(holds(F.col("n"), F.col("alias"))).select("doc_id", F.explode("__companies").alias("company"), "alias")
-    met = docs.select("doc_id", F.explode(_phrase_keys(F.col("n"))).alias("__key")).join(alias.select("alias", key).distinct(), "__key")
+    met = docs.select("doc_id", F.explode(_phrase_keys(F.col("n"))).alias("__key")).join(_rarest_keys(alias), "__key")
     asked = met.groupBy("doc_id").agg(F.collect_set("alias").alias("__asked"))
     found = F.filter("__asked", lambda a: holds(F.col("n"), a))
     return docs.join(asked, "doc_id").select("doc_id", F.explode(found).alias("alias")).join(alias, "alias").select("doc_id", "company", "alias")

@@ -139,6 +139,15 @@ def test_aliases_in_both_forms_and_candidates_that_share_a_long_word(spark):
     assert 300 <= rows_made(plan) <= 5_000
 
 
+def test_aliases_with_the_same_beginning_meet_texts_by_their_rarest_pair(spark):
+    d = spark.range(300).selectExpr("id as doc_id", "concat('one of the p', id, ' end') as text")
+    alias = spark.range(300).selectExpr("id as company", "concat('of the p', id) as alias")
+    for most in (500_000, 0):
+        assert sorted((r["doc_id"], r["company"]) for r in entities.match_aliases(d, alias, most_aliases=most).collect()) == [(i, i) for i in range(300)]
+    # What is left to be compared, if all of it is taken.
+    assert entities.match_aliases(d, alias, holds=lambda n, a: F.lit(True)).count() == 300
+
+
 def test_single_word_names_need_context(spark):
     texts = [(1, "Die Marke Tempo wächst"), (2, "Das Tempo steigt"), (3, "Tempo investiert in Werke"), (4, "Neues bei Tempo mit mehr Umsatz")]
     alias = spark.createDataFrame([("t", "Tempo")], "company string, alias string")
